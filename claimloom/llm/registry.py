@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["decontaminate"]
+NAMES = ["urls", "chat", "decontaminate"]
 
 
 def modules() -> list:
