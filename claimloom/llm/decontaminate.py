@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, shared_dir, small_batches
-from .words import ALNUM, inner, mix, text_words, windows
+from .words import ALNUM, Lookup64, inner, text_words, windows
 
 WINDOW = 10
 SHINGLE = 3
@@ -54,24 +54,6 @@ class Block:
         return np.stack([np.asarray([windows(row[j : j + s], s)[0] for row in words], np.uint64) for j in range(k - s + 1)], 1) if len(words) else np.empty((0, k - s + 1), np.uint64)
 
 
-class Lookup:
-    """Membership in a sorted array of 64-bit values, behind a small table of their upper bits."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = values
-        self.table = np.zeros(1 << 20, bool)
-        self.table[values >> np.uint64(44)] = True
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in h, and the index of the value found there."""
-        at = np.flatnonzero(self.table[h >> np.uint64(44)])
-        if not len(at):
-            return at, at
-        i = np.searchsorted(self.values, h[at])
-        same = self.values[np.minimum(i, len(self.values) - 1)] == h[at]
-        return at[same], i[same]
-
-
 def _count(lookups):
     """First pass: how often each shingle of the block occurs in the documents."""
 
@@ -102,7 +84,7 @@ def _plan(block: Block, docs: DataFrame) -> list[tuple]:
     for k, sh in made.items():
         s = min(SHINGLE, k)
         values[s] = np.union1d(values.get(s, np.empty(0, np.uint64)), sh.ravel())
-    lookups = {s: Lookup(v) for s, v in values.items()}
+    lookups = {s: Lookup64(v) for s, v in values.items()}
     seen = spark.sparkContext.broadcast(lookups)
     rare = {s: np.zeros(len(v), np.int64) for s, v in values.items()}
     counted = docs.select("text").mapInArrow(lambda batches: _count(seen.value)(batches), "s int, i long, n long").groupBy("s", "i").agg(F.sum("n").alias("n"))
@@ -117,7 +99,7 @@ def _plan(block: Block, docs: DataFrame) -> list[tuple]:
         token = sh[np.arange(len(sh)), best]
         order = np.argsort(token, kind="stable")
         tokens, start = np.unique(token[order], return_index=True)
-        out.append((k, s, Lookup(tokens), np.append(start, len(order)), order, best[order], *block.lengths[k]))
+        out.append((k, s, Lookup64(tokens), np.append(start, len(order)), order, best[order], *block.lengths[k]))
     return out
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["urls", "chat", "decontaminate"]
+NAMES = ["jaccard", "urls", "chat", "decontaminate"]
 
 
 def modules() -> list:

@@ -113,3 +113,21 @@ def inner(first: np.ndarray, k: int) -> np.ndarray:
         border = first[1:-1] - j
         ok[border[(border >= 0) & (border < len(ok))]] = False
     return np.flatnonzero(ok)
+
+
+class Lookup64:
+    """Membership in a sorted array of 64-bit values, behind a small table of their upper bits."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.table = np.zeros(1 << 20, bool)
+        self.table[values >> np.uint64(44)] = True
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in h, and the index of the value found there."""
+        at = np.flatnonzero(self.table[h >> np.uint64(44)])
+        if not len(at) or not len(self.values):
+            return at[:0], at[:0]
+        i = np.searchsorted(self.values, h[at])
+        same = self.values[np.minimum(i, len(self.values) - 1)] == h[at]
+        return at[same], i[same]
