@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["jaccard", "urls", "chat", "decontaminate"]
+NAMES = ["jaccard", "bpe", "idfiles", "urls", "chat", "decontaminate"]
 
 
 def modules() -> list:
