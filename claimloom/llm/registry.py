@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["jaccard", "perplexity", "bpe", "idfiles", "urls", "chat", "decontaminate"]
+NAMES = ["jaccard", "kdtree", "perplexity", "bpe", "idfiles", "urls", "chat", "decontaminate"]
 
 
 def modules() -> list:
