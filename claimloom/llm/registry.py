@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["wrappers", "jaccard", "kdtree", "perplexity", "bpe", "idfiles", "urls", "chat", "decontaminate"]
+NAMES = ["wrappers", "jaccard", "kdtree", "perplexity", "bpe", "webp", "idfiles", "urls", "chat", "decontaminate"]
 
 
 def modules() -> list:
