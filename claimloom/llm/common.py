@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. With whole texts in the rows a batch stays small even where texts are long.
 BATCH_ROWS = 500
@@ -60,3 +61,13 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(len(column) + 1, np.int64)
     buf = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data and len(column) else np.empty(0, np.uint8)
     return buf, offs - offs[0]
+
+
+#: Up to so many ids are broadcast to pick rows; more are joined with a shuffle.
+IDS = 1 << 21
+
+
+def pick(rows: DataFrame, ids: DataFrame, on: str, how: str, name: str) -> DataFrame:
+    """rows left_semi or left_anti ids. The ids are written and counted, and broadcast only below a fixed number."""
+    ids = keep(ids.distinct(), name)
+    return rows.join(F.broadcast(ids) if ids.count() <= IDS else ids, on, how)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_dir, small_batches
+from .common import keep, pick, shared_dir, small_batches
 from .graph import components
 from .words import SPACED, Lookup64, inner, mix, text_words, windows
 
@@ -35,8 +35,6 @@ WORDS = 5
 NEAR, OF = 4, 5
 #: The most frequent shingles that the orders put last; bounds what is collected and broadcast (16 bytes each).
 FREQUENT = 1 << 17
-#: Up to so many ids of candidates are broadcast to pick their texts; more are joined with a shuffle.
-IDS = 1 << 21
 #: Documents of one batch that must share a shingle for it to be counted at all.
 OFTEN = 4
 
@@ -161,11 +159,8 @@ def _verify(orders: Orders):
 def _verified(pairs: DataFrame, docs: DataFrame, orders, name: str) -> DataFrame:
     """The links among candidate pairs (a < b)."""
     pairs = keep(pairs, name)
-    some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    some = keep(some, name + "-ids")
-    if some.count() <= IDS:
-        some = F.broadcast(some)
-    texts = docs.where("doc_id is not null").join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    texts = pick(docs.where("doc_id is not null"), some, "doc_id", "left_semi", name + "-ids").dropDuplicates(["doc_id"])
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     full = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return full.mapInArrow(lambda batches: _verify(orders.value)(batches), "a long, b long")
