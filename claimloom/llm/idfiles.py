@@ -28,6 +28,8 @@ END_ID = 0
 #: A shard is closed when it holds so many ids.
 SHARD_IDS = 1 << 22
 GAMMA = 2.0
+#: Marks that form one pre-token of their own after a word.
+MARKS = ".,;:!?"
 SCHEMA = "part int, seq int, n_docs long, n_ids long, least_key long, most_key long, width int, keys array<long>, index binary, payload binary"
 
 
@@ -109,7 +111,8 @@ _encoders: dict[int, PieceEncoder] = {}
 
 
 def piece_encoder(vocabulary: str) -> PieceEncoder:
-    """Encodes with the tokenizers library. A piece that is one pre-token goes straight to its model, any other through the whole tokenizer."""
+    """Encodes with the tokenizers library. A word, and the marks that may follow it, are one pre-token each (whatever stands around them) and
+    go straight to the library's model; any other piece goes through the whole tokenizer."""
     key = hash(vocabulary)
     if key not in _encoders:
         from tokenizers import Tokenizer
@@ -118,13 +121,20 @@ def piece_encoder(vocabulary: str) -> PieceEncoder:
         t.encode_special_tokens = True
         model, letters = t.model, _byte_letters()
 
+        marks: dict[str, list[int]] = {}
+
         def encode(piece: str) -> list[int]:
-            if piece[1:].isalpha() and piece[0] == " ":
-                return [x.id for x in model.tokenize(piece.encode().decode("latin-1").translate(letters))]
+            word = piece.rstrip(MARKS)
+            if word[1:].isalpha() and word[0] == " ":
+                after = piece[len(word) :]
+                if after not in marks:
+                    marks.clear() if len(marks) > 10_000 else None
+                    marks[after] = t.encode(after, add_special_tokens=False).ids
+                return [x.id for x in model.tokenize(word.encode().decode("latin-1").translate(letters))] + marks[after]
             return t.encode(piece, add_special_tokens=False).ids
 
         _encoders.clear()
-        _encoders[key] = PieceEncoder(encode, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
+        _encoders[key] = PieceEncoder(encode, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32, 1_000_000)
     return _encoders[key]
 
 
