@@ -1,10 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Words are hashed to 2**22 symbols, so what is kept by symbol has a fixed size; bigrams are spread over shards by a mixed key.
+Words are hashed to 2**20 symbols, so what is kept by symbol has a fixed size; bigrams are spread over shards by a mixed key.
 
 1. Counting. All trusted documents outside the held-out tenth give bigram counts, summed in each task and then by shard. The shards are
    the count tables (written; they grow with the trusted text). From them come, by symbol, the totals and continuation counts, and the
-   counts of counts that set the discounts. These arrays, the most frequent bigrams (HEAD at most) and one filter of 2**27 bits are
+   counts of counts that set the discounts. These arrays, the most frequent bigrams (HEAD at most) and one filter of 2**26 bits are
    broadcast: all of fixed size.
 2. Scoring. Every document's bigrams are scored as unseen at first, which needs the arrays only: log(gamma(u) p(v)). Those that the head
    knows are scored there; those that the filter passes go to their shard, packed, and are joined with its count table; the shard returns
@@ -26,36 +26,38 @@ from pyspark.sql import functions as F
 from .common import forget, keep, shared_dir, small_batches
 from .words import SPACED, mix, text_words
 
-BITS = 22
+BITS = 20
+KEY_BITS = 2 * BITS
 SYMBOLS = 1 << BITS
 #: The share of held-out trusted documents that a language's threshold keeps.
 QUANTILE = 0.995
 LEAST = 50
-HEAD = 1 << 20
-FILTER_BITS = 27
+HEAD = 1 << 18
+FILTER_BITS = 26
 #: Bigrams that a task gathers before it sends them.
 FLUSH = 1 << 21
 #: Up to so many trusted ids are broadcast; beyond that documents and labels are joined.
 IDS = 1 << 22
-_M44 = np.uint64((1 << 44) - 1)
-_ODD = (0x9E3779B97F5, 0xC2B2AE3D27D)
+_MASK, _HALF = np.uint64((1 << KEY_BITS) - 1), np.uint64(BITS)
+_ODD = (0x9E3779B97F, 0xC2B2AE3D27)
+_STEPS = 22
 _RANGES = 64
 
 
 def _scramble(k: np.ndarray) -> np.ndarray:
-    """A bijection of 44-bit values."""
+    """A bijection of keys."""
     with np.errstate(over="ignore"):
         for odd in _ODD:
-            k = (k * np.uint64(odd)) & _M44
-            k = k ^ (k >> np.uint64(22))
+            k = (k * np.uint64(odd)) & _MASK
+            k = k ^ (k >> _HALF)
     return k
 
 
 def _unscramble(k: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for odd in reversed(_ODD):
-            k = k ^ (k >> np.uint64(22))
-            k = (k * np.uint64(pow(odd, -1, 1 << 44))) & _M44
+            k = k ^ (k >> _HALF)
+            k = (k * np.uint64(pow(odd, -1, 1 << KEY_BITS))) & _MASK
     return k
 
 
@@ -75,18 +77,18 @@ def _key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _pack(k: np.ndarray) -> bytes:
-    return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
 def _shard(k: np.ndarray, shards: int) -> np.ndarray:
     """Shards are ranges of keys, so each owns a stretch of the filter."""
-    return ((k >> np.uint64(20)) * np.uint64(shards)) >> np.uint64(24)
+    return ((k >> np.uint64(KEY_BITS - _STEPS)) * np.uint64(shards)) >> np.uint64(_STEPS)
 
 
 def _count(shards: int):
@@ -154,8 +156,8 @@ def _summaries(shards: int):
                         sums[:, 0] = np.bincount(i)
                     cut = np.searchsorted(own, np.arange(_RANGES + 1) * (SYMBOLS // _RANGES))
                     rows += [(what, r, own[cut[r] : cut[r + 1]].astype("<u4").tobytes(), sums[cut[r] : cut[r + 1], : 4 if what == "u" else 1].tobytes()) for r in range(_RANGES) if cut[r] < cut[r + 1]]
-                bit = np.unique(k >> np.uint64(44 - FILTER_BITS)).astype(np.uint32)
-                lo = -(-(shard << 24) // shards) << (FILTER_BITS - 24)
+                bit = np.unique(k >> np.uint64(KEY_BITS - FILTER_BITS)).astype(np.uint32)
+                lo = -(-(shard << _STEPS) // shards) << (FILTER_BITS - _STEPS)
                 rows.append(("f", shard, b"", np.packbits(np.bincount(bit - lo, minlength=8).astype(bool)).tobytes()))
                 top = np.sort(np.argsort(n, kind="stable")[::-1][: HEAD // shards])
                 rows.append(("h", shard, kb if len(top) == len(k) else _pack(k[top]), n[top].tobytes()))
@@ -204,7 +206,7 @@ class Model:
             elif what == "c":
                 counts += np.frombuffer(x, "<f4")
             elif what == "f":
-                lo = (-(-(r << 24) // shards) << (FILTER_BITS - 24)) // 8
+                lo = (-(-(r << _STEPS) // shards) << (FILTER_BITS - _STEPS)) // 8
                 own = np.frombuffer(x, np.uint8)
                 bits[lo : lo + len(own)] |= own
             else:
@@ -226,7 +228,7 @@ class Model:
         self.head, self.head_count = k[order], n[order]
 
     def may_know(self, k: np.ndarray) -> np.ndarray:
-        bit = k >> np.uint64(44 - FILTER_BITS)
+        bit = k >> np.uint64(KEY_BITS - FILTER_BITS)
         return ((self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
 
     def unseen(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
