@@ -35,8 +35,8 @@ WORDS = 5
 NEAR, OF = 4, 5
 #: The most frequent shingles that the orders put last; bounds what is collected and broadcast (16 bytes each).
 FREQUENT = 1 << 17
-#: Documents of one batch that must share a shingle for it to be counted at all.
-OFTEN = 4
+#: Texts that must share a shingle for it to be counted at all, among so many shingles.
+OFTEN, COUNTED = 3, 1 << 22
 
 
 def shingle_sets(column) -> list[np.ndarray]:
@@ -80,20 +80,28 @@ class Orders:
 
 
 def _frequent(batches):
+    """Shingles of at least OFTEN different texts among some thousand (COUNTED shingles)."""
     import pyarrow as pa
 
     seen: set[bytes] = set()
+    sets: list[np.ndarray] = []
+
+    def often():
+        t, n = np.unique(np.concatenate(sets), return_counts=True)
+        sets.clear()
+        ok = n >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(t[ok].view(np.int64)), pa.array(n[ok].astype(np.int64))], ["t", "n"])
+
     for b in batches:
-        sets = []
         for s in shingle_sets(b.column(0)):
             key = _digest(s)
             if len(s) and key not in seen:
                 seen.add(key)
                 sets.append(s)
-        if sets:
-            t, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= OFTEN
-            yield pa.RecordBatch.from_arrays([pa.array(t[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["t", "n"])
+        if sum(map(len, sets)) >= COUNTED:
+            yield often()
+    if sets:
+        yield often()
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -160,7 +168,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, orders, name: str) -> DataFrame
     """The links among candidate pairs (a < b)."""
     pairs = keep(pairs, name)
     some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = pick(docs.where("doc_id is not null"), some, "doc_id", "left_semi", name + "-ids").dropDuplicates(["doc_id"])
+    texts = pick(docs.where("doc_id is not null"), some, "doc_id", "left_semi", name + "-ids")
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     full = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     return full.mapInArrow(lambda batches: _verify(orders.value)(batches), "a long, b long")
