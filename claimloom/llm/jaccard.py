@@ -12,8 +12,10 @@ into all its pairs:
 1. Within a partition texts with equal sets are tied to one of them, which stands for all.
 2. Every document is compared with the least document that shares a prefix shingle with it (a star for each shingle, linear in the
    number of prefix shingles). Verified links are contracted to components.
-3. For every prefix shingle whose documents still lie in several components, the pairs across components are compared, all of them. So
-   every candidate pair has been verified or lies within one component, and the components are exact.
+3. For every prefix shingle whose documents still lie in several components, each of these is compared with one document of the first and
+   of the last of them (two more stars), and links are contracted again.
+4. What then lies in several components is compared across components, all of it, except for pairs that share too few prefix shingles to
+   be similar. So every candidate pair has been verified or lies within one component, and the components are exact.
 
 Edge cases: null or empty text, or text without words, has an empty set and no links; with fewer than five words the whole sequence is the
 only shingle; rows with equal doc_id count as one node of the graph, each with its own set size; a null doc_id is returned with itself
@@ -34,9 +36,9 @@ WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NEAR, OF = 4, 5
 #: The most frequent shingles that the orders put last; bounds what is collected and broadcast (16 bytes each).
-FREQUENT = 1 << 17
-#: Texts that must share a shingle for it to be counted at all, among so many shingles.
-OFTEN, COUNTED = 3, 1 << 22
+FREQUENT = 1 << 19
+#: A shingle counts as frequent if so many of the texts in a sample (one in SAMPLE, by a hash of the text) have it.
+OFTEN, SAMPLE = 2, 16
 
 
 def shingle_sets(column) -> list[np.ndarray]:
@@ -79,29 +81,21 @@ class Orders:
         return s[np.lexsort((own, rank))[:p]]
 
 
-def _frequent(batches):
-    """Shingles of at least OFTEN different texts among some thousand (COUNTED shingles)."""
+def _sampled(batches):
+    """Shingles of some texts, with the number of different texts of the batch that have each."""
     import pyarrow as pa
 
     seen: set[bytes] = set()
-    sets: list[np.ndarray] = []
-
-    def often():
-        t, n = np.unique(np.concatenate(sets), return_counts=True)
-        sets.clear()
-        ok = n >= OFTEN
-        return pa.RecordBatch.from_arrays([pa.array(t[ok].view(np.int64)), pa.array(n[ok].astype(np.int64))], ["t", "n"])
-
     for b in batches:
+        sets = []
         for s in shingle_sets(b.column(0)):
             key = _digest(s)
             if len(s) and key not in seen:
                 seen.add(key)
                 sets.append(s)
-        if sum(map(len, sets)) >= COUNTED:
-            yield often()
-    if sets:
-        yield often()
+        if sets:
+            t, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], ["t", "n"])
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -180,7 +174,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared_dir(spark)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    often = docs.select("text").mapInArrow(_frequent, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(FREQUENT).toPandas()
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")  # decides the order of shingles only
+    often = sample.mapInArrow(_sampled, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "t").limit(FREQUENT).toPandas()
     orders = spark.sparkContext.broadcast(Orders(often["t"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
     own = keep(docs.mapInArrow(lambda batches: _prefixes(orders.value)(batches), "doc_id long, n long, stands long, prefix array<long>"), "prefixes")
 
@@ -196,16 +191,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = keep(links.unionByName(_verified(stars, docs, orders, "stars")), "links")
     group = keep(components(links, "a", "b"), "components")
 
-    known = shared.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("t", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    split = known.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t")
-    open_ = keep(known.join(split, "t", "left_semi"), "open")
+    def labelled(group: DataFrame) -> DataFrame:
+        """Prefix shingles whose documents lie in several components, and these documents."""
+        known = shared.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("t", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        ends = known.groupBy("t").agg(F.min(F.struct("c", "doc_id", "n")).alias("x"), F.max(F.struct("c", "doc_id", "n")).alias("y")).where("x.c < y.c")
+        return known.join(ends, "t")
+
+    open_ = keep(labelled(group), "open")
+    ends = [open_.where(f"c <> {e}.c").where(reach("n", f"{e}.n")).select(F.least("doc_id", f"{e}.doc_id").alias("a"), F.greatest("doc_id", f"{e}.doc_id").alias("b")) for e in "xy"]
+    links = links.unionByName(keep(_verified(ends[0].unionByName(ends[1]).distinct(), docs, orders, "ends"), "links"))
+    group = keep(components(links, "a", "b"), "components")
+
+    open_ = keep(labelled(group).select("t", "doc_id", "n", "c"), "open")
     x, y = (open_.select("t", *(F.col(c).alias(c + s) for c in ("doc_id", "n", "c"))) for s in "xy")
-    across = x.join(y, "t").where("doc_idx < doc_idy and cx <> cy").where(reach("nx", "ny")).select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b")).distinct()
-    more = keep(_verified(across, docs, orders, "across"), "more")
-    if more.isEmpty():
-        final = group
-    else:
-        final = components(links.unionByName(more), "a", "b")
+    across = x.join(y, "t").where("doc_idx < doc_idy and cx <> cy").where(reach("nx", "ny")).groupBy("doc_idx", "doc_idy", "nx", "ny").agg(F.count("*").alias("shared"))
+    # all that two sets share up to the lesser of their prefixes' ends is in both prefixes, so so many prefix shingles must be shared
+    enough = f"9 * shared >= {NEAR} * (nx + ny) - 9 * (ceil({NEAR} * greatest(nx, ny) / {OF}) - 1)"
+    more = keep(_verified(across.where(enough).select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b")), docs, orders, "across"), "more")
+    final = group if more.isEmpty() else components(links.unionByName(more), "a", "b")
     return own.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
