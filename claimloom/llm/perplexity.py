@@ -34,8 +34,8 @@ QUANTILE = 0.995
 LEAST = 50
 HEAD = 1 << 18
 FILTER_BITS = 26
-#: Bigrams that a task gathers before it sends them.
-FLUSH = 1 << 21
+#: Bigrams, and documents, that a task gathers before it sends them; a document's place among them takes two bytes.
+FLUSH, FLUSH_DOCS = 1 << 20, 60_000
 #: Up to so many trusted ids are broadcast; beyond that documents and labels are joined.
 IDS = 1 << 22
 _MASK, _HALF = np.uint64((1 << KEY_BITS) - 1), np.uint64(BITS)
@@ -271,7 +271,7 @@ def _ask(model):
             doc = np.concatenate([x[3] + s for x, s in zip(held, shift, strict=True)])
             k = np.concatenate([x[4] for x in held])
             order = np.lexsort((doc, _shard(k, m.shards)))
-            doc, k = doc[order].astype("<u4"), k[order]
+            doc, k = doc[order].astype("<u2"), k[order]
             cut = np.searchsorted(_shard(k, m.shards), np.arange(m.shards + 1))
             some = [s for s in range(m.shards) if cut[s] < cut[s + 1]]
             own = np.rec.fromarrays([keys, words, base], dtype=[("key", "<i8"), ("n", "<i8"), ("base", "<f8")]).tobytes()
@@ -281,7 +281,7 @@ def _ask(model):
                 [
                     pa.array([flush] * (len(some) + 1), pa.int64()),
                     pa.array([*some, flush % m.shards], pa.int32()),
-                    pa.array([*(np.append(np.uint32(len(keys)), doc[cut[s] : cut[s + 1]]).astype("<u4").tobytes() for s in some), own], pa.binary()),
+                    pa.array([*(np.append(np.uint16(len(keys)), doc[cut[s] : cut[s + 1]]).astype("<u2").tobytes() for s in some), own], pa.binary()),
                     pa.array([*(_pack(k[cut[s] : cut[s + 1]]) for s in some), None], pa.binary()),
                 ],
                 ["flush", "shard", "docs", "k"],
@@ -301,7 +301,7 @@ def _ask(model):
             doc = np.repeat(np.arange(len(b)), np.diff(first))[ask]
             held.append((b.column(0).to_numpy(zero_copy_only=False), np.diff(first), total[first[1:]] - total[first[:-1]], doc, k[ask]))
             size += len(u)
-            if size >= FLUSH:
+            if size >= FLUSH or sum(len(x[0]) for x in held) >= FLUSH_DOCS:
                 yield send()
         if held:
             yield send()
@@ -324,7 +324,7 @@ def _answer(model):
                 own.append(docs)
                 gain.append(None)
                 continue
-            q, doc = _unpack(keys), np.frombuffer(docs, "<u4")
+            q, doc = _unpack(keys), np.frombuffer(docs, "<u2")
             c = _find(k, n, q)
             seen = c > 0
             uv = _unscramble(q[seen])
