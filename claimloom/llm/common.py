@@ -51,6 +51,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string (or binary) column, one after the other, and n + 1 offsets into them; null counts as empty."""
     import pyarrow as pa
 
+    pa.set_memory_pool(pa.system_memory_pool())  # a worker gives its memory back between batches
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = pa.large_binary()

@@ -36,7 +36,7 @@ WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NEAR, OF = 4, 5
 #: The most frequent shingles that the orders put last; bounds what is collected and broadcast (16 bytes each).
-FREQUENT = 1 << 19
+FREQUENT = 1 << 18
 #: A shingle counts as frequent if so many of the texts in a sample (one in SAMPLE, by a hash of the text) have it.
 OFTEN, SAMPLE = 2, 16
 

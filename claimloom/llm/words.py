@@ -9,7 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SLICE = 1 << 21
+#: Bytes hashed at once.
+_SLICE = 1 << 18
 
 #: Lower-cases A-Z and nothing else.
 LOWER = np.arange(256, dtype=np.uint8)
