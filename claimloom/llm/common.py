@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_path = path
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark delete the shuffle files of earlier passes, which nothing refers to any more
     return out
 
 
