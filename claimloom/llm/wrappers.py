@@ -15,10 +15,10 @@ very long pages are processed whole; repeated rows give equal results; empty tab
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as entities
 import json
 import re
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from .urls import host
 SALTS = 16
 #: The longest repeated group that is folded, in tokens.
 PERIOD = 24
-#: Pages that must agree on a text before it counts as the host's own.
+#: Different pages that must agree on a text before it counts as the host's own; copies of a page count once.
 SAME = 3
 
 #: Elements of HTML by what they mean here.
@@ -228,8 +228,12 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return parts.groupBy("host").applyInPandas(_infer, kinds)
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _open_texts(batches):
-    """(host, path, digest of the text) of slots on pages without article or main."""
+    """(host, path, digest of the text, digest of all such texts of the page) of slots on pages without article or main."""
     import pyarrow as pa
 
     for b in batches:
@@ -240,8 +244,9 @@ def _open_texts(batches):
                 for path, x, _ in slots(page or ""):
                     if path is not None and x.strip() and region(path) == "open":
                         by.setdefault(path, []).append(" ".join(x.split()))
-                out += [(h, p, zlib.crc32("\n".join(t).encode())) for p, t in by.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["host", "path", "text"])
+                whole = _digest(json.dumps(by))
+                out += [(h, p, _digest("\n".join(t)), whole) for p, t in by.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "path", "text", "page"])
 
 
 def content(wrapper: list) -> dict[str, str]:
@@ -288,7 +293,8 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
     inferred = wrappers(rows.select("host", "html"))
-    same = rows.select("host", "html").mapInArrow(_open_texts, "host string, path string, text long").groupBy("host", "path").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b"))
+    said = rows.select("host", "html").mapInArrow(_open_texts, "host string, path string, text long, page long").distinct()  # copies of a page count once
+    same = said.groupBy("host", "path").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b"))
     own = same.where((F.col("n") >= SAME) & (F.col("a") == F.col("b"))).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("own"))
     known = inferred.join(own, "host", "left")
     kind = rows.schema["page_id"].dataType.simpleString()

@@ -244,6 +244,15 @@ def test_html(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies_of_one_page(spark):
+    """Copies of a page, under one url or several or none, are no evidence that its text is the host's own."""
+    page = "<div>all of this</div><p>is what the page says</p>"
+    pages = [(i, f"http://c.org/{i % 2}", page) for i in range(5)] + [(10 + i, None, page) for i in range(4)]
+    pages += [(20 + i, f"http://t.org/{i}", f"<div>the same everywhere</div><p>page {i % 3}</p>") for i in range(6)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "all of this is what the page says" for i in (*range(5), *range(10, 14))} | {20 + i: f"page {i % 3}" for i in range(6)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
