@@ -369,6 +369,35 @@ def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.word_offsets(d).select("doc_id", "seq", F.col("start").alias("w_start"))
 
 
+@query(
+    "word_offsets_whole",
+    """WITH t AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, r, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM t)
+        SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS w_start FROM w""",
+)
+def word_offsets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets of all words of each text; each row is a page of its own, also where ids are repeated or null."""
+    d = tables.read(spark, sf_dir, "documents").where("text is not null").withColumn("page_no", F.monotonically_increasing_id())
+    d = d.select("doc_id", "page_no", F.posexplode(F.split("text", " ")).alias("seq", "text"))
+    return pages.word_offsets(d).select("doc_id", "seq", F.col("start").alias("w_start"))
+
+
+_QUOTED = (("middle", "length(text) // 2 + 1"), ("end", "greatest(length(text) - 59, 1)"))
+
+
+@query(
+    "ground_exact_inside",
+    "WITH q AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{part}' AS part, text, substr(text, {at}, 60) AS q FROM documents WHERE text IS NOT NULL" for part, at in _QUOTED)
+    + r"), s AS (SELECT *, length(regexp_replace(q, '^\s+|\s+$', '', 'g')) < 12 AS short FROM q) SELECT doc_id, part, CASE WHEN short THEN 'failed' ELSE 'exact' END AS match_type, CAST(CASE WHEN NOT short THEN instr(text, q) - 1 END AS INTEGER) AS char_start FROM s",
+)
+def ground_exact_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of 60 characters from the middle and the end of each text."""
+    d = tables.read(spark, sf_dir, "documents").where("text is not null")
+    quote = {part: F.expr(f"substr(text, {at.replace('//', 'div')}, 60)") for part, at in _QUOTED}
+    d = d.select("doc_id", F.col("text").alias("page_text"), F.explode(F.array(*(F.struct(F.lit(part).alias("part"), q.alias("quote")) for part, q in quote.items()))).alias("x")).select("doc_id", "page_text", "x.*")
+    return pages.locate(d).select("doc_id", "part", "ground.match_type", "ground.char_start")
+
+
 # ------------------------------------------------------------------------------------------------------------------ the gate
 
 _JUDGED = """

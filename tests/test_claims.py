@@ -104,6 +104,25 @@ def test_quotes(spark):
     assert [got[i].match_type for i in range(10, 16)] == ["exact", "failed", "failed", "failed", "failed", "fuzzy"]
 
 
+def test_offsets_of_all_words_and_quotes_from_inside(spark, tmp_path):
+    from claimloom.plans import queries
+
+    texts = [(1, " ".join(f"w{i}é" for i in range(3000))), (2, ""), (3, None), (4, "a  b\nc d "), (None, "no id " * 30), (None, "nor this one " * 30), (5, "same id"), (5, "id same " * 40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, quoted = [], []
+    for i, t in texts:
+        at = 0
+        for k, w in enumerate((t or "").split(" ") if t is not None else []):
+            want.append((i, k, at))
+            at += len(w) + 1
+        for part, q in (("middle", t[len(t) // 2 :][:60]), ("end", t[-60:])) if t is not None else ():
+            quoted.append((i, part, "failed", None) if len(q.strip()) < 12 else (i, part, "exact", t.index(q)))
+    got = [tuple(r) for r in queries.QUERIES["word_offsets_whole"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    found = [tuple(r) for r in queries.QUERIES["ground_exact_inside"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, quoted)) and any((r[3] or 0) > 1000 for r in found)
+
+
 def test_boxes(spark):
     from claimloom.operators.pages import boxes
     from pyspark.sql import functions as F
