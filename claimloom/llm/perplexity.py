@@ -2,15 +2,16 @@
 
 Words are hashed to 2**20 symbols, so what is kept by symbol has a fixed size; bigrams are spread over shards by a mixed key.
 
-1. Counting. All trusted documents outside the held-out tenth give bigram counts, summed in each task and then by shard. The shards are
+1. Counting. All trusted documents that are not held out give bigram counts, summed in each task and then by shard. The shards are
    the count tables (written; they grow with the trusted text). From them come, by symbol, the totals and continuation counts, and the
    counts of counts that set the discounts. These arrays, the most frequent bigrams (HEAD at most) and one filter of 2**26 bits are
    broadcast: all of fixed size.
 2. Scoring. Every document's bigrams are scored as unseen at first, which needs the arrays only: log(gamma(u) p(v)). Those that the head
    knows are scored there; those that the filter passes go to their shard, packed, and are joined with its count table; the shard returns
    for each document what seen bigrams add. The filter has no false negatives, so the result is exact whatever its load.
-3. A document is kept if its perplexity is at most the QUANTILE of the held-out trusted documents of its language (of all languages,
-   where its own has fewer than LEAST of them).
+3. A document is kept if its perplexity is at most the QUANTILE of the held-out trusted documents of its language. Every language with
+   trusted documents has held-out ones: a tenth, but LEAST of them (half, if there are fewer than twice as many; one in any case) where
+   that is more. Only languages without any trusted document are judged by the quantile of all languages.
 
 Edge cases: null or empty text, or text without words, has no perplexity (null) and is rejected; a null language is a language of its own;
 repeated rows get equal scores; labels that contradict each other for one document make it untrusted; without any trusted document
@@ -31,6 +32,7 @@ KEY_BITS = 2 * BITS
 SYMBOLS = 1 << BITS
 #: The share of held-out trusted documents that a language's threshold keeps.
 QUANTILE = 0.995
+#: Held-out trusted documents that each language is to have.
 LEAST = 50
 HEAD = 1 << 18
 FILTER_BITS = 26
@@ -354,13 +356,18 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return by.where("q = 1 and t = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def held_out(doc_id):
-    return F.pmod(F.xxhash64(F.lit("fold"), doc_id), F.lit(10)) == 0
+def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id of the trusted documents that set the thresholds, of every language its own."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).join(trusted_ids(labels), "doc_id").distinct()
+    known = keep(known.withColumn("at", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(1 << 30))), "trusted")
+    by = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    share = by.select(F.col("lang").alias("l"), "first", (F.greatest(F.lit(0.1), F.least(F.lit(0.5), LEAST / F.col("n"))) * (1 << 30)).alias("below"))
+    return known.join(share, F.col("lang").eqNullSafe(F.col("l"))).where("at < below or at = first").select("doc_id").distinct()
 
 
-def _flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _flagged(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
     """Trains on it? and the text."""
-    train = trusted_ids(labels).where(~held_out(F.col("doc_id")))
+    train = trusted_ids(labels).join(held, "doc_id", "left_anti")
     if train.limit(IDS + 1).count() > IDS:
         return docs.join(train.withColumn("flag", F.lit(True)), "doc_id", "left").select(F.coalesce("flag", F.lit(False)).alias("flag"), "text")
     ids = docs.sparkSession.sparkContext.broadcast(np.sort(train.toPandas()["doc_id"].to_numpy(np.int64)))
@@ -377,11 +384,11 @@ def _flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(flag, "flag boolean, text string")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
+def train(docs: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[DataFrame, Model]:
     """The count tables (shard, k, n) and the arrays."""
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = _flagged(docs, labels).mapInArrow(_count(shards), "shard int, k binary, n binary")
+    counted = _flagged(docs, labels, held).mapInArrow(_count(shards), "shard int, k binary, n binary")
     tables = keep(counted.groupBy("shard").applyInPandas(_merge, "shard int, k binary, n binary"), "counts")
     small_batches(spark, 1)
     kinds = "what string, r int, i binary, x binary"
@@ -390,10 +397,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model]:
     return tables, Model([(r["what"], r["r"], bytes(r["i"]), bytes(r["x"])) for r in rows], shards)
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
     """key, n_words, nats (mean negative log probability of a word; null without words) for each row of docs (key, doc_id, text)."""
     spark = docs.sparkSession
-    tables, made = train(docs, labels)
+    tables, made = train(docs, labels, held)
     model = spark.sparkContext.broadcast(made)
     asked = docs.select("key", "text").mapInArrow(_ask(model), REQUEST)
     answered = asked.groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(_answer(model), "flush long, own binary, gain binary")
@@ -406,16 +413,15 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     shared_dir(spark)
     small_batches(spark)
     own = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    scored = keep(scores(own, labels).groupBy("key").agg(F.first("n_words").alias("n_words"), F.first(F.nanvl("nats", F.lit(None))).alias("nats")), "scores")
+    held = keep(held_out(own, labels), "held-out")
+    scored = keep(scores(own, labels, held).groupBy("key").agg(F.first("n_words").alias("n_words"), F.first(F.nanvl("nats", F.lit(None))).alias("nats")), "scores")
     rows = own.select("key", "doc_id", "lang").join(scored, "key", "left").withColumn("perplexity", F.exp("nats"))
-    sample = rows.where(held_out(F.col("doc_id")) & F.col("perplexity").isNotNull()).join(trusted_ids(labels), "doc_id", "left_semi")
-    by = sample.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(F.count("*").alias("c"), F.percentile_approx("perplexity", quantile, 10000).alias("q"))
-    limits = {r["l"]: r["q"] for r in by.where(F.col("c") >= LEAST).orderBy("l").limit(1000).collect()}  # at most 1000 languages have their own
-    anywhere = sample.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
-    limit = F.lit(float("inf") if anywhere is None else anywhere)
-    for lang, q in limits.items():
-        limit = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(q)).otherwise(limit)
-    rows = rows.withColumn("threshold", limit)
+    sample = rows.where(F.col("perplexity").isNotNull()).join(held, "doc_id", "left_semi")
+    limit = F.percentile_approx("perplexity", quantile, 10000)
+    anywhere = sample.agg(limit).first()[0]
+    by = keep(sample.groupBy(F.col("lang").alias("l")).agg(limit.alias("own")), "thresholds")
+    rows = rows.join(F.broadcast(by) if by.count() <= IDS else by, F.col("lang").eqNullSafe(F.col("l")), "left")
+    rows = rows.withColumn("threshold", F.coalesce("own", F.lit(float("inf") if anywhere is None else anywhere)))
     return rows.select("key", "doc_id", "lang", "n_words", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("keep"))
 
 

@@ -102,6 +102,22 @@ def test_perplexity(docs, nothing, spark):
     assert {r.keep for r in untrained if r.n_words} == {True}
 
 
+def test_perplexity_thresholds_of_rare_languages(spark):
+    """Every language with trusted documents is judged by its own held-out ones, however few; others by all."""
+    rng = random.Random(4)
+    kinds = [("en", 300, 20), ("fr", 12, 2000), (None, 3, 500), ("", 2, 500), ("xx", 1, 50)]
+    texts = [(lang, " ".join(f"{lang}{rng.randrange(size)}" for _ in range(60))) for lang, n, size in kinds for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)] + [(999, "who knows", "zz")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    held = {r.doc_id for r in perplexity.held_out(docs, labels).collect()}
+    got = perplexity.classify(docs, labels).collect()
+    by = {lang: [r.perplexity for r in got if r.lang == lang and r.doc_id in held] for lang, _, _ in kinds}
+    assert all(by.values()) and 30 <= len(by["en"]) <= 80 and len(by["fr"]) < 12
+    for r in got:
+        own = by.get(r.lang, sum(by.values(), []))
+        assert r.threshold == max(own) if len(own) < 20 else min(own) <= r.threshold <= max(own)
+
+
 def test_bpe(docs, nothing):
     import public_tokenizers as P
     import tiktoken
