@@ -1,14 +1,15 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Words are hashed to 2**20 symbols, so what is kept by symbol has a fixed size; bigrams are spread over shards by a mixed key.
-
-1. Counting. All trusted documents that are not held out give bigram counts, summed in each task and then by shard. The shards are
-   the count tables (written; they grow with the trusted text). From them come, by symbol, the totals and continuation counts, and the
-   counts of counts that set the discounts. These arrays, the most frequent bigrams (HEAD at most) and one filter of 2**26 bits are
-   broadcast: all of fixed size.
-2. Scoring. Every document's bigrams are scored as unseen at first, which needs the arrays only: log(gamma(u) p(v)). Those that the head
-   knows are scored there; those that the filter passes go to their shard, packed, and are joined with its count table; the shard returns
-   for each document what seen bigrams add. The filter has no false negatives, so the result is exact whatever its load.
+Words are known by 64-bit hashes, bigrams by 64-bit hashes of two of these; no two share counts. The log probability of a word v after u,
+max(n - D, 0) / total(u) + gamma(u) lower(v), is log lower(v) + log gamma(u) and, for a seen bigram, log1p of the first part by the second:
+a sum of values that each belong to one word, one context or one bigram.
+
+1. Counting. All trusted documents that are not held out give bigram counts; from them come, by joins, totals and gammas of contexts,
+   continuation counts of words and the values of all three. They are written by key into shards (tables that grow with the trusted text).
+   The most frequent keys with their values (HEAD at most: an exact cache) and one filter of 2**FILTER_BITS bits are broadcast.
+2. Scoring. Every word counts as unknown at first. Keys that the head knows are added there; those that the filter passes go to their
+   shard, packed, and are joined with its table; the shard returns what they add for each document. The filter has no false negatives, so
+   the result is exact whatever its load.
 3. A document is kept if its perplexity is at most the QUANTILE of the held-out trusted documents of its language. Every language with
    trusted documents has held-out ones: a tenth, but LEAST of them (half, if there are fewer than twice as many; one in any case) where
    that is more. Only languages without any trusted document are judged by the quantile of all languages.
@@ -27,97 +28,94 @@ from pyspark.sql import functions as F
 from .common import forget, keep, shared_dir, small_batches
 from .words import SPACED, mix, text_words
 
-BITS = 20
-KEY_BITS = 2 * BITS
-SYMBOLS = 1 << BITS
 #: The share of held-out trusted documents that a language's threshold keeps.
 QUANTILE = 0.995
 #: Held-out trusted documents that each language is to have.
 LEAST = 50
-HEAD = 1 << 18
-FILTER_BITS = 26
-#: Bigrams, and documents, that a task gathers before it sends them; a document's place among them takes two bytes.
+#: The most frequent keys that are broadcast with their values: an exact cache.
+HEAD = 1 << 20
+FILTER_BITS = 27
+#: Keys, and documents, that a task gathers before it sends them; a document's place among them takes two bytes.
 FLUSH, FLUSH_DOCS = 1 << 20, 60_000
 #: Up to so many trusted ids are broadcast; beyond that documents and labels are joined.
 IDS = 1 << 22
-_MASK, _HALF = np.uint64((1 << KEY_BITS) - 1), np.uint64(BITS)
-_ODD = (0x9E3779B97F, 0xC2B2AE3D27)
 _STEPS = 22
-_RANGES = 64
-
-
-def _scramble(k: np.ndarray) -> np.ndarray:
-    """A bijection of keys."""
-    with np.errstate(over="ignore"):
-        for odd in _ODD:
-            k = (k * np.uint64(odd)) & _MASK
-            k = k ^ (k >> _HALF)
-    return k
-
-
-def _unscramble(k: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        for odd in reversed(_ODD):
-            k = k ^ (k >> _HALF)
-            k = (k * np.uint64(pow(odd, -1, 1 << KEY_BITS))) & _MASK
-    return k
+#: What a key says: a bigram, a word followed by another, a word that ends its text.
+_PAIR, _INNER, _LAST = 11, 12, 13
+START = np.uint64(0)
 
 
 def _bigrams(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context and word of every word of each text (the first follows symbol 0), and the index of each text's first word."""
-    h, first = text_words(column, SPACED)
-    v = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    v[v == 0] = 1
-    u = np.concatenate([[0], v[:-1]])[: len(v)]
+    """Context and word (64-bit hashes) of every word of each text (the first follows START), and the index of each text's first word."""
+    v, first = text_words(column, SPACED)
+    u = np.concatenate([[START], v[:-1]])[: len(v)].astype(np.uint64)
     at = first[:-1]
-    u[at[at < first[1:]]] = 0
+    u[at[at < first[1:]]] = START
     return u, v, first
 
 
 def _key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return _scramble((u.astype(np.uint64) << np.uint64(BITS)) | v.astype(np.uint64))
+    with np.errstate(over="ignore"):
+        return mix(mix(u, _PAIR) * np.uint64(0x9E3779B97F4A7C15) + v, _PAIR)
 
 
-def _pack(k: np.ndarray) -> bytes:
-    return np.ascontiguousarray(k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _shard(k: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of keys, so each owns a stretch of the filter."""
+    return ((k >> np.uint64(64 - _STEPS)) * np.uint64(shards)) >> np.uint64(_STEPS)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+def _sums():
+    """Columns flag, text: bigrams of flagged texts and how often each occurs."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def _shard(k: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of keys, so each owns a stretch of the filter."""
-    return ((k >> np.uint64(KEY_BITS - _STEPS)) * np.uint64(shards)) >> np.uint64(_STEPS)
+        held: list[tuple] = []
 
+        def send():
+            u, v = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            held.clear()
+            _, at, n = np.unique(_key(u, v), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(v[at].view(np.int64)), pa.array(n.astype(np.int64))], ["u", "v", "n"])
 
-def _count(shards: int):
-    """Columns flag, text: counts of the bigrams of flagged texts, packed by shard."""
+        for b in batches:
+            texts = b.column(1).filter(b.column(0))
+            if len(texts):
+                u, v, _ = _bigrams(texts)
+                if len(u):
+                    held.append((u, v))
+                if sum(len(x[0]) for x in held) >= FLUSH:
+                    yield send()
+        if held:
+            yield send()
+
+    return run
+
+
+def _packed(shards: int):
+    """Columns k, x, n: the keys, values and counts, packed by shard."""
 
     def run(batches):
         import pyarrow as pa
 
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
 
         def send():
-            k, n = np.unique(np.concatenate(held), return_counts=True)
+            k, x, n = (np.concatenate([h[i] for h in held]) for i in range(3))
             held.clear()
+            order = np.argsort(k)
+            k, x, n = k[order], x[order], n[order]
             cut = np.searchsorted(_shard(k, shards), np.arange(shards + 1))
             some = [s for s in range(shards) if cut[s] < cut[s + 1]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([_pack(k[cut[s] : cut[s + 1]]) for s in some], pa.binary()), pa.array([n[cut[s] : cut[s + 1]].astype("<u4").tobytes() for s in some], pa.binary())], ["shard", "k", "n"]
+                [pa.array(some, pa.int32()), *(pa.array([y[cut[s] : cut[s + 1]].astype(t).tobytes() for s in some], pa.binary()) for y, t in ((k, "<u8"), (x, "<f4"), (np.minimum(n, 0xFFFFFFFF), "<u4")))], ["shard", "k", "x", "n"]
             )
 
         for b in batches:
-            texts = b.column(1).filter(b.column(0))
-            if len(texts):
-                u, v, _ = _bigrams(texts)
-                if len(u):
-                    held.append(_key(u, v))
-                if sum(map(len, held)) >= FLUSH:
-                    yield send()
+            k, x, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            held.append((k.view(np.uint64), x, n))
+            if sum(len(h[0]) for h in held) >= FLUSH:
+                yield send()
         if held:
             yield send()
 
@@ -127,63 +125,29 @@ def _count(shards: int):
 def _merge(pdf):
     import pandas as pd
 
-    k = np.concatenate([_unpack(x) for x in pdf["k"]])
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["n"]]).astype(np.int64)
-    order = np.argsort(k, kind="stable")
-    k, at = np.unique(k[order], return_index=True)
-    n = np.minimum(np.add.reduceat(n[order], at), 0xFFFFFFFF)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "k": [_pack(k)], "n": [n.astype("<u4").tobytes()]})
+    k, x, n = (np.concatenate([np.frombuffer(y, t) for y in pdf[c]]) for c, t in (("k", "<u8"), ("x", "<f4"), ("n", "<u4")))
+    order = np.argsort(k)
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "k": [k[order].tobytes()], "x": [x[order].tobytes()], "n": [n[order].tobytes()]})
 
 
 def _summaries(shards: int):
-    """Of each count table: by symbol range the sums over contexts and words; its stretch of the filter; its most frequent bigrams."""
+    """Of each table: its stretch of the filter; its most frequent keys and their values."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for shard, kb, nb in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                k, n = _unpack(kb), np.frombuffer(nb, "<u4")
-                uv = _unscramble(k)
-                u, v = (uv >> np.uint64(BITS)).astype(np.int64), (uv & np.uint64(SYMBOLS - 1)).astype(np.int64)
-                rows = []
-                for what, symbol in (("u", u), ("v", v)):
-                    own, i = np.unique(symbol, return_inverse=True)
-                    sums = np.zeros((len(own), 4), np.float32)
-                    if what == "u":
-                        sums[:, 0] = np.bincount(i, n)
-                        for c in (1, 2, 3):
-                            sums[:, c] = np.bincount(i, n == c if c < 3 else n >= c)
-                    else:
-                        sums[:, 0] = np.bincount(i)
-                    cut = np.searchsorted(own, np.arange(_RANGES + 1) * (SYMBOLS // _RANGES))
-                    rows += [(what, r, own[cut[r] : cut[r + 1]].astype("<u4").tobytes(), sums[cut[r] : cut[r + 1], : 4 if what == "u" else 1].tobytes()) for r in range(_RANGES) if cut[r] < cut[r + 1]]
-                bit = np.unique(k >> np.uint64(KEY_BITS - FILTER_BITS)).astype(np.uint32)
+            for shard, kb, xb, nb in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                k, x, n = np.frombuffer(kb, "<u8"), np.frombuffer(xb, "<f4"), np.frombuffer(nb, "<u4")
+                bit = np.unique(k >> np.uint64(64 - FILTER_BITS)).astype(np.uint32)
                 lo = -(-(shard << _STEPS) // shards) << (FILTER_BITS - _STEPS)
-                rows.append(("f", shard, b"", np.packbits(np.bincount(bit - lo, minlength=8).astype(bool)).tobytes()))
                 top = np.sort(np.argsort(n, kind="stable")[::-1][: HEAD // shards])
-                rows.append(("h", shard, kb if len(top) == len(k) else _pack(k[top]), n[top].tobytes()))
-                rows.append(("c", 0, b"", np.array([(n == c).sum() for c in range(1, 5)], "<f4").tobytes()))
+                rows = [("f", shard, b"", np.packbits(np.bincount(bit - lo, minlength=8).astype(bool)).tobytes()), ("h", shard, k[top].tobytes(), x[top].tobytes())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["what", "r", "i", "x"])
 
     return run
 
 
-def _sum(pdf):
-    import pandas as pd
-
-    what, r = pdf["what"].iloc[0], int(pdf["r"].iloc[0])
-    if what in "fh":
-        return pdf
-    if what == "c":
-        return pd.DataFrame({"what": [what], "r": [r], "i": [b""], "x": [sum(np.frombuffer(x, "<f4").astype(np.float64) for x in pdf["x"]).astype("<f4").tobytes()]})
-    width = 4 if what == "u" else 1
-    out = np.zeros((SYMBOLS // _RANGES, width), np.float64)
-    for i, x in zip(pdf["i"], pdf["x"], strict=True):
-        out[np.frombuffer(i, "<u4") - r * len(out)] += np.frombuffer(x, "<f4").reshape(-1, width)
-    return pd.DataFrame({"what": [what], "r": [r], "i": [b""], "x": [out.astype("<f4").tobytes()]})
-
-
 def _discounts(n: np.ndarray) -> np.ndarray:
     """The three discounts of modified Kneser-Ney from the numbers of keys with count 1 to 4; index 0 is for count 0."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
@@ -192,62 +156,36 @@ def _discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What is broadcast: arrays by symbol, the head, the filter. Sizes do not depend on the input."""
+    """What is broadcast: the head, the filter, what an unknown word gets. Sizes do not depend on the input."""
 
-    def __init__(self, rows, shards: int):
-        self.shards = shards
-        size = SYMBOLS // _RANGES
-        context, word = np.zeros((SYMBOLS, 4), np.float32), np.zeros(SYMBOLS, np.float32)
+    def __init__(self, rows, shards: int, unknown: float):
+        self.shards, self.unknown = shards, unknown
         bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        head, counts = [], np.zeros(4)
+        head = []
         for what, r, i, x in rows:
-            if what == "u":
-                context[r * size : (r + 1) * size] = np.frombuffer(x, "<f4").reshape(-1, 4)
-            elif what == "v":
-                word[r * size : (r + 1) * size] = np.frombuffer(x, "<f4")
-            elif what == "c":
-                counts += np.frombuffer(x, "<f4")
-            elif what == "f":
+            if what == "f":
                 lo = (-(-(r << _STEPS) // shards) << (FILTER_BITS - _STEPS)) // 8
                 own = np.frombuffer(x, np.uint8)
                 bits[lo : lo + len(own)] |= own
             else:
-                head.append((_unpack(i), np.frombuffer(x, "<u4")))
-        self.trained = bool(word.any())
-        self.discount = _discounts(counts)
-        low = _discounts(np.array([(word == c).sum() for c in range(1, 5)], np.float64))
-        total = max(1.0, float(word.sum(dtype=np.float64)))
-        left = sum(low[c] * ((word == c).sum() if c < 3 else (word >= c).sum()) for c in (1, 2, 3)) / total if self.trained else 1.0
-        self.lower = ((np.maximum(word - low[np.minimum(word, 3).astype(np.int8)], 0) / total) + left / SYMBOLS).astype(np.float32)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gamma = (self.discount[1] * context[:, 1] + self.discount[2] * context[:, 2] + self.discount[3] * context[:, 3]) / context[:, 0]
-        self.gamma = np.where(context[:, 0] > 0, gamma, 1.0).astype(np.float32)
-        self.total = np.maximum(context[:, 0], 1)
+                head.append((np.frombuffer(i, "<u8"), np.frombuffer(x, "<f4")))
         self.bits = bits
         k = np.concatenate([x for x, _ in head]) if head else np.empty(0, np.uint64)
-        n = np.concatenate([x for _, x in head]) if head else np.empty(0, np.uint32)
         order = np.argsort(k)
-        self.head, self.head_count = k[order], n[order]
+        self.head, self.head_value = k[order], np.concatenate([x for _, x in head])[order] if head else np.empty(0, np.float32)
 
     def may_know(self, k: np.ndarray) -> np.ndarray:
-        bit = k >> np.uint64(KEY_BITS - FILTER_BITS)
+        bit = k >> np.uint64(64 - FILTER_BITS)
         return ((self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
 
-    def unseen(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return np.log(self.gamma[u].astype(np.float64) * self.lower[v])
-
-    def gain(self, u: np.ndarray, v: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """What the log probability of a bigram with count n has over that of an unseen one."""
-        seen = (n - self.discount[np.minimum(n, 3)]) / self.total[u]
-        return np.log1p(seen / (self.gamma[u].astype(np.float64) * self.lower[v]))
-
 
-def _find(keys: np.ndarray, counts: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The count of each key; 0 where it isn't there."""
+def _find(keys: np.ndarray, values: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are there, and their values (0 where not)."""
     if not len(keys):
-        return np.zeros(len(k), np.int64)
+        return np.zeros(len(k), bool), np.zeros(len(k), np.float64)
     i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-    return np.where(keys[i] == k, counts[i], 0).astype(np.int64)
+    there = keys[i] == k
+    return there, np.where(there, values[i], 0).astype(np.float64)
 
 
 REQUEST = "flush long, shard int, docs binary, k binary"
@@ -273,7 +211,7 @@ def _ask(model):
             doc = np.concatenate([x[3] + s for x, s in zip(held, shift, strict=True)])
             k = np.concatenate([x[4] for x in held])
             order = np.lexsort((doc, _shard(k, m.shards)))
-            doc, k = doc[order].astype("<u2"), k[order]
+            doc, k = doc[order].astype("<u2"), k[order].astype("<u8")
             cut = np.searchsorted(_shard(k, m.shards), np.arange(m.shards + 1))
             some = [s for s in range(m.shards) if cut[s] < cut[s + 1]]
             own = np.rec.fromarrays([keys, words, base], dtype=[("key", "<i8"), ("n", "<i8"), ("base", "<f8")]).tobytes()
@@ -284,24 +222,25 @@ def _ask(model):
                     pa.array([flush] * (len(some) + 1), pa.int64()),
                     pa.array([*some, flush % m.shards], pa.int32()),
                     pa.array([*(np.append(np.uint16(len(keys)), doc[cut[s] : cut[s + 1]]).astype("<u2").tobytes() for s in some), own], pa.binary()),
-                    pa.array([*(_pack(k[cut[s] : cut[s + 1]]) for s in some), None], pa.binary()),
+                    pa.array([*(k[cut[s] : cut[s + 1]].tobytes() for s in some), None], pa.binary()),
                 ],
                 ["flush", "shard", "docs", "k"],
             )
 
         for b in batches:
             u, v, first = _bigrams(b.column(1))
-            k = _key(u, v)
-            p = m.unseen(u, v)
-            known = np.flatnonzero(m.may_know(k))
-            n = _find(m.head, m.head_count, k[known])
-            top = n > 0
-            i = known[top]
-            p[i] += m.gain(u[i], v[i], n[top])
-            ask = known[~top]
-            total = np.concatenate([[0], np.cumsum(p)])
-            doc = np.repeat(np.arange(len(b)), np.diff(first))[ask]
-            held.append((b.column(0).to_numpy(zero_copy_only=False), np.diff(first), total[first[1:]] - total[first[:-1]], doc, k[ask]))
+            last = np.zeros(len(v), bool)
+            last[first[1:][first[1:] > first[:-1]] - 1] = True
+            n = np.diff(first)
+            of = np.repeat(np.arange(len(b)), n)
+            base, asked = n * m.unknown, []
+            starts = np.flatnonzero(n)
+            for k, doc in ((_key(u, v), of), (np.where(last, mix(v, _LAST), mix(v, _INNER)), of), (np.repeat(mix(np.array([START]), _INNER), len(starts)), starts)):
+                at = np.flatnonzero(m.may_know(k))
+                there, x = _find(m.head, m.head_value, k[at])
+                base = base + np.bincount(doc[at], x, minlength=len(b))
+                asked.append((doc[at[~there]], k[at[~there]]))
+            held.append((b.column(0).to_numpy(zero_copy_only=False), n, base, *(np.concatenate(x) for x in zip(*asked, strict=True))))
             size += len(u)
             if size >= FLUSH or sum(len(x[0]) for x in held) >= FLUSH_DOCS:
                 yield send()
@@ -311,31 +250,22 @@ def _ask(model):
     return run
 
 
-def _answer(model):
-    """A shard's requests and its count table: what the seen bigrams add, for each flush and document. Own sums are passed on."""
-
-    def run(asked, table):
-        import pandas as pd
-
-        m: Model = model.value
-        k, n = (_unpack(table["k"].iloc[0]), np.frombuffer(table["n"].iloc[0], "<u4")) if len(table) else (np.empty(0, np.uint64), np.empty(0, np.uint32))
-        flush, own, gain = [], [], []
-        for f, docs, keys in zip(asked["flush"], asked["docs"], asked["k"], strict=True):
-            flush.append(f)
-            if keys is None:
-                own.append(docs)
-                gain.append(None)
-                continue
-            q, doc = _unpack(keys), np.frombuffer(docs, "<u2")
-            c = _find(k, n, q)
-            seen = c > 0
-            uv = _unscramble(q[seen])
-            add = m.gain((uv >> np.uint64(BITS)).astype(np.int64), (uv & np.uint64(SYMBOLS - 1)).astype(np.int64), c[seen])
-            own.append(None)
-            gain.append(np.bincount(doc[1:][seen], add, minlength=int(doc[0])).astype("<f4").tobytes())
-        return pd.DataFrame({"flush": flush, "own": own, "gain": gain})
+def _answer(asked, table):
+    """A shard's requests and its table: what the known keys add, for each flush and document. Own sums are passed on."""
+    import pandas as pd
 
-    return run
+    k, x = (np.frombuffer(table["k"].iloc[0], "<u8"), np.frombuffer(table["x"].iloc[0], "<f4")) if len(table) else (np.empty(0, np.uint64), np.empty(0, np.float32))
+    flush, own, gain = [], [], []
+    for f, docs, keys in zip(asked["flush"], asked["docs"], asked["k"], strict=True):
+        flush.append(f)
+        if keys is None:
+            own.append(docs)
+            gain.append(None)
+            continue
+        doc = np.frombuffer(docs, "<u2")
+        own.append(None)
+        gain.append(np.bincount(doc[1:], _find(k, x, np.frombuffer(keys, "<u8"))[1], minlength=int(doc[0])).astype("<f4").tobytes())
+    return pd.DataFrame({"flush": flush, "own": own, "gain": gain})
 
 
 def _total(pdf):
@@ -384,17 +314,69 @@ def _flagged(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(flag, "flag boolean, text string")
 
 
+def _mixed(column: str, what: int):
+    @F.pandas_udf("long")
+    def run(x):
+        import pandas as pd
+
+        return pd.Series(mix(x.to_numpy(np.int64).view(np.uint64), what).view(np.int64))
+
+    return run(F.col(column))
+
+
+def _paired():
+    @F.pandas_udf("long")
+    def run(u, v):
+        import pandas as pd
+
+        return pd.Series(_key(u.to_numpy(np.int64).view(np.uint64), v.to_numpy(np.int64).view(np.uint64)).view(np.int64))
+
+    return run(F.col("u"), F.col("v"))
+
+
+def _counts_of(df: DataFrame, column: str) -> np.ndarray:
+    """How many rows have 1, 2, 3 and 4 there."""
+    return np.array(df.agg(*(F.count(F.when(F.col(column) == c, 1)) for c in range(1, 5))).first(), np.float64)
+
+
+def _discount(d: np.ndarray, n: str):
+    return F.when(F.col(n) == 1, F.lit(float(d[1]))).when(F.col(n) == 2, F.lit(float(d[2]))).otherwise(F.lit(float(d[3])))
+
+
+def values(docs: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[DataFrame, float, list[DataFrame]]:
+    """k, x, n: what each known bigram, word and context adds to a log probability, and how often it occurs; what an unknown word has; the tables behind it."""
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = keep(_flagged(docs, labels, held).mapInArrow(_sums(), "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n")), "counts")
+    d = _discounts(_counts_of(counts, "n"))
+    gone = F.sum(_discount(d, "n"))
+    contexts = keep(counts.groupBy("u").agg(F.sum("n").alias("total"), (gone / F.sum("n")).alias("gamma")), "contexts")
+    words = keep(counts.groupBy("v").agg(F.count("*").alias("c"), F.sum("n").alias("m")), "words")
+    low = _discounts(_counts_of(words, "c"))
+    kinds, types, left = words.agg(F.count("*"), F.sum("c"), F.sum(_discount(low, "c"))).first()
+    # unknown words share what the known ones leave as one more word would
+    spread = left / types / (kinds + 1) if kinds else 1.0
+    lower = words.select("v", "m", ((F.col("c") - _discount(low, "c")) / (types or 1) + spread).alias("lower"))
+    seen = counts.join(contexts, "u").join(lower, "v").select(_paired().alias("k"), F.log1p((F.col("n") - _discount(d, "n")) / F.col("total") / F.col("gamma") / F.col("lower")).cast("float").alias("x"), "n")
+    known = lower.select("v", "m", F.log(F.col("lower") / spread).alias("lower")).join(contexts.select(F.col("u").alias("v"), "total", F.log("gamma").alias("gamma")), "v", "full")
+    inner = known.select(_mixed("v", _INNER).alias("k"), (F.coalesce("lower", F.lit(0.0)) + F.coalesce("gamma", F.lit(0.0))).cast("float").alias("x"), F.coalesce("total", "m").alias("n"))
+    last = lower.select(_mixed("v", _LAST).alias("k"), F.log(F.col("lower") / spread).cast("float").alias("x"), F.col("m").alias("n"))
+    return seen.unionByName(inner).unionByName(last), float(np.log(spread)), [counts, contexts, words]
+
+
 def train(docs: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[DataFrame, Model]:
-    """The count tables (shard, k, n) and the arrays."""
+    """The tables (shard, k, x, n) and what is broadcast."""
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = _flagged(docs, labels, held).mapInArrow(_count(shards), "shard int, k binary, n binary")
-    tables = keep(counted.groupBy("shard").applyInPandas(_merge, "shard int, k binary, n binary"), "counts")
+    made, unknown, behind = values(docs, labels, held)
+    small_batches(spark, 100_000)  # rows of three numbers
+    kinds = "shard int, k binary, x binary, n binary"
+    tables = keep(made.mapInArrow(_packed(shards), kinds).groupBy("shard").applyInPandas(_merge, kinds), "values")
+    for table in behind:
+        forget(table)
     small_batches(spark, 1)
-    kinds = "what string, r int, i binary, x binary"
-    rows = tables.mapInArrow(_summaries(shards), kinds).groupBy("what", "r").applyInPandas(_sum, kinds).collect()  # fixed size
+    rows = tables.mapInArrow(_summaries(shards), "what string, r int, i binary, x binary").collect()  # fixed size
     small_batches(spark)
-    return tables, Model([(r["what"], r["r"], bytes(r["i"]), bytes(r["x"])) for r in rows], shards)
+    return tables.select("shard", "k", "x"), Model([(r["what"], r["r"], bytes(r["i"]), bytes(r["x"])) for r in rows], shards, unknown)
 
 
 def scores(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
@@ -403,7 +385,7 @@ def scores(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
     tables, made = train(docs, labels, held)
     model = spark.sparkContext.broadcast(made)
     asked = docs.select("key", "text").mapInArrow(_ask(model), REQUEST)
-    answered = asked.groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(_answer(model), "flush long, own binary, gain binary")
+    answered = asked.groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(_answer, "flush long, own binary, gain binary")
     return answered.groupBy("flush").applyInPandas(_total, "key long, n_words long, nats double")
 
 

@@ -102,6 +102,45 @@ def test_perplexity(docs, nothing, spark):
     assert {r.keep for r in untrained if r.n_words} == {True}
 
 
+@pytest.mark.parametrize("head", [1 << 20, 0])
+def test_perplexity_equals_brute_force(spark, monkeypatch, head):
+    """More different words than 2**20 symbols keep apart (some hundreds would share one), with all keys and with none in the cache."""
+    import math
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(perplexity, "HEAD", head)
+    rng = random.Random(6)
+    texts = [(i, " ".join([f"w{rng.randrange(40_000)}" for _ in range(300)] + [f"c{int(rng.expovariate(0.1))}" for _ in range(60)])) for i in range(160)] + [(900, "unheard of"), (901, "c1"), (902, "c1 c2 never c3")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    held = {r.doc_id for r in perplexity.held_out(docs, labels).collect()}
+    pairs = lambda t: list(zip([None, *t.split()], t.split()))  # noqa: E731, B905
+    n = Counter(p for i, t in texts if i < 120 and i not in held for p in pairs(t))
+    follow, total, c = defaultdict(list), Counter(), Counter()
+    for (u, v), k in n.items():
+        follow[u].append(k)
+        total[u] += k
+        c[v] += 1
+
+    def discounts(counts):
+        y = Counter(counts)
+        a = y[1] / (y[1] + 2 * y[2])
+        return [0, *(min(max(j - (j + 1) * a * y[j + 1] / y[j] if y[j] else j / 2, 0.05), j - 0.05) for j in (1, 2, 3))]
+
+    d, low = discounts(n.values()), discounts(c.values())
+    left = sum(low[min(x, 3)] for x in c.values()) / len(n) / (len(c) + 1)
+
+    def p(u, v):
+        lower = (c[v] - low[min(c[v], 3)]) / len(n) + left
+        gamma = sum(d[min(k, 3)] for k in follow[u]) / total[u] if total[u] else 1
+        return ((n[u, v] - d[min(n[u, v], 3)]) / total[u] if n[u, v] else 0) + gamma * lower
+
+    assert abs(sum(p("c1", v) for v in c) + p("c1", "?") - 1) < 1e-9
+    for r in perplexity.classify(docs, labels).collect():
+        own = [math.log(p(u, v)) for u, v in pairs(dict(texts)[r.doc_id])]
+        assert abs(math.log(r.perplexity) + sum(own) / len(own)) < 1e-4
+
+
 def test_perplexity_thresholds_of_rare_languages(spark):
     """Every language with trusted documents is judged by its own held-out ones, however few; others by all."""
     rng = random.Random(4)
