@@ -4,9 +4,11 @@
 2. For each host the streams are aligned one after the other with the wrapper so far. What stands in one of them only becomes optional
    (...)?, repeated groups are aligned with each other, texts become slots #. Alignment runs in salted parts of a host first, then over
    the parts' wrappers, so one large host is no single task.
-3. Of every slot the wrapper knows the path of elements above it. Slots within an article (or else main) element are its content, or, on
-   pages without one, all slots whose text differs between the host's pages; menus, headers, footers, sidebars, notices, adverts, forms,
-   comments and the like never are. The host's slots are joined with its pages, and the text of content slots is taken block by block.
+3. Every stream is matched against its host's wrapper, so each text of a page fills one slot of it. Of each slot the host's pages tell
+   whether its text is constant or varies. Slots within an article (or else main) element are content, or, on pages without one, all
+   slots; not those whose text is constant over different pages, nor those in menus, headers, footers, adverts, comments and the like.
+   Words of classes that also name content (SOFT) give way where the slot's text varies and is prose.
+4. The host's decisions are joined with its pages, and the text of content slots is taken block by block.
 
 Edge cases: null or empty html gives empty text; broken or cut markup is read as far as it goes; a page with null url belongs to host '';
 very long pages are processed whole; repeated rows give equal results; empty tables give no rows; other columns are not read.
@@ -19,11 +21,12 @@ import hashlib
 import html as entities
 import json
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import keep, small_batches
 from .urls import host
 
 SALTS = 16
@@ -46,6 +49,10 @@ HINTS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments reply "
     "replies respond disqus discussion widget widgets login signup register search toolbar pagination pager copyright legal disclaimer skip".split()
 )
+#: Of these, words that also stand at content.
+SOFT = frozenset("alert banner copyright disclaimer discussion legal notice notices overlay reply register related search share sharing side skip social widget widgets".split())
+#: Mean characters of a varying slot that count as prose.
+PROSE = 80
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
@@ -64,13 +71,13 @@ def _sign(tag: str, rest: str | None) -> str:
     return tag + "".join(sorted(set(words)))
 
 
-def boilerplate(sign: str) -> bool:
+def boilerplate(sign: str, hints: frozenset = HINTS) -> bool:
     tag, *words = re.split(r"(?=[.@])", sign)
     if tag in NEVER:
         return True
     if tag in ("html", "body", "article", "main"):
         return any(w[0] == "." and w[1:] in ("comment", "comments", "reply", "ad", "advert", "related") for w in words) if tag == "article" else False
-    return any(w[1:] in (HINTS if w[0] == "." else ROLES) for w in words)
+    return any(w[1:] in (hints if w[0] == "." else ROLES) for w in words)
 
 
 def read(page: str):
@@ -123,21 +130,31 @@ def slots(page: str):
             del stack[at:], tags[at:]
 
 
-def fold(tokens: list) -> list:
-    """Repeated neighbours become ['+', group]."""
+def _folded(tokens: list, at: list) -> tuple[list, list]:
+    """Repeated neighbours become ['+', group]. `at` has for each token, and so for each group, what its leaves stand for."""
     for p in range(1, PERIOD + 1):
-        out, i = [], 0
+        out, to, i = [], [], 0
         while i < len(tokens):
             if i + 2 * p <= len(tokens) and tokens[i] == tokens[i + p] and tokens[i : i + p] == tokens[i + p : i + 2 * p]:
-                group, i = tokens[i : i + p], i + 2 * p
+                group, leaves = tokens[i : i + p], [list(x) for y in at[i : i + p] for x in y]
+                i += p
                 while tokens[i : i + p] == group:
+                    for own, x in zip(leaves, (x for y in at[i : i + p] for x in y), strict=True):
+                        own += x
                     i += p
                 out.append(group[0] if p == 1 and group[0][0] == "+" else ["+", group])
+                to.append(leaves)
             else:
                 out.append(tokens[i])
+                to.append(at[i])
                 i += 1
-        tokens = out
-    return tokens
+        tokens, at = out, to
+    return tokens, at
+
+
+def fold(tokens: list) -> list:
+    """Repeated neighbours become ['+', group]."""
+    return _folded(tokens, [[[]] for _ in tokens])[0]
 
 
 def _core(node):
@@ -167,8 +184,43 @@ def align(a: list, b: list) -> list:
     return out
 
 
+def located(found: list) -> tuple[list, list[list[int]]]:
+    """The stream of a page's slots(), and for each of its leaves the numbers of the texts there."""
+    kept = [(i, path, x) for i, (path, x, _) in enumerate(found) if path is None or x.strip()]
+    tree, at = _folded([f"#{path}" if path is not None else x for _, path, x in kept], [[[i]] for i, _, _ in kept])
+    return tree, [x for y in at for x in y]
+
+
 def stream(page: str) -> list:
-    return fold([f"#{path}" if path is not None else x for path, x, _ in slots(page) if path is None or x.strip()])
+    return located(list(slots(page)))[0]
+
+
+def _width(node) -> int:
+    node = _core(node)
+    return 1 if isinstance(node, str) else sum(map(_width, node[1]))
+
+
+def match(stream: list, wrapper: list) -> list[int]:
+    """For each leaf of a stream the leaf of the wrapper that it fills; -1 where the wrapper has none."""
+    starts = [0]
+    for x in wrapper:
+        starts.append(starts[-1] + _width(x))
+    own = [_core(x) for x in stream]
+    to: dict[int, int] = {}
+    if len(own) == len(wrapper):
+        to = {j: j for j, (x, y) in enumerate(zip(own, wrapper, strict=True)) if _shape(x) == _shape(y)}
+    if len(to) < len(own):
+        blocks = difflib.SequenceMatcher(None, [_shape(x) for x in wrapper], [_shape(x) for x in own], autojunk=False).get_matching_blocks()
+        to = {k + d: i + d for i, k, n in blocks for d in range(n)}
+    out: list[int] = []
+    for j, x in enumerate(own):
+        if j not in to:
+            out += [-1] * _width(x)
+        elif isinstance(x, str):
+            out.append(starts[to[j]])
+        else:
+            out += [p if p < 0 else p + starts[to[j]] for p in match(x[1], _core(wrapper[to[j]])[1])]
+    return out
 
 
 def regex(wrapper: list) -> str:
@@ -190,25 +242,65 @@ def _leaves(wrapper: list):
             yield from _leaves(x[1])
 
 
-def region(path: str) -> str:
+def region(path: str, hints: frozenset = HINTS) -> str:
     """'article', 'main', 'open' or 'never'."""
     signs = path.split("/") if path else []
     inside = ""
     for s in signs:
         tag = re.split("[.@]", s, maxsplit=1)[0]
-        if boilerplate(s) or (tag == "header" and not inside):
+        if boilerplate(s, hints) or (tag == "header" and not inside):
             return "never"
         if tag == "article" or (tag == "main" or "@main" in s) and not inside:
             inside = "article" if tag == "article" else "main"
     return inside or "open"
 
 
+def _dump(x) -> str:
+    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _voice(text: str) -> int:
+    """The least hash of the text's word pairs: mostly the same for near copies."""
+    words = text.split()
+    return min((zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:])), default=zlib.crc32(text.encode("utf-8", "surrogatepass")))  # noqa: B905
+
+
 def _streams(batches):
+    """(host, wrapper: the page's stream, its digest, and for those leaves that are to be judged: leaf, digest and length of its text, who says it)."""
     import pyarrow as pa
 
+    kinds = {"host": pa.string(), "wrapper": pa.string(), "sid": pa.int64(), "leaf": pa.list_(pa.int32()), "text": pa.list_(pa.int64()), "chars": pa.list_(pa.int64()), "who": pa.list_(pa.int64())}
     for b in batches:
-        pages = b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(stream(p or ""), ensure_ascii=False, separators=(",", ":")) for p in pages])], ["host", "wrapper"])
+        out = []
+        for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            found = list(slots(page or ""))
+            tree, at = located(found)
+            made = _dump(tree)
+            judged = {}
+            for leaf, (x, texts) in enumerate(zip(_leaves(tree), at, strict=True)):
+                if x[0] == "#" and region(x[1:], HINTS - SOFT) != "never":
+                    judged[leaf] = region(x[1:]), "\n".join(" ".join(found[i][1].split()) for i in texts)
+            whole = _digest(_dump([t for _, t in judged.values()]))
+            # within an article near copies count as one page too: whoever has the same longest text but for a few words
+            voice = _voice(max((t for r, t in judged.values() if r != "never"), key=len, default=""))
+            out.append((h, made, _digest(made), list(judged), [_digest(t) for _, t in judged.values()], [len(t) for _, t in judged.values()], [whole if r == "open" else voice for r, _ in judged.values()]))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
+STREAMS = "host string, wrapper string, sid long, leaf array<int>, text array<long>, chars array<long>, who array<long>"
+
+
+def _places(batches):
+    """(host, sid, for each leaf of the stream its place in the host's wrapper)."""
+    import pyarrow as pa
+
+    for b in batches:
+        at = [match(json.loads(x), json.loads(w)) for x, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32()))], ["host", "sid", "places"])
 
 
 def _infer(pdf):
@@ -217,53 +309,40 @@ def _infer(pdf):
     made: list | None = None
     for w in sorted(pdf["wrapper"], key=lambda w: (len(w), w)):
         made = json.loads(w) if made is None else align(made, json.loads(w))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(made or [], ensure_ascii=False, separators=(",", ":"))]})
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [_dump(made or [])]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON) for pages (host, html)."""
+    return _inferred(pages.mapInArrow(_streams, STREAMS))
+
+
+def _inferred(streams: DataFrame) -> DataFrame:
     kinds = "host string, wrapper string"
-    seen = pages.mapInArrow(_streams, kinds).distinct()
+    seen = streams.select("host", "wrapper").distinct()
     parts = seen.groupBy("host", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)).alias("salt")).applyInPandas(_infer, kinds)
     return parts.groupBy("host").applyInPandas(_infer, kinds)
 
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def _open_texts(batches):
-    """(host, path, digest of the text, digest of all such texts of the page) of slots on pages without article or main."""
-    import pyarrow as pa
-
-    for b in batches:
-        out = []
-        for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if not re.search(r"<(article|main)\b|role\s*=\s*[\"']?main", page or "", re.I):
-                by: dict[str, list[str]] = {}
-                for path, x, _ in slots(page or ""):
-                    if path is not None and x.strip() and region(path) == "open":
-                        by.setdefault(path, []).append(" ".join(x.split()))
-                whole = _digest(json.dumps(by))
-                out += [(h, p, _digest("\n".join(t)), whole) for p, t in by.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "path", "text", "page"])
-
-
-def content(wrapper: list) -> dict[str, str]:
-    """Of each slot's path in the wrapper: its region."""
-    return {x[1:]: region(x[1:]) for x in _leaves(wrapper) if x[0] == "#"}
-
-
-def text_of(page: str, regions: dict[str, str], own: set[str]) -> str:
-    """The blocks of the page's content slots, joined by one space."""
+def text_of(page: str, wrapper: list, own: set[int], prose: set[int], known: dict | None = None) -> str:
+    """The blocks of the page's content slots, joined by one space. own and prose: constant slots of the wrapper, and varying ones of prose."""
+    found = list(slots(page))
+    tree, at = located(found)
+    known = {} if known is None else known
+    made = _dump(tree)
+    if made not in known:
+        known[made] = match(tree, wrapper)
+    place = {i: p for p, texts in zip(known[made], at, strict=True) for i in texts}
     blocks: dict[str, list[tuple[int, str]]] = {"article": [], "main": [], "open": []}
-    for path, x, block in slots(page):
+    for i, (path, x, block) in enumerate(found):
         if path is None:
             continue
-        where = regions.get(path) or region(path)
-        if where != "never" and path not in own:
-            blocks[where].append((block, entities.unescape(x)))
-    said = blocks["article"] or blocks["main"] or blocks["open"]
+        p = place.get(i, -1)
+        where = region(path, HINTS - SOFT if p in prose else HINTS)
+        if where != "never":
+            blocks[where].append((block, entities.unescape(x) if p not in own else ""))
+    some = lambda said: any(x.strip() for _, x in said)
+    said = blocks["article"] if some(blocks["article"]) else blocks["main"] if some(blocks["main"]) else blocks["open"]
     out: list[str] = []
     for i, (block, x) in enumerate(said):
         if i and said[i - 1][0] == block:
@@ -276,15 +355,16 @@ def text_of(page: str, regions: dict[str, str], own: set[str]) -> str:
 def _extract(batches):
     import pyarrow as pa
 
-    known: dict[tuple, tuple] = {}
+    known: dict[str, tuple] = {}
     for b in batches:
         texts = []
-        for page, wrapper, own in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            key = (wrapper, tuple(own or ()))
-            if key not in known:
-                known.clear() if len(known) > 1000 else None
-                known[key] = content(json.loads(wrapper or "[]")), set(own or ())
-            texts.append(text_of(page or "", *known[key]))
+        for page, wrapper, own, prose in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+            if wrapper not in known:
+                known.clear() if len(known) > 200 else None
+                known[wrapper] = json.loads(wrapper or "[]"), {}
+            tree, matched = known[wrapper]
+            matched.clear() if len(matched) > 1000 else None
+            texts.append(text_of(page or "", tree, set(own or ()), set(prose or ()), matched))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -292,13 +372,18 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    inferred = wrappers(rows.select("host", "html"))
-    said = rows.select("host", "html").mapInArrow(_open_texts, "host string, path string, text long, page long").distinct()  # copies of a page count once
-    same = said.groupBy("host", "path").agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b"))
-    own = same.where((F.col("n") >= SAME) & (F.col("a") == F.col("b"))).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("own"))
-    known = inferred.join(own, "host", "left")
+    streams = keep(rows.select("host", "html").mapInArrow(_streams, STREAMS), "streams")
+    inferred = keep(_inferred(streams), "wrappers")
+    seen = streams.select("host", "sid", F.col("wrapper").alias("stream")).distinct()
+    places = seen.join(inferred, "host").select("host", "sid", "stream", "wrapper").mapInArrow(_places, "host string, sid long, places array<int>")
+    said = streams.where("size(leaf) > 0").drop("wrapper").distinct().join(places, ["host", "sid"]).select("host", "places", F.explode(F.arrays_zip("leaf", "text", "chars", "who")).alias("x"))
+    said = said.select("host", F.col("places")[F.col("x.leaf")].alias("place"), "x.text", "x.chars", "x.who").where("place >= 0").distinct()  # copies of a page count once
+    by = said.groupBy("host", "place").agg(F.count_distinct("who").alias("n"), F.count_distinct("text").alias("texts"), F.avg("chars").alias("chars"))
+    by = by.where(F.col("n") >= SAME).where((F.col("texts") == 1) | (F.col("texts") >= SAME) & (F.col("chars") >= PROSE))
+    chosen = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("place"))))
+    known = inferred.join(by.groupBy("host").agg(chosen(F.col("texts") == 1).alias("own"), chosen(F.col("texts") > 1).alias("prose")), "host", "left")
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper", "own").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper", "own", "prose").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -308,6 +308,28 @@ def test_html_copies_of_one_page(spark):
     assert got == {i: "all of this is what the page says" for i in (*range(5), *range(10, 14))} | {20 + i: f"page {i % 3}" for i in range(6)}
 
 
+def test_html_slots_of_the_wrapper_decide(spark):
+    """Template text within articles goes, by the slot that it fills; prose under a class word stays; near copies are no evidence."""
+    rng = random.Random(7)
+    prose = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    pages, want = [], {}
+    for i in range(12):
+        a, b, c = prose(40), prose(30), prose(5)
+        extra = f"<p>{c}</p>" if i % 3 == 0 else ""
+        pages.append((i, f"http://a.org/{i}", f'<article><p>Welcome to our site</p><h1>{a}</h1><p>{b}</p>{extra}<div class="legal">{c} {b}</div><div class="ad">{a}</div></article>'))
+        want[i] = " ".join(x for x in (a, b, c if extra else "", f"{c} {b}") if x)
+    words = prose(200).split()
+    for i in range(3):
+        near = " ".join([*words[:-1], f"end{i}"])
+        pages.append((20 + i, f"http://n.org/{i}", f"<article><p>{near}</p><h2>stays as it is</h2></article>"))
+        want[20 + i] = near + " stays as it is"
+    assert {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == want
+    wrapper = wrappers.align(wrappers.stream("<p>a</p><ul><li>x</li><li>y</li></ul>"), wrappers.stream("<p>a</p><div>b</div><ul><li>x<li>y<li>z</ul>"))
+    leaves = list(wrappers._leaves(wrapper))
+    tree = wrappers.stream("<p>a</p><ul><li>x</li><li>y</li></ul>")
+    assert [leaves[p] for p in wrappers.match(tree, wrapper)] == list(wrappers._leaves(tree))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
