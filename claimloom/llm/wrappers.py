@@ -17,6 +17,7 @@ very long pages are processed whole; repeated rows give equal results; empty tab
 from __future__ import annotations
 
 import difflib
+import functools
 import hashlib
 import html as entities
 import json
@@ -60,6 +61,7 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+@functools.lru_cache(1 << 14)
 def _sign(tag: str, rest: str | None) -> str:
     """An element with its class, id and role: 'div.ad'."""
     if not rest or "=" not in rest:
@@ -71,6 +73,11 @@ def _sign(tag: str, rest: str | None) -> str:
     return tag + "".join(sorted(set(words)))
 
 
+@functools.lru_cache(1 << 14)
+def _tag(sign: str) -> str:
+    return re.split("[.@]", sign, maxsplit=1)[0]
+
+
 def boilerplate(sign: str, hints: frozenset = HINTS) -> bool:
     tag, *words = re.split(r"(?=[.@])", sign)
     if tag in NEVER:
@@ -113,7 +120,7 @@ def slots(page: str):
         if kind == "#":
             yield "/".join(stack), x, block
             continue
-        tag = x if kind == ">" else re.split("[.@]", x, maxsplit=1)[0]
+        tag = x if kind == ">" else _tag(x)
         if tag in BLOCK:
             block += 1
         yield None, ("</" if kind == ">" else "<") + x, block
@@ -187,7 +194,14 @@ def align(a: list, b: list) -> list:
 def located(found: list) -> tuple[list, list[list[int]]]:
     """The stream of a page's slots(), and for each of its leaves the numbers of the texts there."""
     kept = [(i, path, x) for i, (path, x, _) in enumerate(found) if path is None or x.strip()]
-    tree, at = _folded([f"#{path}" if path is not None else x for _, path, x in kept], [[[i]] for i, _, _ in kept])
+    tree, at = _located(tuple(f"#{path}" if path is not None else x for _, path, x in kept))
+    return tree, [[kept[k][0] for k in x] for x in at]
+
+
+@functools.lru_cache(512)
+def _located(tokens: tuple) -> tuple[list, list[list[int]]]:
+    """Most pages of a host have one of a few streams, so the last ones are remembered."""
+    tree, at = _folded(list(tokens), [[[i]] for i in range(len(tokens))])
     return tree, [x for y in at for x in y]
 
 
@@ -242,6 +256,7 @@ def _leaves(wrapper: list):
             yield from _leaves(x[1])
 
 
+@functools.lru_cache(1 << 14)
 def region(path: str, hints: frozenset = HINTS) -> str:
     """'article', 'main', 'open' or 'never'."""
     signs = path.split("/") if path else []
@@ -265,8 +280,9 @@ def _digest(text: str) -> int:
 
 def _voice(text: str) -> int:
     """The least hash of the text's word pairs: mostly the same for near copies."""
-    words = text.split()
-    return min((zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(words, words[1:])), default=zlib.crc32(text.encode("utf-8", "surrogatepass")))  # noqa: B905
+    raw = text.encode("utf-8", "surrogatepass")
+    words = raw.split()
+    return min(map(zlib.crc32, words[1:], map(zlib.crc32, words)), default=zlib.crc32(raw))
 
 
 def _streams(batches):
