@@ -347,3 +347,20 @@ def test_pipeline(spark, tmp_path):
     assert not set(got) & set(range(400, 406)) and len(got) >= 390 and set(got) <= clean
     codec = bpe.Codec(*bpe._load(None, None))
     assert all(codec.decode_tree(np.frombuffer(ids, "<u4")).decode() == dict(texts)[i] for i, ids in got.items())
+
+
+def test_pipeline_near_duplicates_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    prose = lambda: " ".join(f"v{rng.randint(0, 10**6)}" for _ in range(60))
+    a, b, c, d, e = (prose() for _ in range(5))
+    # id 1 has a near copy of 2's text and one text of its own; 3 has two different texts; copies without an id; equal rows
+    texts = [(0, b + " x"), (1, b), (1, a), (3, c), (3, d), (None, e), (None, e + " y"), (None, a + " z"), (4, ""), (5, None), (3, c), (6, prose())]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in texts], schema)
+    got = [(r.doc_id, r.text) for r in C.near_duplicates(spark, docs, "").collect()]
+    e_left = [t for i, t in got if i is None]
+    assert len(e_left) == 1 and e_left[0] in (e, e + " y")
+    order = lambda x: (x[0], x[1] or "")
+    assert sorted((x for x in got if x[0] is not None), key=order) == sorted([(0, b + " x"), (1, a), (3, c), (3, d), (4, ""), (5, None), texts[-1]], key=order)
