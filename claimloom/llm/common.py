@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 
@@ -15,36 +15,59 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a folder of our own, which only a local master can share."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="claimloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """One size for every operator whose result is still to be computed when it returns: the same for all, so their order doesn't matter."""
+    spark.conf.set(_SIZE, str(BATCH_ROWS))
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors."""
+_SIZE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Shuffle files of an execution go when it ends, since keep() reads each result once.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings for what runs inside; the caller's come back afterwards."""
+    named = {{"batch": _SIZE, "clean": _CLEAN}[k]: v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def keep(df: DataFrame, name: str, batch: int = BATCH_ROWS) -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts the lineage and survives lost executors. batch: rows in an Arrow batch."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, batch=str(batch), clean="true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_path = path
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark delete the shuffle files of earlier passes, which nothing refers to any more
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table that keep() wrote, once nothing reads it any more."""
-    path = getattr(df, "_kept_path", None)
-    if path:
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that keep() wrote, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_kept_path", None)
+        if not path:
+            continue
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)

@@ -2,7 +2,8 @@
 
 Every step keeps the edges distributed and hangs neighbours on the least node around; it ends when a round changes nothing. Rounds grow
 with the logarithm of the component size. The minimum of a node's neighbours is aggregated before the shuffle, and the joins are plain
-equi-joins, so a node with very many neighbours is split by skew handling. Each round is checkpointed in the shared folder.
+equi-joins, so a node with very many neighbours is split by skew handling. Each round is written to the shared
+folder and the one before deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import forget, keep
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,12 +29,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component: the least node reachable. Only nodes with an edge to another node appear; nulls have no edges."""
-    shared_dir(edges.sparkSession)
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct().checkpoint()
+    now = keep(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "edges")
     mark = None
     while True:
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if new["n"] == 0 or new == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        mark = new
-        now = _star(_star(now, True), False).checkpoint()
+        mark, last = new, now
+        now = keep(_star(_star(now, True), False), "edges")
+        forget(last)

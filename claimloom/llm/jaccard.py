@@ -1,21 +1,21 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their components.
 
 Multiple-global-order filtering. Under any one order of all shingles, two sets that are similar enough share a shingle among the first
-n - ceil(0.8 n) + 1 of each (n: the set's size). Three orders are used. Each puts the shingles known to be frequent last, by frequency,
-and the rest by a hash of its own; which shingles count as frequent only moves work, it never changes a result. The first order makes the
-candidates (equal prefix shingle, sizes in reach); a candidate must then share a prefix shingle in the second and third order too, and
-what is left is verified on the whole sets.
-
-Only components are asked for, so no link between texts that are already known to be connected is made again, and no group is expanded
-into all its pairs:
-
-1. Within a partition texts with equal sets are tied to one of them, which stands for all.
-2. Every document is compared with the least document that shares a prefix shingle with it (a star for each shingle, linear in the
-   number of prefix shingles). Verified links are contracted to components.
-3. For every prefix shingle whose documents still lie in several components, each of these is compared with one document of the first and
-   of the last of them (two more stars), and links are contracted again.
-4. What then lies in several components is compared across components, all of it, except for pairs that share too few prefix shingles to
-   be similar. So every candidate pair has been verified or lies within one component, and the components are exact.
+n - ceil(0.8 n) + 1 of each (n: the set's size). Three global orders are used; all begin with the rarest shingles, the first by the exact count,
+the others by its magnitude with hashes of their own between. Candidates share a prefix shingle under the first order; they must share enough
+of them under each of the three; what all filters leave is verified on the whole sets.
+
+1. Counting. Every text's shingles are counted by a sharded join: a task gathers blocks of documents, sends each shard the shingles that it owns
+   (one that several documents of the block have only once, with its count) and gets back those that occur anywhere else, with their counts.
+   A shingle that only one set has can make no link, so all that follows works on the shared ones: a set is its size and its shared shingles.
+   Texts are read once and never shuffled.
+2. Equal sets are tied to one of them, which stands for all: within a task at once, over tasks by a digest of the set.
+3. Only components are asked for, so no link between sets that are known to be connected is made again, and no group is expanded into all its
+   pairs: every set is compared with the set that has the largest share of shared shingles among those of its prefix shingles' (a hub: the
+   original of a group of near copies), links are contracted to components, then once more with all hubs of prefix shingles whose sets still lie
+   in several components.
+4. What then shares a prefix shingle across components is compared pair by pair. So every candidate pair has been verified or lies within one
+   component, and the components are exact.
 
 Edge cases: null or empty text, or text without words, has an empty set and no links; with fewer than five words the whole sequence is the
 only shingle; rows with equal doc_id count as one node of the graph, each with its own set size; a null doc_id is returned with itself
@@ -28,17 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, pick, shared_dir, small_batches
+from .common import forget, keep, shared_dir
 from .graph import components
-from .words import SPACED, Lookup64, inner, mix, text_words, windows
+from .packing import BLOCK_DOCS, block_keys, cuts, pack, shards_for, squeeze, unpack, widen
+from .words import SPACED, inner, mix, text_words, windows
 
 WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NEAR, OF = 4, 5
-#: The most frequent shingles that the orders put last; bounds what is collected and broadcast (16 bytes each).
-FREQUENT = 1 << 18
-#: A shingle counts as frequent if so many of the texts in a sample (one in SAMPLE, by a hash of the text) have it.
-OFTEN, SAMPLE = 2, 16
 
 
 def shingle_sets(column) -> list[np.ndarray]:
@@ -63,153 +60,227 @@ def prefix_size(n: int) -> int:
     return n - -(-NEAR * n // OF) + 1 if n else 0
 
 
-class Orders:
-    """Global orders of shingles: infrequent before frequent, then by frequency, then by a hash of the order's own."""
-
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        by = np.argsort(tokens)
-        self.lookup, self.counts = Lookup64(tokens[by]), counts[by]
-
-    def prefix(self, s: np.ndarray, order: int) -> np.ndarray:
-        p = prefix_size(len(s))
-        own = s if order == 0 else mix(s, 40 + order)
-        at, i = self.lookup.hits(s)
-        if not len(at):
-            return s[:p] if order == 0 else s[np.argpartition(own, p - 1)[:p]] if p else s
-        rank = np.zeros(len(s), np.int64)
-        rank[at] = self.counts[i]
-        return s[np.lexsort((own, rank))[:p]]
-
-
-def _sampled(batches):
-    """Shingles of some texts, with the number of different texts of the batch that have each."""
-    import pyarrow as pa
+def _digest(s: np.ndarray) -> bytes:
+    with np.errstate(over="ignore"):
+        return np.asarray([s.sum(), mix(s, 3).sum()], np.uint64).tobytes()
 
-    seen: set[bytes] = set()
-    for b in batches:
-        sets = []
-        for s in shingle_sets(b.column(0)):
-            key = _digest(s)
-            if len(s) and key not in seen:
-                seen.add(key)
-                sets.append(s)
-        if sets:
-            t, n = np.unique(np.concatenate(sets), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n.astype(np.int64))], ["t", "n"])
 
+_CELL = "block long, shard int, own binary, cell binary"
 
-def _digest(s: np.ndarray) -> bytes:
-    with np.errstate(over="ignore"):
-        return np.asarray([s.sum(), mix(s, 3).sum(), len(s)], np.uint64).tobytes()
 
+def _asked(shards: int):
+    """Rows (doc_id, text) to cells of shingles by block and shard, and for each block one cell of its own, which passes through a shard."""
+    full = block_keys(shards)
 
-def _prefixes(orders: Orders):
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, seq, size = TaskContext.get().partitionId(), 0, 0
+        stands: dict[bytes, int] = {}
+        rows: list[tuple] = []  # id, set size, the id that stands for it, digest, whether it is the one that stands
+        sets: list[np.ndarray] = []
+        of: list[int] = []
+
+        def send():
+            nonlocal seq, size
+            block = (part << 32) | seq
+            t = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            doc = np.repeat(np.array(of, np.uint16), [len(s) for s in sets]) if sets else np.empty(0, np.uint16)
+            by = np.argsort(t)
+            t, doc = t[by], doc[by]
+            at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, np.int64)
+            n = np.diff(np.append(at, len(t)))
+            one, some = at[n == 1], at[n > 1]
+            single, several, count = t[one], t[some], n[n > 1].astype(np.uint32)
+            c1, c2 = cuts(single, shards), cuts(several, shards)
+            out = [(block, s, None, pack(c1[s + 1] - c1[s], *squeeze(single[c1[s] : c1[s + 1]]), doc[one][c1[s] : c1[s + 1]], several[c2[s] : c2[s + 1]], count[c2[s] : c2[s + 1]])) for s in range(shards) if c1[s] < c1[s + 1] or c2[s] < c2[s + 1]]
+            inside = np.repeat(n > 1, n)
+            out.append((block, block % shards, pack(list(rows), several, count, doc[inside]), None))
+            seq, size = seq + 1, 0
+            rows.clear()
+            sets.clear()
+            of.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "shard", "own", "cell"])
 
-        first: dict[bytes, int] = {}
         for b in batches:
-            ids, n, stands, prefix = b.column(0).to_pylist(), [], [], []
-            for i, s in zip(ids, shingle_sets(b.column(1)), strict=True):
-                n.append(len(s))
-                one = None if i is None or not len(s) else first.setdefault(_digest(s), i)
-                stands.append(one)
-                prefix.append(orders.prefix(s, 0).view(np.int64) if one is not None and one == i else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(stands, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "stands", "prefix"])
+            for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1)), strict=True):
+                key = _digest(s)
+                first = i is not None and len(s) > 0 and key not in stands
+                one = None if i is None or not len(s) else stands.setdefault(key, i)
+                if first:
+                    of.append(len(rows))
+                    sets.append(s)
+                    size += len(s)
+                rows.append((i, len(s), one, key, first))
+                if size >= full or len(rows) >= BLOCK_DOCS:
+                    yield send()
+        if rows:
+            yield send()
 
     return run
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) * OF < max(len(a), len(b)) * NEAR:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * OF >= (len(a) + len(b) - both) * NEAR
+def _answered(pdf):
+    """A shard's cells: for each block the shingles that occur more than once in all, with their counts. Blocks' own cells are passed on."""
+    import pandas as pd
+
+    cells = [(block, unpack(c)) for block, c in zip(pdf["block"], pdf["cell"], strict=True) if c is not None]
+    out = [(block, own, None) for block, own in zip(pdf["block"], pdf["own"], strict=True) if own is not None]
+    shard = int(pdf["shard"].iloc[0])
+    if cells:
+        singles = [widen(first, width, data, n) for _, (n, first, width, data, *_) in cells]
+        keys = np.concatenate([*singles, *(c[5] for _, c in cells)])
+        weight = np.concatenate([np.ones(sum(map(len, singles)), np.int64), *(c[6] for _, c in cells)])
+        by = np.argsort(keys)
+        keys, weight = keys[by], weight[by]
+        run = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
+        total = np.empty(len(by), np.int64)
+        total[by] = np.bincount(run, weight).astype(np.int64)[run]
+        at, end = 0, sum(map(len, singles))
+        for (block, c), t in zip(cells, singles, strict=True):
+            n = total[at : at + len(t)]
+            again = n > 1
+            several = total[end : end + len(c[5])]
+            at, end = at + len(t), end + len(c[5])
+            if again.any() or len(several):
+                t = t[again]
+                out.append((block, None, pack(shard, len(t), *squeeze(t), c[4][again], n[again].astype(np.uint32), several.astype(np.uint32))))
+    return pd.DataFrame(out, columns=["block", "own", "found"])
+
+
+_SET = "doc_id long, n long, stands long, d1 long, d2 long, t array<long>, c array<long>"
+
+
+def _collected(pdf):
+    """A block's own cell and its answers: each document's shared shingles, sorted, and their counts (null where another one stands for it)."""
+    import pandas as pd
+
+    rows, several, times, inside = unpack(next(x for x in pdf["own"] if x is not None))
+    found = sorted((unpack(x) for x in pdf["found"] if x is not None), key=lambda x: x[0])
+    t = [widen(first, width, data, n) for _, n, first, width, data, *_ in found]
+    doc, count = [x[5] for x in found], [x[6] for x in found]
+    if len(several):
+        local = np.concatenate([x[7] for x in found])  # in the order of shards, which is that of the shingles
+        t, doc, count = [*t, np.repeat(several, times)], [*doc, inside], [*count, np.repeat(local, times)]
+    t, doc, count = (np.concatenate(x) if x else np.empty(0, k) for x, k in ((t, np.uint64), (doc, np.uint16), (count, np.uint32)))
+    by = np.lexsort((t, doc))
+    t, doc, count = t[by].view(np.int64), doc[by], count[by].astype(np.int64)
+    cut = np.searchsorted(doc, np.arange(len(rows) + 1))
+    d = np.frombuffer(b"".join(r[3] for r in rows), np.int64).reshape(-1, 2)
+    return pd.DataFrame(
+        {
+            "doc_id": pd.array([r[0] for r in rows], "Int64"), "n": [r[1] for r in rows], "stands": pd.array([r[2] for r in rows], "Int64"), "d1": d[:, 0], "d2": d[:, 1],
+            "t": [t[cut[i] : cut[i + 1]] if r[4] else None for i, r in enumerate(rows)], "c": [count[cut[i] : cut[i + 1]] if r[4] else None for i, r in enumerate(rows)],
+        }
+    )
+
+
+def _ordered(batches):
+    """Rows (doc_id, n, d1, d2, t, c): the shared shingles in the prefix under each order, for the sets that have any."""
+    import pyarrow as pa
 
+    for b in batches:
+        ids, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
+        shingles, counts = (x.flatten().to_numpy(zero_copy_only=False) for x in (b.column(4), b.column(5)))
+        lengths = np.diff(np.concatenate([[0], np.cumsum([len(x) if x is not None else 0 for x in b.column(4)])]))
+        out, end = [], 0
+        for i, (n, k) in enumerate(zip(sizes, lengths, strict=True)):
+            t, c = shingles[end : end + k], counts[end : end + k]
+            end += k
+            take = prefix_size(n) - (n - k)  # the n - k unshared ones come first under every order
+            if take > 0 and k:
+                u, big = t.view(np.uint64), np.frexp(c.astype(np.float64))[1]
+                orders = (np.lexsort((u, c)), np.lexsort((mix(u, 41), big)), np.lexsort((mix(u, 42), big)))
+                out.append((i, int(k), *(t[o[:take]] for o in orders)))
+        pick = [r[0] for r in out]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[i] for i in pick], pa.int64()) for x in (ids, sizes, b.column(2).to_pylist(), b.column(3).to_pylist())] + [pa.array([r[1] for r in out], pa.int64())] + [pa.array([r[j] for r in out], pa.list_(pa.int64())) for j in (2, 3, 4)],
+            ["doc_id", "n", "d1", "d2", "k", "p1", "p2", "p3"],
+        )
+
+
+def shared_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n (set size), stands (the id of an equal set that stands for it within a task), a digest, t and c: shared shingles and their counts."""
+    spark = docs.sparkSession
+    shards = shards_for(docs)
+    asked = docs.mapInArrow(_asked(shards), _CELL)
+    answered = asked.groupBy("shard").applyInPandas(_answered, "block long, own binary, found binary")
+    return keep(answered.groupBy("block").applyInPandas(_collected, _SET), "sets")
 
-def _verify(orders: Orders):
-    """Rows (a, b, text of a, text of b): those that share prefix shingles in the further orders and are similar."""
 
-    def run(batches):
-        import pyarrow as pa
+def _reach(nx: str, ny: str) -> str:
+    return f"least({nx}, {ny}) * {OF} >= greatest({nx}, {ny}) * {NEAR}"
 
-        for b in batches:
-            both = []
-            for c in (2, 3):
-                texts = b.column(c).dictionary_encode()
-                both.append((shingle_sets(texts.dictionary), texts.indices.to_pylist()))
-            (sa, ia), (sb, ib) = both
-            heads: dict[tuple, np.ndarray] = {}
-
-            def head(side: int, i: int, order: int, sets: list, heads=heads):
-                if (side, i, order) not in heads:
-                    heads[side, i, order] = np.sort(orders.prefix(sets[i], order))
-                return heads[side, i, order]
-
-            ok = [
-                i is not None and j is not None
-                and all(len(np.intersect1d(head(0, i, k, sa), head(1, j, k, sb), assume_unique=True)) for k in (1, 2))
-                and similar(sa[i], sb[j])
-                for i, j in zip(ia, ib, strict=True)
-            ]
-            keep_it = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep_it), b.column(1).filter(keep_it)], ["a", "b"])
 
-    return run
+def _enough(nx: str, ny: str, both: str) -> str:
+    """Whether an intersection of that size is large enough."""
+    return f"{NEAR + OF} * ({both}) >= {NEAR} * ({nx} + {ny})"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, orders, name: str) -> DataFrame:
-    """The links among candidate pairs (a < b)."""
-    pairs = keep(pairs, name)
-    some = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = pick(docs.where("doc_id is not null"), some, "doc_id", "left_semi", name + "-ids")
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    full = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return full.mapInArrow(lambda batches: _verify(orders.value)(batches), "a long, b long")
+def _verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """The links among candidate pairs (a, b): those that pass the three orders' filters, and of these the similar ones."""
+    h = {s: heads.select(F.col("doc_id").alias(s), *(F.col(c).alias(c + s) for c in ("n", "p1", "p2", "p3"))) for s in "ab"}
+    # what two sets share up to the lesser of their prefixes' ends is in both prefixes; beyond it lie at most as many as the greater has left
+    rest = f"ceil({NEAR} * greatest(na, nb) / {OF}) - 1"
+    filtered = pairs.join(h["b"], "b").join(h["a"], "a").where(_reach("na", "nb"))
+    for k in (1, 2, 3):
+        both = f"size(array_intersect(p{k}a, p{k}b))"
+        filtered = filtered.where(f"{both} > 0 and {_enough('na', 'nb', f'{both} + {rest}')}")
+    filtered = keep(filtered.select("a", "b").distinct(), name + "-filtered")
+    s = {x: sets.where("t is not null").select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("t").alias("t" + x)) for x in "ab"}
+    links = filtered.join(s["b"], "b").join(s["a"], "a").where(_enough("na", "nb", "size(array_intersect(ta, tb))"))
+    links = keep(links.select("a", "b").distinct(), name)
+    forget(filtered)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    shared_dir(spark)
-    small_batches(spark)
+    shared_dir(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")  # decides the order of shingles only
-    often = sample.mapInArrow(_sampled, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "t").limit(FREQUENT).toPandas()
-    orders = spark.sparkContext.broadcast(Orders(often["t"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
-    own = keep(docs.mapInArrow(lambda batches: _prefixes(orders.value)(batches), "doc_id long, n long, stands long, prefix array<long>"), "prefixes")
-
-    posted = own.where("prefix is not null").select(F.explode("prefix").alias("t"), "doc_id", "n")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("t")
-    shared = posted.select("t", "doc_id", "n", F.min("doc_id").over(w).alias("least"), F.max("doc_id").over(w).alias("most"), F.min(F.struct("doc_id", "n")).over(w)["n"].alias("least_n"))
-    shared = keep(shared.where("least < most"), "postings")
-    reach = lambda x, y: f"least({x}, {y}) * {OF} >= greatest({x}, {y}) * {NEAR}"
-    stars = shared.where("doc_id <> least").where(reach("n", "least_n")).select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = own.where("stands <> doc_id").select(F.col("stands").alias("a"), F.col("doc_id").alias("b"))
-    links = keep(links.unionByName(_verified(stars, docs, orders, "stars")), "links")
+    sets = shared_sets(docs)
+    key = ["d1", "d2", "n"]
+    equal = keep(sets.where("stands is not null").groupBy(*key).agg(F.min("stands").alias("one"), F.count_distinct("stands").alias("tasks")).where("tasks > 1").drop("tasks"), "equal")
+    tied = keep(sets.where("t is not null").select("doc_id", *key).join(equal, key).where("doc_id <> one"), "tied")
+    links = sets.where("doc_id <> stands").select(F.col("stands").alias("a"), F.col("doc_id").alias("b")).unionByName(tied.select(F.col("one").alias("a"), F.col("doc_id").alias("b")))
+    heads = sets.where("t is not null").select("doc_id", "n", "d1", "d2", "t", "c").mapInArrow(_ordered, "doc_id long, n long, d1 long, d2 long, k long, p1 array<long>, p2 array<long>, p3 array<long>")
+    heads = keep(heads.join(tied.select("doc_id", *key), ["doc_id", *key], "left_anti").drop("d1", "d2"), "heads")
+    # of a set: its place in the order of hubs (by the share of shared shingles); of a shingle: how many of the set's shared ones come before it
+    rank = F.struct(F.round(1 - F.col("k") / F.col("n"), 6).alias("alone"), "doc_id")
+    posted = heads.select("doc_id", "n", "k", rank.alias("rank"), F.posexplode("p1").alias("before", "t"))
+    hubs = keep(posted.groupBy("t").agg(F.min(F.struct("rank", "n", "k", "before")).alias("h"), F.count("*").alias("sets")).where("sets > 1").select("t", "h.*"), "hubs")
+    hub = hubs.select("t", F.col("rank.doc_id").alias("hub"), F.col("rank").alias("hub_rank"), F.col("n").alias("hn"), F.col("k").alias("hk"), F.col("before").alias("hbefore"))
+    # if nothing before a shared shingle is shared, two sets share at most what the lesser of them has from there on
+    fits = lambda x, y: f"{_reach('n' + x, 'n' + y)} and {_enough('n' + x, 'n' + y, f'least(k{x} - before{x}, k{y} - before{y})')}"
+    near = posted.drop("rank").join(hub, "t").where("doc_id <> hub").withColumnsRenamed({"hn": "nh", "hk": "kh", "hbefore": "beforeh"}).where(fits("", "h"))
+    best = keep(near.groupBy("doc_id").agg(F.min("hub_rank").alias("r")).select(F.col("r.doc_id").alias("a"), F.col("doc_id").alias("b")), "best")
+    nearest = _verified(best, heads, sets, "nearest")
+    links = keep(links.unionByName(nearest), "links")
     group = keep(components(links, "a", "b"), "components")
 
-    def labelled(group: DataFrame) -> DataFrame:
-        """Prefix shingles whose documents lie in several components, and these documents."""
-        known = shared.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("t", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-        ends = known.groupBy("t").agg(F.min(F.struct("c", "doc_id", "n")).alias("x"), F.max(F.struct("c", "doc_id", "n")).alias("y")).where("x.c < y.c")
-        return known.join(ends, "t")
+    def lying(rows: DataFrame, group: DataFrame) -> DataFrame:
+        return rows.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
 
-    open_ = keep(labelled(group), "open")
-    ends = [open_.where(f"c <> {e}.c").where(reach("n", f"{e}.n")).select(F.least("doc_id", f"{e}.doc_id").alias("a"), F.greatest("doc_id", f"{e}.doc_id").alias("b")) for e in "xy"]
-    links = links.unionByName(keep(_verified(ends[0].unionByName(ends[1]).distinct(), docs, orders, "ends"), "links"))
+    apart = lying(near.select("doc_id", "hub").distinct(), group).join(group.select(F.col("node").alias("hub"), F.col("component").alias("hc")), "hub", "left").where("c <> coalesce(hc, hub)")
+    apart = keep(apart.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).join(best, ["a", "b"], "left_anti"), "apart")
+    further = _verified(apart, heads, sets, "further")
+    forget(group)
+    links = links.unionByName(further)
     group = keep(components(links, "a", "b"), "components")
 
-    open_ = keep(labelled(group).select("t", "doc_id", "n", "c"), "open")
-    x, y = (open_.select("t", *(F.col(c).alias(c + s) for c in ("doc_id", "n", "c"))) for s in "xy")
-    across = x.join(y, "t").where("doc_idx < doc_idy and cx <> cy").where(reach("nx", "ny")).groupBy("doc_idx", "doc_idy", "nx", "ny").agg(F.count("*").alias("shared"))
-    # all that two sets share up to the lesser of their prefixes' ends is in both prefixes, so so many prefix shingles must be shared
-    enough = f"9 * shared >= {NEAR} * (nx + ny) - 9 * (ceil({NEAR} * greatest(nx, ny) / {OF}) - 1)"
-    more = keep(_verified(across.where(enough).select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b")), docs, orders, "across"), "more")
-    final = group if more.isEmpty() else components(links.unionByName(more), "a", "b")
-    return own.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    known = lying(posted.select("t", "doc_id", "n", "k", "before"), group)
+    several = keep(known.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t"), "several")
+    open_ = keep(known.join(several, "t"), "open")
+    x, y = (open_.select("t", *(F.col(c).alias(c + s) for c in ("doc_id", "n", "k", "before", "c"))) for s in "xy")
+    across = x.join(y, "t").where("doc_idx < doc_idy and cx <> cy").where(fits("x", "y"))
+    across = keep(across.select(F.col("doc_idx").alias("a"), F.col("doc_idy").alias("b")).distinct(), "across")
+    last = _verified(across, heads, sets, "last")
+    own = keep(sets.select("doc_id", F.col("n").alias("n_shingles")), "own")
+    forget(sets, heads, equal, tied, hubs, best, apart, several, open_, across)
+    if not last.isEmpty():
+        group = components(links.unionByName(last), "a", "b")
+    return own.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
