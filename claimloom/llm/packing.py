@@ -62,6 +62,16 @@ def widen(first: int, width: int, data: bytes, n: int) -> np.ndarray:
         return np.cumsum(out, dtype=np.uint64)
 
 
+def thin(a: np.ndarray) -> tuple[str, bytes]:
+    """Integers that are not negative in as few bytes each as the largest needs."""
+    kind = np.min_scalar_type(int(a.max())).str if len(a) else "|u1"
+    return kind, a.astype(kind).tobytes()
+
+
+def thick(packed: tuple[str, bytes]) -> np.ndarray:
+    return np.frombuffer(packed[1], packed[0])
+
+
 def pack(*values) -> bytes:
     return pickle.dumps(values, protocol=5)
 

@@ -1,22 +1,28 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Words are known by 64-bit hashes, bigrams by 64-bit hashes of two of these; no two share counts. The log probability of a word v after u,
+Words are known by 64-bit hashes, a bigram by the hashes of its two words. The log probability of a word v after u,
 max(n - D, 0) / total(u) + gamma(u) lower(v), is log lower(v) + log gamma(u) and, for a seen bigram, log1p of the first part by the second:
-a sum of values that each belong to one word, one context or one bigram.
-
-1. Counting. All trusted documents that are not held out give bigram counts; from them come, by joins, totals and gammas of contexts,
-   continuation counts of words and the values of all three. They are written by key into shards (tables that grow with the trusted text).
-   The most frequent keys with their values (HEAD at most: an exact cache) and one filter of 2**FILTER_BITS bits are broadcast.
-2. Scoring. Every word counts as unknown at first. Keys that the head knows are added there; those that the filter passes go to their
-   shard, packed, and are joined with its table; the shard returns what they add for each document. The filter has no false negatives, so
-   the result is exact whatever its load.
-3. A document is kept if its perplexity is at most the QUANTILE of the held-out trusted documents of its language. Every language with
+a sum of values that each belong to one word or one bigram.
+
+Bigrams lie in a square grid of shards: a shard has the contexts of one range of hashes and the words of another, so a word before or after
+which very many others occur is spread over a whole row or column. Words lie in shards of their own, by ranges of the same hashes. Shards
+follow the size of the input; whatever moves between passes is packed by block and shard (see packing).
+
+1. Counting. Tasks gather blocks of trusted documents that are not held out and send each shard its bigrams with their counts.
+2. Words. Each shard of bigrams sends what it knows of contexts (total, how many bigrams with count 1, 2, more) and of words (how many
+   contexts) to the shards of words, which add up. Discounts come from sums over all shards.
+3. Values. Each shard of bigrams asks the shards of words for what belongs to its contexts and words, and computes its bigrams' values.
+   The most frequent keys with their values (HEAD at most: an exact cache) and filters of a fixed number of bits are broadcast.
+4. Scoring, in ROUNDS passes over a part of the documents each, which bounds what lies on disk at once. Every word counts as unknown at
+   first. Keys that the head knows are added there; those that a filter passes are asked for at their shard, which returns what they add for
+   each document. The filters have no false negatives, so the result is exact whatever their load.
+5. A document is kept if its perplexity is at most the QUANTILE of the held-out trusted documents of its language. Every language with
    trusted documents has held-out ones: a tenth, but LEAST of them (half, if there are fewer than twice as many; one in any case) where
    that is more. Only languages without any trusted document are judged by the quantile of all languages.
 
 Edge cases: null or empty text, or text without words, has no perplexity (null) and is rejected; a null language is a language of its own;
 repeated rows get equal scores; labels that contradict each other for one document make it untrusted; without any trusted document
-nothing can be judged and all documents with words are kept; empty tables give no rows; other columns pass through `row` untouched.
+nothing can be judged and all documents with words are kept; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, keep, shared_dir, small_batches
+from .packing import BLOCK_DOCS, block_keys, cuts, pack, shard_of, shards_for, squeeze, thick, thin, unpack, widen
 from .words import SPACED, mix, text_words
 
 #: The share of held-out trusted documents that a language's threshold keeps.
@@ -34,12 +41,14 @@ QUANTILE = 0.995
 LEAST = 50
 #: The most frequent keys that are broadcast with their values: an exact cache.
 HEAD = 1 << 20
-FILTER_BITS = 27
-#: Keys, and documents, that a task gathers before it sends them; a document's place among them takes two bytes.
-FLUSH, FLUSH_DOCS = 1 << 20, 60_000
-#: Up to so many trusted ids are broadcast; beyond that documents and labels are joined.
-IDS = 1 << 22
-_STEPS = 22
+#: Bits of the filter of bigrams, and of that of words.
+FILTER_BITS, WORD_BITS = 27, 24
+#: Documents are scored in so many passes.
+ROUNDS = 2
+#: Up to so many trusted ids (or thresholds) are broadcast; beyond that documents and labels are joined with a shuffle.
+IDS = 1 << 20
+#: Shards of words for each row of the grid.
+_WORDS = 4
 #: What a key says: a bigram, a word followed by another, a word that ends its text.
 _PAIR, _INNER, _LAST = 11, 12, 13
 START = np.uint64(0)
@@ -55,45 +64,63 @@ def _bigrams(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Keys of bigrams: 56 bits are as many as a shard needs to tell its own apart."""
     with np.errstate(over="ignore"):
-        return mix(mix(u, _PAIR) * np.uint64(0x9E3779B97F4A7C15) + v, _PAIR)
+        return mix(mix(u, _PAIR) * np.uint64(0x9E3779B97F4A7C15) + v, _PAIR) >> np.uint64(8)
 
 
-def _shard(k: np.ndarray, shards: int) -> np.ndarray:
-    """Shards are ranges of keys, so each owns a stretch of the filter."""
-    return ((k >> np.uint64(64 - _STEPS)) * np.uint64(shards)) >> np.uint64(_STEPS)
+def _word_key(w: np.ndarray, what: int) -> np.ndarray:
+    return mix(w, what) >> np.uint64(8)
 
 
-def _sums():
-    """Columns flag, text: bigrams of flagged texts and how often each occurs."""
+class Grid:
+    """Numbers of shards: side * side of bigrams, then those of words."""
 
-    def run(batches):
-        import pyarrow as pa
+    def __init__(self, side: int):
+        self.side, self.pairs, self.words = side, side * side, _WORDS * side
+        self.all = self.pairs + self.words
 
-        held: list[tuple] = []
+    def of_pair(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return (shard_of(u, self.side) * np.uint64(self.side) + shard_of(v, self.side)).astype(np.int64)
 
-        def send():
-            u, v = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            held.clear()
-            _, at, n = np.unique(_key(u, v), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(v[at].view(np.int64)), pa.array(n.astype(np.int64))], ["u", "v", "n"])
+    def of_word(self, w: np.ndarray) -> np.ndarray:
+        return self.pairs + shard_of(w, self.words).astype(np.int64)
 
-        for b in batches:
-            texts = b.column(1).filter(b.column(0))
-            if len(texts):
-                u, v, _ = _bigrams(texts)
-                if len(u):
-                    held.append((u, v))
-                if sum(len(x[0]) for x in held) >= FLUSH:
-                    yield send()
-        if held:
-            yield send()
+    def stretch(self, shard) -> int:
+        """Bits that a shard has in its filter (a whole number of bytes)."""
+        return max(8, (1 << FILTER_BITS) // self.pairs & ~7) if shard < self.pairs else max(8, (1 << WORD_BITS) // self.words & ~7)
+
+
+def _runs(*sorted_columns) -> np.ndarray:
+    """Where a new combination of values begins."""
+    n = len(sorted_columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for x in sorted_columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
-    return run
 
+def _lengths(at: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(at, n))
 
-def _packed(shards: int):
-    """Columns k, x, n: the keys, values and counts, packed by shard."""
+
+def _matrix(u: np.ndarray, v: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted bigrams and their counts as one cell."""
+    at = _runs(u)
+    return pack(len(at), *squeeze(u[at]), thin(_lengths(at, len(u))), v.astype("<u8").tobytes(), thin(n))
+
+
+def _entries(cell: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts, the index of each bigram's, words, counts."""
+    k, first, width, data, lengths, v, n = unpack(cell)
+    return widen(first, width, data, k), np.repeat(np.arange(k), thick(lengths)), np.frombuffer(v, "<u8"), thick(n)
+
+
+def _counting(side: int):
+    """Column text: blocks' bigrams by shard."""
+    grid = Grid(side)
+    full = block_keys(grid.pairs)
 
     def run(batches):
         import pyarrow as pa
@@ -101,20 +128,22 @@ def _packed(shards: int):
         held: list[tuple] = []
 
         def send():
-            k, x, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            u, v = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             held.clear()
-            order = np.argsort(k)
-            k, x, n = k[order], x[order], n[order]
-            cut = np.searchsorted(_shard(k, shards), np.arange(shards + 1))
-            some = [s for s in range(shards) if cut[s] < cut[s + 1]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), *(pa.array([y[cut[s] : cut[s + 1]].astype(t).tobytes() for s in some], pa.binary()) for y, t in ((k, "<u8"), (x, "<f4"), (np.minimum(n, 0xFFFFFFFF), "<u4")))], ["shard", "k", "x", "n"]
-            )
+            where = grid.of_pair(u, v)
+            by = np.lexsort((v, u, where))
+            u, v, where = u[by], v[by], where[by]
+            at = _runs(where, u, v)
+            n, u, v, where = _lengths(at, len(u)), u[at], v[at], where[at]
+            cut = np.searchsorted(where, np.arange(grid.pairs + 1))
+            some = [s for s in range(grid.pairs) if cut[s] < cut[s + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_matrix(*(x[cut[s] : cut[s + 1]] for x in (u, v, n))) for s in some], pa.binary())], ["shard", "cell"])
 
         for b in batches:
-            k, x, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            held.append((k.view(np.uint64), x, n))
-            if sum(len(h[0]) for h in held) >= FLUSH:
+            u, v, _ = _bigrams(b.column(0))
+            if len(u):
+                held.append((u, v))
+            if sum(len(x[0]) for x in held) >= full:
                 yield send()
         if held:
             yield send()
@@ -122,32 +151,72 @@ def _packed(shards: int):
     return run
 
 
-def _merge(pdf):
+def _four(n: np.ndarray) -> list[int]:
+    """How often the counts 1, 2, 3 and 4 are there."""
+    return [int((n == j).sum()) for j in (1, 2, 3, 4)]
+
+
+_FOUR = ["one", "two", "three", "four"]
+
+
+def _added(pdf):
+    """A shard's bigrams with their counts over all blocks."""
     import pandas as pd
 
-    k, x, n = (np.concatenate([np.frombuffer(y, t) for y in pdf[c]]) for c, t in (("k", "<u8"), ("x", "<f4"), ("n", "<u4")))
-    order = np.argsort(k)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "k": [k[order].tobytes()], "x": [x[order].tobytes()], "n": [n[order].tobytes()]})
+    parts = [_entries(c) for c in pdf["cell"]]
+    u, v, n = np.concatenate([p[0][p[1]] for p in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]).astype(np.int64)
+    parts.clear()
+    by = np.lexsort((v, u))
+    u, v, n = u[by], v[by], n[by]
+    at = _runs(u, v)
+    n, u, v = np.add.reduceat(n, at), u[at], v[at]
+    return pd.DataFrame([(int(pdf["shard"].iloc[0]), _matrix(u, v, n), *_four(n))], columns=["shard", "cell", *_FOUR])
+
+
+def _by_word(grid: Grid, w: np.ndarray):
+    """Ranges of sorted words by shard of words: (shard, from, to)."""
+    cut = cuts(w, grid.words)
+    return [(grid.pairs + s, cut[s], cut[s + 1]) for s in range(grid.words) if cut[s] < cut[s + 1]]
 
 
-def _summaries(shards: int):
-    """Of each table: its stretch of the filter; its most frequent keys and their values."""
+def _margins(side: int):
+    """Of each shard of bigrams: its contexts' totals and counts of counts, its words' numbers of contexts, by shard of words."""
+    grid = Grid(side)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for shard, kb, xb, nb in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                k, x, n = np.frombuffer(kb, "<u8"), np.frombuffer(xb, "<f4"), np.frombuffer(nb, "<u4")
-                bit = np.unique(k >> np.uint64(64 - FILTER_BITS)).astype(np.uint32)
-                lo = -(-(shard << _STEPS) // shards) << (FILTER_BITS - _STEPS)
-                top = np.sort(np.argsort(n, kind="stable")[::-1][: HEAD // shards])
-                rows = [("f", shard, b"", np.packbits(np.bincount(bit - lo, minlength=8).astype(bool)).tobytes()), ("h", shard, k[top].tobytes(), x[top].tobytes())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["what", "r", "i", "x"])
+            for cell in b.column(0).to_pylist():
+                us, i, v, n = _entries(cell)
+                cols = [np.bincount(i, weights, len(us)).astype(np.int64) for weights in (n, n == 1, n == 2, n > 2)]
+                vs, c = np.unique(v, return_counts=True)
+                out = [(s, pack(True, z - a, *squeeze(us[a:z]), *(thin(x[a:z]) for x in cols))) for s, a, z in _by_word(grid, us)]
+                out += [(s, pack(False, z - a, *squeeze(vs[a:z]), thin(c[a:z]))) for s, a, z in _by_word(grid, vs)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary())], ["shard", "cell"])
 
     return run
 
 
+def _word_table(pdf):
+    """A shard's words: total and counts of counts as contexts, number of contexts as words."""
+    import pandas as pd
+
+    w, cols = [], []
+    for cell in pdf["cell"]:
+        as_context, k, first, width, data, *x = unpack(cell)
+        w.append(widen(first, width, data, k))
+        x = [thick(y).astype(np.int64) for y in x]
+        cols.append(np.stack([*x, np.zeros(k, np.int64)] if as_context else [np.zeros(k, np.int64)] * 4 + x))
+    w, cols = np.concatenate(w), np.concatenate(cols, axis=1)
+    by = np.argsort(w, kind="stable")
+    w, cols = w[by], cols[:, by]
+    at = _runs(w)
+    w, cols = w[at], np.add.reduceat(cols, at, axis=1)
+    c = cols[4]
+    return pd.DataFrame([(int(pdf["shard"].iloc[0]), pack(len(w), *squeeze(w), *map(thin, cols)), int((c > 0).sum()), int(c.sum()), *_four(c))], columns=["shard", "cell", "kinds", "types", *_FOUR])
+
+
 def _discounts(n: np.ndarray) -> np.ndarray:
     """The three discounts of modified Kneser-Ney from the numbers of keys with count 1 to 4; index 0 is for count 0."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
@@ -155,28 +224,126 @@ def _discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), j - 0.05) for j, x in zip((1, 2, 3), d, strict=True))])
 
 
+class Smoothing:
+    """The numbers that hold for the whole model: discounts, and what an unknown word gets."""
+
+    def __init__(self, pairs: np.ndarray, words: np.ndarray, kinds: int, types: int):
+        self.d, self.low, self.types = _discounts(pairs), _discounts(words), types
+        left = self.low[1] * words[0] + self.low[2] * words[1] + self.low[3] * (kinds - words[0] - words[1])
+        # unknown words share what the known ones leave as one more word would
+        self.spread = left / types / (kinds + 1) if kinds else 1.0
+
+    def words(self, cell: bytes):
+        """Words, frequency as contexts, discounts taken of each, lower-order probability (spread where not seen as a word)."""
+        k, first, width, data, *cols = unpack(cell)
+        total, n1, n2, n3, c = (thick(x).astype(np.float64) for x in cols)
+        lower = (c - self.low[np.minimum(c, 3).astype(int)]) / (self.types or 1) + self.spread
+        return widen(first, width, data, k), total, self.d[1] * n1 + self.d[2] * n2 + self.d[3] * n3, lower
+
+
+_REPLY = "shard int, by int, as_context boolean, cell binary"
+
+
+def _asking(side: int):
+    """Columns shard, cell of bigrams: the contexts and words that the shard needs to know of."""
+    grid = Grid(side)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for shard, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                us, _, v, _ = _entries(cell)
+                out = [(s, shard, what, pack(z - a, *squeeze(w[a:z]))) for what, w in ((True, us), (False, np.unique(v))) for s, a, z in _by_word(grid, w)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["shard", "by", "as_context", "cell"])
+
+    return run
+
+
+def _replying(smoothing: Smoothing):
+    def run(asked, table):
+        import pandas as pd
+
+        w, _, gone, lower = smoothing.words(table["cell"].iloc[0])
+        out = []
+        for shard, by, what, cell in asked.itertuples(index=False):
+            k, *x = unpack(cell)
+            at = np.searchsorted(w, widen(*x, k))
+            out.append((by, shard, what, (gone if what else lower)[at].astype("<f4").tobytes()))
+        return pd.DataFrame(out, columns=["shard", "by", "as_context", "cell"])
+
+    return run
+
+
+_VALUES = "shard int, cell binary, bits binary, head binary"
+
+
+def _valued(shard: int, stretch: int, k: np.ndarray, x: np.ndarray, n: np.ndarray, head: int) -> tuple:
+    """A shard's table: keys and what they add; its stretch of the filter; its most frequent keys."""
+    by = np.argsort(k)
+    k, x, n = k[by], x[by].astype("<f4"), n[by]
+    bits = np.zeros(stretch, bool)
+    bits[(k >> np.uint64(24)) * np.uint64(stretch) >> np.uint64(32)] = True
+    top = np.sort(np.argpartition(n, len(n) - head)[len(n) - head :]) if 0 < head < len(n) else np.arange(min(head, len(n)))
+    return shard, pack(len(k), *squeeze(k), x.tobytes()), np.packbits(bits).tobytes(), pack(k[top].tobytes(), x[top].tobytes())
+
+
+def _pair_values(side: int, smoothing: Smoothing, head: int):
+    grid = Grid(side)
+
+    def run(table, replies):
+        import pandas as pd
+
+        us, i, v, n = _entries(table["cell"].iloc[0])
+        rows = sorted(replies[["as_context", "by", "cell"]].itertuples(index=False))
+        gone, lower = (np.concatenate([np.frombuffer(c, "<f4") for what, _, c in rows if what == side_]).astype(np.float64) for side_ in (True, False))
+        _, j = np.unique(v, return_inverse=True)
+        d = smoothing.d[np.minimum(n, 3).astype(int)]
+        shard = int(table["shard"].iloc[0])
+        return pd.DataFrame([_valued(shard, grid.stretch(shard), _key(us[i], v), np.log1p((n - d) / (gone[i] * lower[j])), n, head // grid.pairs)], columns=["shard", "cell", "bits", "head"])
+
+    return run
+
+
+def _word_values(side: int, smoothing: Smoothing, head: int):
+    grid = Grid(side)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for shard, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w, total, gone, lower = smoothing.words(cell)
+                last = np.log(lower / smoothing.spread)
+                inner = last + np.log(np.where(total > 0, gone / np.maximum(total, 1), 1))
+                row = _valued(shard, grid.stretch(shard), np.concatenate([_word_key(w, _INNER), _word_key(w, _LAST)]), np.concatenate([inner, last]), np.concatenate([total, np.zeros(len(w))]), head // grid.words)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "cell", "bits", "head"])
+
+    return run
+
+
 class Model:
-    """What is broadcast: the head, the filter, what an unknown word gets. Sizes do not depend on the input."""
-
-    def __init__(self, rows, shards: int, unknown: float):
-        self.shards, self.unknown = shards, unknown
-        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-        head = []
-        for what, r, i, x in rows:
-            if what == "f":
-                lo = (-(-(r << _STEPS) // shards) << (FILTER_BITS - _STEPS)) // 8
-                own = np.frombuffer(x, np.uint8)
-                bits[lo : lo + len(own)] |= own
-            else:
-                head.append((np.frombuffer(i, "<u8"), np.frombuffer(x, "<f4")))
-        self.bits = bits
-        k = np.concatenate([x for x, _ in head]) if head else np.empty(0, np.uint64)
-        order = np.argsort(k)
-        self.head, self.head_value = k[order], np.concatenate([x for _, x in head])[order] if head else np.empty(0, np.float32)
-
-    def may_know(self, k: np.ndarray) -> np.ndarray:
-        bit = k >> np.uint64(64 - FILTER_BITS)
-        return ((self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (7 - (bit & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+    """What is broadcast: the head, the filters, what an unknown word gets. Sizes do not depend on the input."""
+
+    def __init__(self, rows, side: int, unknown: float):
+        self.grid, self.unknown = Grid(side), unknown
+        self.bits = [np.zeros(max(1, n * self.grid.stretch(s) // 8), np.uint8) for n, s in ((self.grid.pairs, 0), (self.grid.words, self.grid.pairs))]
+        heads = []
+        for shard, bits, head in rows:
+            words = shard >= self.grid.pairs
+            size = self.grid.stretch(shard) // 8
+            lo = (shard - self.grid.pairs * words) * size
+            self.bits[words][lo : lo + size] = np.frombuffer(bits, np.uint8)
+            k, x = unpack(head)
+            heads.append((np.frombuffer(k, "<u8"), np.frombuffer(x, "<f4")))
+        k = np.concatenate([k for k, _ in heads]) if heads else np.empty(0, np.uint64)
+        by = np.argsort(k)
+        self.head, self.head_value = k[by], np.concatenate([x for _, x in heads])[by] if heads else np.empty(0, np.float32)
+
+    def may_know(self, k: np.ndarray, shard: np.ndarray, words: bool) -> np.ndarray:
+        stretch = self.grid.stretch(self.grid.pairs if words else 0)
+        bit = (shard - (self.grid.pairs if words else 0)) * stretch + ((k >> np.uint64(24)) * np.uint64(stretch) >> np.uint64(32)).astype(np.int64)
+        return ((self.bits[words][bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def _find(keys: np.ndarray, values: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,44 +355,36 @@ def _find(keys: np.ndarray, values: np.ndarray, k: np.ndarray) -> tuple[np.ndarr
     return there, np.where(there, values[i], 0).astype(np.float64)
 
 
-REQUEST = "flush long, shard int, docs binary, k binary"
+REQUEST = "flush long, shard int, own binary, cell binary"
+_OWN = [("key", "<i8"), ("n", "<i8"), ("base", "<f8")]
 
 
 def _ask(model):
-    """Columns key, text: the documents' own sums (as a row of any shard, with no keys), and requests to the count tables."""
+    """Columns key, text: the documents' own sums (as a row of any shard, without keys), and requests to the tables."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         m: Model = model.value
+        full = block_keys(m.grid.all)
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def send():
             nonlocal seq, size
             flush = (part << 32) | seq
-            keys = np.concatenate([x[0] for x in held])
-            words = np.concatenate([x[1] for x in held])
-            base = np.concatenate([x[2] for x in held])
+            keys, words, base = (np.concatenate([x[i] for x in held]) for i in range(3))
             shift = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
-            doc = np.concatenate([x[3] + s for x, s in zip(held, shift, strict=True)])
-            k = np.concatenate([x[4] for x in held])
-            order = np.lexsort((doc, _shard(k, m.shards)))
-            doc, k = doc[order].astype("<u2"), k[order].astype("<u8")
-            cut = np.searchsorted(_shard(k, m.shards), np.arange(m.shards + 1))
-            some = [s for s in range(m.shards) if cut[s] < cut[s + 1]]
-            own = np.rec.fromarrays([keys, words, base], dtype=[("key", "<i8"), ("n", "<i8"), ("base", "<f8")]).tobytes()
+            doc = np.concatenate([x[3] + s for x, s in zip(held, shift, strict=True)]).astype("<u2")
+            k, shard = (np.concatenate([x[i] for x in held]) for i in (4, 5))
             seq, size = seq + 1, 0
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([flush] * (len(some) + 1), pa.int64()),
-                    pa.array([*some, flush % m.shards], pa.int32()),
-                    pa.array([*(np.append(np.uint16(len(keys)), doc[cut[s] : cut[s + 1]]).astype("<u2").tobytes() for s in some), own], pa.binary()),
-                    pa.array([*(k[cut[s] : cut[s + 1]].tobytes() for s in some), None], pa.binary()),
-                ],
-                ["flush", "shard", "docs", "k"],
-            )
+            by = np.lexsort((k, shard))
+            doc, k = doc[by], k[by]
+            cut = np.searchsorted(shard[by], np.arange(m.grid.all + 1))
+            out = [(flush, s, None, pack(len(keys), z - a, *squeeze(k[a:z]), doc[a:z].tobytes())) for s, a, z in zip(range(m.grid.all), cut, cut[1:], strict=False) if a < z]
+            out.append((flush, flush % m.grid.all, np.rec.fromarrays([keys, words, base], dtype=_OWN).tobytes(), None))
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["flush", "shard", "own", "cell"])
 
         for b in batches:
             u, v, first = _bigrams(b.column(1))
@@ -235,14 +394,20 @@ def _ask(model):
             of = np.repeat(np.arange(len(b)), n)
             base, asked = n * m.unknown, []
             starts = np.flatnonzero(n)
-            for k, doc in ((_key(u, v), of), (np.where(last, mix(v, _LAST), mix(v, _INNER)), of), (np.repeat(mix(np.array([START]), _INNER), len(starts)), starts)):
-                at = np.flatnonzero(m.may_know(k))
+            start = np.zeros(len(starts), np.uint64)
+            for k, shard, doc, words in (
+                (_key(u, v), m.grid.of_pair(u, v), of, False),
+                (np.where(last, _word_key(v, _LAST), _word_key(v, _INNER)), m.grid.of_word(v), of, True),
+                (_word_key(start, _INNER), m.grid.of_word(start), starts, True),
+            ):
+                at = np.flatnonzero(m.may_know(k, shard, words))
                 there, x = _find(m.head, m.head_value, k[at])
                 base = base + np.bincount(doc[at], x, minlength=len(b))
-                asked.append((doc[at[~there]], k[at[~there]]))
+                at = at[~there]
+                asked.append((doc[at], k[at], shard[at]))
             held.append((b.column(0).to_numpy(zero_copy_only=False), n, base, *(np.concatenate(x) for x in zip(*asked, strict=True))))
-            size += len(u)
-            if size >= FLUSH or sum(len(x[0]) for x in held) >= FLUSH_DOCS:
+            size += len(held[-1][3])
+            if size >= full or sum(len(x[0]) for x in held) >= BLOCK_DOCS:
                 yield send()
         if held:
             yield send()
@@ -254,27 +419,32 @@ def _answer(asked, table):
     """A shard's requests and its table: what the known keys add, for each flush and document. Own sums are passed on."""
     import pandas as pd
 
-    k, x = (np.frombuffer(table["k"].iloc[0], "<u8"), np.frombuffer(table["x"].iloc[0], "<f4")) if len(table) else (np.empty(0, np.uint64), np.empty(0, np.float32))
-    flush, own, gain = [], [], []
-    for f, docs, keys in zip(asked["flush"], asked["docs"], asked["k"], strict=True):
-        flush.append(f)
-        if keys is None:
-            own.append(docs)
-            gain.append(None)
+    keys, values = np.empty(0, np.uint64), np.empty(0, np.float32)
+    if len(table):
+        n, *x, data = unpack(table["cell"].iloc[0])
+        keys, values = widen(*x, n), np.frombuffer(data, "<f4")
+    out = []
+    for flush, own, cell in zip(asked["flush"], asked["own"], asked["cell"], strict=True):
+        if cell is None:
+            out.append((flush, own, None))
             continue
-        doc = np.frombuffer(docs, "<u2")
-        own.append(None)
-        gain.append(np.bincount(doc[1:], _find(k, x, np.frombuffer(keys, "<u8"))[1], minlength=int(doc[0])).astype("<f4").tobytes())
-    return pd.DataFrame({"flush": flush, "own": own, "gain": gain})
+        docs, n, *x, doc = unpack(cell)
+        there, x = _find(keys, values, widen(*x, n))
+        gain = np.bincount(np.frombuffer(doc, "<u2")[there], x[there], minlength=docs).astype("<f4")
+        at = np.flatnonzero(gain)
+        if len(at):
+            out.append((flush, None, pack(None, gain.tobytes()) if 6 * len(at) > 4 * docs else pack(at.astype("<u2").tobytes(), gain[at].tobytes())))
+    return pd.DataFrame(out, columns=["flush", "own", "gain"])
 
 
 def _total(pdf):
     import pandas as pd
 
-    own = np.frombuffer(next(x for x in pdf["own"] if x is not None), [("key", "<i8"), ("n", "<i8"), ("base", "<f8")])
+    own = np.frombuffer(next(x for x in pdf["own"] if x is not None), _OWN)
     total = own["base"].copy()
     for x in sorted(x for x in pdf["gain"] if x is not None):  # in a fixed order, so that sums are the same every time
-        total += np.frombuffer(x, "<f4")
+        at, gain = unpack(x)
+        total[slice(None) if at is None else np.frombuffer(at, "<u2")] += np.frombuffer(gain, "<f4")
     with np.errstate(divide="ignore", invalid="ignore"):
         each = -total / own["n"]
     return pd.DataFrame({"key": own["key"], "n_words": own["n"], "nats": np.where(own["n"] > 0, each, np.nan)})
@@ -295,88 +465,32 @@ def held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(share, F.col("lang").eqNullSafe(F.col("l"))).where("at < below or at = first").select("doc_id").distinct()
 
 
-def _flagged(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
-    """Trains on it? and the text."""
-    train = trusted_ids(labels).join(held, "doc_id", "left_anti")
-    if train.limit(IDS + 1).count() > IDS:
-        return docs.join(train.withColumn("flag", F.lit(True)), "doc_id", "left").select(F.coalesce("flag", F.lit(False)).alias("flag"), "text")
-    ids = docs.sparkSession.sparkContext.broadcast(np.sort(train.toPandas()["doc_id"].to_numpy(np.int64)))
-
-    def flag(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            own, known = b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids.value
-            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-            ok = (known[at] == own) if len(known) else np.zeros(len(own), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ok & ~np.asarray(b.column(0).is_null())), b.column(1)], ["flag", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(flag, "flag boolean, text string")
-
-
-def _mixed(column: str, what: int):
-    @F.pandas_udf("long")
-    def run(x):
-        import pandas as pd
-
-        return pd.Series(mix(x.to_numpy(np.int64).view(np.uint64), what).view(np.int64))
-
-    return run(F.col(column))
-
-
-def _paired():
-    @F.pandas_udf("long")
-    def run(u, v):
-        import pandas as pd
-
-        return pd.Series(_key(u.to_numpy(np.int64).view(np.uint64), v.to_numpy(np.int64).view(np.uint64)).view(np.int64))
-
-    return run(F.col("u"), F.col("v"))
-
-
-def _counts_of(df: DataFrame, column: str) -> np.ndarray:
-    """How many rows have 1, 2, 3 and 4 there."""
-    return np.array(df.agg(*(F.count(F.when(F.col(column) == c, 1)) for c in range(1, 5))).first(), np.float64)
-
-
-def _discount(d: np.ndarray, n: str):
-    return F.when(F.col(n) == 1, F.lit(float(d[1]))).when(F.col(n) == 2, F.lit(float(d[2]))).otherwise(F.lit(float(d[3])))
-
-
-def values(docs: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[DataFrame, float, list[DataFrame]]:
-    """k, x, n: what each known bigram, word and context adds to a log probability, and how often it occurs; what an unknown word has; the tables behind it."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = keep(_flagged(docs, labels, held).mapInArrow(_sums(), "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n")), "counts")
-    d = _discounts(_counts_of(counts, "n"))
-    gone = F.sum(_discount(d, "n"))
-    contexts = keep(counts.groupBy("u").agg(F.sum("n").alias("total"), (gone / F.sum("n")).alias("gamma")), "contexts")
-    words = keep(counts.groupBy("v").agg(F.count("*").alias("c"), F.sum("n").alias("m")), "words")
-    low = _discounts(_counts_of(words, "c"))
-    kinds, types, left = words.agg(F.count("*"), F.sum("c"), F.sum(_discount(low, "c"))).first()
-    # unknown words share what the known ones leave as one more word would
-    spread = left / types / (kinds + 1) if kinds else 1.0
-    lower = words.select("v", "m", ((F.col("c") - _discount(low, "c")) / (types or 1) + spread).alias("lower"))
-    seen = counts.join(contexts, "u").join(lower, "v").select(_paired().alias("k"), F.log1p((F.col("n") - _discount(d, "n")) / F.col("total") / F.col("gamma") / F.col("lower")).cast("float").alias("x"), "n")
-    known = lower.select("v", "m", F.log(F.col("lower") / spread).alias("lower")).join(contexts.select(F.col("u").alias("v"), "total", F.log("gamma").alias("gamma")), "v", "full")
-    inner = known.select(_mixed("v", _INNER).alias("k"), (F.coalesce("lower", F.lit(0.0)) + F.coalesce("gamma", F.lit(0.0))).cast("float").alias("x"), F.coalesce("total", "m").alias("n"))
-    last = lower.select(_mixed("v", _LAST).alias("k"), F.log(F.col("lower") / spread).cast("float").alias("x"), F.col("m").alias("n"))
-    return seen.unionByName(inner).unionByName(last), float(np.log(spread)), [counts, contexts, words]
-
-
-def train(docs: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[DataFrame, Model]:
-    """The tables (shard, k, x, n) and what is broadcast."""
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made, unknown, behind = values(docs, labels, held)
-    small_batches(spark, 100_000)  # rows of three numbers
-    kinds = "shard int, k binary, x binary, n binary"
-    tables = keep(made.mapInArrow(_packed(shards), kinds).groupBy("shard").applyInPandas(_merge, kinds), "values")
-    for table in behind:
-        forget(table)
-    small_batches(spark, 1)
-    rows = tables.mapInArrow(_summaries(shards), "what string, r int, i binary, x binary").collect()  # fixed size
-    small_batches(spark)
-    return tables.select("shard", "k", "x"), Model([(r["what"], r["r"], bytes(r["i"]), bytes(r["x"])) for r in rows], shards, unknown)
+def _training(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
+    """The texts that the model is made of."""
+    ids = keep(trusted_ids(labels).join(held, "doc_id", "left_anti"), "training")
+    return docs.join(F.broadcast(ids) if ids.count() <= IDS else ids, "doc_id", "left_semi").select("text")
+
+
+def train(docs: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[list[DataFrame], Model]:
+    """The written tables of values (shard, cell, bits, head) and what is broadcast."""
+    side = max(1, int(np.ceil(shards_for(docs) ** 0.5)))
+    four = ", ".join(f"{x} long" for x in _FOUR)
+    counted = _training(docs, labels, held).mapInArrow(_counting(side), "shard int, cell binary")
+    counts = keep(counted.groupBy("shard").applyInPandas(_added, f"shard int, cell binary, {four}"), "counts")
+    totals = lambda df, *names: [x or 0 for x in df.agg(*(F.sum(n) for n in names)).first()]
+    seen = np.array(totals(counts, *_FOUR), np.float64)
+    made = counts.select("cell").mapInArrow(_margins(side), "shard int, cell binary").groupBy("shard").applyInPandas(_word_table, f"shard int, cell binary, kinds long, types long, {four}")
+    words = keep(made, "words", batch=1)
+    kinds, types, *low = totals(words, "kinds", "types", *_FOUR)
+    smoothing = Smoothing(seen, np.array(low, np.float64), kinds, types)
+    asked = counts.select("shard", "cell").mapInArrow(_asking(side), _REPLY)
+    replies = keep(asked.groupBy("shard").cogroup(words.select("shard", "cell").groupBy("shard")).applyInPandas(_replying(smoothing), _REPLY), "replies", batch=1)
+    pairs = keep(counts.select("shard", "cell").groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(_pair_values(side, smoothing, HEAD // 2), _VALUES), "pairs", batch=1)
+    forget(counts, replies)
+    tables = [pairs, keep(words.select("shard", "cell").mapInArrow(_word_values(side, smoothing, HEAD // 2), _VALUES), "word-values", batch=1)]
+    forget(words)
+    rows = tables[0].unionByName(tables[1]).select("shard", "bits", "head").toLocalIterator()  # fixed size
+    return tables, Model(((r["shard"], bytes(r["bits"]), bytes(r["head"])) for r in rows), side, float(np.log(smoothing.spread)))
 
 
 def scores(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
@@ -384,9 +498,17 @@ def scores(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tables, made = train(docs, labels, held)
     model = spark.sparkContext.broadcast(made)
-    asked = docs.select("key", "text").mapInArrow(_ask(model), REQUEST)
-    answered = asked.groupBy("shard").cogroup(tables.groupBy("shard")).applyInPandas(_answer, "flush long, own binary, gain binary")
-    return answered.groupBy("flush").applyInPandas(_total, "key long, n_words long, nats double")
+    values = tables[0].unionByName(tables[1]).select("shard", "cell").groupBy("shard")
+    done = []
+    for r in range(ROUNDS):
+        asked = docs.where(F.pmod("key", F.lit(ROUNDS)) == r).select("key", "text").mapInArrow(_ask(model), REQUEST)
+        answered = asked.groupBy("shard").cogroup(values).applyInPandas(_answer, "flush long, own binary, gain binary")
+        done.append(keep(answered.groupBy("flush").applyInPandas(_total, "key long, n_words long, nats double"), "round"))
+    forget(*tables)
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
