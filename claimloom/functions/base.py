@@ -18,6 +18,30 @@ def let(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
+def sql_text(x: str) -> str:
+    """A SQL string literal, taken as it is."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_map(table: dict) -> str:
+    """A SQL map of literals."""
+    return "map(" + ", ".join(sql_text(x) if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else repr(x) for kv in table.items() for x in kv) + ")"
+
+
+def sql_first_hit(x: str, rules: list[tuple[str, object]], otherwise: str = "NULL") -> str:
+    """SQL for the value of the first rule whose pattern occurs in x. One test of all patterns comes before the rules."""
+    show = lambda v: sql_text(v) if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)"
+    any_ = U + "|".join(f"(?:{pattern})" for pattern, _ in rules)
+    return f"CASE WHEN NOT {x} RLIKE {sql_text(any_)} THEN {otherwise} " + " ".join(f"WHEN {x} RLIKE {sql_text(U + pattern)} THEN {show(value)}" for pattern, value in rules) + f" ELSE {otherwise} END"
+
+
+def staged(df, steps: list[tuple[str, str]], out: str):
+    """df with the last step's column as out. Each step is SQL over the columns of df and the steps before it, and is computed once."""
+    names = [n for n, _ in steps]
+    done = df.selectExpr("*", *(f"{sql} AS {n}" for n, sql in steps))
+    return done.withColumnRenamed(names[-1], out).drop(*names[:-1])
+
+
 def blank_to_null(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 

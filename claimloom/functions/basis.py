@@ -2,55 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import U, first_hit, let
+from .base import U, let, sql_first_hit, sql_text, staged
 from .vocab import ABSORBED, BASIS, DIMENSIONS, OPTIONAL
 
 
-def separated(x: Column) -> Column:
-    return F.lower(F.regexp_replace(x, r"[_\-]+", " "))
+_SEPARATED = sql_text(r"[_\-]+")
 
 
 def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(x, U + r"^\s+|\s+$", "")), U + r"[^\w]+", "_"), "^_+|_+$", "")
 
 
-def normalize_basis(raw: Column, context: Column) -> Column:
-    """Known dimensions as a map. raw: map of strings as stated; context: the sentence.
+def _slug(x: str) -> str:
+    inner = f"lower(regexp_replace({x}, {sql_text(U + r'^[\s]+|[\s]+$')}, ''))"
+    return f"regexp_replace(regexp_replace({inner}, {sql_text(U + r'[^\w]+')}, '_'), '^_+|_+$', '')"
 
-    A stated value is looked up under its dimension, else under the first other dimension that knows it (where it gives way to what that
-    dimension has itself), else kept as a slug. A dimension that is not stated is looked for in all values and the sentence."""
-    raw = F.coalesce(raw, F.create_map().cast("map<string,string>"))
-    blob = separated(F.concat_ws(" ", F.map_values(raw), F.coalesce(context, F.lit(""))))
-    stated = F.array(*(F.nullif(F.element_at(raw, d), F.lit("")) for d in DIMENSIONS))
-
-    def hits(x: Column) -> Column:
-        """For each stated value, and for everything together, what every vocabulary finds in it."""
-        texts = F.concat(F.transform(x["stated"], separated), F.array(x["blob"]))
-        found = F.transform(texts, lambda t: F.array(*(first_hit(t, rules) for rules in BASIS.values())))
-        return F.struct(x["stated"].alias("stated"), found.alias("hit"))
-
-    def place(x: Column) -> Column:
-        own = [list(BASIS).index(d) if d in BASIS else None for d in DIMENSIONS]
-        none = F.lit(None).cast("string")
-        at = lambda row, k: none if k is None else F.get(F.get(x["hit"], F.lit(row)), F.lit(k))
-        first = F.transform(x["hit"], lambda h: F.get(F.filter(F.sequence(F.lit(0), F.lit(len(BASIS) - 1)), lambda k: F.get(h, k).isNotNull()), F.lit(0)))
-
-        def moved(i: int, k: int) -> Column:
-            """What is stated under dimension i but belongs to vocabulary k."""
-            return F.when(F.get(x["stated"], F.lit(i)).isNotNull() & at(i, own[i]).isNull() & (F.get(first, F.lit(i)) == k), at(i, k))
 
-        parts = []
-        for i, d in enumerate(DIMENSIONS):
-            said = F.get(x["stated"], F.lit(i))
-            direct = F.when(said.isNull(), at(len(DIMENSIONS), own[i])).when(at(i, own[i]).isNotNull(), at(i, own[i])).when(F.get(first, F.lit(i)).isNull(), slug(said))
-            others = [moved(j, own[i]) for j in range(len(DIMENSIONS)) if j != i] if own[i] is not None else []
-            parts.append(F.struct(F.lit(d).alias("key"), F.coalesce(direct, *others).alias("value")))
-        return F.map_from_entries(F.filter(F.array(*parts), lambda e: e["value"].isNotNull()))
+def steps(raw: str, context: str) -> list[tuple[str, str]]:
+    """SQL steps from a map of strings as stated, and the sentence, to the known dimensions as a map.
 
-    return let(let(F.struct(stated.alias("stated"), blob.alias("blob")), hits), place)
+    A stated value is looked up under its dimension, else under the first other dimension that knows it (where it gives way to what that
+    dimension has itself), else kept as a slug. A dimension that is not stated is looked for in all values and the sentence."""
+    vocabularies = list(BASIS)
+    found = [("_b_raw", f"coalesce({raw}, CAST(map() AS MAP<STRING, STRING>))"), ("_b_blob", f"lower(regexp_replace(concat_ws(' ', map_values(_b_raw), coalesce({context}, '')), {_SEPARATED}, ' '))")]
+    for i, d in enumerate(DIMENSIONS):
+        # what is stated under d, and what each vocabulary finds in it
+        found += [(f"_b_s{i}", f"nullif(element_at(_b_raw, '{d}'), '')"), (f"_b_t{i}", f"lower(regexp_replace(_b_s{i}, {_SEPARATED}, ' '))")]
+        found += [(f"_b_h{i}", f"CASE WHEN _b_t{i} IS NOT NULL THEN array(" + ", ".join(sql_first_hit(f"_b_t{i}", BASIS[v]) for v in vocabularies) + ") END")]
+        found += [(f"_b_f{i}", f"CASE WHEN _b_t{i} IS NOT NULL THEN array_position(transform(_b_h{i}, x -> x IS NOT NULL), true) - 1 END")]
+    parts = []
+    for i, d in enumerate(DIMENSIONS):
+        own = vocabularies.index(d) if d in BASIS else None
+        at = lambda j, k: f"_b_h{j}[{k}]"
+        unstated = f"WHEN _b_s{i} IS NULL THEN {sql_first_hit('_b_blob', BASIS[d])} WHEN {at(i, own)} IS NOT NULL THEN {at(i, own)} " if own is not None else f"WHEN _b_s{i} IS NULL THEN NULL "
+        direct = f"CASE {unstated}WHEN _b_f{i} < 0 THEN {_slug(f'_b_s{i}')} END"
+        moved = []
+        for j, e in enumerate(DIMENSIONS):
+            if own is not None and j != i:
+                known = f"{at(j, vocabularies.index(e))} IS NULL AND " if e in BASIS else ""
+                moved.append(f"CASE WHEN {known}_b_f{j} = {own} THEN {at(j, own)} END")
+        parts.append((f"_b_v{i}", f"coalesce({', '.join([direct, *moved])})"))
+    entries = ", ".join(f"struct('{d}' AS key, _b_v{i} AS value)" for i, d in enumerate(DIMENSIONS))
+    return [*found, *parts, ("_b", f"map_from_entries(filter(array({entries}), e -> e.value IS NOT NULL))")]
+
+
+def with_basis(df: DataFrame, out: str, raw: str, context: str) -> DataFrame:
+    """df with the known dimensions of a claim as a map."""
+    return staged(df, steps(raw, context), out)
 
 
 def leftover(raw: Column) -> Column:

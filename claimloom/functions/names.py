@@ -38,9 +38,9 @@ def same_entity(a: Column, b: Column) -> Column:
     longer = a.startswith(F.concat(b, F.lit(" "))) | b.startswith(F.concat(a, F.lit(" ")))
     pair = lambda same, *reason: F.struct(F.lit(same).alias("same"), F.concat(*reason).alias("reason"))
     return (
-        F.when(missing, pair(False, F.lit("missing entity")))
+        F.when(missing, pair(False, F.lit("no entity")))
         .when(a == b, pair(True, a, F.lit(" ≡ "), b))
-        .when(longer, pair(True, a, F.lit(" ≡ "), b, F.lit(" (one name extends the other)")))
+        .when(longer, pair(True, a, F.lit(" ≡ "), b, F.lit(" (the longer name begins with the shorter)")))
         .otherwise(pair(False, a, F.lit(" ≠ "), b))
     )
 
@@ -99,12 +99,12 @@ def same_metric(a: Column, b: Column, alias: Column) -> Column:
     shown = lambda o: F.format_string("%.2f", o)
     return let(
         overlap(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))),
-        lambda o: F.when(missing, pair(False, F.lit("missing metric")))
+        lambda o: F.when(missing, pair(False, F.lit("no metric")))
         .when(a == b, pair(True, a))
         .when(alias.isNotNull(), pair(alias, F.lit("alias: "), a, F.lit(" ~ "), b))
         .when(o == 0, pair(False, a, F.lit(" ≠ "), b))
-        .when(o >= 0.8, pair(True, a, F.lit(" ≈ "), b, F.lit(" (token overlap "), shown(o), F.lit(")")))
-        .otherwise(pair(None, a, F.lit(" ? "), b, F.lit(" (token overlap "), shown(o), F.lit(") — needs adjudication"))),
+        .when(o >= 0.8, pair(True, a, F.lit(" ≈ "), b, F.lit(" (shared words "), shown(o), F.lit(")")))
+        .otherwise(pair(None, a, F.lit(" ? "), b, F.lit(" (shared words "), shown(o), F.lit("), to be asked"))),
     )
 
 

@@ -2,114 +2,120 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import U, let, squeeze
-from .vocab import MONTHS, NUMBER_WORDS, ORDINALS
+from . import vocab as V
+from .base import U, sql_map, sql_text, staged
 
-TYPE = "struct<start:date,end:date,grain:string,confidence:double,note:string>"
-QUARTER = r"\b(?:q\s?([1-4])(?!\d)|(first|second|third|fourth)\s+quarter\b)[\s:\-/]*(?:of\s+|for\s+|in\s+)?(?:the\s+)?"
+#: "ended" phrases within each other are taken off from the outside, up to so many.
+NESTED = 3
+_NAMES = sql_map({n: i for i, m in enumerate(V.MONTHS, 1) for n in (m, m[:3])})
+_COUNTS = sql_map({w: i for i, n in enumerate(V.NUMBER_WORDS, 1) for w in (n, str(i))})
+_EDGES, _SPACES = sql_text(U + r"^\s+|\s+$"), sql_text(U + r"\s+")
 
 
-def _int(s: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(s, U + pattern, group).try_cast("int")
+def _squeezed(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, {_SPACES}, ' '), {_EDGES}, '')"
 
 
-def _day(y: Column, m, d) -> Column:
-    """A date, or null where the calendar has none."""
-    part = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, part(m), part(d)), "yyyy-MM-dd")
-
-
-def _period(start: Column, end: Column, grain, confidence: float = 1.0, note: str = "") -> Column:
-    g = grain if isinstance(grain, Column) else F.lit(grain)
-    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end"), g.alias("grain"), F.lit(confidence).alias("confidence"), F.lit(note).alias("note")))
-
-
-def _fiscal(end_year: Column) -> Column:
-    return _period(_day(end_year - 1, 4, 1), _day(end_year, 3, 31), "annual")
+def _hit(s: str, pattern: str) -> str:
+    return f"{s} RLIKE {sql_text(U + pattern)}"
 
 
-def _century(y: Column) -> Column:
-    return F.when(y > 99, y).otherwise(2000 + y)
+def _word(s: str, pattern: str, group: int) -> str:
+    return f"regexp_extract({s}, {sql_text(U + pattern)}, {group})"
 
 
-def _month_number(word: Column) -> Column:
-    names = {n: i for i, m in enumerate(MONTHS, 1) for n in (m, m[:3])}
-    return F.element_at(F.create_map(*(F.lit(v) for kv in names.items() for v in kv)), word)
+def _int(s: str, pattern: str, group: int) -> str:
+    return f"try_cast({_word(s, pattern, group)} AS INT)"
 
 
-def _month(y: Column, m: Column) -> Column:
-    return let(_day(y, m, 1), lambda d: _period(d, F.last_day(d), "monthly"))
-
-
-def _core(s: Column) -> Column:
-    """The rules for years, months, days and unspaced quarters, in order."""
-    span, bare = r"\bfy\s*(\d{4})\s*[-/]\s*(\d{2,4})\b", r"\b((?:19|20)\d{2})\s*[-/]\s*(\d{2})\b"
-    ending, calendar = r"\b(?:fy|fiscal(?:\s+year)?)\s*(\d{2,4})\b", r"\b(?:cy|calendar\s+year)\s*(\d{2,4})\b"
-    quarter, month = r"\b((?:19|20)\d{2})\s*q([1-4])\b", r"\b((?:19|20)\d{2})-(0[1-9]|1[0-2])\b(?!-\d)"
-    iso, us, eu = r"\b(\d{4})-(\d{2})-(\d{2})\b", r"\b([a-z]+)\s+(\d{1,2}),?\s+((?:19|20)\d{2})\b", r"\b(\d{1,2})\s+([a-z]+),?\s+((?:19|20)\d{2})\b"
-    named, year = r"\b([a-z]+)\s+((?:19|20)\d{2})\b", r"^(?:in\s+|during\s+)?((?:19|20)\d{2})$"
-    word = lambda p, g: _month_number(F.regexp_extract(s, U + p, g))
-    instant = lambda d: let(d, lambda x: _period(x, x, "instant"))
-    hit = lambda p: s.rlike(U + p)
-    first_of_quarter = _day(_int(s, quarter, 1), 3 * _int(s, quarter, 2) - 2, 1)
-    cy = _century(_int(s, calendar, 1))
+def _day(y: str, m: str | int, d: str | int) -> str:
+    """A date, or null where the calendar has none."""
+    return f"try_to_date(format_string('%04d-%02d-%02d', {y}, {m}, {d}), 'yyyy-MM-dd')"
+
+
+def _span(start: str, end: str, grain: str, confidence: float = 1.0, note: str = "") -> str:
+    return f"named_struct('start', {start}, 'end', {end}, 'grain', '{grain}', 'confidence', CAST({confidence} AS DOUBLE), 'note', '{note}')"
+
+
+def _century(y: str) -> str:
+    return f"(CASE WHEN {y} > 99 THEN {y} ELSE 2000 + {y} END)"
+
+
+def _core(s: str) -> str:
+    """SQL of the rules for years, months, days and unspaced quarters, in order; dates may be null."""
+    month = lambda p, g: f"element_at({_NAMES}, {_word(s, p, g)})"
+    fiscal = lambda end: _span(_day(f"{end} - 1", 4, 1), _day(end, 3, 31), "annual")
+    instant = lambda d: _span(d, d, "instant")
+    of_month = lambda y, m: _span(_day(y, m, 1), f"last_day({_day(y, m, 1)})", "monthly")
+    i = lambda p, g: _int(s, p, g)
+    cy = _century(i(V.CALENDAR_YEAR, 1))
+    first = _day(i(V.YEAR_QUARTER, 1), f"3 * {i(V.YEAR_QUARTER, 2)} - 2", 1)
+    rules = [
+        (_hit(s, V.FISCAL_SPAN), fiscal(f"{i(V.FISCAL_SPAN, 1)} + 1")),
+        (f"{_hit(s, V.YEAR_SPAN)} AND {i(V.YEAR_SPAN, 2)} = ({i(V.YEAR_SPAN, 1)} + 1) % 100", fiscal(f"{i(V.YEAR_SPAN, 1)} + 1")),
+        (_hit(s, V.FISCAL_YEAR), fiscal(_century(i(V.FISCAL_YEAR, 1)))),
+        (_hit(s, V.CALENDAR_YEAR), _span(_day(cy, 1, 1), _day(cy, 12, 31), "annual")),
+        (_hit(s, V.YEAR_QUARTER), _span(first, f"last_day(add_months({first}, 2))", "quarterly", 0.55, "ambiguous: a quarter of a calendar or of a fiscal year; taken as calendar")),
+        (_hit(s, V.YEAR_MONTH), of_month(i(V.YEAR_MONTH, 1), i(V.YEAR_MONTH, 2))),
+        (_hit(s, V.ISO_DAY), instant(_day(i(V.ISO_DAY, 1), i(V.ISO_DAY, 2), i(V.ISO_DAY, 3)))),
+        (f"{_hit(s, V.MONTH_DAY_YEAR)} AND {month(V.MONTH_DAY_YEAR, 1)} IS NOT NULL", instant(_day(i(V.MONTH_DAY_YEAR, 3), month(V.MONTH_DAY_YEAR, 1), i(V.MONTH_DAY_YEAR, 2)))),
+        (f"{_hit(s, V.DAY_MONTH_YEAR)} AND {month(V.DAY_MONTH_YEAR, 2)} IS NOT NULL", instant(_day(i(V.DAY_MONTH_YEAR, 3), month(V.DAY_MONTH_YEAR, 2), i(V.DAY_MONTH_YEAR, 1)))),
+        (f"{_hit(s, V.MONTH_OF_YEAR)} AND {month(V.MONTH_OF_YEAR, 1)} IS NOT NULL", of_month(i(V.MONTH_OF_YEAR, 2), month(V.MONTH_OF_YEAR, 1))),
+        (_hit(s, V.YEAR_ALONE), _span(_day(i(V.YEAR_ALONE, 1), 1, 1), _day(i(V.YEAR_ALONE, 1), 12, 31), "annual", 0.7, "a year alone, taken as calendar year")),
+    ]
+    return "CASE " + " ".join(f"WHEN {test} THEN {then}" for test, then in rules) + " END"
+
+
+def _ended(s: str) -> str:
+    """SQL: the phrases "n months ended", "year ended" and "quarter ended" that s holds, as (months, grain, what follows)."""
+    n = f"element_at({_COUNTS}, {_word(s, V.MONTHS_ENDED, 1)})"
+    one = lambda n, grain, rest, test: f"CASE WHEN {test} THEN struct({n} AS n, {grain} AS grain, {_squeezed(rest)} AS rest) END"
     return (
-        F.when(hit(span), _fiscal(_int(s, span, 1) + 1))
-        .when(hit(bare) & (_int(s, bare, 2) == (_int(s, bare, 1) + 1) % 100), _fiscal(_int(s, bare, 1) + 1))
-        .when(hit(ending), _fiscal(_century(_int(s, ending, 1))))
-        .when(hit(calendar), _period(_day(cy, 1, 1), _day(cy, 12, 31), "annual"))
-        .when(hit(quarter), _period(first_of_quarter, F.last_day(F.add_months(first_of_quarter, 2)), "quarterly", 0.55, "bare YYYYQn is ambiguous between calendar and fiscal quarters; read as calendar"))
-        .when(hit(month), _month(_int(s, month, 1), _int(s, month, 2)))
-        .when(hit(iso), instant(_day(_int(s, iso, 1), _int(s, iso, 2), _int(s, iso, 3))))
-        .when(hit(us) & word(us, 1).isNotNull(), instant(_day(_int(s, us, 3), word(us, 1), _int(s, us, 2))))
-        .when(hit(eu) & word(eu, 2).isNotNull(), instant(_day(_int(s, eu, 3), word(eu, 2), _int(s, eu, 1))))
-        .when(hit(named) & word(named, 1).isNotNull(), _month(_int(s, named, 2), word(named, 1)))
-        .when(hit(year), _period(_day(_int(s, year, 1), 1, 1), _day(_int(s, year, 1), 12, 31), "annual", 0.7, "bare year read as calendar year"))
+        "filter(array("
+        + ", ".join(
+            [
+                one(n, f"CASE {n} WHEN 3 THEN 'quarterly' WHEN 12 THEN 'annual' ELSE 'period' END", _word(s, V.MONTHS_ENDED, 2), f"{n} IS NOT NULL"),
+                one("12", "'annual'", _word(s, V.YEAR_ENDED, 1), _hit(s, V.YEAR_ENDED)),
+                one("3", "'quarterly'", _word(s, V.QUARTER_ENDED, 1), _hit(s, V.QUARTER_ENDED)),
+            ]
+        )
+        + "), x -> x IS NOT NULL)"
     )
 
 
-def _quarter_number(s: Column) -> Column:
-    return F.coalesce(_int(s, QUARTER, 1), F.element_at(F.create_map(*(F.lit(v) for kv in ORDINALS.items() for v in kv)), F.regexp_extract(s, U + QUARTER, 2)))
-
-
-def parse_period(raw: Column) -> Column:
-    """struct(start, end, grain, confidence, note), or null. An impossible date is null. 'ended' phrases nest once.
-
-    Four readings of the text are tried: what follows '<n> months ended', 'year ended', 'quarter ended', and the whole. Each is read with its
-    quarter marker taken out and as it is. All eight strings go through one copy of the core rules."""
-    s = F.translate(F.lower(squeeze(F.coalesce(raw, F.lit("")))), "–—−", "---")
-    months = r"\b(?:for\s+the\s+)?(\w+)[\s-]+months?\s+(?:period\s+)?ended?\b(.*)"
-    year, quarter = r"\b(?:for\s+the\s+)?(?:year|twelve\s+months)\s+ended?\b(.*)", r"\bquarter\s+ended?\b(.*)"
-    counts = {w: i for i, n in enumerate(NUMBER_WORDS, 1) for w in (n, str(i))}
-
-    def rests(s: Column) -> Column:
-        after = lambda p, g: F.when(s.rlike(U + p), F.regexp_extract(s, U + p, g))
-        n = F.element_at(F.create_map(*(F.lit(v) for kv in counts.items() for v in kv)), F.regexp_extract(s, U + months, 1))
-        own = F.array(F.when(n.isNotNull(), after(months, 2)), after(year, 1), after(quarter, 1), s)
-        return F.struct(n.alias("n"), F.transform(own, squeeze).alias("whole"))
-
-    def cores(x: Column) -> Column:
-        bare = F.transform(x["whole"], lambda r: F.when(r.rlike(U + QUARTER), squeeze(F.regexp_replace(r, U + r"^(.*?)" + QUARTER, "$1 "))))
-        return F.struct(x["n"].alias("n"), F.transform(x["whole"], _quarter_number).alias("q"), F.transform(F.concat(x["whole"], bare), _core).alias("p"))
-
-    def with_quarters(x: Column) -> Column:
-        def one(i: Column) -> Column:
-            start = F.add_months(_day(F.year(F.get(x["p"], i + 4)["end"]) - 1, 4, 1), 3 * (F.get(x["q"], i) - 1))
-            fiscal = F.when(F.get(x["p"], i + 4)["grain"] == "annual", let(start, lambda d: _period(d, F.last_day(F.add_months(d, 2)), "quarterly")))
-            return F.coalesce(fiscal, F.get(x["p"], i))
-
-        return F.struct(x["n"].alias("n"), F.transform(F.sequence(F.lit(0), F.lit(3)), one).alias("p"))
-
-    def ended(x: Column) -> Column:
-        n = F.array(x["n"], F.lit(12), F.lit(3))
-        span = F.array(F.when(x["n"] == 3, "quarterly").when(x["n"] == 12, "annual").otherwise("period"), F.lit("annual"), F.lit("quarterly"))
-        back = F.transform(F.slice(x["p"], 1, 3), lambda p, i: _period(F.add_months(F.trunc(p["end"], "MM"), 1 - F.get(n, i)), p["end"], F.get(span, i)))
-        return F.get(F.filter(F.concat(back, F.slice(x["p"], 4, 1)), lambda p: p.isNotNull()), F.lit(0))
-
-    return F.when(F.coalesce(raw, F.lit("")) != "", let(let(let(let(s, rests), cores), with_quarters), ended))
+def periods(texts: DataFrame) -> DataFrame:
+    """texts (raw) with `period_of`: struct(start, end, grain, confidence, note), or null. An impossible date is null.
+
+    A text is read in several ways: as what follows an "ended" phrase (in the order of the rules, outer phrases first), and as a whole; each
+    with its quarter taken out, then as it is. Every reading is a row of its own, so the rules are planned once; the first that gives dates counts."""
+    plain = _squeezed("lower(coalesce(raw, ''))")
+    rows = texts.selectExpr("*", f"translate({plain}, '\u2013\u2014\u2212', '---') AS _s").selectExpr("*", "'' AS _at", "CAST(array() AS ARRAY<STRUCT<n: INT, grain: STRING>>) AS _back")
+    every = rows
+    for _ in range(NESTED):
+        rows = rows.where(F.expr("contains(_s, 'ended') OR contains(_s, 'end')")).selectExpr("* EXCEPT (_s, _at, _back)", "_at", "_back", f"posexplode({_ended('_s')}) AS (_k, _x)")
+        rows = rows.selectExpr("* EXCEPT (_at, _back, _k, _x)", "_x.rest AS _s", "concat(_at, _k) AS _at", "concat(array(struct(_x.n AS n, _x.grain AS grain)), _back) AS _back")
+        every = every.unionByName(rows)
+    # readings in order: what an outer phrase leaves comes before the whole text ('0' < '00' must not hold, so '~' ends each place)
+    quarter = f"coalesce({_int('_s', V.QUARTER, 1)}, element_at({sql_map(V.ORDINALS)}, {_word('_s', V.QUARTER, 2)}))"
+    bare = f"CASE WHEN {_hit('_s', V.QUARTER)} THEN {_squeezed(f'regexp_replace(_s, {sql_text(U + r"^(.*?)" + V.QUARTER)}, {sql_text("$1 ")})')} END"
+    read = every.selectExpr("* EXCEPT (_at)", "concat(_at, '~') AS _at", f"{quarter} AS _q", f"inline(array(struct(0 AS _whole, {bare} AS _t), struct(1 AS _whole, _s AS _t)))").where("_t IS NOT NULL")
+    read = staged(read, [("_p", _core("_t"))], "_p")
+    start = "add_months(" + _day("year(_p.end) - 1", 4, 1) + ", 3 * (_q - 1))"
+    of_quarter = f"CASE WHEN _p.grain = 'annual' THEN {_span(start, f'last_day(add_months({start}, 2))', 'quarterly')} END"
+    read = read.withColumn("_p", F.expr(f"CASE WHEN _whole = 1 THEN _p ELSE {of_quarter} END"))
+    back = "aggregate(_back, _p, (p, x) -> named_struct('start', add_months(trunc(p.end, 'MM'), 1 - x.n), 'end', p.end, 'grain', x.grain, 'confidence', 1.0D, 'note', ''))"
+    read = read.withColumn("_p", F.expr(f"CASE WHEN _p.start IS NOT NULL AND _p.end IS NOT NULL THEN CASE WHEN size(_back) > 0 THEN {back} ELSE _p END END"))
+    best = read.where("_p IS NOT NULL").groupBy("raw").agg(F.min(F.struct("_at", "_whole", "_p"))["_p"].alias("period_of"))
+    return texts.join(best, "raw", "left")
+
+
+def with_period(df: DataFrame, out: str, period: str) -> DataFrame:
+    """df with the period of a column. Each distinct text is read once, and what it means is joined back."""
+    known = periods(df.select(F.col(period).alias("raw")).where("raw <> ''").distinct()).select(F.col("raw").alias("_raw"), F.col("period_of").alias(out))
+    return df.join(known, F.col(period) == F.col("_raw"), "left").drop("_raw")
 
 
 def relation(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

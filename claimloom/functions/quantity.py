@@ -4,85 +4,51 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import U, first_hit, general, let, strip, word_pattern
-from .vocab import CURRENCY, MAGNITUDES, NOT_A_UNIT, PERCENT, SYMBOL, UNIT_SYNONYMS, longest_first
-
-NUMBER = U + r"[-+]?\(?\d[\d,\s]*(?:\.\d+)?\)?"
-TYPE = "struct<value:double,tolerance:double,unit:string,magnitude:string,raw:string>"
-
-_CURRENCIES = [(word_pattern(t), CURRENCY[t]) for t in longest_first(CURRENCY)]
-_SYNONYMS = [x for pair in UNIT_SYNONYMS.items() for x in pair]
-
-
-def _letters(x: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-
-
-def _own_unit(*sources: Column) -> Column:
-    """The first word that can be a unit, by its one spelling."""
-    word = F.get(F.filter(F.concat(*map(_letters, sources)), lambda w: ~w.isin(NOT_A_UNIT) & (F.length(w) <= 24)), F.lit(0))
-
-    def spell(w: Column) -> Column:
-        known = F.create_map(*map(F.lit, _SYNONYMS))
-        one = F.when((F.length(w) > 4) & w.rlike("s$") & ~w.rlike("(ss|us|is)$"), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-        return F.coalesce(F.element_at(known, w), F.element_at(known, one), one)
-
-    return let(word, spell)
-
-
-def _scale_only(unit: Column) -> Column:
-    return (F.size(_letters(unit)) > 0) & F.forall(_letters(unit), lambda w: w.isin(NOT_A_UNIT))
-
-
-def parse_quantity(value: Column, unit: Column, magnitude: Column, context: Column) -> Column:
-    """struct(value, tolerance, unit, magnitude, raw), or null where there is no number."""
-    raw = strip(value)
-    blob = F.lower(F.concat(raw, F.lit(" "), F.coalesce(unit, F.lit("")), F.lit(" "), F.coalesce(magnitude, F.lit(""))))
-
-    def build(x: Column) -> Column:
-        token, blob = x["token"], x["blob"]
-        plain = F.regexp_replace(F.translate(token, ", ", ""), r"^[()]+|[()]+$", "")
-        number = plain.try_cast("double")
-        number = F.when(strip(token).startswith("(") & strip(token).endswith(")"), -number).otherwise(number)
-        decimals = F.length(F.regexp_extract(plain, r"\.(.*)$", 1))
-        step = F.element_at(F.create_map(*(F.lit(v) for k in range(31) for v in (k, 0.5 * 10**-k))), F.least(decimals, F.lit(30)))
-
-        share = F.lit(None).cast("double")
-        for t in reversed(longest_first(PERCENT)):
-            share = F.when(blob.rlike(rf"(?<![a-z]){re.escape(t)}"), F.lit(PERCENT[t])).otherwise(share)
-        currency = first_hit(blob, _CURRENCIES)
-        own = _own_unit(x["unit"], x["magnitude"], x["raw"])
-        dropped = F.when(_scale_only(x["unit"]) & (F.coalesce(x["context"], F.lit("")) != ""), first_hit(F.lower(x["context"]), _CURRENCIES))
-        of = F.when(share.isNotNull(), F.lit("percent")).otherwise(F.coalesce(currency, own, dropped, F.lit("count")))
-
-        scales = longest_first(MAGNITUDES)
-        free = F.regexp_replace(blob, U + rf"\bper\s+(?:one\s+|a\s+)?(?:{'|'.join(scales)})\b", " ")
-        scale = F.when(share.isNull(), first_hit(free, [(rf"\b{w}\b", w) for w in scales]))
-        return let(
-            F.struct(number.alias("n"), step.alias("t"), share.alias("s"), of.alias("u"), scale.alias("m")),
-            lambda y: let(
-                F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in MAGNITUDES.items() for v in kv)), y["m"]), F.lit(1.0)),
-                lambda k: F.when(
-                    y["n"].isNotNull(),
-                    F.struct((y["n"] * k * F.coalesce(y["s"], F.lit(1.0))).alias("value"), (y["t"] * k * F.coalesce(y["s"], F.lit(1.0))).alias("tolerance"), y["u"].alias("unit"), y["m"].alias("magnitude"), x["raw"].alias("raw")),
-                ),
-            ),
-        )
-
-    parts = F.struct(raw.alias("raw"), blob.alias("blob"), F.regexp_extract(raw, NUMBER, 0).alias("token"), unit.alias("unit"), magnitude.alias("magnitude"), context.alias("context"))
-    return F.when(value.isNotNull(), let(parts, build))
-
-
-def agree(a: Column, b: Column) -> Column:
-    """Within the looser of the two precisions."""
-    return F.abs(a["value"] - b["value"]) <= F.greatest(a["tolerance"], b["tolerance"])
-
-
-def comparable(a: Column, b: Column) -> Column:
-    return F.coalesce((a["unit"] == b["unit"]) & (a["unit"] != "unknown"), F.lit(False))
+from .base import U, general, sql_first_hit, sql_map, sql_text, staged, word_pattern
+from .vocab import CURRENCY, MAGNITUDES, NOT_A_UNIT, NUMBER, PER_SCALE, PERCENT, SYMBOL, UNIT_SYNONYMS, longest_first
+
+_SCALES = longest_first(MAGNITUDES)
+_FILLER = "|".join(NOT_A_UNIT)
+
+
+def steps(value: str, unit: str, magnitude: str, context: str) -> list[tuple[str, str]]:
+    """SQL steps from column names to struct(value, tolerance, unit, magnitude, raw), or null where there is no number."""
+    currencies = [(word_pattern(t), CURRENCY[t]) for t in longest_first(CURRENCY)]
+    shares = [(rf"(?<![a-z]){re.escape(t)}", PERCENT[t]) for t in longest_first(PERCENT)]
+    edges = sql_text(U + r"^\s+|\s+$")
+    # the first word that can be a unit
+    own = sql_text(rf"(?<![a-z])(?!(?:{_FILLER})(?![a-z]))([a-z]{{1,24}})(?![a-z])")
+    other = sql_text(rf"(?<![a-z])(?!(?:{_FILLER})(?![a-z]))[a-z]+")
+    per = sql_text(U + PER_SCALE.format(scales="|".join(_SCALES)))
+    factor = "coalesce(_q_share, 1.0D) * coalesce(element_at(" + sql_map({k: float(v) for k, v in MAGNITUDES.items()}) + ", _q_scale), 1.0D)"
+    known = sql_map(UNIT_SYNONYMS)
+    return [
+        ("_q_raw", f"regexp_replace({value}, {edges}, '')"),
+        ("_q_blob", f"lower(concat(_q_raw, ' ', coalesce({unit}, ''), ' ', coalesce({magnitude}, '')))"),
+        ("_q_token", f"regexp_extract(_q_raw, {sql_text(U + NUMBER)}, 0)"),
+        ("_q_plain", "regexp_replace(translate(_q_token, ', ', ''), '^[()]+|[()]+$', '')"),
+        ("_q_sign", f"CASE WHEN regexp_replace(_q_token, {edges}, '') LIKE '(%)' THEN -1.0D ELSE 1.0D END"),
+        ("_q_n", "_q_sign * try_cast(_q_plain AS DOUBLE)"),
+        ("_q_half", "try_cast(concat('5e-', length(regexp_extract(_q_plain, '[.](.*)$', 1)) + 1) AS DOUBLE)"),
+        ("_q_share", sql_first_hit("_q_blob", shares)),
+        ("_q_word", f"regexp_extract(lower(concat_ws(' ', {unit}, {magnitude}, _q_raw)), {own}, 1)"),
+        ("_q_one", "CASE WHEN length(_q_word) > 4 AND _q_word RLIKE 's$' AND NOT _q_word RLIKE '(ss|us|is)$' THEN left(_q_word, length(_q_word) - 1) ELSE _q_word END"),
+        ("_q_own", f"nullif(coalesce(element_at({known}, _q_word), element_at({known}, _q_one), _q_one), '')"),
+        ("_q_money", sql_first_hit("_q_blob", currencies)),
+        ("_q_said", f"CASE WHEN coalesce({context}, '') <> '' AND lower({unit}) RLIKE '[a-z]' AND NOT lower({unit}) RLIKE {other} THEN lower({context}) END"),
+        ("_q_unit", f"CASE WHEN _q_share IS NOT NULL THEN 'percent' ELSE coalesce(_q_money, _q_own, CASE WHEN _q_said IS NOT NULL THEN {sql_first_hit('_q_said', currencies)} END, 'count') END"),
+        ("_q_free", f"CASE WHEN contains(_q_blob, 'per') THEN regexp_replace(_q_blob, {per}, ' ') ELSE _q_blob END"),
+        ("_q_scale", f"CASE WHEN _q_share IS NULL THEN {sql_first_hit('_q_free', [(rf'{chr(92)}b{w}{chr(92)}b', w) for w in _SCALES])} END"),
+        ("_q", f"CASE WHEN _q_n IS NOT NULL THEN named_struct('value', _q_n * {factor}, 'tolerance', _q_half * {factor}, 'unit', _q_unit, 'magnitude', _q_scale, 'raw', _q_raw) END"),
+    ]
+
+
+def with_quantity(df: DataFrame, out: str, value: str, unit: str, magnitude: str, context: str) -> DataFrame:
+    """df with struct(value, tolerance, unit, magnitude, raw) as out, null where there is no number."""
+    return staged(df, steps(value, unit, magnitude, context), out)
 
 
 def symbol(unit: Column) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import basis as B
 from claimloom.functions.names import entity_key, metric_key
-from claimloom.functions.period import parse_period
-from claimloom.functions.quantity import parse_quantity
+from claimloom.functions.period import with_period
+from claimloom.functions.quantity import with_quantity
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
@@ -22,16 +22,12 @@ def stable_id(prefix: str, *parts: Column) -> Column:
 def normalize(claims: DataFrame) -> DataFrame:
     """Adds entity_key, metric_key, quantity, period_of, basis_of and qualifiers."""
     c = F.col
-    return claims.withColumns(
-        {
-            "entity_key": entity_key(c("entity")),
-            "metric_key": metric_key(c("metric")),
-            "quantity": parse_quantity(c("value"), c("unit"), c("magnitude"), c("quote")),
-            "period_of": parse_period(c("period")),
-            "basis_of": B.merged(B.normalize_basis(c("basis"), c("quote")), B.infer_from_label(c("metric"))),
-            "qualifiers": B.leftover(c("basis")),
-        }
-    )
+    n = with_period(claims, "period_of", "period")
+    n = with_quantity(n, "quantity", "value", "unit", "magnitude", "quote")
+    n = B.with_basis(n, "_stated", "basis", "quote")
+    return n.withColumns(
+        {"entity_key": entity_key(c("entity")), "metric_key": metric_key(c("metric")), "basis_of": B.merged(c("_stated"), B.infer_from_label(c("metric"))), "qualifiers": B.leftover(c("basis"))}
+    ).drop("_stated")
 
 
 def completeness(entity: Column, metric: Column, period: Column, unit: Column, basis: Column) -> Column:

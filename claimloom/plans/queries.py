@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import basis as B
 from claimloom.functions.names import entity_key, is_resolvable, metric_key, near_miss, overlap, same_entity
-from claimloom.functions.period import parse_period, relation
-from claimloom.functions.quantity import format_value, parse_quantity
+from claimloom.functions.period import relation, with_period
+from claimloom.functions.quantity import format_value, with_quantity
 from claimloom.operators import admit, blocking, build, compare, normalize, pages
 from claimloom.plans import ledger, stats
 from claimloom.sources import gold, tables
@@ -54,14 +54,14 @@ _QUANTITIES = [
 @query("quantity_literals", _values([(i, q[4], q[5], q[6]) for i, q in enumerate(_QUANTITIES)], "i INTEGER", "value DOUBLE", "unit VARCHAR", "magnitude VARCHAR"))
 def quantity_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, *q[:4]) for i, q in enumerate(_QUANTITIES)], "i int, v string, u string, m string, c string")
-    return rows.select("i", parse_quantity(F.col("v"), F.col("u"), F.col("m"), F.col("c")).alias("q")).select("i", "q.value", "q.unit", "q.magnitude")
+    return with_quantity(rows, "q", "v", "u", "m", "c").select("i", "q.value", "q.unit", "q.magnitude")
 
 
 @query("quantity_formats", _values([(0, "₹8,142 crore"), (1, "6.5%"), (2, "1,204 patient"), (3, "$3.2 billion")][:2] + [(2, "1,204"), (3, "$3.2 billion")], "i INTEGER", "shown VARCHAR"))
 def quantity_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(0, "Rs. 8,142 crore"), (1, "6.5%"), (2, "1204 patients"), (3, "$3.2 billion")], "i int, v string")
-    none = F.lit(None).cast("string")
-    return rows.select("i", format_value(parse_quantity(F.col("v"), none, none, none)).alias("shown"))
+    rows = rows.withColumn("no", F.lit(None).cast("string"))
+    return with_quantity(rows, "q", "v", "no", "no", "no").select("i", format_value(F.col("q")).alias("shown"))
 
 
 _PERIODS = [
@@ -79,7 +79,7 @@ _PERIODS = [
 @query("period_literals", _values([(i, *p[1:]) for i, p in enumerate(_PERIODS)], "i INTEGER", "p_start DATE", "p_end DATE", "grain VARCHAR"))
 def period_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, p[0]) for i, p in enumerate(_PERIODS)], "i int, p string")
-    return rows.select("i", parse_period(F.col("p")).alias("x")).select("i", F.col("x.start").alias("p_start"), F.col("x.end").alias("p_end"), "x.grain")
+    return with_period(rows, "x", "p").select("i", F.col("x.start").alias("p_start"), F.col("x.end").alias("p_end"), "x.grain")
 
 
 _RELATIONS = [("FY24", "Q4 FY24", "contains"), ("Q4 FY24", "FY24", "contained_by"), ("FY24", "FY25", "disjoint"), ("FY25", "2024-25", "same"), ("CY2024", "FY25", "overlaps")]
@@ -88,8 +88,8 @@ _RELATIONS = [("FY24", "Q4 FY24", "contains"), ("Q4 FY24", "FY24", "contained_by
 @query("relation_literals", _values([(i, r[2]) for i, r in enumerate(_RELATIONS)], "i INTEGER", "relation VARCHAR"))
 def relation_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(_RELATIONS)], "i int, a string, b string")
-    rows = rows.select("i", parse_period(F.col("a")).alias("a"), parse_period(F.col("b")).alias("b"))
-    return rows.select("i", relation(F.col("a.start"), F.col("a.end"), F.col("b.start"), F.col("b.end")).alias("relation"))
+    rows = with_period(with_period(rows, "x", "a"), "y", "b")
+    return rows.select("i", relation(F.col("x.start"), F.col("x.end"), F.col("y.start"), F.col("y.end")).alias("relation"))
 
 
 _ENTITIES = [
@@ -148,8 +148,8 @@ _BASES = [
 @query("basis_literals", _values([(i, b[3]) for i, b in enumerate(_BASES)], "i INTEGER", "basis VARCHAR"))
 def basis_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, *b[:3]) for i, b in enumerate(_BASES)], "i int, b map<string,string>, c string, m string")
-    known = B.merged(B.normalize_basis(F.col("b"), F.col("c")), B.infer_from_label(F.col("m")))
-    return rows.select("i", F.array_join(F.array_sort(F.transform(F.map_entries(known), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("basis"))
+    known = B.merged(F.col("known"), B.infer_from_label(F.col("m")))
+    return B.with_basis(rows, "known", "b", "c").select("i", F.array_join(F.array_sort(F.transform(F.map_entries(known), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("basis"))
 
 
 def gold_judged(spark: SparkSession) -> DataFrame:

@@ -13,9 +13,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows over as many partitions as there are cores, where it has fewer splits: a small file is one split, and work on its rows
+    would be one task."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim for each order: its value at one of three precisions, for a period in one of four notations, with a vintage by its status."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice")
+    o = spread(o)
     o = o.join(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     cents, k = F.expr("cast(round(o_totalprice * 100) as bigint)"), F.col("o_orderkey")
     whole = F.expr("cast(cast(round(o_totalprice * 100) as bigint) div 100 as string)")
@@ -45,7 +53,7 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def customer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims on customers' balances, of which some must be refused, each for another reason (by the remainder of the key by 8)."""
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.expr("cast(round(c_acctbal * 100) as bigint)").alias("cents"))
-    r = F.col("c_custkey") % 8
+    c, r = spread(c), F.col("c_custkey") % 8
     said = F.concat(F.lit("The account of "), "c_name", F.lit(" holds "), F.col("cents").cast("string"), F.lit(" cents"))
     return c.select(
         F.col("c_mktsegment").alias("doc_id"), F.col("c_nationkey").cast("int").alias("page_no"), F.col("c_custkey").alias("key"), F.lit("measurement").alias("fact_kind"),

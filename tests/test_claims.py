@@ -59,9 +59,9 @@ def test_trace_and_explanations(spark):
     assert [c.dimension for c in by["M1", "M2"].checks] == ["entity", "metric", "unit", "period", "vintage", "price_basis", "measure", "value"]
     assert by["M1", "M4"].confidence == 0.7 and by["M1", "M4"].map["measure"] == "differs" and by["M1", "M4"].map["valuation"] == "unknown"
     said = {(r.fact_a, r.fact_b): r.explanation for r in build.relationships(judged).collect()}
-    assert said["M1", "M2"].endswith("as 6.5%. Corroborated across macro-2 p.8 and macro-3 p.10.")
+    assert said["M1", "M2"] == "Agreement: India · real GDP growth (2024-25). macro-2 p.8 and macro-3 p.10: 6.5%."
     assert "₹81,415.38 million" in said["D2", "D3"] and "₹8142 crore" in said["D2", "D3"] and said["D2", "D3"].endswith("One company's statements use both names for this line.")
-    assert "They differ by 0.1 percentage points." in said["M5", "M6"] and "one is consolidated and the other is not (standalone vs consolidated)" in said["D1", "D2"]
+    assert "Gap: 0.1 percentage points." in said["M5", "M6"] and "the scope of the accounts alone (standalone against consolidated)" in said["D1", "D2"]
 
 
 def test_unknown_metric_needs_adjudication(spark):
