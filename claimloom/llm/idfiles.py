@@ -107,10 +107,23 @@ class KeyIndex:
         return cls(levels, a, b, c, np.frombuffer(data, "<u8", m, at + 12 * n))
 
 
-_encoders: dict[int, PieceEncoder] = {}
+_encoders: dict[int, TextEncoder] = {}
 
 
-def piece_encoder(vocabulary: str) -> PieceEncoder:
+class TextEncoder(PieceEncoder):
+    """Texts that hold one of the vocabulary's added tokens go to the library whole, all others piece by piece."""
+
+    def __init__(self, encode, whole, added: list[str], dtype):
+        super().__init__(encode, dtype, 1_000_000)
+        self.whole, self.added = whole, added
+
+    def __call__(self, text: str) -> np.ndarray:
+        if any(a in text for a in self.added):
+            return np.asarray(self.whole(text), self.dtype)
+        return super().__call__(text)
+
+
+def text_encoder(vocabulary: str) -> TextEncoder:
     """Encodes with the tokenizers library. A word, and the marks that may follow it, are one pre-token each (whatever stands around them) and
     go straight to the library's model; any other piece goes through the whole tokenizer."""
     key = hash(vocabulary)
@@ -118,7 +131,6 @@ def piece_encoder(vocabulary: str) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(vocabulary)
-        t.encode_special_tokens = True
         model, letters = t.model, _byte_letters()
 
         marks: dict[str, list[int]] = {}
@@ -134,7 +146,8 @@ def piece_encoder(vocabulary: str) -> PieceEncoder:
             return t.encode(piece, add_special_tokens=False).ids
 
         _encoders.clear()
-        _encoders[key] = PieceEncoder(encode, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32, 1_000_000)
+        added = [a.content for a in t.get_added_tokens_decoder().values()]
+        _encoders[key] = TextEncoder(encode, lambda text: t.encode(text, add_special_tokens=False).ids, added, np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32)
     return _encoders[key]
 
 
@@ -150,7 +163,7 @@ def _write(vocabulary, end_id: int, shard_ids: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode, part, seq = piece_encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, part, seq = text_encoder(vocabulary), TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         ids: list[np.ndarray] = []
         total = 0
@@ -222,7 +235,7 @@ def _read(batches):
 
 def read_all(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back through the shards' indexes."""
-    small_batches(spark, 1)
+    small_batches(spark)  # a shard's row has a fixed size, and a split of a file holds few
     shards = spark.read.parquet(path)
     from pyspark.sql import Window
 

@@ -216,10 +216,12 @@ def test_id_files(docs, nothing, spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    special = [*TEXTS, (13, "a <|endoftext|> b"), (14, "<|endoftext|>"), (15, "x<|endoftext|><|endoftext|>  y <|endof text|>")]
+    docs = spark.createDataFrame(rows(special), SCHEMA)
+    assert t.encode("a <|endoftext|> b", add_special_tokens=False).ids.count(50256) == 1
     path = f"file://{tmp_path}/ids"
     idfiles.write_ids(docs, path, shard_ids=500)
-    order = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    order = sorted(special, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     want, start = [], 0
     for i, text in order:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
