@@ -13,7 +13,7 @@ follow the size of the input; whatever moves between passes is packed by block a
    contexts) to the shards of words, which add up. Discounts come from sums over all shards.
 3. Values. Each shard of bigrams asks the shards of words for what belongs to its contexts and words, and computes its bigrams' values.
    The most frequent keys with their values (HEAD at most: an exact cache) and filters of a fixed number of bits are broadcast.
-4. Scoring, in ROUNDS passes over a part of the documents each, which bounds what lies on disk at once. Every word counts as unknown at
+4. Scoring, in ROUNDS passes over a part of the documents each (as 3 is over parts of the bigrams), which bounds what lies on disk at once. Every word counts as unknown at
    first. Keys that the head knows are added there; those that a filter passes are asked for at their shard, which returns what they add for
    each document. The filters have no false negatives, so the result is exact whatever their load.
 5. A document is kept if its perplexity is at most the QUANTILE of the held-out trusted documents of its language. Every language with
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, keep, shared_dir, small_batches
+from .common import forget, keep, shared_dir, small_batches, union
 from .packing import BLOCK_DOCS, block_keys, cuts, pack, shard_of, shards_for, squeeze, thick, thin, unpack, widen
 from .words import SPACED, mix, text_words
 
@@ -43,8 +43,8 @@ LEAST = 50
 HEAD = 1 << 20
 #: Bits of the filter of bigrams, and of that of words.
 FILTER_BITS, WORD_BITS = 27, 24
-#: Documents are scored in so many passes.
-ROUNDS = 2
+#: Bigrams are valued, and documents scored, in so many passes.
+ROUNDS = 3
 #: Up to so many trusted ids (or thresholds) are broadcast; beyond that documents and labels are joined with a shuffle.
 IDS = 1 << 20
 #: Shards of words for each row of the grid.
@@ -485,11 +485,14 @@ def train(docs: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[list[Dat
     smoothing = Smoothing(seen, np.array(low, np.float64), kinds, types)
     asked = counts.select("shard", "cell").mapInArrow(_asking(side), _REPLY)
     replies = keep(asked.groupBy("shard").cogroup(words.select("shard", "cell").groupBy("shard")).applyInPandas(_replying(smoothing), _REPLY), "replies", batch=1)
-    pairs = keep(counts.select("shard", "cell").groupBy("shard").cogroup(replies.groupBy("shard")).applyInPandas(_pair_values(side, smoothing, HEAD // 2), _VALUES), "pairs", batch=1)
+    tables = []
+    for r in range(ROUNDS):
+        part = lambda df, r=r: df.where(F.col("shard") % ROUNDS == r).groupBy("shard")
+        tables.append(keep(part(counts.select("shard", "cell")).cogroup(part(replies)).applyInPandas(_pair_values(side, smoothing, HEAD // 2), _VALUES), "pairs", batch=1))
     forget(counts, replies)
-    tables = [pairs, keep(words.select("shard", "cell").mapInArrow(_word_values(side, smoothing, HEAD // 2), _VALUES), "word-values", batch=1)]
+    tables.append(keep(words.select("shard", "cell").mapInArrow(_word_values(side, smoothing, HEAD // 2), _VALUES), "word-values", batch=1))
     forget(words)
-    rows = tables[0].unionByName(tables[1]).select("shard", "bits", "head").toLocalIterator()  # fixed size
+    rows = union(tables).select("shard", "bits", "head").toLocalIterator()  # fixed size
     return tables, Model(((r["shard"], bytes(r["bits"]), bytes(r["head"])) for r in rows), side, float(np.log(smoothing.spread)))
 
 
@@ -498,17 +501,14 @@ def scores(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tables, made = train(docs, labels, held)
     model = spark.sparkContext.broadcast(made)
-    values = tables[0].unionByName(tables[1]).select("shard", "cell").groupBy("shard")
+    values = union(tables).select("shard", "cell").groupBy("shard")
     done = []
     for r in range(ROUNDS):
         asked = docs.where(F.pmod("key", F.lit(ROUNDS)) == r).select("key", "text").mapInArrow(_ask(model), REQUEST)
         answered = asked.groupBy("shard").cogroup(values).applyInPandas(_answer, "flush long, own binary, gain binary")
         done.append(keep(answered.groupBy("flush").applyInPandas(_total, "key long, n_words long, nats double"), "round"))
     forget(*tables)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    return union(done)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
