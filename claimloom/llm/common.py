@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -73,11 +74,35 @@ def forget(*tables: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+_is_lean = False
+
+
+def lean() -> None:
+    """For Python workers: large arrays are given back to the system as soon as they are freed, in place of being kept for later ones."""
+    global _is_lean
+    if _is_lean:
+        return
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        for parameter, size in ((-3, 1 << 20), (-1, 1 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            libc.mallopt(parameter, size)
+    _is_lean = True
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string (or binary) column, one after the other, and n + 1 offsets into them; null counts as empty."""
     import pyarrow as pa
 
-    pa.set_memory_pool(pa.system_memory_pool())  # a worker gives its memory back between batches
+    lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     wide = pa.large_binary()

@@ -12,8 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Bytes of text for each shard, as long as there are not too many shards to be filled by a block.
-SHARD_TEXT = 16 << 20
+SHARD_TEXT = 8 << 20
 #: Beyond so many shards their number grows as the square root of the text, and blocks grow with it.
 MANY = 4096
 #: Keys, and documents, of a block. A document's place in its block takes two bytes.
@@ -76,4 +78,6 @@ def pack(*values) -> bytes:
     return pickle.dumps(values, protocol=5)
 
 
-unpack = pickle.loads
+def unpack(cell: bytes) -> tuple:
+    lean()
+    return pickle.loads(cell)
