@@ -28,11 +28,15 @@ def sql_map(table: dict) -> str:
     return "map(" + ", ".join(sql_text(x) if isinstance(x, str) else f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else repr(x) for kv in table.items() for x in kv) + ")"
 
 
-def sql_first_hit(x: str, rules: list[tuple[str, object]], otherwise: str = "NULL") -> str:
-    """SQL for the value of the first rule whose pattern occurs in x. One test of all patterns comes before the rules."""
+def sql_first_hit(x: str, rules: list[tuple[str, object]]) -> str:
+    """SQL for the value of the first rule whose pattern occurs in x.
+
+    One test of all patterns comes first, and is all that most rows need. The rules stand in a lambda, which keeps them out of generated code:
+    methods that grow too long for that are not compiled to machine code."""
     show = lambda v: sql_text(v) if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)"
     any_ = U + "|".join(f"(?:{pattern})" for pattern, _ in rules)
-    return f"CASE WHEN NOT {x} RLIKE {sql_text(any_)} THEN {otherwise} " + " ".join(f"WHEN {x} RLIKE {sql_text(U + pattern)} THEN {show(value)}" for pattern, value in rules) + f" ELSE {otherwise} END"
+    chain = " ".join(f"WHEN t RLIKE {sql_text(U + pattern)} THEN {show(value)}" for pattern, value in rules)
+    return f"CASE WHEN {x} RLIKE {sql_text(any_)} THEN transform(array({x}), t -> CASE {chain} END)[0] END"
 
 
 def staged(df, steps: list[tuple[str, str]], out: str):

@@ -26,27 +26,30 @@ def steps(raw: str, context: str) -> list[tuple[str, str]]:
 
     A stated value is looked up under its dimension, else under the first other dimension that knows it (where it gives way to what that
     dimension has itself), else kept as a slug. A dimension that is not stated is looked for in all values and the sentence."""
-    vocabularies = list(BASIS)
-    found = [("_b_raw", f"coalesce({raw}, CAST(map() AS MAP<STRING, STRING>))"), ("_b_blob", f"lower(regexp_replace(concat_ws(' ', map_values(_b_raw), coalesce({context}, '')), {_SEPARATED}, ' '))")]
-    for i, d in enumerate(DIMENSIONS):
-        # what is stated under d, and what each vocabulary finds in it
-        found += [(f"_b_s{i}", f"nullif(element_at(_b_raw, '{d}'), '')"), (f"_b_t{i}", f"lower(regexp_replace(_b_s{i}, {_SEPARATED}, ' '))")]
-        found += [(f"_b_h{i}", f"CASE WHEN _b_t{i} IS NOT NULL THEN array(" + ", ".join(sql_first_hit(f"_b_t{i}", BASIS[v]) for v in vocabularies) + ") END")]
-        found += [(f"_b_f{i}", f"CASE WHEN _b_t{i} IS NOT NULL THEN array_position(transform(_b_h{i}, x -> x IS NOT NULL), true) - 1 END")]
-    parts = []
+    vocabularies, all_ = list(BASIS), len(DIMENSIONS)
+    plain = lambda x: f"lower(regexp_replace({x}, {_SEPARATED}, ' '))"
+    stated = ", ".join(f"nullif(element_at(_b_raw, '{d}'), '')" for d in DIMENSIONS)
+    found = [
+        ("_b_raw", f"coalesce({raw}, CAST(map() AS MAP<STRING, STRING>))"),
+        ("_b_stated", f"array({stated})"),
+        ("_b_texts", f"concat(_b_stated, array(concat_ws(' ', map_values(_b_raw), coalesce({context}, ''))))"),
+        # for each stated value, and for everything together, what every vocabulary finds in it
+        ("_b_hits", f"transform(transform(_b_texts, x -> {plain('x')}), x -> CASE WHEN x IS NOT NULL THEN array({', '.join(sql_first_hit('x', BASIS[v]) for v in vocabularies)}) END)"),
+        ("_b_first", "transform(_b_hits, h -> array_position(transform(h, x -> x IS NOT NULL), true) - 1)"),
+    ]
+    entries = []
     for i, d in enumerate(DIMENSIONS):
         own = vocabularies.index(d) if d in BASIS else None
-        at = lambda j, k: f"_b_h{j}[{k}]"
-        unstated = f"WHEN _b_s{i} IS NULL THEN {sql_first_hit('_b_blob', BASIS[d])} WHEN {at(i, own)} IS NOT NULL THEN {at(i, own)} " if own is not None else f"WHEN _b_s{i} IS NULL THEN NULL "
-        direct = f"CASE {unstated}WHEN _b_f{i} < 0 THEN {_slug(f'_b_s{i}')} END"
-        moved = []
-        for j, e in enumerate(DIMENSIONS):
-            if own is not None and j != i:
-                known = f"{at(j, vocabularies.index(e))} IS NULL AND " if e in BASIS else ""
-                moved.append(f"CASE WHEN {known}_b_f{j} = {own} THEN {at(j, own)} END")
-        parts.append((f"_b_v{i}", f"coalesce({', '.join([direct, *moved])})"))
-    entries = ", ".join(f"struct('{d}' AS key, _b_v{i} AS value)" for i, d in enumerate(DIMENSIONS))
-    return [*found, *parts, ("_b", f"map_from_entries(filter(array({entries}), e -> e.value IS NOT NULL))")]
+        if own is None:
+            entries.append(f"struct('{d}' AS key, CASE WHEN _b_first[{i}] < 0 THEN {_slug(f'_b_stated[{i}]')} END AS value)")
+            continue
+        direct = f"CASE WHEN _b_stated[{i}] IS NULL THEN _b_hits[{all_}][{own}] WHEN _b_hits[{i}][{own}] IS NOT NULL THEN _b_hits[{i}][{own}] WHEN _b_first[{i}] < 0 THEN {_slug(f'_b_stated[{i}]')} END"
+        # what other dimensions were given but do not know, and this one does
+        unknown = {e: f"_b_hits[{j}][{vocabularies.index(e)}] IS NULL AND " if e in BASIS else "" for j, e in enumerate(DIMENSIONS)}
+        moved = [f"CASE WHEN {unknown[e]}_b_first[{j}] = {own} THEN _b_hits[{j}][{own}] END" for j, e in enumerate(DIMENSIONS) if j != i]
+        entries.append(f"struct('{d}' AS key, coalesce({', '.join([direct, *moved])}) AS value)")
+    rows = f"filter(array({', '.join(entries)}), e -> e.value IS NOT NULL)"
+    return [*found, ("_b", f"map_from_entries({rows})")]
 
 
 def with_basis(df: DataFrame, out: str, raw: str, context: str) -> DataFrame:

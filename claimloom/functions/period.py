@@ -87,29 +87,26 @@ def _ended(s: str) -> str:
 
 
 def periods(texts: DataFrame) -> DataFrame:
-    """texts (raw) with `period_of`: struct(start, end, grain, confidence, note), or null. An impossible date is null.
+    """raw, period_of: struct(start, end, grain, confidence, note) for those of the distinct texts (raw) that name a period. An impossible
+    date names none.
 
     A text is read in several ways: as what follows an "ended" phrase (in the order of the rules, outer phrases first), and as a whole; each
     with its quarter taken out, then as it is. Every reading is a row of its own, so the rules are planned once; the first that gives dates counts."""
-    plain = _squeezed("lower(coalesce(raw, ''))")
-    rows = texts.selectExpr("*", f"translate({plain}, '\u2013\u2014\u2212', '---') AS _s").selectExpr("*", "'' AS _at", "CAST(array() AS ARRAY<STRUCT<n: INT, grain: STRING>>) AS _back")
-    every = rows
-    for _ in range(NESTED):
-        rows = rows.where(F.expr("contains(_s, 'ended') OR contains(_s, 'end')")).selectExpr("* EXCEPT (_s, _at, _back)", "_at", "_back", f"posexplode({_ended('_s')}) AS (_k, _x)")
-        rows = rows.selectExpr("* EXCEPT (_at, _back, _k, _x)", "_x.rest AS _s", "concat(_at, _k) AS _at", "concat(array(struct(_x.n AS n, _x.grain AS grain)), _back) AS _back")
-        every = every.unionByName(rows)
-    # readings in order: what an outer phrase leaves comes before the whole text ('0' < '00' must not hold, so '~' ends each place)
+    plain = f"translate({_squeezed('lower(raw)')}, '\u2013\u2014\u2212', '---')"
+    ended = f"transform({_ended('x.s')}, (y, k) -> struct(concat(x.at, k) AS at, concat(array(struct(y.n AS n, y.grain AS grain)), x.back) AS back, y.rest AS s))"
+    steps = [("_r0", f"array(struct('' AS at, CAST(array() AS ARRAY<STRUCT<n: INT, grain: STRING>>) AS back, {plain} AS s))")]
+    steps += [(f"_r{k}", f"flatten(transform(_r{k - 1}, x -> {ended}))") for k in range(1, NESTED + 1)]
+    readings = staged(texts, [*steps, ("_all", "concat(" + ", ".join(n for n, _ in steps) + ")")], "_all").selectExpr("raw", "inline(_all) AS (_at, _back, _s)")
     quarter = f"coalesce({_int('_s', V.QUARTER, 1)}, element_at({sql_map(V.ORDINALS)}, {_word('_s', V.QUARTER, 2)}))"
     bare = f"CASE WHEN {_hit('_s', V.QUARTER)} THEN {_squeezed(f'regexp_replace(_s, {sql_text(U + r"^(.*?)" + V.QUARTER)}, {sql_text("$1 ")})')} END"
-    read = every.selectExpr("* EXCEPT (_at)", "concat(_at, '~') AS _at", f"{quarter} AS _q", f"inline(array(struct(0 AS _whole, {bare} AS _t), struct(1 AS _whole, _s AS _t)))").where("_t IS NOT NULL")
-    read = staged(read, [("_p", _core("_t"))], "_p")
+    # the place of an outer phrase ends with ~, so that what it holds inside comes before it
+    read = readings.selectExpr("raw", "concat(_at, '~') AS _at", "_back", f"{quarter} AS _q", f"inline(array(struct(0 AS _whole, {bare} AS _t), struct(1 AS _whole, _s AS _t)))").where("_t IS NOT NULL")
     start = "add_months(" + _day("year(_p.end) - 1", 4, 1) + ", 3 * (_q - 1))"
     of_quarter = f"CASE WHEN _p.grain = 'annual' THEN {_span(start, f'last_day(add_months({start}, 2))', 'quarterly')} END"
-    read = read.withColumn("_p", F.expr(f"CASE WHEN _whole = 1 THEN _p ELSE {of_quarter} END"))
-    back = "aggregate(_back, _p, (p, x) -> named_struct('start', add_months(trunc(p.end, 'MM'), 1 - x.n), 'end', p.end, 'grain', x.grain, 'confidence', 1.0D, 'note', ''))"
-    read = read.withColumn("_p", F.expr(f"CASE WHEN _p.start IS NOT NULL AND _p.end IS NOT NULL THEN CASE WHEN size(_back) > 0 THEN {back} ELSE _p END END"))
-    best = read.where("_p IS NOT NULL").groupBy("raw").agg(F.min(F.struct("_at", "_whole", "_p"))["_p"].alias("period_of"))
-    return texts.join(best, "raw", "left")
+    back = "aggregate(_back, _o, (p, x) -> named_struct('start', add_months(trunc(p.end, 'MM'), 1 - x.n), 'end', p.end, 'grain', x.grain, 'confidence', 1.0D, 'note', ''))"
+    steps = [("_p", _core("_t")), ("_o", f"CASE WHEN _whole = 1 THEN _p ELSE {of_quarter} END"), ("_d", f"CASE WHEN _o.start IS NULL OR _o.end IS NULL THEN NULL WHEN size(_back) > 0 THEN {back} ELSE _o END")]
+    read = staged(read, steps, "_d").where("_d IS NOT NULL")
+    return read.groupBy("raw").agg(F.min(F.struct("_at", "_whole", "_d"))["_d"].alias("period_of"))
 
 
 def with_period(df: DataFrame, out: str, period: str) -> DataFrame:

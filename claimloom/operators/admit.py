@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.base import strip
 from claimloom.functions.names import entity_key, is_resolvable
 
-from .normalize import normalize, stable_id, to_facts
+from .normalize import evidence_id, normalize, stable_id, to_facts
 from .pages import locate
 
 CLAIM = ["fact_kind", "entity", "metric", "value", "value_text", "unit", "magnitude", "period", "basis", "quote"]
@@ -30,14 +30,14 @@ def judge(claims: DataFrame, pages: DataFrame) -> DataFrame:
     return n.withColumn("reason", reason)
 
 
-def facts_of(judged: DataFrame) -> DataFrame:
+def facts_of(judged: DataFrame, fact_id: str | None = None) -> DataFrame:
     kept = judged.where("reason is null").withColumn("extraction_conf", F.lit(1.0)).withColumn("grounding_conf", F.bround("ground.confidence", 3))
-    return to_facts(kept)
+    return to_facts(kept, fact_id)
 
 
 def evidence_of(judged: DataFrame) -> DataFrame:
     g = judged.where("reason is null")
-    return g.select(stable_id("e", F.col("doc_id"), F.col("page_no"), F.col("quote")).alias("evidence_id"), "doc_id", "page_no", "quote", F.col("ground.char_start").alias("char_start"), F.col("ground.char_end").alias("char_end"), F.col("ground.match_type").alias("match_type")).distinct()
+    return g.select(evidence_id().alias("evidence_id"), "doc_id", "page_no", "quote", F.col("ground.char_start").alias("char_start"), F.col("ground.char_end").alias("char_end"), F.col("ground.match_type").alias("match_type")).distinct()
 
 
 def rejects_of(judged: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def near_keys(facts: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(facts: DataFrame, cross_document_only: bool = False) -> DataFrame:
-    """fact_a < fact_b, each unordered pair once."""
+    """fact_a < fact_b, each unordered pair once if each fact is: the two metric keys of a near pair differ, those of an exact one do not."""
     f = facts.select(*KEYS)
     exact = _pairs(f, f, ["entity_key", "metric_key"]).select("a_fact_id", "b_fact_id", "a_doc_id", "b_doc_id")
     keys = near_keys(f)
@@ -35,7 +35,7 @@ def candidate_pairs(facts: DataFrame, cross_document_only: bool = False) -> Data
     both = exact.unionByName(near)
     if cross_document_only:
         both = both.where("a_doc_id <> b_doc_id")
-    return both.select(F.least("a_fact_id", "b_fact_id").alias("fact_a"), F.greatest("a_fact_id", "b_fact_id").alias("fact_b")).where("fact_a <> fact_b").distinct()
+    return both.select(F.least("a_fact_id", "b_fact_id").alias("fact_a"), F.greatest("a_fact_id", "b_fact_id").alias("fact_b")).where("fact_a <> fact_b")
 
 
 def pairs_for_new(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def pairs_for_new(new: DataFrame, old: DataFrame) -> DataFrame:
     near = n.withColumnRenamed("metric_key", "kn").join(keys, ["entity_key", "kn"]).select("entity_key", "ko", F.col("fact_id").alias("a_fact_id"))
     near = near.join(o.select("entity_key", F.col("metric_key").alias("ko"), F.col("fact_id").alias("b_fact_id")), ["entity_key", "ko"]).select("a_fact_id", "b_fact_id")
     met = same.unionByName(near).select(F.least("a_fact_id", "b_fact_id").alias("fact_a"), F.greatest("a_fact_id", "b_fact_id").alias("fact_b")).where("fact_a <> fact_b")
-    return own.unionByName(met).distinct()
+    return own.unionByName(met)
 
 
 def block_stats(facts: DataFrame) -> DataFrame:

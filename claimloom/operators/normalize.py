@@ -30,6 +30,11 @@ def normalize(claims: DataFrame) -> DataFrame:
     ).drop("_stated")
 
 
+def evidence_id() -> Column:
+    """Evidence is a quote on a page of a document."""
+    return stable_id("e", F.col("doc_id"), F.col("page_no"), F.col("quote"))
+
+
 def completeness(entity: Column, metric: Column, period: Column, unit: Column, basis: Column) -> Column:
     """The share of the five parts of a frame that are there, to 3 places."""
     has = lambda x: F.when(F.coalesce(x, F.lit(False)), 1).otherwise(0)
@@ -47,7 +52,7 @@ def to_facts(admitted: DataFrame, fact_id: str | None = None) -> DataFrame:
     scored = admitted.withColumn("frame_completeness", completeness(c("entity_key"), c("metric_key"), c("period_of.start"), c("quantity.unit"), c("basis_of")))
     return scored.select(
         (c(fact_id) if fact_id else stable_id("f", c("doc_id"), c("page_no"), c("entity"), c("metric"), c("value"), c("value_text"), c("period"), c("quote"))).alias("fact_id"),
-        "doc_id", "page_no", "quote",
+        "doc_id", "page_no", "quote", evidence_id().alias("evidence_id"),
         F.when((c("fact_kind") == "measurement") & c("quantity").isNull(), "state").otherwise(c("fact_kind")).alias("fact_kind"),
         c("entity").alias("entity_raw"), "entity_key", c("metric").alias("metric_raw"), "metric_key", c("value").alias("value_raw"),
         c("quantity.value").alias("value_num"), "value_text", c("quantity.tolerance").alias("value_tol"), c("unit").alias("unit_raw"), c("quantity.unit").alias("unit_canon"),

@@ -13,8 +13,11 @@ def like(x: str, part: str) -> Column:
     return F.col(x).ilike(f"%{part}%")
 
 
-def with_evidence(facts: DataFrame, documents: DataFrame) -> DataFrame:
-    return facts.join(documents.select("doc_id", "filename"), "doc_id")
+def with_sources(facts: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """Facts with what their evidence and their document say: page, quote, offsets, how it was found, file name."""
+    own = [c for c in facts.columns if c not in ("page_no", "quote", "filename")]
+    found = evidence.select("evidence_id", "page_no", "quote", "char_start", "char_end", "match_type")
+    return facts.select(own).join(found, "evidence_id").join(documents.select("doc_id", "filename"), "doc_id")
 
 
 def ledger(facts: DataFrame, entity=None, metric=None, doc=None, kind=None, min_confidence: float = 0.0, q=None, limit: int = 500, offset: int = 0) -> DataFrame:
@@ -35,6 +38,34 @@ def both_sides(rels: DataFrame, facts: DataFrame) -> DataFrame:
     return rels.join(a, "fact_a").join(b, "fact_b").withColumn("cross_document", F.col("a_doc_id") != F.col("b_doc_id"))
 
 
+def with_all_sources(rels: DataFrame, facts: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
+    """Relationships with both facts, their evidence and their documents."""
+    return both_sides(rels, with_sources(facts, evidence, documents))
+
+
+def refusals(rejects: DataFrame, documents: DataFrame, limit: int = 2000) -> DataFrame:
+    """Refused claims with their documents, by reason and id."""
+    return rejects.join(documents.select("doc_id", "filename"), "doc_id").orderBy("reason", "reject_id").limit(limit)
+
+
+def relationship(full: DataFrame, rel_id: str) -> DataFrame:
+    """One relationship with both sides; no row if there is none."""
+    return full.where(F.col("rel_id") == rel_id)
+
+
+def relationships_of_fact(facts: DataFrame, rels: DataFrame, fact_id: str) -> DataFrame:
+    """One fact and, a row each and best first, the relationships that touch it; one row with nulls if none does."""
+    touching = rels.where((F.col("fact_a") == fact_id) | (F.col("fact_b") == fact_id)).withColumn("fact_id", F.lit(fact_id))
+    return facts.where(F.col("fact_id") == fact_id).join(touching.withColumnRenamed("confidence", "rel_confidence"), "fact_id", "left").orderBy(F.desc("rel_confidence"), "rel_id")
+
+
+def asked(spark, sql: str, tables: dict[str, DataFrame], **values) -> DataFrame:
+    """A query with named parameters over named tables."""
+    for name, table in tables.items():
+        table.createOrReplaceTempView(name)
+    return spark.sql(sql, args=values)
+
+
 def relationship_ledger(full: DataFrame, label=None, entity=None, dimension=None, min_confidence: float = 0.0, limit: int = 500) -> DataFrame:
     r = full.where(F.col("confidence") >= min_confidence)
     r = r.where(F.col("label") == label) if label else r
@@ -43,13 +74,6 @@ def relationship_ledger(full: DataFrame, label=None, entity=None, dimension=None
     return r.orderBy(F.desc("confidence"), "rel_id").limit(limit)
 
 
-def fact_with_relationships(facts: DataFrame, rels: DataFrame, fact_id: str) -> DataFrame:
-    """One fact and, best first, the relationships that touch it; no row if there is no such fact."""
-    touching = rels.where((F.col("fact_a") == fact_id) | (F.col("fact_b") == fact_id))
-    packed = touching.agg(F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("by"), *rels.columns))).alias("relationships"))
-    return facts.where(F.col("fact_id") == fact_id).crossJoin(F.broadcast(packed))  # one row on either side
-
-
 def facts_of_label(facts: DataFrame, rels: DataFrame, label: str) -> DataFrame:
     """Facts on either side of a relationship with this label."""
     ids = rels.where(F.col("label") == label).select(F.explode(F.array("fact_a", "fact_b")).alias("fact_id"))
@@ -91,5 +115,13 @@ def pages_with_evidence(evidence: DataFrame, rejects: DataFrame) -> DataFrame:
     return evidence.select("doc_id", "page_no").union(rejects.select("doc_id", "page_no")).distinct()
 
 
+def snapshot(folder: str, statistics: DataFrame, facts: DataFrame, full: DataFrame, rejects: DataFrame, documents: DataFrame) -> None:
+    """What a reader without an engine needs: JSON lines of the four listings, and the three exports as CSV."""
+    for name, table in (("stats", statistics), ("facts", ledger(facts, limit=5000)), ("relationships", relationship_ledger(full, limit=5000)), ("rejects", refusals(rejects, documents))):
+        table.write.json(f"{folder}/{name}")
+    for name, table in (("export", export_facts(facts)), ("export_relationships", export_relationships(full)), ("export_refused", export_refused(rejects, documents))):
+        write_csv(table, f"{folder}/{name}")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)

@@ -195,11 +195,6 @@ r AS (SELECT *, doc_a <> doc_b AS cross_document FROM v WHERE label NOT IN ('UNR
 )
 
 
-def _order_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = tables.order_facts(spark, sf_dir)
-    return build.judge_pairs(blocking.candidate_pairs(facts), facts, spark.createDataFrame([], build.ALIAS))
-
-
 @query("order_claims_normalized", f"WITH {_ORDER_FACTS} SELECT fact_id, entity_key, metric_key, value_num, value_tol, period_start, period_end, period_grain, vintage, confidence FROM f")
 def order_claims_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.order_facts(spark, sf_dir).select("fact_id", "entity_key", "metric_key", "value_num", "value_tol", "period_start", "period_end", "period_grain", F.element_at("basis", "vintage").alias("vintage"), "confidence")
@@ -222,27 +217,27 @@ def blocking_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("order_relationships", f"WITH {_ORDER_RELS} SELECT fact_a, fact_b, label, dimension, CAST(confidence AS DOUBLE) AS confidence FROM v")
 def order_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _order_judged(spark, sf_dir).select("fact_a", "fact_b", "label", "dimension", "confidence")
+    return tables.order_judged(spark, sf_dir).select("fact_a", "fact_b", "label", "dimension", "confidence")
 
 
 @query("relationship_deltas", f"WITH {_ORDER_RELS} SELECT fact_a, fact_b, CAST(round(delta * 100) AS BIGINT) AS delta_cents FROM r")
 def relationship_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build.relationships(_order_judged(spark, sf_dir)).select("fact_a", "fact_b", F.round(F.col("value_delta") * 100).cast("long").alias("delta_cents"))
+    return tables.order_relationships(spark, sf_dir).select("fact_a", "fact_b", F.round(F.col("value_delta") * 100).cast("long").alias("delta_cents"))
 
 
 @query("relationships_by_label", f"WITH {_ORDER_RELS} SELECT label, count(*) AS n FROM r GROUP BY label")
 def relationships_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.histogram(build.relationships(_order_judged(spark, sf_dir)), "label")
+    return stats.histogram(tables.order_relationships(spark, sf_dir), "label")
 
 
 @query("build_report", f"WITH {_ORDER_RELS} SELECT count(*) AS pairs, count(*) FILTER (label NOT IN ('UNRELATED', 'TIME_SERIES')) AS written, count(*) FILTER (label IN ('UNRELATED', 'TIME_SERIES')) AS suppressed, count(*) FILTER (label = 'TIME_SERIES') AS time_series, CAST(0 AS BIGINT) AS unresolved FROM v")
 def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build.report(_order_judged(spark, sf_dir))
+    return build.report(tables.order_judged(spark, sf_dir))
 
 
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = tables.order_facts(spark, sf_dir)
-    return ledger.both_sides(build.relationships(_order_judged(spark, sf_dir)), facts)
+    return ledger.both_sides(tables.order_relationships(spark, sf_dir), facts)
 
 
 @query("best_per_label", f"WITH {_ORDER_RELS} SELECT label, fact_a, fact_b, CAST(confidence AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY cross_document DESC, confidence DESC, fact_a, fact_b) AS k FROM r) WHERE k = 1")
@@ -253,13 +248,13 @@ def best_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("best_of_fact", f"WITH {_ORDER_RELS}, t AS (SELECT fact_a AS fact_id, confidence FROM r UNION ALL SELECT fact_b, confidence FROM r) SELECT fact_id, CAST(max(confidence) AS DOUBLE) AS confidence FROM t GROUP BY fact_id")
 def best_of_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.best_of_fact(build.relationships(_order_judged(spark, sf_dir))).select("fact_id", "confidence")
+    return stats.best_of_fact(tables.order_relationships(spark, sf_dir)).select("fact_id", "confidence")
 
 
 @query("facts_of_label", f"WITH {_ORDER_RELS} SELECT fact_a AS fact_id FROM r WHERE label = 'CONTRADICTS' UNION SELECT fact_b FROM r WHERE label = 'CONTRADICTS'")
 def facts_of_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = tables.order_facts(spark, sf_dir)
-    return ledger.facts_of_label(facts, build.relationships(_order_judged(spark, sf_dir)), "CONTRADICTS").select("fact_id")
+    return ledger.facts_of_label(facts, tables.order_relationships(spark, sf_dir), "CONTRADICTS").select("fact_id")
 
 
 @query("relationship_ledger", f"WITH {_ORDER_RELS} SELECT fact_a, fact_b, label, dimension FROM r WHERE label = 'CONTEXTUALLY_RECONCILED' AND dimension = 'vintage' AND confidence >= 0.5 ORDER BY confidence DESC, fact_a, fact_b LIMIT 100")
@@ -273,9 +268,9 @@ def ledger_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.ledger(tables.order_facts(spark, sf_dir), entity="00001", metric="order", doc="2-HIGH", kind="measurement", min_confidence=0.5).select("fact_id", "entity_raw", "period_start")
 
 
-@query("ledger_page", f"WITH {_ORDER_FACTS} SELECT fact_id FROM f ORDER BY entity_key, metric_key, period_start NULLS FIRST, fact_id LIMIT 50 OFFSET 100")
+@query("ledger_page", f"WITH {_ORDER_FACTS} SELECT fact_id FROM f WHERE k % 2 = 0 ORDER BY entity_key, metric_key, period_start NULLS FIRST, fact_id LIMIT 50 OFFSET 100")
 def ledger_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.ledger(tables.order_facts(spark, sf_dir), q="customer", limit=50, offset=100).select("fact_id")
+    return ledger.ledger(tables.order_facts(spark, sf_dir), q="total", limit=50, offset=100).select("fact_id")
 
 
 @query("export_facts", f"WITH {_ORDER_FACTS} SELECT fact_id, entity_raw AS entity, value_num AS value_canonical, 'USD' AS unit, vintage AS basis_vintage, CAST(NULL AS VARCHAR) AS basis_measure, doc_id || '.pdf' AS source_document, page_no AS page FROM f")
@@ -288,11 +283,6 @@ def export_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.export_relationships(_full(spark, sf_dir)).select("label", "dimension", "a_fact_id", "b_fact_id", "a_document", "b_document", "rule_trace")
 
 
-@query("explanations")
-def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build.relationships(_order_judged(spark, sf_dir)).select("fact_a", "fact_b", "label", "explanation")
-
-
 @query("metrics_listing", f"WITH {_ORDER_FACTS} SELECT metric_key, arg_min(CASE WHEN k % 2 = 0 THEN 'the total order value' ELSE 'Order Value' END, fact_id) AS label, count(*) AS n_facts FROM f GROUP BY metric_key")
 def metrics_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.metrics(tables.order_facts(spark, sf_dir))
@@ -401,7 +391,7 @@ def ground_exact_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------------------------ the gate
 
 _JUDGED = """
-c AS (SELECT c_custkey AS key, c_mktsegment AS doc_id, CAST(c_nationkey AS INTEGER) AS page_no, c_name, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, c_custkey % 8 AS r FROM customer),
+c AS (SELECT c_custkey AS key, c_mktsegment AS doc_id, CAST(c_custkey // 20 AS INTEGER) AS page_no, c_name, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, c_custkey % 8 AS r FROM customer),
 j AS (SELECT *, CASE r WHEN 7 THEN 'no_quote' WHEN 2 THEN 'no_entity_or_metric' WHEN 1 THEN 'unresolvable_entity' WHEN 5 THEN 'quote_not_found' WHEN 3 THEN 'unparseable_value' END AS reason FROM c)
 """
 
@@ -454,9 +444,9 @@ def documents_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.documents_with_counts(judged.select("doc_id").distinct(), admit.facts_of(judged), admit.rejects_of(judged)).select("doc_id", "n_facts", "n_rejects")
 
 
-@query("confidence_buckets", f"WITH {_JUDGED} SELECT CASE WHEN r = 4 THEN 'high' ELSE 'high' END AS bucket, count(*) AS n FROM j WHERE reason IS NULL GROUP BY 1")
+@query("confidence_buckets", f"WITH {_JUDGED} SELECT CASE WHEN key % 16 = 8 THEN 'low' ELSE 'high' END AS bucket, count(*) AS n, round_even(avg(CASE r WHEN 6 THEN CAST(0.97 AS DOUBLE) ELSE 1 END), 3) AS grounding, round_even(avg(CASE WHEN r = 4 OR key % 16 = 8 THEN CAST(0.6 AS DOUBLE) ELSE 0.8 END), 3) AS completeness FROM j WHERE reason IS NULL GROUP BY 1")
 def confidence_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.confidence_buckets(admit.facts_of(tables.customer_judged(spark, sf_dir))).select("bucket", "n")
+    return stats.confidence_buckets(admit.facts_of(tables.customer_judged(spark, sf_dir)))
 
 
 @query("evidence_pages_union", f"WITH {_JUDGED} SELECT doc_id, page_no FROM j WHERE reason IS NULL UNION SELECT doc_id, page_no FROM j WHERE reason IS NOT NULL")
@@ -472,10 +462,11 @@ def page_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.page_recall(wanted, admit.facts_of(judged), admit.rejects_of(judged))
 
 
-@query("orphan_evidence", "SELECT doc_id, 0 AS n FROM (SELECT 'x' AS doc_id) WHERE false")
+@query("orphan_evidence", f"WITH {_JUDGED} SELECT doc_id, count(*) AS n FROM j WHERE reason IS NULL AND key % 16 = 8 GROUP BY doc_id")
 def orphan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence left behind when the facts without a period are dropped."""
     judged = tables.customer_judged(spark, sf_dir)
-    return ledger.orphan_evidence(admit.evidence_of(judged), admit.facts_of(judged)).select("doc_id", F.lit(0).alias("n"))
+    return ledger.orphan_evidence(admit.evidence_of(judged), admit.facts_of(judged).where("period_start is not null")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("event_activity", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")

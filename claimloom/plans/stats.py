@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from claimloom.functions.vocab import INTERESTING
 
 
+#: Marks facts that a person stated.
+HAND_LABELLED = "labelled by hand"
+
+
 def rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.bround(part.cast("double") / whole, 4)).otherwise(0.0)
 
@@ -21,6 +25,50 @@ def summary(facts: DataFrame, rejects: DataFrame, rels: DataFrame) -> DataFrame:
     return one.withColumn("hallucination_rate", rate(F.col("ungrounded"), F.col("facts_emitted"))).withColumn("rejection_rate", rate(F.col("facts_rejected"), F.col("facts_emitted")))
 
 
+def whole_summary(facts: DataFrame, rejects: DataFrame, rels: DataFrame, documents: DataFrame, cached: DataFrame) -> DataFrame:
+    """summary() with documents and pages, and the counts by label and reason as maps. facts may have extraction_model."""
+    by = lambda df, column, name: histogram(df, column).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "n")))).alias(name))
+    pages = documents.agg(F.count("*").alias("documents"), *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("page_count", "pages_total"), ("pages_scanned", "pages_candidate"), ("pages_skipped", "pages_skipped"))))
+    hand = F.count_if(F.col("extraction_model") == HAND_LABELLED) if "extraction_model" in facts.columns else F.lit(0)
+    labelled = facts.agg((F.coalesce(hand, F.lit(0)) == F.count("*")).alias("all_by_hand"), F.count("*").alias("_n")).select((F.col("all_by_hand") & (F.col("_n") > 0)).alias("is_reference_set"))
+    one = summary(facts, rejects, rels)
+    for row in (pages, cached.agg(F.count("*").alias("pages_extracted")), labelled, by(rejects, "reason", "rejects_by_reason"), by(rels, "label", "relationships_by_label")):
+        one = one.crossJoin(F.broadcast(row))  # single rows
+    return one
+
+
+def extraction_score(whole: DataFrame, facts: DataFrame, evidence: DataFrame, rejects: DataFrame, gold_pages: DataFrame) -> DataFrame:
+    """Everything that is known of an extraction, as rows (part, name, value): rates, buckets of confidence, match types, labelled pages."""
+    row = lambda df, part, name, value: df.select(F.lit(part).alias("part"), F.col(name).alias("name") if name in df.columns else F.lit(name).alias("name"), F.col(value).cast("double").alias("value"))
+    names = ["facts_emitted", "facts_kept", "facts_rejected", "ungrounded", "hallucination_rate", "rejection_rate", "metrics_discovered", "llm_decided", "pages_candidate", "pages_extracted", "pages_skipped"]
+    rates = whole.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(n).cast("double") for n in names)))).alias("name", "value"))
+    parts = [row(rates, "rate", "name", "value"), row(histogram(evidence, "match_type"), "match", "match_type", "n"), row(histogram(page_recall(gold_pages, facts, rejects), "state"), "page", "state", "n")]
+    buckets = confidence_buckets(facts)
+    parts += [row(buckets, part, "bucket", part) for part in ("n", "grounding", "completeness")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def notes(whole: DataFrame) -> DataFrame:
+    """What a reader should know before the figures: one line for each thing that was left undone."""
+    read, candidates, n = F.col("pages_extracted").cast("string"), F.col("pages_candidate").cast("string"), F.col("documents").cast("string")
+    short = F.when(F.col("pages_extracted") < F.col("pages_candidate"), F.concat(F.lit("Pages read: "), read, F.lit(" of "), candidates, F.lit("; all figures are over these.")))
+    hand = F.when(F.col("is_reference_set"), F.lit("All facts are labelled by hand, so rates of refusal say nothing."))
+    none = F.when(F.col("facts_emitted") == 0, F.concat(F.lit("No claim was made on any page of "), n, F.lit(" documents.")))
+    return whole.select(F.explode(F.array_compact(F.array(short, hand, none))).alias("note"))
+
+
+def accuracy(expected: DataFrame, negatives: DataFrame, got: DataFrame) -> DataFrame:
+    """One row: labelled pairs, the share of them with the right label, negative controls and those that are no finding."""
+    counts = reasoning_score(expected, got)
+    right = counts.agg(F.sum("n").alias("labelled_pairs"), F.sum(F.when(F.col("expected") == F.col("got"), F.col("n")).otherwise(0)).alias("_right"))
+    controls = reasoning_score(negatives.withColumn("label", F.lit("none")), got)
+    passed = controls.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("negative_controls"), F.coalesce(F.sum(F.when(~F.coalesce(F.col("got"), F.lit("")).isin("CORROBORATES", "CONTRADICTS"), F.col("n"))), F.lit(0)).alias("negative_controls_passed"))
+    return right.withColumn("relationship_accuracy", rate(F.col("_right"), F.col("labelled_pairs"))).drop("_right").crossJoin(F.broadcast(passed))  # single rows
+
+
 def histogram(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n"))
 

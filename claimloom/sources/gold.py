@@ -1,4 +1,4 @@
-"""A small labelled set: facts about two subjects, pairs with the label they must get, and pairs that must not be findings."""
+"""A small labelled set (fixed values): facts about two subjects, pairs with the label they must get, and pairs that must not be findings."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ SCHEMA = "fact_id string, doc_id string, page_no int, fact_kind string, entity s
 
 
 def _row(i, doc, page, metric, value=None, unit=None, scale=None, period=None, basis=None, entity="India", text=None, kind="measurement"):
-    return (i, doc, page, kind, entity, metric, value, text, unit, scale, period, basis or {}, "")
+    quote = f"{metric} of {entity}, {period}: {text or value} {unit or ''} {scale or ''}".strip() + f" ({i})"
+    return (i, doc, page, kind, entity, metric, value, text, unit, scale, period, basis or {}, quote)
 
 
 _REAL = lambda v, **x: {"price_basis": "constant prices", "measure": "GDP", "vintage": v} | x
@@ -22,8 +23,8 @@ ROWS = [
     _row("D1", "company-2", 22, "revenue from operations", "74540.82", "INR", "million", "FY24", {"consolidation": "standalone"}, "Delhivery Limited"),
     _row("D2", "company-2", 22, "revenue from operations", "81415.38", "INR", "million", "FY24", {"consolidation": "consolidated"}, "Delhivery Limited"),
     _row("D3", "company-3", 6, "revenue from services", "8142", "INR", "crore", "FY24", {"consolidation": "consolidated"}, "Delhivery Limited"),
-    _row("D4", "company-1", 88, "board role at Delhivery Limited", None, None, None, "as of 2022-05", {}, "Suvir Suren Sujan", "Non-Executive Nominee Director", "state"),
-    _row("D5", "company-2", 33, "board role at Delhivery Limited", None, None, None, "effective 2023-08-24", {}, "Suvir Suren Sujan", "Non-Executive Director", "state"),
+    _row("D4", "company-1", 88, "board role at Delhivery Limited", None, None, None, "as of 2022-05", {"status": "active"}, "Suvir Suren Sujan", "Non-Executive Nominee Director", "state"),
+    _row("D5", "company-2", 33, "board role at Delhivery Limited", None, None, None, "effective 2023-08-24", {"status": "resigned"}, "Suvir Suren Sujan", "Non-Executive Director", "state"),
 ]
 PAIRS = [
     ("M1", "M2", "CORROBORATES", None), ("M1", "M3", "CONTEXTUALLY_RECONCILED", "vintage"), ("M1", "M4", "CONTEXTUALLY_RECONCILED", "measure"), ("M5", "M6", "CONTRADICTS", None),
@@ -33,5 +34,16 @@ NOT_FINDINGS = [("M3", "M4"), ("M2", "M6")]
 ALIAS = [("revenue_from_operations", "revenue_from_services", True, "One company's statements use both names for this line.", "rule")]
 
 
+KNOWN_FAILURES: list[tuple] = []
+
+
+def pages(spark: SparkSession) -> DataFrame:
+    """The pages that the labelled facts stand on."""
+    by: dict[tuple, list[str]] = {}
+    for r in ROWS:
+        by.setdefault((r[1], r[2]), []).append(r[-1])
+    return spark.createDataFrame([(d, n, "The page begins. " + " Then: ".join(q)) for (d, n), q in by.items()], "doc_id string, page_no int, page_text string")
+
+
 def claims(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ROWS, SCHEMA)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_BYTES = 50 * 1024 * 1024
@@ -34,6 +34,34 @@ def new_documents(landed: DataFrame, store: DataFrame, online: bool = False) ->
     return landed.dropDuplicates(["sha256"]).join(settled, "sha256", "left_anti")
 
 
+def stale_documents(landed: DataFrame, store: DataFrame) -> DataFrame:
+    """Stored documents that hold no fact and came again: with a model at hand they are dropped and read anew. store: doc_id, sha256, n_facts."""
+    return store.where("n_facts = 0").join(landed.select("sha256").distinct(), "sha256", "left_semi")
+
+
+def page_words(documents: DataFrame) -> DataFrame:
+    """doc_id, page_no, seq, text, start, end, x0, y0, x1, y1: the words of documents (doc_id, text), a row each. Pages end with a form feed. A
+    page's text is its words joined by one space, in which start and end are offsets; boxes are on a grid of characters and lines."""
+    lines = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\f")).alias("page", "raw"))
+    lines = lines.select("doc_id", "row", "page", F.posexplode(F.split("raw", "\n")).alias("line", "raw"))
+    words = lines.select("doc_id", "row", "page", "line", F.posexplode(F.split("raw", " ")).alias("place", "text"))
+    page = Window.partitionBy("row", "page").orderBy("line", "place")
+    before = lambda w: F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = words.withColumn("x0", before(Window.partitionBy("row", "page", "line").orderBy("place"))).where("text <> ''")
+    words = words.withColumn("start", before(page)).withColumn("seq", F.row_number().over(page) - 1)
+    at = lambda x: F.expr(f"CAST({x} AS DOUBLE)")
+    return words.select(
+        "doc_id", (F.col("page") + 1).alias("page_no"), "seq", "text", "start", (F.col("start") + F.length("text")).alias("end"), at("x0").alias("x0"), at("line").alias("y0"), at("x0 + length(text)").alias("x1"), at("line + 1").alias("y1")
+    )
+
+
+def text_pages(words: DataFrame) -> DataFrame:
+    """doc_id, page_no, page_text, words (an array with offsets and boxes) of page_words()."""
+    kinds = ["text", "x0", "y0", "x1", "y1", "start", "end"]
+    by = words.groupBy("doc_id", "page_no").agg(F.sort_array(F.collect_list(F.struct("seq", F.struct(*kinds).alias("w")))).alias("_w"))
+    return by.select("doc_id", "page_no", F.array_join("_w.w.text", " ").alias("page_text"), F.col("_w.w").alias("words"))
+
+
 def cache_key(text):
     return F.sha2(F.concat(F.lit(CACHE_VERSION + "\0"), text).cast("binary"), 256)
 
@@ -49,8 +77,11 @@ def extract(pages: DataFrame, cache: DataFrame, extractor: Callable[[DataFrame],
     return known.join(said, "cache_key", "left").withColumn("response", F.coalesce("response", "fresh")).drop("fresh")
 
 
-def upsert(store: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """The store with rows put in; a row replaces the one of its key."""
+def upsert(store: DataFrame, rows: DataFrame, key: list[str], latest: str | None = None) -> DataFrame:
+    """The store with rows put in; a row replaces the one of its key. Of several new rows with one key that with the greatest `latest` stays."""
+    if latest:
+        best = rows.groupBy(*key).agg(F.max(F.struct(latest, *(c for c in rows.columns if c != latest))).alias("x"))
+        rows = best.select(*(F.col("x")[c].alias(c) for c in rows.columns))
     return store.join(rows, key, "left_anti").unionByName(rows)
 
 

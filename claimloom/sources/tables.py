@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.operators.admit import judge
+from claimloom.operators.blocking import candidate_pairs
+from claimloom.operators.build import ALIAS, judge_pairs, relationships
 from claimloom.operators.normalize import normalize, to_facts
 
+from .store import stored
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -46,28 +50,56 @@ def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = normalize(order_claims(spark, sf_dir)).withColumns({"extraction_conf": F.lit(1.0), "grounding_conf": F.lit(1.0)})
-    return to_facts(graded, "name").withColumn("filename", F.concat(F.col("doc_id"), F.lit(".pdf"))).persist()  # every fact meets others twice
+    """The facts that orders' claims are, from the store."""
+
+    def make() -> DataFrame:
+        graded = normalize(order_claims(spark, sf_dir)).withColumns({"extraction_conf": F.lit(1.0), "grounding_conf": F.lit(1.0)})
+        return to_facts(graded, "name").withColumn("filename", F.concat(F.col("doc_id"), F.lit(".pdf")))
+
+    return stored(spark, "order-facts", sf_dir, make)
+
+
+def order_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs of orders' facts with their verdicts."""
+    facts = order_facts(spark, sf_dir)
+    return judge_pairs(candidate_pairs(facts), facts, spark.createDataFrame([], ALIAS))
+
+
+def order_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relationships among orders' facts, from the store."""
+    return stored(spark, "order-relationships", sf_dir, lambda: relationships(order_judged(spark, sf_dir)))
 
 
 def customer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims on customers' balances, of which some must be refused, each for another reason (by the remainder of the key by 8)."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", F.expr("cast(round(c_acctbal * 100) as bigint)").alias("cents"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.expr("cast(round(c_acctbal * 100) as bigint)").alias("cents"))
     c, r = spread(c), F.col("c_custkey") % 8
     said = F.concat(F.lit("The account of "), "c_name", F.lit(" holds "), F.col("cents").cast("string"), F.lit(" cents"))
     return c.select(
-        F.col("c_mktsegment").alias("doc_id"), F.col("c_nationkey").cast("int").alias("page_no"), F.col("c_custkey").alias("key"), F.lit("measurement").alias("fact_kind"),
+        F.col("c_mktsegment").alias("doc_id"), F.expr("cast(c_custkey div 20 as int)").alias("page_no"), F.col("c_custkey").alias("key"), F.lit("measurement").alias("fact_kind"),
         F.when(r == 1, "our Company").when(r == 2, " ").otherwise(F.col("c_name")).alias("entity"), F.lit("account balance").alias("metric"),
         F.when(r.isin(3, 4), "none stated").otherwise(F.col("cents").cast("string")).alias("value"), F.when(r == 4, "undisclosed").alias("value_text"),
-        F.lit("cents").alias("unit"), F.lit(None).cast("string").alias("magnitude"), F.lit("FY2024").alias("period"), F.create_map().cast("map<string,string>").alias("basis"),
+        F.lit("cents").alias("unit"), F.lit(None).cast("string").alias("magnitude"), F.when(F.col("c_custkey") % 16 == 8, "in due course").otherwise("FY2024").alias("period"), F.create_map().cast("map<string,string>").alias("basis"),
         F.when(r == 5, F.concat(said, F.lit(", a thing that no page of this report says anywhere at all"))).when(r == 6, F.upper(said)).when(r == 7, " ").otherwise(said).alias("quote"), said.alias("said"),
     )
 
 
 def customer_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = customer_claims(spark, sf_dir)
-    pages = claims.groupBy("doc_id", "page_no").agg(F.array_join(F.array_sort(F.collect_list("said")), ". ").alias("page_text"))
-    return judge(claims.drop("said"), pages).persist()  # facts, evidence and refusals are all read from it
+    """Customers' claims with what the gate says, from the store."""
+
+    def make() -> DataFrame:
+        claims = customer_claims(spark, sf_dir)
+        pages = claims.groupBy("doc_id", "page_no").agg(F.array_join(F.array_sort(F.collect_list("said")), ". ").alias("page_text"))
+        return judge(claims.drop("said"), pages)
+
+    return stored(spark, "customer-claims", sf_dir, make)
+
+
+def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that customers' claims stand in, with their pages: all but the first are candidates."""
+    page = F.expr("c_custkey div 20")
+    pages = read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("doc_id")).agg(F.count_distinct(page).alias("page_count"), F.count_distinct(F.when(page > 0, page)).alias("pages_scanned"))
+    return pages.withColumn("pages_skipped", F.col("page_count") - F.col("pages_scanned")).withColumns({"filename": F.concat("doc_id", F.lit(".pdf")), "sha256": F.sha2("doc_id", 256)})
 
 
 def documents_of(facts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -19,10 +20,10 @@ def plain(x):
     return float(x) if isinstance(x, int) and not isinstance(x, bool) else x
 
 
-def names():
-    from claimloom.plans import queries
+def registered():
+    from claimloom.plans import queries, stored
 
-    return sorted(queries.SQL)
+    return {n: (m.QUERIES[n], m.SQL[n]) for m in (queries, stored) for n in m.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -36,13 +37,12 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", names())
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_query_equals_its_sql(spark, duck, name):
-    from claimloom.plans import queries
-
-    got = queries.QUERIES[name](spark, SF)
+    make, sql = registered()[name]
+    got = make(spark, SF)
     cols = sorted(got.columns)
-    want = duck.execute(f"SELECT {', '.join(cols)} FROM ({queries.SQL[name]})").fetchall()
+    want = duck.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
     rows = sorted(repr([plain(x) for x in r]) for r in got.select(*cols).collect())
     assert rows == sorted(repr([plain(x) for x in r]) for r in want)
     spark.catalog.clearCache()
@@ -104,6 +104,41 @@ def test_quotes(spark):
     assert [got[i].match_type for i in range(10, 16)] == ["exact", "failed", "failed", "failed", "failed", "fuzzy"]
 
 
+def test_fuzzy_quotes_equal_brute_force():
+    """The best of all stretches that begin at every eighth of the quote, compared one by one."""
+    import difflib
+    import random
+
+    from claimloom.operators import pages
+
+    rng = random.Random(2)
+    for _ in range(60):
+        text = " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta".split()) for _ in range(rng.randint(3, 60)))
+        at = rng.randrange(max(1, len(text) - 30))
+        quote = list(text[at : at + rng.randint(12, 60)].strip().ljust(12, "x"))
+        for _ in range(rng.randint(0, 4)):
+            quote[rng.randrange(len(quote))] = rng.choice("abcxyz")
+        quote = "".join(quote).strip()
+        begins = range(0, max(1, len(text) - len(quote)), max(1, len(quote) // 8))
+        alike = [(difflib.SequenceMatcher(None, text[i : i + len(quote)], quote, autojunk=False).ratio(), -i) for i in begins]
+        best, i = max(alike)
+        got = pages.resembling(text, quote)
+        assert got == (best, -i) if best >= pages.FUZZY_MIN else got[0] < pages.FUZZY_MIN
+
+
+def test_snapshot(spark, tmp_path):
+    from claimloom.operators import build
+    from claimloom.plans import ledger, stats, stored
+
+    facts, evidence, rejects, documents = stored._kept(spark, SF)
+    facts = facts.withColumn("filename", F.concat("doc_id", F.lit(".pdf")))
+    rels = ledger.both_sides(build.relationships(build.judge_pairs(spark.createDataFrame([], "fact_a string, fact_b string"), facts, spark.createDataFrame([], build.ALIAS))), facts)
+    ledger.snapshot(f"file://{tmp_path}/site", stats.histogram(rejects, "reason"), facts, rels, rejects, documents)
+    assert spark.read.json(f"{tmp_path}/site/facts").count() == facts.count()
+    assert spark.read.option("header", True).csv(f"{tmp_path}/site/export_refused").count() == rejects.count()
+    assert sorted(os.listdir(f"{tmp_path}/site")) == ["export", "export_refused", "export_relationships", "facts", "rejects", "relationships", "stats"]
+
+
 def test_offsets_of_all_words_and_quotes_from_inside(spark, tmp_path):
     from claimloom.plans import queries
 
