@@ -89,6 +89,39 @@ def test_kd_tree(docs, nothing, spark):
         sizes[r.shard] = sizes.get(r.shard, 0) + r.size
     assert len(sizes) == 7 and max(sizes.values()) < 1.1 * min(sizes.values())
     assert kdtree.shard(nothing, 3).count() == 0
+    fine = {r.shard for r in kdtree.shard(many, target_bytes=500).collect()}
+    assert len(fine) == -(-sum(sizes.values()) // 500)
+
+
+@pytest.mark.parametrize("origin", [lambda i: f"www.{i * 7919 % 1000:04}", lambda i: f"www.{i * 7919 % 1000 // 500}"])
+def test_kd_tree_equals_brute_force(spark, monkeypatch, origin):
+    """The tree, built again in Python: widest dimension, weighted quantile. Sources share more than five bytes; ids lie 2**62 apart."""
+    monkeypatch.setattr(kdtree, "FINE", 0.0)
+    rng = random.Random(9)
+    docs = [(rng.choice([1, -1]) * rng.randrange(2**61) if i % 5 else i, "x" * rng.randrange(40), rng.choice(["en", "fr"]), origin(i)) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    rows = [tuple(r) for r in kdtree.metadata(df).select("doc_id", "size", *kdtree.DIMENSIONS).collect()]
+    for k, column in ((4, 2), (5, 3)):  # ranks sort like the strings
+        value = {d[0]: d[column] for d in docs}
+        by = sorted(rows, key=lambda r: r[k])
+        assert [value[r[0]] for r in by] == sorted(value[r[0]] for r in rows)
+    whole = [max(1, (max(r[d] for r in rows) >> 22) - (min(r[d] for r in rows) >> 22)) for d in range(2, 6)]
+
+    def split(rows, first, k):
+        if k == 1 or not rows:
+            return {r[0]: first for r in rows}
+        width = [((max(r[d] for r in rows) >> 22) - (min(r[d] for r in rows) >> 22)) / whole[d - 2] for d in range(2, 6)]
+        d = width.index(max(width)) + 2
+        rows = sorted(rows, key=lambda r: r[d])
+        target, below = sum(r[1] for r in rows) * (k // 2) / k, 0
+        for i, r in enumerate(rows):  # noqa: B007
+            if below + r[1] >= target:
+                break
+            below += r[1]
+        i += below + r[1] - target <= target - below
+        return split(rows[:i], first, k // 2) | split(rows[i:], first + k // 2, k - k // 2)
+
+    assert {r.doc_id: r.shard for r in kdtree.shard(df, 7).collect()} == split(rows, 0, 7)
 
 
 def test_perplexity(docs, nothing, spark):
