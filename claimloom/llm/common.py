@@ -82,7 +82,7 @@ _is_lean = False
 
 
 def lean() -> None:
-    """For Python workers: large arrays are given back to the system as soon as they are freed, in place of being kept for later ones."""
+    """Large arrays are given back to the system as soon as they are freed, in place of being kept for later ones."""
     global _is_lean
     if _is_lean:
         return

@@ -38,3 +38,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         mark, last = new, now
         now = keep(_star(_star(now, True), False), "edges")
         forget(last)
+
+
+def merged(group: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """group (node, component) with further links (a, b): only the components that these connect are computed anew."""
+    of = lambda side: group.select(F.col("node").alias(side), F.col("component").alias("c" + side))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    new = components(ends, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    known = group.join(new, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    alone = new.join(group.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("least").alias("component"))
+    return keep(known.unionByName(alone), name)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import forget, keep, shared_dir
-from .graph import components
+from .graph import components, merged
 from .packing import BLOCK_DOCS, block_keys, cuts, pack, shards_for, squeeze, unpack, widen
 from .words import SPACED, inner, mix, text_words, windows
 
@@ -265,9 +265,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = lying(near.select("doc_id", "hub").distinct(), group).join(group.select(F.col("node").alias("hub"), F.col("component").alias("hc")), "hub", "left").where("c <> coalesce(hc, hub)")
     apart = keep(apart.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).join(best, ["a", "b"], "left_anti"), "apart")
     further = _verified(apart, heads, sets, "further")
-    forget(group)
-    links = links.unionByName(further)
-    group = keep(components(links, "a", "b"), "components")
+    first, group = group, merged(group, further, "components")
+    forget(first)
 
     known = lying(posted.select("t", "doc_id", "n", "k", "before"), group)
     several = keep(known.groupBy("t").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("t"), "several")
@@ -279,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = keep(sets.select("doc_id", F.col("n").alias("n_shingles")), "own")
     forget(sets, heads, equal, tied, hubs, best, apart, several, open_, across)
     if not last.isEmpty():
-        group = components(links.unionByName(last), "a", "b")
+        group = merged(group, last, "components")
     return own.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, keep, shared_dir, small_batches, union
+from .common import forget, keep, lean, shared_dir, small_batches, union
 from .packing import BLOCK_DOCS, block_keys, cuts, pack, shard_of, shards_for, squeeze, thick, thin, unpack, widen
 from .words import SPACED, mix, text_words
 
@@ -499,8 +499,10 @@ def train(docs: DataFrame, labels: DataFrame, held: DataFrame) -> tuple[list[Dat
 def scores(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
     """key, n_words, nats (mean negative log probability of a word; null without words) for each row of docs (key, doc_id, text)."""
     spark = docs.sparkSession
+    lean()
     tables, made = train(docs, labels, held)
     model = spark.sparkContext.broadcast(made)
+    del made
     values = union(tables).select("shard", "cell").groupBy("shard")
     done = []
     for r in range(ROUNDS):
@@ -508,6 +510,7 @@ def scores(docs: DataFrame, labels: DataFrame, held: DataFrame) -> DataFrame:
         answered = asked.groupBy("shard").cogroup(values).applyInPandas(_answer, "flush long, own binary, gain binary")
         done.append(keep(answered.groupBy("flush").applyInPandas(_total, "key long, n_words long, nats double"), "round"))
     forget(*tables)
+    model.destroy()
     return union(done)
 
 
