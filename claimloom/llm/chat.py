@@ -27,6 +27,10 @@ def _swap(x: Column, *pairs: tuple[str, str]) -> Column:
     return x
 
 
+#: Pieces that are added up together.
+CHUNK = 256
+
+
 def escape(x: Column) -> Column:
     return _swap(x, ("&", "&amp;"), ("<", "&lt;"))
 
@@ -52,17 +56,23 @@ def format_chats(turns: DataFrame) -> DataFrame:
         return F.struct(F.concat(head, body).alias("s"), F.length(head).cast("long").alias("head"), F.length(body).cast("long").alias("body"), (t["role"] == LOSS_ROLE).alias("loss"))
 
     got = got.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans"))
+    return got.select("conv_id", F.concat(F.array_join(F.transform("pieces", lambda p: p["s"]), ""), F.lit(END)).alias("formatted"), _spans().alias("loss"))
+
+
+def _spans() -> Column:
+    """Start and length of each piece under the loss mask. Places are added up over chunks of CHUNK pieces first, then within each, so that
+    the work on a very long conversation stays in proportion to its length."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / CHUNK).cast("int")), lambda k: F.slice("pieces", k * CHUNK + 1, CHUNK))
+    size = lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), lambda n, p: n + p["head"] + p["body"])
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("bases"))
+    bases = F.aggregate(F.transform(chunks, size), none, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")), lambda acc: acc["bases"])
 
     def step(acc: Column, p: Column) -> Column:
         span = F.array(F.struct((acc["at"] + p["head"]).alias("start"), p["body"].alias("length")))
         return F.struct((acc["at"] + p["head"] + p["body"]).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return got.select(
-        "conv_id",
-        F.concat(F.array_join(F.transform("pieces", lambda p: p["s"]), ""), F.lit(END)).alias("formatted"),
-        F.aggregate("pieces", nothing, step, lambda acc: acc["spans"]).alias("loss"),
-    )
+    empty = F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)")
+    return F.flatten(F.zip_with(chunks, bases, lambda chunk, base: F.aggregate(chunk, F.struct(base.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.llm import bpe, chat, decontaminate, idfiles, jaccard, kdtree, perplexity, urls, webp, wrappers
 
@@ -304,6 +305,14 @@ def test_chat(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_very_long(spark):
+    """Thousands of turns, and a turn of a million characters, over several chunks of places."""
+    said = [(7, i, ("user", "assistant", "assistant")[i % 3], f"t{i}<" * (i % 4) if i != 100 else "<x" * 500_000) for i in range(3000)]
+    done = chat.format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    (r,) = done.select(chat.read_turns(done["formatted"]).alias("turns"), chat.read_loss(done["formatted"], done["loss"]).alias("said"), F.size("loss").alias("n")).collect()
+    assert [tuple(t) for t in r.turns] == [t[2:] for t in said] and r.said == "".join(t[3] for t in said if t[2] == "assistant") and r.n == 2000
+
+
 def test_urls(spark):
     link = lambda u: f'<html><head><link href="{u}" rel="canonical"></head></html>'
     pages = [
