@@ -219,7 +219,20 @@ def test_webp(docs, nothing):
     assert webp.store(nothing).count() == 0
 
 
+def test_webp_forms_of_stored_texts(spark):
+    """Texts that repeat themselves are stored with back-references, those of few different characters with a palette; both are read back."""
+    texts = [(1, "The quick brown fox jumps over the lazy dog, 0123456789.\n" * 500), (2, "0123 " * 3000), (3, " ".join(f"w{i * 7919 % 5000}" for i in range(3000)))]
+    media = {r.doc_id: bytes(r.media) for r in webp.store(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    first = {i: [(webp._lane(x) is None, webp.body(x)[5] & 7) for x in webp.split(m)] for i, m in media.items()}
+    assert first[1][0] == (True, 1 | webp.GREEN << 1) and first[2][0] == (True, 1 | webp.PALETTE << 1) and not any(general for general, _ in first[3])
+    for i, t in texts:
+        assert b"".join(x.tobytes() for x in webp.decode_tiles(webp.split(media[i]))) == webp.payload(t.encode())
+    assert sum(map(len, (media[1], media[2]))) < 2500
+
+
 def test_webp_features():
+    # a picture of one transparent pixel, often used to find out whether a browser reads lossless pictures
+    assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[[0, 0, 0, 0]]]
     rng = np.random.RandomState(1)
 
     def picture(h, w, n):
