@@ -319,7 +319,7 @@ def metric_near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ELSE n || ' figures, unit=' || CASE WHEN u THEN 'True' ELSE 'False' END || ', period=' || CASE WHEN p THEN 'True' ELSE 'False' END END AS reason FROM n""",
 )
 def page_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read(spark, sf_dir, "documents").select("doc_id", pages.assess(F.col("text")).alias("x")).select("doc_id", "x.scan", "x.reason")
+    return tables.spread(tables.read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", pages.assess(F.col("text")).alias("x")).select("doc_id", "x.scan", "x.reason")
 
 
 @query(
@@ -382,7 +382,7 @@ _QUOTED = (("middle", "length(text) // 2 + 1"), ("end", "greatest(length(text) -
 )
 def ground_exact_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of 60 characters from the middle and the end of each text."""
-    d = tables.read(spark, sf_dir, "documents").where("text is not null")
+    d = tables.spread(tables.read(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null")
     quote = {part: F.expr(f"substr(text, {at.replace('//', 'div')}, 60)") for part, at in _QUOTED}
     d = d.select("doc_id", F.col("text").alias("page_text"), F.explode(F.array(*(F.struct(F.lit(part).alias("part"), q.alias("quote")) for part, q in quote.items()))).alias("x")).select("doc_id", "page_text", "x.*")
     return pages.locate(d).select("doc_id", "part", "ground.match_type", "ground.char_start")
