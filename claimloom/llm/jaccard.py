@@ -279,6 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     forget(sets, heads, equal, tied, hubs, best, apart, several, open_, across)
     if not last.isEmpty():
         group = merged(group, last, "components")
+    forget(links, nearest, further, last)
     return own.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
