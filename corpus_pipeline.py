@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import bpe, decontaminate, jaccard, perplexity
-from claimloom.llm.common import keep, pick
+from claimloom.llm.common import forget, keep, pick
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go (see perplexity.classify)."""
+    """Documents that the quality classifier rejects go (see perplexity.classify): also those without words. Equal rows share one verdict; ties at
+    the threshold stay; a null id, language or text is judged like any other; an empty table stays empty."""
     judged = perplexity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     keyed = docs.withColumn("__row_key", perplexity.row_key(docs))
     return pick(keyed, judged.where(~F.col("keep")).select(F.col("key").alias("__row_key")), "__row_key", "left_anti", "rejected").select(docs.columns)
@@ -41,12 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go; those without words stay, as do all if the benchmark is empty."""
     return decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit = 0").select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and the ids (little-endian unsigned 32-bit integers) of what is left."""
+    """doc_id, lang, source, n_tokens and the ids (little-endian unsigned 32-bit integers) of what is left; a text without characters has no ids."""
     return bpe.encode(docs).select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids")
 
 
@@ -60,7 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name)
+        forget(before)
     return docs
 
 
