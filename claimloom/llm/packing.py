@@ -19,7 +19,7 @@ SHARD_TEXT = 8 << 20
 #: Beyond so many shards their number grows as the square root of the text, and blocks grow with it.
 MANY = 4096
 #: Keys, and documents, of a block. A document's place in its block takes two bytes.
-BLOCK, BLOCK_DOCS = 1 << 20, 60_000
+BLOCK, BLOCK_DOCS = 1 << 19, 60_000
 _STEPS = 22
 
 

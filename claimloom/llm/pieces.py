@@ -43,7 +43,7 @@ class Memo(dict):
 
 
 class PieceEncoder:
-    def __init__(self, encode: Callable[[str], list[int]], dtype=np.uint32, most: int = 700_000):
+    def __init__(self, encode: Callable[[str], list[int]], dtype=np.uint32, most: int = 250_000):
         self.dtype = dtype
         self.inner, self.first = Memo(encode, " ", most, dtype), Memo(encode, "", 50_000, dtype)
 
