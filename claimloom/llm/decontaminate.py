@@ -7,7 +7,9 @@ rarest stands for its window. The second pass joins the document's shingles with
 possible start (positional bound), the window must fit into the text (length bound), and all its words are then compared.
 
 The benchmark is the stated query set: it is measured, cut into blocks of at most BLOCK_BYTES of text, and each block is broadcast and
-run against all documents. Documents are never shuffled, and a benchmark of any size needs one block's memory at a time.
+run against all documents. With one block documents are neither shuffled nor written. With more, each block leaves a narrow table of what it
+finds in different texts; these are put together by text and joined with the documents (broadcast below a checked number). A benchmark of
+any size needs one block's memory at a time.
 
 Edge cases: null or empty text (or item) has no words; repeated rows are judged each for itself; items with a null id cause hits but are
 not listed; empty tables give empty results or no hits; other columns of the documents pass through `row` untouched.
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_dir, small_batches
+from .common import IDS, forget, keep, shared_dir, small_batches, union
 from .words import ALNUM, Lookup64, inner, text_words, windows
 
 WINDOW = 10
@@ -140,58 +142,97 @@ def _chunks(many: np.ndarray):
         lo = hi
 
 
-def _scan(plan, more: bool):
-    """Second pass. Rows carry on what earlier blocks have found: the words that are hit (a bit each) and the items."""
+def _judged(column, plan) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    """Of a batch of texts: the index of each one's first word, which words are hit, and the items of each text."""
+    h, first = text_words(column, ALNUM)
+    edge = np.zeros(len(h) + 1, np.int32)
+    items: list[set[str]] = [set() for _ in range(len(column))]
+    for k, begin, text, w, whose in match(h, first, plan):
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + k, -1)
+        for i, x in set(zip(text.tolist(), w.tolist(), strict=True)):
+            items[i].update(whose[x])
+    return first, np.cumsum(edge[:-1]) > 0, items
+
+
+def _scan(plan):
+    """Second pass, columns row, text: what the only block finds in each document."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            names = b.schema.names
-            h, first = text_words(b.column(names.index("text")), ALNUM)
-            n = len(b)
-            edge = np.zeros(len(h) + 1, np.int32)
-            items: list[set[str]] = [set() for _ in range(n)]
-            hit = np.zeros(len(h), bool)
-            if "cover" in names:
-                for i, (bits, had) in enumerate(zip(b.column(names.index("cover")).to_pylist(), b.column(names.index("items")).to_pylist(), strict=True)):
-                    hit[first[i] : first[i + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(first[i + 1] - first[i])).astype(bool)
-                    items[i].update(had)
-            for k, begin, text, w, whose in match(h, first, plan):
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, begin + k, -1)
-                for i, x in set(zip(text.tolist(), w.tolist(), strict=True)):
-                    items[i].update(whose[x])
-            hit |= np.cumsum(edge[:-1]) > 0
+            first, hit, items = _judged(b.column(1), plan)
             total = np.concatenate([[0], np.cumsum(hit)])
-            keep_columns = [b.column(names.index("row"))] + ([b.column(names.index("text"))] if more else [])
-            carried = [pa.array([np.packbits(hit[first[i] : first[i + 1]]).tobytes() for i in range(n)], pa.binary())] if more else []
             yield pa.RecordBatch.from_arrays(
-                keep_columns + carried + [pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(np.diff(first).astype(np.int64)), pa.array((total[first[1:]] - total[first[:-1]]).astype(np.int64))],
-                ["row"] + (["text", "cover"] if more else []) + ["items", "n_words", "n_hit"],
+                [b.column(0), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(np.diff(first).astype(np.int64)), pa.array((total[first[1:]] - total[first[:-1]]).astype(np.int64))], ["row", "items", "n_words", "n_hit"]
             )
 
     return run
 
 
+def _findings(plan):
+    """Second pass, columns k1, k2, text: of the documents in which a block finds something the words that are hit (a bit each) and the items."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            first, hit, items = _judged(b.column(2), plan)
+            some = [i for i in range(len(b)) if hit[first[i] : first[i + 1]].any()]
+            cover = pa.array([np.packbits(hit[first[i] : first[i + 1]]).tobytes() for i in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), b.column(1).take(pa.array(some, pa.int64())), cover, pa.array([sorted(items[i]) for i in some], pa.list_(pa.string()))], ["k1", "k2", "cover", "items"])
+
+    return run
+
+
+def _together(pdf):
+    """What all blocks find in one text."""
+    import pandas as pd
+
+    bits = np.bitwise_or.reduce([np.frombuffer(c, np.uint8) for c in pdf["cover"]])
+    return pd.DataFrame({"k1": pdf["k1"].iloc[:1], "k2": pdf["k2"].iloc[:1], "items": [sorted(set().union(*pdf["items"]))], "n_hit": [int(np.unpackbits(bits).sum())]})
+
+
+def _counted(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        _, first = text_words(b.column(3), ALNUM)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(first).astype(np.int64))], ["row", "k1", "k2", "n_words"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """For each document: `row` (the whole input row), `items` (sorted ids with occurring windows), `n_words`, `n_hit`."""
     spark = docs.sparkSession
     shared_dir(spark)
     small_batches(spark)
-    bench = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+    bench = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).distinct()
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    here = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    row = here.schema["row"].dataType.simpleString()
+    text = F.col("text").cast("string").alias("text")
+    row = F.struct("*").alias("row")
+    kind = docs.select(row).schema["row"].dataType.simpleString()
+
+    def plan(part: DataFrame):
+        return spark.sparkContext.broadcast(_plan(Block([(r[0], r[1]) for r in part.collect()], window), docs.select(text)))
+
+    if blocks == 1:
+        only = plan(bench)
+        return docs.select(row, text).mapInArrow(lambda batches: _scan(only.value)(batches), f"row {kind}, items array<string>, n_words long, n_hit long")
+    # what blocks find is narrow and known by two hashes of the text, so no block writes the documents anew
+    keys = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2")]
+    found = []
     for n in range(blocks):
-        part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == n)
-        plan = spark.sparkContext.broadcast(_plan(Block([(r[0], r[1]) for r in part.collect()], window), here))
-        more = n < blocks - 1
-        here = here.mapInArrow(lambda batches, plan=plan, more=more: _scan(plan.value, more)(batches), f"row {row}," + ("text string, cover binary," if more else "") + "items array<string>, n_words long, n_hit long")
-        if more:
-            here = keep(here, "leaks")
-    return here
+        part = plan(bench.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == n))
+        here = docs.select(*keys, text).mapInArrow(lambda batches, part=part: _findings(part.value)(batches), "k1 long, k2 long, cover binary, items array<string>")
+        found.append(keep(here.groupBy("k1", "k2").agg(F.first("cover").alias("cover"), F.first("items").alias("items")), "found"))
+        part.destroy()
+    every = keep(union(found).groupBy("k1", "k2").applyInPandas(_together, "k1 long, k2 long, items array<string>, n_hit long"), "leaks")
+    forget(*found)
+    counted = docs.select(row, *keys, text).mapInArrow(_counted, f"row {kind}, k1 long, k2 long, n_words long")
+    all_ = counted.join(F.broadcast(every) if every.count() <= IDS >> 4 else every, ["k1", "k2"], "left")
+    return all_.select("row", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
