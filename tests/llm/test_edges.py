@@ -406,6 +406,69 @@ def test_pipeline(spark, tmp_path):
     assert all(codec.decode_tree(np.frombuffer(ids, "<u4")).decode() == dict(texts)[i] for i, ids in got.items())
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """run() on repeated and null ids, null languages, ties, empty texts and clashing columns: every stage's decisions made again in Python."""
+    import corpus_pipeline as C
+    import public_tokenizers as P
+    import tiktoken
+
+    rng = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(200)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [(i, prose(60), rng.choice(["en", "fr", None])) for i in range(150)]
+    texts += [(150 + i, texts[i][1] + (" more" if i % 2 else ""), texts[i][2]) for i in range(12)]
+    texts += [(3, prose(60), "en"), (3, prose(50), "en"), (None, prose(60), "en"), (None, texts[20][1] + " x", None), (5, texts[5][1], texts[5][2]), (200, "", "en"), (201, None, None), (202, "%% @@ " * 30, "en"), (203, prose(30) + " " + PASSAGE, "fr"), (204, PASSAGE, "en")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, key long, keep boolean, items string, component_id long, n_words int"
+    docs = spark.createDataFrame([(i, t, lang, "s", None if t is None else len(t), "r", 1, False, "i", 2, 3) for i, t, lang in texts], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, PASSAGE), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    held = {(r.doc_id, r.lang, r.perplexity): r.keep for r in perplexity.classify(docs, labels).collect()}
+    assert len({k[:2] for k in held}) == len({(i, lang) for i, _, lang in texts})
+    keyed = docs.withColumn("own", perplexity.row_key(docs))
+    kept = {r.key for r in perplexity.classify(docs, labels).collect() if r.keep}
+    left = [(r.doc_id, r.text, r.lang) for r in keyed.collect() if r.own in kept]
+    assert any(i is None for i, _, _ in left) and not any(i in (200, 201) for i, _, _ in left)
+
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} for _, t, _ in left for w in [words(t, r"[^\x20\x09-\x0D]+")]]
+    group = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    best = {}
+    for g, row in zip(group, left, strict=True):
+        best.setdefault(g, []).append(row)
+    passages = [words(PASSAGE, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")]
+    windows = {tuple(w[k : k + 10]) for w in passages for k in range(len(w) - 9)}
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for rows_ in best.values():
+        i = min((r[0] is None, r[0] or 0) for r in rows_)
+        own = [r for r in rows_ if (r[0] is None, r[0] or 0) == i]
+        assert len({r[1:] for r in own}) == 1
+        w = words(own[0][1], r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        if not any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9)):
+            want.append((str(own[0][0]), str(own[0][2]), tuple(e.encode_ordinary(own[0][1]))))
+    got = [(str(r.doc_id), str(r.lang), tuple(np.frombuffer(bytes(r.ids), "<u4").tolist())) for r in C.run(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_pipeline_stages_on_empty_tables(spark, nothing, tmp_path):
+    import corpus_pipeline as C
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in C.STAGES:
+        done = stage(spark, nothing, str(tmp_path))
+        assert done.count() == 0 and (name == "byte_bpe" or done.columns == nothing.columns)
+
+
 def test_pipeline_near_duplicates_of_repeated_and_null_ids(spark):
     import corpus_pipeline as C
 
