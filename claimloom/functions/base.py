@@ -66,14 +66,6 @@ def literals(values) -> Column:
     return F.array(*map(F.lit, values))
 
 
-def first_hit(x: Column, rules: list[tuple[str, str]]) -> Column:
-    """The value of the first rule whose pattern occurs in x."""
-    out = F.lit(None).cast("string")
-    for pattern, value in reversed(rules):
-        out = F.when(x.rlike(U + pattern), F.lit(value)).otherwise(out)
-    return out
-
-
 def word_pattern(token: str) -> str:
     return rf"\b{re.escape(token)}\b" if token[0].isalpha() else re.escape(token)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions import basis as B
-from claimloom.functions.names import entity_key, is_resolvable, metric_key, near_miss, overlap, same_entity
+from claimloom.functions.names import entity_key, is_resolvable, metric_key, near_miss, same_entity
 from claimloom.functions.period import relation, with_period
 from claimloom.functions.quantity import format_value, with_quantity
 from claimloom.operators import admit, blocking, build, compare, normalize, pages

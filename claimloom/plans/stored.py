@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.operators import admit, build, pages
+from claimloom.operators import admit, pages
 from claimloom.plans import ledger, stats
-from claimloom.plans.queries import _JUDGED, _ORDER_FACTS, _ORDER_RELS, _values, gold_judged
+from claimloom.plans.queries import _JUDGED, _ORDER_RELS, _values, gold_judged
 from claimloom.sources import gold, landing, tables
 
 QUERIES: dict = {}
@@ -215,8 +215,7 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "quote_boxes",
-    f"""WITH {_WORDS}, h AS (SELECT * FROM y WHERE s < 600 AND s + length(w) > 200), g AS (SELECT doc_id, line // 3 AS g, line, x0, length(w) AS n FROM h),
-        b AS (SELECT doc_id, line, min(x0) AS x0, max(x0 + length(w)) AS x1 FROM h GROUP BY doc_id, line)
+    f"""WITH {_WORDS}, h AS (SELECT * FROM y WHERE s < 600 AND s + length(w) > 200), b AS (SELECT doc_id, line, min(x0) AS x0, max(x0 + length(w)) AS x1 FROM h GROUP BY doc_id, line)
         SELECT doc_id, count(*) AS n_boxes, CAST(min(x0) AS DOUBLE) AS least_x, CAST(max(x1) AS DOUBLE) AS most_x FROM b GROUP BY doc_id""",
 )
 def quote_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
