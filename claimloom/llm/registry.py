@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ["wrappers", "jaccard", "kdtree", "perplexity", "bpe", "webp", "idfiles", "urls", "chat", "decontaminate", "toxicity"]
+NAMES = ["wrappers", "jaccard", "kdtree", "perplexity", "bpe", "webp", "idfiles", "urls", "chat", "decontaminate", "toxicity", "audit", "collocations"]
 
 
 def modules() -> list:
