@@ -12,7 +12,7 @@
 4. Mining. A shard counts the n-grams that contain the pivot in the middle of its fragments, and no earlier occurrence of it: each occurrence of an
    n-gram belongs to one pivot and one place, so counts are whole where they are made, and nothing else is emitted.
 5. Scores. Parts of a phrase are words or phrases of the same table; they meet by joins on hashes. Scores are exact in decimal(38), which holds them
-   up to 4 * 10^15 occurrences of a phrase. The first rows of a language come from SPREAD ranges first, then from those that are left.
+   up to 10^15 occurrences of a phrase. The first rows of a language come from SPREAD ranges first, then from those that are left.
 
 Edge cases: null or empty text has no words; a null language is `und` and one with the language of that name; repeated rows count each; words and
 phrases that tie are ordered by their UTF-8 bytes; an empty table, or one without phrases that are frequent enough, gives no rows; columns
@@ -246,6 +246,12 @@ def _mine(least: int):
     return run
 
 
+def score(left: str, right: str):
+    """Exact: floor(1000000 * a * a / (left * right)) of columns a, left, right."""
+    squared = "cast(1000000 as decimal(7, 0)) * cast(cast(a as decimal(15, 0)) * cast(a as decimal(15, 0)) as decimal(30, 0))"
+    return F.expr(f"({squared}) div (cast({left} as decimal(18, 0)) * cast({right} as decimal(18, 0)))")
+
+
 def phrases(docs: DataFrame, least: int = LEAST, inside: int = INSIDE) -> tuple[DataFrame, DataFrame]:
     """Written tables: lang, phrase, a, l, r, score of all phrases that stay; lang, n."""
     spark = docs.sparkSession
@@ -264,7 +270,6 @@ def phrases(docs: DataFrame, least: int = LEAST, inside: int = INSIDE) -> tuple[
     three = found.where("w3 is not null")
     count = lambda i: words.select(F.col("h").alias(f"w{i}"), F.col("n").alias(f"f{i}"), F.col("word").alias(f"t{i}"), *([F.col("lang")] if i == 1 else []))
     named = lambda df, n: df.select("*") if not n else named(df, n - 1).join(count(n), f"w{n}")
-    score = lambda left, right: F.expr(f"(cast(1000000 as decimal(7, 0)) * cast(cast(a as decimal(15, 0)) * cast(a as decimal(15, 0)) as decimal(30, 0))) div (cast({left} as decimal(18, 0)) * cast({right} as decimal(18, 0)))")
     pair = lambda x, y, name: two.select(F.col("w1").alias(x), F.col("w2").alias(y), F.col("a").alias(name))
     long = three.join(pair("w1", "w2", "f12"), ["w1", "w2"]).join(pair("w2", "w3", "f23"), ["w2", "w3"])
     long = keep(named(long, 3), "three")

@@ -136,13 +136,26 @@ def _counting(order: int):
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """toxic, tune, doc_id of one row for each different text of a class among the rows with a label that may be learned from."""
+    """doc_id, h, i (hashes of the text), times (rows that have all three), toxic, tune of one row for each different text of a class among the rows
+    with a label that may be learned from."""
     by = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     by = keep(by.where(~_held_out()), "toxic-labels")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("2"), text).alias("i"))
-    one = own.join(F.broadcast(by) if by.count() <= IDS else by, "doc_id").groupBy("h", "i", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    return one.select("doc_id", "toxic", (F.pmod("h", F.lit(TUNE)) == 0).alias("tune"))
+    own = own.join(F.broadcast(by) if by.count() <= IDS else by, "doc_id").groupBy("doc_id", "h", "i", "toxic").agg(F.count("*").alias("times"))
+    one = own.groupBy("h", "i", "toxic").agg(F.min(F.struct("doc_id", "times")).alias("x"))
+    return one.select("x.doc_id", "h", "i", "x.times", "toxic", (F.pmod("h", F.lit(TUNE)) == 0).alias("tune"))
+
+
+def _texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """toxic, text of labelled(), each once though rows may repeat."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("2"), text).alias("i"), text.alias("text"))
+    on = ["doc_id", "h", "i"]
+    rows = own.join(F.broadcast(known) if known.count() <= IDS else known, on)
+    if not known.where("times > 1").isEmpty():
+        rows = rows.dropDuplicates([*on, "toxic"])
+    return rows.select("toxic", "text")
 
 
 def _held_out():
@@ -157,8 +170,10 @@ def _discounts(n: list) -> list[float]:
     return [min(max(x, 0.05), j - 0.05) for j, x in zip((1, 2, 3), d, strict=True)]
 
 
-def weights(counts: DataFrame, order: int) -> tuple[list[DataFrame], float]:
-    """Tables (key, w, n) of the weights of each order's n-grams, and what every byte adds. counts: g, o, t of the highest order."""
+def weights(counts: DataFrame, order: int) -> tuple[list[DataFrame], float, float]:
+    """Tables (key, w, n) of the weights of each order's n-grams, what every byte adds, and what every text adds (its contexts of START alone).
+
+    counts: g, o, t of the highest order."""
     grams = {order: counts}
     for n in range(order - 1, 0, -1):
         up = grams[n + 1]
@@ -173,7 +188,7 @@ def weights(counts: DataFrame, order: int) -> tuple[list[DataFrame], float]:
     shared = both.groupBy(F.col("g").bitwiseAND(255).alias("g")).agg(F.count("*").alias("c"))
     total = shared.agg(F.sum("c")).first()[0] or 1
     chances = shared.select("g", ((F.col("c") - 0.5) / total + F.count("*").over(_all()) * 0.5 / total / 256).alias("t_low")).withColumn("o_low", F.col("t_low"))
-    tables, every = [], 0.0
+    tables, every, start = [], 0.0, 0.0
     for n in range(1, order + 1):
         rows = grams[n].withColumn("context", F.shiftright("g", 8)).join(contexts[n], "context")
         rows = rows.join(chances.withColumnRenamed("g", "suffix"), F.col("g").bitwiseAND((1 << 8 * (n - 1)) - 1 if n > 1 else 255) == F.col("suffix"))
@@ -182,15 +197,15 @@ def weights(counts: DataFrame, order: int) -> tuple[list[DataFrame], float]:
         rows = rows.select("g", (F.col("o") + F.col("t")).alias("n"), p["o"].alias("p_o"), p["t"].alias("p_t"), (F.log(p["t"]) - F.log(p["o"]) - F.log("t_low") + F.log("o_low") - F.log(left["t"]) + F.log(left["o"])).alias("w"))
         rows = keep(rows, f"chances-{n}")
         chances = rows.select("g", F.col("p_t").alias("t_low"), F.col("p_o").alias("o_low"))
-        if n == 1:
-            row = contexts[1].select(F.log(left["t"]) - F.log(left["o"])).first()
-            every = float(row[0]) if row else 0.0
+        row = contexts[n].where("context = 0").select(F.log(left["t"]) - F.log(left["o"])).first()
+        adds = float(row[0]) if row else 0.0
+        every, start = (adds, start) if n == 1 else (every, start + adds)
         w = F.col("w")
         if n < order:
             rows = rows.join(contexts[n + 1].select(F.col("context").alias("g"), (F.log(left["t"]) - F.log(left["o"])).alias("as_context")), "g", "left")
             w = w + F.coalesce("as_context", F.lit(0.0))
         tables.append(rows.select((F.col("g") + (n << 40)).alias("key"), w.alias("w"), "n"))
-    return tables, every
+    return tables, every, start
 
 
 def _all():
@@ -209,11 +224,11 @@ def _left(c: str):
 
 
 class Model:
-    """What is broadcast: the head, the filter of all other n-grams, what every byte adds."""
+    """What is broadcast: the head, the filter of all other n-grams, what every byte and every text adds."""
 
-    def __init__(self, order: int, every: float, keys: np.ndarray, w: np.ndarray, bits: np.ndarray | None):
+    def __init__(self, order: int, every: float, start: float, keys: np.ndarray, w: np.ndarray, bits: np.ndarray | None):
         by = np.argsort(keys)
-        self.order, self.every, self.keys, self.w, self.bits = order, every, keys[by], w[by], bits
+        self.order, self.every, self.start, self.keys, self.w, self.bits = order, every, start, keys[by], w[by], bits
 
     def values(self, g: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The known weights of distinct n-grams of highest order and all their suffixes, and for each order which of them the filter passes."""
@@ -243,7 +258,7 @@ def _filter(batches):
 
 
 def model(docs: DataFrame, labels: DataFrame, order: int = ORDER, head: int = HEAD) -> tuple[Model | None, DataFrame | None, DataFrame]:
-    """The broadcast part, the table of weights that are not in it (None if all are), and the labelled texts (doc_id, toxic, tune)."""
+    """The broadcast part, the table of weights that are not in it (None if all are), and the labelled texts."""
     small_batches(docs.sparkSession)
     known = keep(labelled(docs, labels), "labelled")
     kinds = {(r["toxic"] > 0, r["tune"]) for r in known.select("toxic", "tune").distinct().collect()}
@@ -251,11 +266,10 @@ def model(docs: DataFrame, labels: DataFrame, order: int = ORDER, head: int = HE
         return None, None, known
     if len({x for x, tune in kinds if not tune}) < 2:
         known = keep(known.withColumn("tune", F.lit(None).cast("boolean")), "labelled")
-    fit = known.where("tune is null or not tune").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(fit) if fit.count() <= IDS else fit, "doc_id")
-    counted = texts.select("toxic", "text").mapInArrow(_counting(order), "g long, o long, t long")
+    fit = known.where("tune is null or not tune").select("doc_id", "h", "i", "times", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    counted = _texts(docs, fit).mapInArrow(_counting(order), "g long, o long, t long")
     counts = keep(counted.groupBy("g").agg(F.sum("o").alias("o"), F.sum("t").alias("t")), f"grams-{order}")
-    tables, every = weights(counts, order)
+    tables, every, start = weights(counts, order)
     table = keep(union(tables), "weights")
     if table.count() <= head:
         rest, bits, top = None, None, table
@@ -267,7 +281,7 @@ def model(docs: DataFrame, labels: DataFrame, order: int = ORDER, head: int = HE
             bits |= np.frombuffer(row["bits"], np.uint8)
         bits = np.unpackbits(bits).astype(bool)
     top = top.select("key", "w").toPandas()
-    return Model(order, every, top["key"].to_numpy().astype(np.uint64), top["w"].to_numpy(), bits), rest, known
+    return Model(order, every, start, top["key"].to_numpy().astype(np.uint64), top["w"].to_numpy(), bits), rest, known
 
 
 _SCORED = "uid long, doc_id long, n long, sum double, rest array<struct<key:long,n:long>>"
@@ -285,7 +299,7 @@ def _scoring(model):
         for b in batches:
             framed, begin = _framed(b.column(1), m.order)
             n = np.diff(begin) - m.order + 1
-            total = n * m.every
+            total = n * m.every + m.start
             asked: list[tuple] = []
             for packed, first in _slices(framed, begin, m.order):
                 g, doc = packed >> np.uint64(20), (packed & np.uint64((1 << 20) - 1)).astype(np.int64) + first
