@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from claimloom.functions.base import strip
 from claimloom.functions.names import entity_key, is_resolvable
 
+from .locate import locate_on
 from .normalize import evidence_id, normalize, stable_id, to_facts
-from .pages import locate
 
 CLAIM = ["fact_kind", "entity", "metric", "value", "value_text", "unit", "magnitude", "period", "basis", "quote"]
 
@@ -18,7 +18,7 @@ def judge(claims: DataFrame, pages: DataFrame) -> DataFrame:
     """claims (doc_id, page_no, ...) with `reason` (null if admitted), `ground` and everything normalized. pages: doc_id, page_no, page_text."""
     text = lambda c: F.coalesce(strip(F.col(c)), F.lit(""))
     c = claims.withColumns({x: text(x) for x in ("quote", "entity", "metric")} | {"value_text": F.nullif(text("value_text"), F.lit("")), "fact_kind": F.coalesce(F.nullif(F.col("fact_kind"), F.lit("")), F.lit("measurement"))})
-    c = locate(c.join(pages.select("doc_id", "page_no", "page_text"), ["doc_id", "page_no"], "left")).drop("page_text")
+    c = locate_on(c, pages.select("doc_id", "page_no", "page_text"), ["doc_id", "page_no"])
     n = normalize(c)
     reason = (
         F.when(F.col("quote") == "", "no_quote")

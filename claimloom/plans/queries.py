@@ -10,6 +10,7 @@ from claimloom.functions.names import entity_key, is_resolvable, metric_key, nea
 from claimloom.functions.period import relation, with_period
 from claimloom.functions.quantity import format_value, with_quantity
 from claimloom.operators import admit, blocking, build, compare, normalize, pages
+from claimloom.operators.locate import locate, locate_on
 from claimloom.plans import ledger, stats
 from claimloom.sources import gold, tables
 
@@ -322,21 +323,12 @@ def page_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.spread(tables.read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", pages.assess(F.col("text")).alias("x")).select("doc_id", "x.scan", "x.reason")
 
 
-@query(
-    "ground_exact",
-    "WITH q AS (SELECT doc_id, text, substr(split_part(text, chr(10), 1), 1, 60) AS q FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN length(trim(q)) < 12 THEN 'failed' ELSE 'exact' END AS match_type, CAST(CASE WHEN length(trim(q)) < 12 THEN NULL ELSE instr(text, q) - 1 END AS INTEGER) AS char_start FROM q",
-)
-def ground_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").alias("page_text"), F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 60).alias("quote"))
-    return pages.locate(d).select("doc_id", "ground.match_type", "ground.char_start")
-
-
 @query("ground_ladder")
 def ground_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items quoted, in capitals and with a typing error, on a page that holds the item among others."""
     b = tables.read(spark, sf_dir, "benchmark").select("item_id", "text")
     said = F.when(F.col("item_id") % 3 == 0, F.col("text")).when(F.col("item_id") % 3 == 1, F.upper("text")).otherwise(F.concat(F.lit("Xy"), F.substr("text", F.lit(4), F.length("text"))))
-    return pages.locate(b.select("item_id", F.concat(F.lit("Page one. "), "text", F.lit(" The end.")).alias("page_text"), said.alias("quote"))).select("item_id", "ground.match_type", "ground.char_start", "ground.char_end", F.bround("ground.confidence", 4).alias("confidence"))
+    return locate(b.select("item_id", F.concat(F.lit("Page one. "), "text", F.lit(" The end.")).alias("page_text"), said.alias("quote"))).select("item_id", "ground.match_type", "ground.char_start", "ground.char_end", F.bround("ground.confidence", 4).alias("confidence"))
 
 
 @query("document_dedup", "SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -352,13 +344,6 @@ def extraction_cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", cache_key(F.col("text")).alias("cache_key"))
 
 
-@query("word_offsets", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, CAST(coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS w_start FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ')[1:20] AS w FROM documents WHERE text IS NOT NULL))")
-def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offsets of the first twenty words of each text, as if each were a line of a page."""
-    d = tables.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lit(1).alias("page_no"), F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("seq", "text"))
-    return pages.word_offsets(d).select("doc_id", "seq", F.col("start").alias("w_start"))
-
-
 @query(
     "word_offsets_whole",
     """WITH t AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, r, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM t)
@@ -385,7 +370,44 @@ def ground_exact_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.spread(tables.read(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null")
     quote = {part: F.expr(f"substr(text, {at.replace('//', 'div')}, 60)") for part, at in _QUOTED}
     d = d.select("doc_id", F.col("text").alias("page_text"), F.explode(F.array(*(F.struct(F.lit(part).alias("part"), q.alias("quote")) for part, q in quote.items()))).alias("x")).select("doc_id", "page_text", "x.*")
-    return pages.locate(d).select("doc_id", "part", "ground.match_type", "ground.char_start")
+    return locate(d).select("doc_id", "part", "ground.match_type", "ground.char_start")
+
+
+# two names that once stood for parts of these jobs
+for _old, _whole in (("word_offsets", "word_offsets_whole"), ("ground_exact", "ground_exact_inside")):
+    QUERIES[_old], SQL[_old] = QUERIES[_whole], SQL[_whole]
+
+
+#: How a page is set in type: two blanks for one, ligatures, long dashes.
+_SET = "replace(replace(replace({x}, 'fi', chr(64257)), ' ', '  '), '-', chr(8211))"
+_SQUEEZED = r"trim(regexp_replace(text, '[ \t-\r\x{A0}]+', ' ', 'g'))"
+
+
+@query(
+    "ground_printed",
+    rf"""WITH t AS (SELECT doc_id, {_SQUEEZED} AS t FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, t, unnest(range(0, greatest(length(t) // 1000, 1))) AS part FROM t),
+        q AS (SELECT *, {_SET.format(x="t")} AS page, trim(lower(substr(t, part * 1000 + length(t) % 1000 // 2 + 1, 70))) AS q FROM a), k AS (SELECT *, instr(lower(t), q) AS k, instr(page, q) AS e, length(q) AS n FROM q)
+        SELECT doc_id, CAST(part AS BIGINT) AS part, CASE WHEN n < 12 THEN 'failed' WHEN e > 0 THEN 'exact' ELSE 'normalized' END AS match_type,
+          CAST(CASE WHEN n < 12 THEN NULL WHEN e > 0 THEN e - 1 ELSE length({_SET.format(x="substr(t, 1, k - 1)")}) - CASE WHEN k > 1 AND substr(t, k - 1, 2) = 'fi' THEN 1 ELSE 0 END END AS INTEGER) AS char_start,
+          CAST(CASE WHEN n < 12 THEN NULL WHEN e > 0 THEN e - 1 + n ELSE length({_SET.format(x="substr(t, 1, k - 1 + n)")}) END AS INTEGER) AS char_end FROM k""",
+)
+def ground_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes in small letters from every thousand characters of each text, on a page that has it set in type: quotes are a table of their own."""
+    d = tables.spread(tables.read(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null")
+    d = d.select("doc_id", F.trim(F.regexp_replace("text", "[ \\t-\\r\u00a0]+", " ")).alias("t")).withColumn("page_no", F.xxhash64("t"))
+    page = d.select("doc_id", "page_no", F.expr(_SET.format(x="t").replace("chr(64257)", "'\ufb01'").replace("chr(8211)", "'\u2013'")).alias("page_text"))
+    claims = d.select("doc_id", "page_no", "t", F.explode(F.expr("sequence(0L, greatest(length(t) div 1000, 1L) - 1)")).alias("part"))
+    claims = claims.select("doc_id", "page_no", "part", F.trim(F.lower(F.expr("substr(t, cast(part * 1000 + length(t) % 1000 div 2 + 1 as int), 70)"))).alias("quote"))
+    return locate_on(claims, page, ["doc_id", "page_no"]).select("doc_id", "part", "ground.match_type", "ground.char_start", "ground.char_end")
+
+
+@query("ground_misspelt")
+def ground_misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes of 80 characters from the middle of each text, with every 31st character wrong: found by runs of characters, not by scanning."""
+    d = tables.spread(tables.read(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null").withColumn("page_no", F.xxhash64("text"))
+    claims = d.select("doc_id", "page_no", F.regexp_replace(F.expr("substr(text, greatest(length(text) div 2 - 40, 1), 80)"), "(?s)(.{30}).", "$1#").alias("quote"))
+    found = locate_on(claims, d.select("doc_id", "page_no", F.col("text").alias("page_text")), ["doc_id", "page_no"])
+    return found.select("doc_id", "quote", "ground.match_type", "ground.char_start", "ground.char_end", F.bround("ground.confidence", 6).alias("confidence"))
 
 
 # ------------------------------------------------------------------------------------------------------------------ the gate

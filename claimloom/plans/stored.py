@@ -226,6 +226,20 @@ def quote_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("b").cast("long").alias("n_boxes"), F.array_min(F.transform("b", lambda x: x[0])).alias("least_x"), F.array_max(F.transform("b", lambda x: x[2])).alias("most_x"))
 
 
+@query(
+    "span_boxes",
+    f"""WITH {_WORDS}, n AS (SELECT doc_id, max(s + length(w)) AS n FROM y GROUP BY doc_id), p AS (SELECT doc_id, unnest(range(0, CAST(n // 200 + 1 AS BIGINT))) AS k FROM n)
+        SELECT doc_id, k AS span, CAST(line * 4 AS DOUBLE) AS y0, CAST(min(x0) AS DOUBLE) AS x0, CAST(max(x0 + length(w)) AS DOUBLE) AS x1 FROM p JOIN y USING (doc_id) WHERE s < k * 200 + 150 AND s + length(w) > k * 200 GROUP BY ALL""",
+)
+def span_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of every stretch of 150 characters, at each 200, of all texts: spans and words are tables that meet in bins."""
+    d = tables.read(spark, sf_dir, "documents").where("text is not null and not contains(text, '\f')")
+    words = landing.page_words(d).withColumns({"y0": F.col("y0") * 4, "y1": F.col("y1") * 4})
+    spans = words.groupBy("doc_id", "page_no").agg(F.max("end").alias("n")).select("doc_id", "page_no", F.explode(F.expr("sequence(0L, n div 200)")).alias("span"))
+    spans = spans.select("doc_id", "page_no", "span", F.concat_ws("-", "doc_id", "page_no", "span").alias("span_id"), (F.col("span") * 200).alias("start"), (F.col("span") * 200 + 150).alias("end"))
+    return pages.span_boxes(spans, words).select("doc_id", "span", "y0", "x0", "x1")
+
+
 # ---------------------------------------------------------------------------------------------------------- explanations
 
 _DECIMALS = "CASE WHEN {c} % 100 = 0 THEN '' WHEN {c} % 10 = 0 THEN '.' || {c} // 10 % 10 ELSE '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0') END"

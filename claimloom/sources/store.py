@@ -9,8 +9,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_PATHS: dict[tuple[str, str, str], str] = {}
+#: (application, name, folder): signature of the source, path.
+_PATHS: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,11 +29,34 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table `name` of the tables in `source`: written the first time that this application asks for it, read from then on."""
-    key = (spark.sparkContext.applicationId, name, source)
-    if key not in _PATHS:
+def signature(spark: SparkSession, source: str, tables: tuple[str, ...]) -> str:
+    """Of the files that tables consist of: their paths, lengths and times, from one scan of the folders that reads no content."""
+    paths = [f"{source}/{t}.parquet" for t in tables]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", "modificationTime")
+    row = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("of")).first()
+    return f"{row['n']}-{row['of']}"
+
+
+def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], tables: tuple[str, ...]) -> DataFrame:
+    """The table `name` of the tables in `source`: written the first time that this application asks for it, read until the files of those tables
+    change, then written anew and the old one deleted. make() is the lazy form."""
+    key, now = (spark.sparkContext.applicationId, name, source), signature(spark, source, tables)
+    old = _PATHS.get(key)
+    if old is None or old[0] != now:
         path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         make().write.parquet(path)
-        _PATHS[key] = path
-    return spark.read.parquet(_PATHS[key])
+        _PATHS[key] = now, path
+        if old is not None:
+            _delete(spark, old[1])
+    return spark.read.parquet(_PATHS[key][1])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has stored; what is asked for later is written anew."""
+    for key in [k for k in _PATHS if k[0] == spark.sparkContext.applicationId]:
+        _delete(spark, _PATHS.pop(key)[1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

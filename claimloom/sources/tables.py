@@ -49,14 +49,15 @@ def order_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts that orders' claims are, from the store."""
+def order_facts_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts that orders' claims are, as one plan."""
+    graded = normalize(order_claims(spark, sf_dir)).withColumns({"extraction_conf": F.lit(1.0), "grounding_conf": F.lit(1.0)})
+    return to_facts(graded, "name").withColumn("filename", F.concat(F.col("doc_id"), F.lit(".pdf")))
 
-    def make() -> DataFrame:
-        graded = normalize(order_claims(spark, sf_dir)).withColumns({"extraction_conf": F.lit(1.0), "grounding_conf": F.lit(1.0)})
-        return to_facts(graded, "name").withColumn("filename", F.concat(F.col("doc_id"), F.lit(".pdf")))
 
-    return stored(spark, "order-facts", sf_dir, make)
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts that orders' claims are, from the store."""
+    return stored(spark, "order-facts", sf_dir, lambda: order_facts_lazy(spark, sf_dir), ("orders", "customer"))
 
 
 def order_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def order_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relationships among orders' facts, from the store."""
-    return stored(spark, "order-relationships", sf_dir, lambda: relationships(order_judged(spark, sf_dir)))
+    return stored(spark, "order-relationships", sf_dir, lambda: relationships(order_judged(spark, sf_dir)), ("orders", "customer"))
 
 
 def customer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,15 +85,16 @@ def customer_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def customer_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' claims with what the gate says, from the store."""
+def customer_judged_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' claims with what the gate says, as one plan."""
+    claims = customer_claims(spark, sf_dir)
+    pages = claims.groupBy("doc_id", "page_no").agg(F.array_join(F.array_sort(F.collect_list("said")), ". ").alias("page_text"))
+    return judge(claims.drop("said"), pages)
 
-    def make() -> DataFrame:
-        claims = customer_claims(spark, sf_dir)
-        pages = claims.groupBy("doc_id", "page_no").agg(F.array_join(F.array_sort(F.collect_list("said")), ". ").alias("page_text"))
-        return judge(claims.drop("said"), pages)
 
-    return stored(spark, "customer-claims", sf_dir, make)
+def customer_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' claims with what the gate says, from the store."""
+    return stored(spark, "customer-claims", sf_dir, lambda: customer_judged_lazy(spark, sf_dir), ("customer",))
 
 
 def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
