@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimloom.operators import admit, pages
 from claimloom.plans import ledger, stats
 from claimloom.plans.queries import _JUDGED, _ORDER_RELS, _values, gold_judged
-from claimloom.sources import gold, landing, tables
+from claimloom.sources import gold, landing, pdf, store, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -226,6 +226,17 @@ def quote_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("b").cast("long").alias("n_boxes"), F.array_min(F.transform("b", lambda x: x[0])).alias("least_x"), F.array_max(F.transform("b", lambda x: x[2])).alias("most_x"))
 
 
+@query("pdf_words", f"WITH {_WORDS} SELECT doc_id, 1 AS page_no, CAST(seq AS INTEGER) AS seq, w AS word, CAST(s AS INTEGER) AS w_start, CAST(x0 AS DOUBLE) AS x0, CAST(line AS DOUBLE) AS y0, CAST(x0 + length(w) AS DOUBLE) AS x1, CAST(line + 1 AS DOUBLE) AS y1 FROM y")
+def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as PDF files, a page each, and all their words read back from these: text, offsets, boxes."""
+    pdf.register(spark)
+    d = tables.spread(tables.read(spark, sf_dir, "documents").where("text is not null and not contains(text, '\f')").select("doc_id", "text"))
+    path = store.stored_at(spark, "pdf", sf_dir, lambda p: d.write.format("pdf_pages").mode("append").save(p), ("documents",))
+    read = spark.read.format("pdf_pages").load(path).withColumn("doc_id", F.regexp_extract("path", r"([^/]+)-[0-9a-f]{16}[.]pdf$", 1).try_cast("long"))
+    words = read.select("doc_id", "page_no", F.posexplode("words").alias("seq", "w"))
+    return words.select("doc_id", "page_no", "seq", F.col("w.text").alias("word"), F.col("w.start").alias("w_start"), "w.x0", "w.y0", "w.x1", "w.y1")
+
+
 @query(
     "span_boxes",
     f"""WITH {_WORDS}, n AS (SELECT doc_id, max(s + length(w)) AS n FROM y GROUP BY doc_id), p AS (SELECT doc_id, unnest(range(0, CAST(n // 200 + 1 AS BIGINT))) AS k FROM n)

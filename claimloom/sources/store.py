@@ -37,18 +37,23 @@ def signature(spark: SparkSession, source: str, tables: tuple[str, ...]) -> str:
     return f"{row['n']}-{row['of']}"
 
 
-def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], tables: tuple[str, ...]) -> DataFrame:
-    """The table `name` of the tables in `source`: written the first time that this application asks for it, read until the files of those tables
-    change, then written anew and the old one deleted. make() is the lazy form."""
+def stored_at(spark: SparkSession, name: str, source: str, write: Callable[[str], None], tables: tuple[str, ...]) -> str:
+    """Where write(path) has put what belongs to the tables in `source`: written the first time that this application asks for it, and anew, the
+    old one being deleted, when the files of those tables have changed."""
     key, now = (spark.sparkContext.applicationId, name, source), signature(spark, source, tables)
     old = _PATHS.get(key)
     if old is None or old[0] != now:
         path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-        make().write.parquet(path)
+        write(path)
         _PATHS[key] = now, path
         if old is not None:
             _delete(spark, old[1])
-    return spark.read.parquet(_PATHS[key][1])
+    return _PATHS[key][1]
+
+
+def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], tables: tuple[str, ...]) -> DataFrame:
+    """The table `name`, which make() (the lazy form) makes of the tables in `source`."""
+    return spark.read.parquet(stored_at(spark, name, source, lambda path: make().write.parquet(path), tables))
 
 
 def clear(spark: SparkSession) -> None:
