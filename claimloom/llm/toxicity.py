@@ -42,7 +42,7 @@ BINS = 4096
 #: One labelled text in so many is kept for calibration.
 TUNE = 5
 #: Bytes taken at once, and n-grams that a task gathers before it sends their counts.
-_SLICE, _GATHER = 1 << 20, 1 << 22
+_SLICE, _GATHER = 1 << 19, 1 << 20
 _END = 1
 
 _FOLD = np.where(ALNUM, LOWER, 32).astype(np.uint8)
@@ -136,15 +136,15 @@ def _counting(order: int):
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, h, i (hashes of the text), times (rows that have all three), toxic, tune of one row for each different text of a class among the rows
+    """doc_id, h, i (hashes of the text), times (the most rows with one id and this text), toxic, tune of one row for each different text of a class among the rows
     with a label that may be learned from."""
     by = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     by = keep(by.where(~_held_out()), "toxic-labels")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("2"), text).alias("i"))
     own = own.join(F.broadcast(by) if by.count() <= IDS else by, "doc_id").groupBy("doc_id", "h", "i", "toxic").agg(F.count("*").alias("times"))
-    one = own.groupBy("h", "i", "toxic").agg(F.min(F.struct("doc_id", "times")).alias("x"))
-    return one.select("x.doc_id", "h", "i", "x.times", "toxic", (F.pmod("h", F.lit(TUNE)) == 0).alias("tune"))
+    one = own.groupBy("h", "i", "toxic").agg(F.min("doc_id").alias("doc_id"), F.max("times").alias("times"))
+    return one.select("doc_id", "h", "i", "times", "toxic", (F.pmod("h", F.lit(TUNE)) == 0).alias("tune"))
 
 
 def _texts(docs: DataFrame, known: DataFrame) -> DataFrame:
