@@ -51,6 +51,13 @@ def stored_at(spark: SparkSession, name: str, source: str, write: Callable[[str]
     return _PATHS[key][1]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what one run makes, deleted by clear()."""
+    path = f"{folder(spark)}/{name}"
+    _PATHS[spark.sparkContext.applicationId, name, ""] = "", path
+    return path
+
+
 def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame], tables: tuple[str, ...]) -> DataFrame:
     """The table `name`, which make() (the lazy form) makes of the tables in `source`."""
     return spark.read.parquet(stored_at(spark, name, source, lambda path: make().write.parquet(path), tables))
