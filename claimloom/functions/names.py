@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from .base import U, let, squeeze, strip, strip_accents, words
 from .vocab import ABSORBED, DEICTIC, GENERIC, HONORIFICS, LEGAL_SUFFIXES, SPELLING, STOPWORDS
 
-#: Parentheses of a label that are looked at for an acronym; further ones are read as plain words.
-PARENTHESES = 3
-
 
 def entity_key(raw: Column) -> Column:
     """Accents, case, parentheses, punctuation, leading honorifics and trailing legal forms removed; '' for nothing."""
@@ -68,8 +65,8 @@ def _fold_acronym(s: Column) -> Column:
 def metric_key(label: Column) -> Column:
     """A slug of the label without fillers and without words that belong to the basis; '' for nothing, 'unknown' if nothing is left."""
     s = strip(F.lower(F.coalesce(label, F.lit(""))))
-    for _ in range(PARENTHESES):
-        s = let(s, _fold_acronym)
+    # one parenthesis after the other, however many there are
+    s = let(s, lambda x: F.aggregate(F.array_repeat(F.lit(0), F.regexp_count(x, F.lit(r"\([^)]*\)"))), x, lambda left, _: _fold_acronym(left)))
     for pattern, by in SPELLING:
         s = F.regexp_replace(s, U + pattern, by)
     left = F.filter(words(F.regexp_replace(s, U + r"[^\w\s]", " ")), lambda w: ~w.isin([*STOPWORDS, *ABSORBED]))

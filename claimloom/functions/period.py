@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from . import vocab as V
 from .base import U, sql_map, sql_text, staged
 
-#: "ended" phrases within each other are taken off from the outside, up to so many.
-NESTED = 3
 _NAMES = sql_map({n: i for i, m in enumerate(V.MONTHS, 1) for n in (m, m[:3])})
 _COUNTS = sql_map({w: i for i, n in enumerate(V.NUMBER_WORDS, 1) for w in (n, str(i))})
 _EDGES, _SPACES = sql_text(U + r"^\s+|\s+$"), sql_text(U + r"\s+")
@@ -90,13 +88,19 @@ def periods(texts: DataFrame) -> DataFrame:
     """raw, period_of: struct(start, end, grain, confidence, note) for those of the distinct texts (raw) that name a period. An impossible
     date names none.
 
-    A text is read in several ways: as what follows an "ended" phrase (in the order of the rules, outer phrases first), and as a whole; each
+    A text is read in several ways: as what follows an "ended" phrase (in the order of the rules, outer phrases first, at any depth), and as a whole; each
     with its quarter taken out, then as it is. Every reading is a row of its own, so the rules are planned once; the first that gives dates counts."""
     plain = f"translate({_squeezed('lower(raw)')}, '\u2013\u2014\u2212', '---')"
-    ended = f"transform({_ended('x.s')}, (y, k) -> struct(concat(x.at, k) AS at, concat(array(struct(y.n AS n, y.grain AS grain)), x.back) AS back, y.rest AS s))"
-    steps = [("_r0", f"array(struct('' AS at, CAST(array() AS ARRAY<STRUCT<n: INT, grain: STRING>>) AS back, {plain} AS s))")]
-    steps += [(f"_r{k}", f"flatten(transform(_r{k - 1}, x -> {ended}))") for k in range(1, NESTED + 1)]
-    readings = staged(texts, [*steps, ("_all", "concat(" + ", ".join(n for n, _ in steps) + ")")], "_all").selectExpr("raw", "inline(_all) AS (_at, _back, _s)")
+    # phrases within each other are taken off from the outside, one level for each that there is; of the phrases around a reading the outermost
+    # alone says where the period begins, so readings that agree in it and in what is left are one
+    ended = f"transform({_ended('x.s')}, (y, k) -> struct(concat(x.at, k) AS at, CASE WHEN size(x.back) > 0 THEN x.back ELSE array(struct(y.n AS n, y.grain AS grain)) END AS back, y.rest AS s))"
+    first = "filter(next, (e, i) -> NOT exists(slice(next, 1, i), f -> f.s = e.s AND f.back = e.back))"
+    level = f"transform(array(flatten(transform(st.last, x -> {ended}))), next -> transform(array({first}), once -> struct(concat(st.every, once) AS every, once AS last))[0])[0]"
+    steps = [
+        ("_r0", f"array(struct('' AS at, CAST(array() AS ARRAY<STRUCT<n: INT, grain: STRING>>) AS back, {plain} AS s))"),
+        ("_all", f"aggregate(array_repeat(0, regexp_count(_r0[0].s, 'ende')), struct(_r0 AS every, _r0 AS last), (st, i) -> {level}, st -> st.every)"),
+    ]
+    readings = staged(texts, steps, "_all").selectExpr("raw", "inline(_all) AS (_at, _back, _s)")
     quarter = f"coalesce({_int('_s', V.QUARTER, 1)}, element_at({sql_map(V.ORDINALS)}, {_word('_s', V.QUARTER, 2)}))"
     bare = f"CASE WHEN {_hit('_s', V.QUARTER)} THEN {_squeezed(f'regexp_replace(_s, {sql_text(U + r"^(.*?)" + V.QUARTER)}, {sql_text("$1 ")})')} END"
     # the place of an outer phrase ends with ~, so that what it holds inside comes before it
