@@ -5,8 +5,9 @@
    (...)?, repeated groups are aligned with each other, texts become slots #. Alignment runs in salted parts of a host first, then over
    the parts' wrappers, so one large host is no single task.
 3. Every stream is matched against its host's wrapper, so each text of a page fills one slot of it. Of each slot the host's pages tell
-   whether its text is constant or varies. Slots within an article (or else main) element are content, or, on pages without one, all
-   slots; not those whose text is constant over different pages, nor those in menus, headers, footers, adverts, comments and the like.
+   whether its text is constant or varies. Slots within an article of the main element are content, or else those of the main element, of any
+   article, or, on pages without either, all slots; not those whose text is constant over different pages (but for headings in articles), nor
+   those in menus, headers, footers, adverts, comments and the like.
    Words of classes that also name content (SOFT) give way where the slot's text varies and is prose.
 4. The host's decisions are joined with its pages, and the text of content slots is taken block by block.
 
@@ -16,6 +17,7 @@ very long pages are processed whole; repeated rows give equal results; empty tab
 
 from __future__ import annotations
 
+import collections
 import difflib
 import functools
 import hashlib
@@ -23,6 +25,7 @@ import html as entities
 import json
 import re
 import zlib
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +47,8 @@ BLOCK = frozenset(
     "option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 NEVER = frozenset("head nav footer aside form button select menu dialog label input option".split()) | RAW
-CONTAINER = (BLOCK - {"br", "hr", "p", "h1", "h2", "h3", "h4", "h5", "h6"}) | {"button", "label", "span"}
+CONTAINER = (BLOCK - {"br", "hr"}) | {"button", "label", "span"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside footer header masthead "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments reply "
@@ -69,6 +73,8 @@ def _sign(tag: str, rest: str | None) -> str:
     words = []
     for name, *values in _ATTRIBUTE.findall(rest):
         own = _PARTS.findall("".join(values))
+        if "item" in own and tag not in ("ul", "ol", "li", "a"):
+            own = [w for w in own if w != "menu"]  # outside a list it is an item on a menu, not of one
         words += [("@" if name.lower() == "role" else ".") + w.lower() for w in own]
     return tag + "".join(sorted(set(words)))
 
@@ -111,14 +117,55 @@ def read(page: str):
                 at = end.end() if end else n
 
 
+class Place(NamedTuple):
+    """An open element: a digest of the signs down to it, where it is by all class words and by the firm ones only (see region), if in a heading."""
+
+    id: int
+    hard: str
+    soft: str
+    heading: bool
+
+
+_TOP = Place(0, "open", "open", False)
+
+
+@functools.lru_cache(1 << 14)
+def region(above: str, sign: str, hints: frozenset = HINTS) -> str:
+    """Where an element is, from where its parent is: 'inner' (an article in the main element), 'main', 'article', 'open' or 'never'."""
+    tag = _tag(sign)
+    if above == "never" or boilerplate(sign, hints) or (tag == "header" and above == "open"):
+        return "never"
+    if tag == "article":
+        return "inner" if above in ("main", "inner") else "article"
+    return "main" if (tag == "main" or "@main" in sign) and above == "open" else above
+
+
+@functools.lru_cache(1 << 16)
+def _within(above: Place, sign: str) -> Place:
+    digest = int.from_bytes(hashlib.blake2b(f"{above.id:x}/{sign}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return Place(digest, region(above.hard, sign), region(above.soft, sign, HINTS - SOFT), above.heading or _tag(sign) in HEADINGS)
+
+
 def slots(page: str):
-    """(path, text, block) for each text of the page; block numbers change where a block begins or ends. Also yields tags: (None, token, block)."""
-    stack: list[str] = []
+    """(place, text, block) for each text of the page; block numbers change where a block begins or ends. Also yields tags: (None, token, block).
+
+    A step costs the same at any depth: an element knows its place from its parent's. A paragraph ends where a block begins."""
     tags: list[str] = []
+    places = [_TOP]
+    open_: collections.Counter = collections.Counter()
     block = 0
+
+    def close(tag: str) -> None:
+        while True:
+            last = tags.pop()
+            places.pop()
+            open_[last] -= 1
+            if last == tag:
+                return
+
     for kind, x in read(page):
         if kind == "#":
-            yield "/".join(stack), x, block
+            yield places[-1], x, block
             continue
         tag = x if kind == ">" else _tag(x)
         if tag in BLOCK:
@@ -127,14 +174,15 @@ def slots(page: str):
         if tag in VOID or (tag not in CONTAINER and tag not in RAW):
             continue
         if kind == "<":
-            if tag == "body" and "head" in tags:
-                at = tags.index("head")
-                del stack[at:], tags[at:]
-            stack.append(x)
+            if tag == "body" and open_["head"]:
+                close("head")
+            if tag in BLOCK and open_["p"]:
+                close("p")
             tags.append(tag)
-        elif tag in tags:
-            at = len(tags) - 1 - tags[::-1].index(tag)
-            del stack[at:], tags[at:]
+            places.append(_within(places[-1], x))
+            open_[tag] += 1
+        elif open_[tag]:
+            close(tag)
 
 
 def _folded(tokens: list, at: list) -> tuple[list, list]:
@@ -193,8 +241,8 @@ def align(a: list, b: list) -> list:
 
 def located(found: list) -> tuple[list, list[list[int]]]:
     """The stream of a page's slots(), and for each of its leaves the numbers of the texts there."""
-    kept = [(i, path, x) for i, (path, x, _) in enumerate(found) if path is None or x.strip()]
-    tree, at = _located(tuple(f"#{path}" if path is not None else x for _, path, x in kept))
+    kept = [(i, place, x) for i, (place, x, _) in enumerate(found) if place is None or x.strip()]
+    tree, at = _located(tuple(f"#{place.id:x}" if place is not None else x for _, place, x in kept))
     return tree, [[kept[k][0] for k in x] for x in at]
 
 
@@ -256,20 +304,6 @@ def _leaves(wrapper: list):
             yield from _leaves(x[1])
 
 
-@functools.lru_cache(1 << 14)
-def region(path: str, hints: frozenset = HINTS) -> str:
-    """'article', 'main', 'open' or 'never'."""
-    signs = path.split("/") if path else []
-    inside = ""
-    for s in signs:
-        tag = re.split("[.@]", s, maxsplit=1)[0]
-        if boilerplate(s, hints) or (tag == "header" and not inside):
-            return "never"
-        if tag == "article" or (tag == "main" or "@main" in s) and not inside:
-            inside = "article" if tag == "article" else "main"
-    return inside or "open"
-
-
 def _dump(x) -> str:
     return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
@@ -298,8 +332,8 @@ def _streams(batches):
             made = _dump(tree)
             judged = {}
             for leaf, (x, texts) in enumerate(zip(_leaves(tree), at, strict=True)):
-                if x[0] == "#" and region(x[1:], HINTS - SOFT) != "never":
-                    judged[leaf] = region(x[1:]), "\n".join(" ".join(found[i][1].split()) for i in texts)
+                if x[0] == "#" and found[texts[0]][0].soft != "never":
+                    judged[leaf] = found[texts[0]][0].hard, "\n".join(" ".join(found[i][1].split()) for i in texts)
             whole = _digest(_dump([t for _, t in judged.values()]))
             # within an article near copies count as one page too: whoever has the same longest text but for a few words
             voice = _voice(max((t for r, t in judged.values() if r != "never"), key=len, default=""))
@@ -349,16 +383,17 @@ def text_of(page: str, wrapper: list, own: set[int], prose: set[int], known: dic
     if made not in known:
         known[made] = match(tree, wrapper)
     place = {i: p for p, texts in zip(known[made], at, strict=True) for i in texts}
-    blocks: dict[str, list[tuple[int, str]]] = {"article": [], "main": [], "open": []}
-    for i, (path, x, block) in enumerate(found):
-        if path is None:
+    blocks: dict[str, list[tuple[int, str]]] = {"inner": [], "main": [], "article": [], "open": []}
+    for i, (slot, x, block) in enumerate(found):
+        if slot is None:
             continue
         p = place.get(i, -1)
-        where = region(path, HINTS - SOFT if p in prose else HINTS)
+        where = slot.soft if p in prose else slot.hard
         if where != "never":
-            blocks[where].append((block, entities.unescape(x) if p not in own else ""))
-    some = lambda said: any(x.strip() for _, x in said)
-    said = blocks["article"] if some(blocks["article"]) else blocks["main"] if some(blocks["main"]) else blocks["open"]
+            # headings that all articles of a host have are the articles' own
+            kept = p not in own or (slot.heading and where != "open")
+            blocks[where].append((block, entities.unescape(x) if kept else ""))
+    said = next((b for b in blocks.values() if any(x.strip() for _, x in b)), [])
     out: list[str] = []
     for i, (block, x) in enumerate(said):
         if i and said[i - 1][0] == block:
