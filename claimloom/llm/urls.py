@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions.base import let
+
 from .graph import components
 
 #: The rules of the registered query.
@@ -30,9 +32,22 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with its segments `.` and `..` carried out; above the root there is nothing to go up to."""
+    kept = F.aggregate(
+        F.slice(F.split(path, "/"), 2, F.length(path) + 1),
+        F.expr("cast(array() as array<string>)"),
+        lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x))),
+    )
+    end = F.when(path.rlike(r"/\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), end), "^//$", "/")
+
+
 def address(url: Column) -> Column:
-    """The node of a URL: host, path and query, without scheme and fragment; null where there is no host."""
-    return F.when(host(url) != "", F.concat(host(url), F.regexp_extract(url, "://[^/?#]*([^#]*)", 1)))
+    """The node of a URL: host, path without dot segments, and query, without scheme and fragment; null where there is no host."""
+    query = F.regexp_extract(url, "://[^/?#]*[^?#]*([^#]*)", 1)
+    plain = let(path(url), lambda own: F.when(own.rlike(r"/\.\.?(/|$)"), without_dots(own)).otherwise(own))
+    return let(host(url), lambda h: F.when(h != "", F.concat(h, plain, query)))
 
 
 def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -45,14 +60,36 @@ def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame(rules, "verdict string, rule string")
+
+
+def fitted(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds `rule` and `decision`, the longest rule that fits and what it says, to urls (host, path, ...), from a table of rules (verdict, rule) of any size.
+
+    Every suffix of a host at a dot is looked up for the lengths that rules of that host have; only beginnings of the path of such a length are looked up as
+    rules. Both lookups are joins on equal keys, and what a URL sends is bounded by its own length. Of rules that are written twice, and of equally long ones, one that allows counts."""
+    own = rules.groupBy("rule").agg(F.min("verdict").alias("decision"))
+    own = own.select("rule", "decision", F.regexp_extract("rule", "^([^/]*)", 1).alias("_h"), F.regexp_extract("rule", "^[^/]*(.*)$", 1).alias("_p"))
+    lengths = own.groupBy("_h").agg(F.collect_set(F.length("_p")).alias("_lengths"))  # a number for each length of a path, at most
+    asked = urls.select("host", "path").where("host <> ''").distinct()
+    parts = F.split("host", r"\.")
+    suffix = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    met = asked.select("host", "path", F.explode(suffix).alias("_h")).join(lengths, "_h")
+    met = met.select("host", "path", "_h", F.explode(F.filter("_lengths", lambda n: n <= F.length("path"))).alias("_n"))
+    met = met.select("host", "path", F.concat("_h", F.expr("left(path, _n)")).alias("rule")).join(own.select("rule", "decision"), "rule")
+    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("decision") == "allow").alias("allows"), "rule", "decision")).alias("_best"))
+    return urls.join(best, ["host", "path"], "left").select(*urls.columns, F.col("_best.rule").alias("rule"), F.col("_best.decision").alias("decision"))
+
+
 def decided(rule: Column, rules: list[tuple[str, str]]) -> Column:
     allow = {r for what, r in rules if what == "allow"}
     return F.when(rule.isin(sorted(allow)), "allow").when(rule.isNotNull(), "block")
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """src, dst: the redirect and canonical-link edges that the pages declare."""
-    tag = lambda what: F.regexp_extract("html", what, 0)
+    """src, dst: the redirect and canonical-link edges that the pages declare; what stands in comments declares nothing."""
+    tag = lambda what: F.regexp_extract(F.regexp_replace("html", "(?s)<!--.*?(?:-->|$)", " "), what, 0)
     value = lambda x, name: F.regexp_replace(F.regexp_extract(x, rf"(?is)\b{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1), "^[\"']|[\"']$", "")
     canonical = value(tag(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), "href")
     refresh = F.regexp_extract(value(tag(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), "content"), r"(?is)^\s*\d+\s*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"']+)", 1)
@@ -61,22 +98,30 @@ def links(pages: DataFrame) -> DataFrame:
     scheme, to = F.regexp_extract("url", "^([^:]*):", 1), F.replace(F.trim("to"), F.lit("&amp;"), F.lit("&"))
     base = F.regexp_extract("url", "^[^:]*://[^/?#]*", 0)
     folder = F.regexp_extract("url", "^[^:]*://[^/?#]*(?:/[^?#]*/|/)?", 0)
-    full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(base, to)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), to))
-    return out.select(address(F.col("url")).alias("src"), address(full).alias("dst")).where("src is not null and dst is not null and src <> dst")
+    full = F.when(to.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), to).when(to.startswith("?"), F.concat(F.regexp_extract("url", "^[^?#]*", 0), to)).when(to.startswith("#"), F.col("url")).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(base, to)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), to))
+    out = out.select("url", full.alias("full"))
+    return out.select(address(F.col("url")).alias("src"), address(F.col("full")).alias("dst")).where("src is not null and dst is not null and src <> dst")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict for each page. rules: a short list, or a table (verdict, rule); edges (src, dst): further redirects between
+    addresses."""
 
+    def with_rule(urls: DataFrame) -> DataFrame:
+        if isinstance(rules, DataFrame):
+            return fitted(urls, rules)
+        return urls.withColumn("rule", fitting(F.col("host"), F.col("path"), rules)).withColumn("decision", decided(F.col("rule"), rules))
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], edges: DataFrame | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict for each page; edges (src, dst): further redirects between addresses."""
     own = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), address(F.col("url")).alias("node"))
-    own = own.withColumn("rule", fitting(F.col("host"), F.col("path"), rules))
+    own = with_rule(own)
     found = links(pages)
     if edges is not None:
         found = found.unionByName(edges.select("src", "dst"))
     group = components(found, "src", "dst")
     as_url = F.concat(F.lit("x://"), F.col("node"))
-    bad = group.where(decided(fitting(host(as_url), path(as_url), rules), rules) == "block").select("component").distinct()
+    bad = with_rule(group.select("component", host(as_url).alias("host"), path(as_url).alias("path"))).where("decision = 'block'").select("component").distinct()
     blocked = group.join(bad, "component", "left_semi").select("node", F.lit("block").alias("alias"))
-    return own.join(blocked, "node", "left").select("page_id", "host", "path", "rule", F.coalesce(decided(F.col("rule"), rules), F.col("alias"), F.lit("allow")).alias("verdict"))
+    return own.join(blocked, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("decision", "alias", F.lit("allow")).alias("verdict"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
