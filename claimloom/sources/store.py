@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: (application, name, folder): signature of the source, path.
 _PATHS: dict[tuple[str, str, str], tuple[str, str]] = {}
+#: Tables that were written, and the seconds that took, in order.
+BUILT: list[tuple[str, float]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -44,7 +47,9 @@ def stored_at(spark: SparkSession, name: str, source: str, write: Callable[[str]
     old = _PATHS.get(key)
     if old is None or old[0] != now:
         path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+        began = time.time()
         write(path)
+        BUILT.append((name, time.time() - began))
         _PATHS[key] = now, path
         if old is not None:
             _delete(spark, old[1])
