@@ -433,6 +433,7 @@ def extract(pages: DataFrame) -> DataFrame:
     by = by.where(F.col("n") >= SAME).where((F.col("texts") == 1) | (F.col("texts") >= SAME) & (F.col("chars") >= PROSE))
     chosen = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("place"))))
     known = inferred.join(by.groupBy("host").agg(chosen(F.col("texts") == 1).alias("own"), chosen(F.col("texts") > 1).alias("prose")), "host", "left")
+    known = keep(known, "known")  # so that the join below has nothing but its own shuffle on either side, and a host of very many pages is split
     kind = rows.schema["page_id"].dataType.simpleString()
     return rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper", "own", "prose").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 
