@@ -53,8 +53,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", decontamination), ("byte_bpe", encoding)]
 
-#: SQL can express neither the language model nor the encoding; the tests hold near_duplicates() against planted rows, and of run() only that
-#: planted rows go, nearly all others stay and ids decode to their texts.
+#: SQL can express neither the language model nor the encoding; the tests hold run() against every stage's decisions made again in Python.
 ORACLE_SQL = None
 
 
