@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable
@@ -70,22 +71,38 @@ def word_pattern(token: str) -> str:
     return rf"\b{re.escape(token)}\b" if token[0].isalpha() else re.escape(token)
 
 
-def _folds() -> dict[str, str]:
-    """Latin letters that decompose to one plain letter and marks."""
-    out = {}
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """What each letter of any script is without its marks, where that is another text: of one character (or none), and of several. Syllables of Hangul
+    are left to a rule."""
+    one, more = {}, {}
+    for c in map(chr, [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000)]):  # the planes above have neither marks nor such letters
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if plain != c and len(plain) == 1:
-            out[c] = plain
-    return out
+        if plain != c:
+            (more if len(plain) > 1 else one)[c] = plain
+    return one, more
 
 
-_FOLDS = _folds()
+_ONE, _MORE = _decomposed()
+#: The letters of several characters as ranges of a class, and as one literal that is read once for a plan. Their texts hold no line breaks.
+_RANGES = "".join(f"\\x{{{min(g):X}}}-\\x{{{max(g):X}}}" for _, x in itertools.groupby(enumerate(sorted(map(ord, _MORE))), lambda p: p[1] - p[0]) for g in [[v for _, v in x]])
+_HANGUL = "\\uAC00-\\uD7A3"
+_TABLE = "\n".join(f"{c}\r{by}" for c, by in _MORE.items())
 
 
 def strip_accents(x: Column) -> Column:
-    """Compatibility decomposition without combining marks, for Latin letters (others are left as they are)."""
-    return F.regexp_replace(F.translate(x, "".join(_FOLDS), "".join(_FOLDS.values())), r"\p{M}+", "")
+    """Compatibility decomposition without combining marks, of all scripts. Marks that the Unicode tables count as not combining stay."""
+    plain = F.translate(x, "".join(c for c, by in _ONE.items() if by) + "".join(c for c, by in _ONE.items() if not by), "".join(_ONE.values()))
+    table = F.expr(f"str_to_map({sql_text(_TABLE)}, '\n', '\r')")
+
+    def syllable(c: Column) -> Column:
+        n = F.ascii(c) - 0xAC00
+        parts = [0x1100 + F.floor(n / 588), 0x1161 + F.floor(n % 588 / 28), 0x11A7 + n % 28]
+        code = F.format_string("%04X%04X%04X", *(p.cast("int") for p in parts))
+        return F.decode(F.unhex(F.when(n % 28 == 0, F.substring(code, 1, 8)).otherwise(code)), "UTF-16BE")
+
+    each = lambda c: F.when(c.rlike(f"^[{_HANGUL}]$"), syllable(c)).otherwise(F.coalesce(F.element_at(table, c), c))
+    whole = F.when(plain.rlike(f"[{_RANGES}{_HANGUL}]"), F.array_join(F.transform(F.split(plain, ""), each), "")).otherwise(plain)
+    return F.when(x.rlike(r"[^\x00-\x7F]"), whole).otherwise(x)
 
 
 def general(x: Column, digits: int, grouped: bool = False) -> Column:

@@ -23,15 +23,28 @@ def near_keys(facts: DataFrame) -> DataFrame:
     return met.select("entity_key", F.col("a_metric_key").alias("ka"), F.col("b_metric_key").alias("kb")).distinct().where(near_miss(F.col("ka"), F.col("kb")))
 
 
+#: Facts of a block that meet in one task; larger blocks are dealt out.
+BLOCK = 2048
+
+
+def block_pairs(facts: DataFrame, on: list[str], block: int = BLOCK) -> DataFrame:
+    """a_*, b_* columns of all pairs of one block with a_fact_id < b_fact_id. A block of more than `block` facts is dealt out: each of its facts is on the left
+    in one of its parts and on the right in all of them, so no task has more than `block` of its facts on the left."""
+    parts = facts.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*on, F.ceil(F.col("_n") / block).cast("int").alias("_parts"))
+    dealt = facts.join(parts, on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    left = dealt.withColumn("_part", F.pmod(F.xxhash64("fact_id"), F.col("_parts")).cast("int")).drop("_parts")
+    right = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return _pairs(left, right, [*on, "_part"]).drop("_part").where("a_fact_id < b_fact_id")
+
+
 def candidate_pairs(facts: DataFrame, cross_document_only: bool = False) -> DataFrame:
     """fact_a < fact_b, each unordered pair once if each fact is: the two metric keys of a near pair differ, those of an exact one do not."""
     f = facts.select(*KEYS)
-    exact = _pairs(f, f, ["entity_key", "metric_key"]).select("a_fact_id", "b_fact_id", "a_doc_id", "b_doc_id")
+    exact = block_pairs(f, ["entity_key", "metric_key"]).select("a_fact_id", "b_fact_id", "a_doc_id", "b_doc_id")
     keys = near_keys(f)
     left = f.join(keys.withColumnRenamed("ka", "metric_key"), ["entity_key", "metric_key"]).select("entity_key", "kb", F.col("fact_id").alias("a_fact_id"), F.col("doc_id").alias("a_doc_id"))
     right = f.select("entity_key", F.col("metric_key").alias("kb"), F.col("fact_id").alias("b_fact_id"), F.col("doc_id").alias("b_doc_id"))
     near = left.join(right, ["entity_key", "kb"]).select("a_fact_id", "b_fact_id", "a_doc_id", "b_doc_id")
-    exact = exact.where("a_fact_id < b_fact_id")  # both orders come out of the self-join
     both = exact.unionByName(near)
     if cross_document_only:
         both = both.where("a_doc_id <> b_doc_id")

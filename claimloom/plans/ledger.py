@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import datetime
+import io
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,5 +127,33 @@ def snapshot(folder: str, statistics: DataFrame, facts: DataFrame, full: DataFra
         write_csv(table, f"{folder}/{name}")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Part files of a table; with an order, sorted within and between them (part names follow the order)."""
+    (df.orderBy(*order) if order else df).write.option("header", True).csv(path)
+
+
+def write_dated_csv(df: DataFrame, folder: str, name: str, order: list[str], day: datetime.date | None = None) -> str:
+    """One file `name-yyyy-mm-dd.csv` in a folder, in order, with one header; returns its path.
+
+    The parts are sorted and written by many tasks; then they are put together by the file system of the driver as streams of bytes, so no row passes through
+    one task. A file of that day that is there already is replaced once the new one is whole. An empty table is a header."""
+    spark = df.sparkSession
+    target = f"{folder.rstrip('/')}/{name}-{(day or datetime.date.today()).isoformat()}.csv"
+    parts = f"{target}.parts"
+    df.orderBy(*order).write.mode("overwrite").option("header", False).csv(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(parts).getFileSystem(conf)
+    out = fs.create(path(f"{target}.new"), True)
+    head = io.StringIO()
+    csv.writer(head, lineterminator="\n").writerow(df.columns)
+    out.write(bytearray(head.getvalue().encode()))
+    for f in sorted(s.getPath().getName() for s in fs.listStatus(path(parts)) if s.getPath().getName().startswith("part-")):
+        source = fs.open(path(f"{parts}/{f}"))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+        source.close()
+    out.close()
+    fs.delete(path(target), False)
+    fs.rename(path(f"{target}.new"), path(target))
+    fs.delete(path(parts), True)
+    return target

@@ -9,6 +9,7 @@ from claimloom.functions import basis as B
 from claimloom.functions.names import entity_key, is_resolvable, metric_key, near_miss, same_entity
 from claimloom.functions.period import relation, with_period
 from claimloom.functions.quantity import format_value, with_quantity
+from claimloom.functions.vocab import PAGE_BOILERPLATE
 from claimloom.operators import admit, blocking, build, compare, normalize, pages
 from claimloom.operators.locate import locate, locate_on
 from claimloom.plans import ledger, stats
@@ -323,6 +324,29 @@ def page_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.spread(tables.read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", pages.assess(F.col("text")).alias("x")).select("doc_id", "x.scan", "x.reason")
 
 
+@query(
+    "page_scores",
+    r"""WITH t AS (SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL UNION ALL SELECT -1 - doc_id, 'Forward-looking statements. All rights reserved. ' || text FROM documents WHERE text IS NOT NULL),
+        n AS (SELECT doc_id, x, len(regexp_extract_all(x, '\b\d[\d,]*(?:\.\d+)?\b')) AS n, regexp_matches(x, '(?i)(%|per\s*cent|percent|bps|basis\s+points|₹|rs\.?|inr|usd|\$|crore|lakh|million|billion|trillion|mn\b|bn\b|cr\b)') AS u,
+              regexp_matches(x, '(?i)(fy\s*\d{2,4}|\b(19|20)\d{2}\s*[-/]\s*\d{2}\b|\bq[1-4]\b|\b(19|20)\d{2}\b|quarter|half\s+year|annual|month)') AS p, regexp_matches(x, '__BOILERPLATE__') AS b,
+              len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> '')) AS w FROM t),
+        d AS (SELECT *, CAST(n AS DOUBLE) / greatest(1, w) AS d FROM n),
+        s AS (SELECT *, least(CAST(1 AS DOUBLE), d * 6) + CASE WHEN u THEN CAST(0.35 AS DOUBLE) ELSE 0 END + CASE WHEN p THEN CAST(0.25 AS DOUBLE) ELSE 0 END AS s FROM d)
+        SELECT CASE WHEN trim(x) = '' THEN 'empty' WHEN length(x) < 200 THEN 'short' WHEN n < 4 THEN 'few' WHEN b AND d < 0.06 THEN 'boilerplate' WHEN NOT u AND NOT p THEN 'bare' ELSE 'scan' END AS kind, count(*) AS pages,
+               CAST(sum(CAST(round(1000 * CASE WHEN trim(x) = '' OR length(x) < 200 THEN 0 WHEN n < 4 THEN CAST(0.1 AS DOUBLE) WHEN b AND d < 0.06 THEN CAST(0.15 AS DOUBLE) ELSE s END) AS BIGINT)) AS BIGINT) AS thousandths FROM s GROUP BY 1""".replace("__BOILERPLATE__", PAGE_BOILERPLATE.replace("'", "''")),
+)
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by what the filter says of them, with the sum of their scores: all texts, and once more with a sentence of boilerplate before them."""
+    d = tables.spread(tables.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text"))
+    d = d.unionByName(d.select((-1 - F.col("doc_id")).alias("doc_id"), F.concat(F.lit("Forward-looking statements. All rights reserved. "), "text").alias("text")))
+    x = d.select(pages.assess(F.col("text")).alias("x"))
+    starts = {"no text": "empty", "too little": "short", "only": "few", "boilerplate": "boilerplate", "numbers present": "bare"}
+    kind = F.lit("scan")
+    for begin, name in starts.items():
+        kind = F.when(F.col("x.reason").startswith(begin), name).otherwise(kind)
+    return x.groupBy(kind.alias("kind")).agg(F.count("*").alias("pages"), F.sum(F.round(F.col("x.score") * 1000).cast("long")).alias("thousandths"))
+
+
 @query("ground_ladder")
 def ground_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items quoted, in capitals and with a typing error, on a page that holds the item among others."""
