@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +77,20 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, _PATHS.pop(key)[1])
 
 
+def _at_end() -> None:
+    """What is still stored when the program ends is deleted, as long as its JVM answers."""
+    jvm = SparkContext._jvm
+    if jvm is None:
+        return
+    with contextlib.suppress(Py4JError, OSError):
+        for _, path in _PATHS.values():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
+atexit.register(_at_end)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
