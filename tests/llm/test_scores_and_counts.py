@@ -7,7 +7,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from claimloom.llm import audit, collocations, toxicity
@@ -215,9 +214,8 @@ def brute_collocations(rows, least, inside=50, first=2000):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_collocations(spark, seed, monkeypatch):
-    rng = random.Random(seed)
+def test_collocations(spark, monkeypatch):
+    rng = random.Random(1)
     words = ["the", "of", "The", "a", "über", "中文", "-x-", "\x01", "rare", "New", "york", "new"] + [f"w{i}" for i in range(30)]
     weights = [30, 20, 10, 20, 5, 5, 5, 2, 1, 9, 9, 9] + [1] * 30
     rows = []
