@@ -109,6 +109,14 @@ def needed(n: Column, m: Column) -> tuple[Column, Column]:
     return both - (GRAM - 1) * (n + m - 2 * both + 1), F.greatest(n, m) - both
 
 
+def runs(text: Column) -> Column:
+    """All runs of GRAM characters in order; of a shorter text the whole of it. The text is taken apart once and its characters are read by their
+    numbers: a substring or a slice would go through the whole text for each run."""
+    run = lambda c, i: F.concat(*(F.coalesce(F.get(c, i + k), F.lit("")) for k in range(GRAM)))
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - GRAM, F.lit(0))), lambda i: run(c, i))
+    return let(F.split(text, ""), cut)
+
+
 @F.pandas_udf(DoubleType())
 def likeness(stretch: pd.Series, quote: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, s, q, autojunk=False).ratio() for s, q in zip(stretch, quote, strict=True)], dtype="float64")
@@ -122,9 +130,9 @@ def alike(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
     asked = quotes.withColumn("_q", strip(fold(F.col("quote")))).withColumn("_n", F.length("_q")).where(F.col("_n") >= MIN_QUOTE)
     asked = asked.withColumns({"_step": F.greatest(F.lit(1), F.expr("_n div 8")), "_id": F.xxhash64(*key, "quote")})
     plain = pages.join(asked.select(*key).distinct(), key, "left_semi").select(*key, "page_text", plainly(F.col("page_text")).alias("_plain"))
-    runs = lambda text: F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (GRAM - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(GRAM)))
     of_quotes = asked.select(*key, "_id", "_n", "_step", F.posexplode(runs(F.col("_q"))).alias("_i", "_gram"))
-    of_pages = plain.select(*key, F.length("_plain.text").alias("_size"), F.posexplode(runs(F.col("_plain.text"))).alias("_p", "_gram"))
+    # two steps: what stands beside posexplode is computed for each posting anew, from the whole page
+    of_pages = plain.select(*key, F.length("_plain.text").alias("_size"), runs(F.col("_plain.text")).alias("_runs")).select(*key, "_size", F.posexplode("_runs").alias("_p", "_gram"))
     enough, off = needed(F.col("_n"), F.least(F.col("_n"), F.col("_size")))
     place, last = F.col("_p") - F.col("_i"), F.expr("(greatest(1, _size - _n) - 1) div _step")
     low, high = F.greatest(F.ceil((place - off) / F.col("_step")), F.lit(0)), F.least(F.floor((place + off) / F.col("_step")), last)
