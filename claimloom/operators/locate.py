@@ -6,33 +6,38 @@ own; an offset in the folded text is led back to the page by one walk over them.
 repeats, so blanks in any number are one step.
 
 Nearly so. A stretch of a page is as alike as FUZZY_MIN only if it shares many runs of GRAM characters with the quote, at nearly the same places (see
-`needed`). So quotes and pages are taken apart into such runs, a table of postings each; they meet by page and run, hits are counted for each
-stretch whose place fits, and only stretches with enough of them are compared character by character. No page is scanned for each of its quotes.
+`needed`). So where a page meets its quotes its runs are sorted by their characters, each quote's runs are looked up among them, hits are counted for each
+stretch whose place fits, and only stretches with enough of them are compared character by character. Postings stay within the row of their page:
+what is shuffled is pages and quotes. No page is scanned for each of its quotes, and a page that holds all its quotes as they are is not folded.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from claimloom.functions.base import U, let, strip
+from claimloom.functions.base import let, strip
 
 FUZZY_MIN, MIN_QUOTE = 0.90, 12
 CONFIDENCE = {"exact": 1.0, "normalized": 0.97, "fuzzy": 0.75, "failed": 0.0}
 #: What folding replaces, character by character.
 FOLDS = {"\u00ad": "", "ﬁ": "fi", "ﬂ": "fl", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", "\u00a0": " ", "\u2009": " ", "\u202f": " "}
 #: White space, Java's and the separators that only Python counts.
-BLANK = "\\s\\x1c-\\x1f\u00a0\u2009\u202f"
+BLANK = "\\t-\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: What changes its length when folded. The dotted capital I becomes two characters.
-_GAP = U + f"[{BLANK}\u00ad]{{2,}}+|[\u00adﬁﬂİ]"
+_GAP = f"[{BLANK}\u00ad]{{2,}}+|[\u00adﬁﬂİ]"
 #: Characters of a run.
 GRAM = 3
 #: Quotes of one page that travel with one copy of it.
 TOGETHER = 256
+#: Hits that are held at once.
+HITS = 1 << 20
 GROUND = "struct<match_type:string,char_start:int,char_end:int,confidence:double,located_text:string>"
 
 
@@ -44,13 +49,14 @@ def fold(text: Column) -> Column:
         if len(by) > 1:
             out = F.replace(out, F.lit(c), F.lit(by))
     # the small letter at the end of a Greek word depends on what follows, which a quote may not have
-    return F.regexp_replace(F.translate(F.lower(out), "ς", "σ"), U + f"[{BLANK}]++", " ")
+    # a space that stands alone is as it should be: most are, and each replacement costs
+    return F.regexp_replace(F.translate(F.lower(out), "ς", "σ"), f"[{BLANK}]{{2,}}+|[{BLANK}&&[^ ]]", " ")
 
 
 def gaps(text: Column) -> Column:
     """array<struct<before, was, now, lead>>: lengths of the text before each gap, of the gap on the page, and folded; and of what stands before the
     first blank of a run of blanks."""
-    now = lambda g: F.when(g.isin("ﬁ", "ﬂ", "İ"), 2).when(g.rlike(U + f"[{BLANK}]"), 1).otherwise(0)
+    now = lambda g: F.when(g.isin("ﬁ", "ﬂ", "İ"), 2).when(g.rlike(f"[{BLANK}]"), 1).otherwise(0)
     lead = lambda g: F.when(now(g) == 1, F.length(F.regexp_extract(g, "^[\u00ad]*+", 0))).otherwise(0)
     pieces, found = F.split(text, _GAP), F.regexp_extract_all(text, F.lit(_GAP), F.lit(0))
     return let(F.struct(pieces.alias("p"), found.alias("g")), lambda x: F.transform(x["g"], lambda g, i: F.struct(F.length(F.get(x["p"], i)).alias("before"), F.length(g).alias("was"), now(g).alias("now"), lead(g).alias("lead"))))
@@ -87,81 +93,118 @@ def _long(quote: Column) -> Column:
     return F.coalesce(F.length(strip(quote)), F.lit(0)) >= MIN_QUOTE
 
 
-def first_rungs(page: Column, plain: Column, quote: Column) -> Column:
-    """The exact and the folded place of a quote; null if it is short or has neither. plain: struct(text, gaps) of the page."""
-    exact = F.when(_long(quote), F.instr(page, quote))
-    folded = let(strip(fold(quote)), lambda q: F.when(q != "", let(F.instr(plain["text"], q), lambda i: F.when(i > 0, _span(plain["gaps"], page, i - 1, F.length(q), "normalized")))))
-    return let(exact, lambda i: F.when(i > 0, _ground("exact", i - 1, i - 1 + F.length(quote), quote)).when(i == 0, folded))
+def folded_rung(page: Column, plain: Column, quote: Column) -> Column:
+    """The folded place of a quote, null if it has none. plain: struct(text, gaps) of the page."""
+    return let(strip(fold(quote)), lambda q: F.when(q != "", let(F.instr(plain["text"], q), lambda i: F.when(i > 0, _span(plain["gaps"], page, i - 1, F.length(q), "normalized")))))
 
 
 def plainly(page: Column) -> Column:
     return F.struct(fold(page).alias("text"), gaps(page).alias("gaps"))
 
 
-def needed(n: Column, m: Column) -> tuple[Column, Column]:
+def needed(n: int, m: int) -> tuple[int, int]:
     """How many of a quote's runs a stretch of m characters must share to be alike, and how far these may be from their places.
 
     With M characters in matching blocks the likeness is 2 M / (n + m), so M is at least FUZZY_MIN / 2 of both lengths. Between two blocks at least one
     character of either side matches nothing, so there are at most n + m - 2 M + 1 blocks, and a block loses GRAM - 1 runs. A block is out of its place
     by no more than what matches nothing on one side.
     """
-    both = F.ceil((n + m) * F.lit(FUZZY_MIN / 2) - 1e-9)
-    return both - (GRAM - 1) * (n + m - 2 * both + 1), F.greatest(n, m) - both
-
-
-def runs(text: Column) -> Column:
-    """All runs of GRAM characters in order; of a shorter text the whole of it. The text is taken apart once and its characters are read by their
-    numbers: a substring or a slice would go through the whole text for each run."""
-    run = lambda c, i: F.concat(*(F.coalesce(F.get(c, i + k), F.lit("")) for k in range(GRAM)))
-    cut = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - GRAM, F.lit(0))), lambda i: run(c, i))
-    return let(F.split(text, ""), cut)
-
-
-@F.pandas_udf(DoubleType())
-def likeness(stretch: pd.Series, quote: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, s, q, autojunk=False).ratio() for s, q in zip(stretch, quote, strict=True)], dtype="float64")
-
-
-def alike(quotes: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
-    """key, quote, ground: the best stretch for each of the quotes (key, quote; distinct, at least MIN_QUOTE long) that has one on its page.
-
-    Stretches begin at every eighth of the quote; of equally good ones the first is taken. pages: key, page_text; distinct.
-    """
-    asked = quotes.withColumn("_q", strip(fold(F.col("quote")))).withColumn("_n", F.length("_q")).where(F.col("_n") >= MIN_QUOTE)
-    asked = asked.withColumns({"_step": F.greatest(F.lit(1), F.expr("_n div 8")), "_id": F.xxhash64(*key, "quote")})
-    plain = pages.join(asked.select(*key).distinct(), key, "left_semi").select(*key, "page_text", plainly(F.col("page_text")).alias("_plain"))
-    of_quotes = asked.select(*key, "_id", "_n", "_step", F.posexplode(runs(F.col("_q"))).alias("_i", "_gram"))
-    # two steps: what stands beside posexplode is computed for each posting anew, from the whole page
-    of_pages = plain.select(*key, F.length("_plain.text").alias("_size"), runs(F.col("_plain.text")).alias("_runs")).select(*key, "_size", F.posexplode("_runs").alias("_p", "_gram"))
-    enough, off = needed(F.col("_n"), F.least(F.col("_n"), F.col("_size")))
-    place, last = F.col("_p") - F.col("_i"), F.expr("(greatest(1, _size - _n) - 1) div _step")
-    low, high = F.greatest(F.ceil((place - off) / F.col("_step")), F.lit(0)), F.least(F.floor((place + off) / F.col("_step")), last)
-    hits = of_quotes.join(of_pages, [*key, "_gram"]).withColumns({"_low": low.cast("int"), "_high": high.cast("int"), "_enough": enough}).where(F.col("_low") <= F.col("_high"))
-    hits = hits.select(*key, "_id", "_enough", F.explode(F.transform(F.sequence("_low", "_high"), lambda j: (j * F.col("_step")).cast("int"))).alias("_at"))
-    places = hits.groupBy(*key, "_id", "_at").agg(F.count("*").alias("_shared"), F.first("_enough").alias("_enough")).where("_shared >= _enough").select(*key, "_id", "_at")
-    stretches = places.join(asked.select(*key, "_id", "quote", "_q", "_n"), [*key, "_id"]).join(plain, key)
-    text, at = F.col("_plain.text"), F.col("_at")
-    ground = _span(F.col("_plain.gaps"), F.col("page_text"), at, F.least(F.col("_n"), F.length(text) - at), "fuzzy")
-    stretches = stretches.select(*key, "quote", "_q", "_at", F.substr(text, at + 1, F.col("_n")).alias("_stretch"), ground.alias("_ground"))
-    found = stretches.withColumn("_like", likeness("_stretch", "_q")).where(F.col("_like") >= FUZZY_MIN)
-    best = found.groupBy(*key, "quote").agg(F.min(F.struct((-F.col("_like")).alias("less"), "_at", "_ground")).alias("_x"))
-    return best.select(*key, "quote", F.col("_x._ground").withField("confidence", -F.col("_x.less") * CONFIDENCE["fuzzy"]).alias("ground"))
+    both = math.ceil((n + m) * (FUZZY_MIN / 2) - 1e-9)
+    return both - (GRAM - 1) * (n + m - 2 * both + 1), max(n, m) - both
+
+
+def runs(text: str) -> np.ndarray:
+    """All runs of GRAM characters in order, as numbers; of a shorter text the whole of it."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+    n = max(len(c) - GRAM, 0) + 1
+    c = np.pad(c, (0, max(GRAM - len(c), 0)))
+    out = np.zeros(n, np.int64)
+    for k in range(GRAM):
+        out = out << 21 | c[k : k + n]
+    return out
+
+
+def _enough(order: np.ndarray, ranked: np.ndarray, size: int, quote: str) -> np.ndarray:
+    """Where stretches begin that share enough runs with a quote; they begin at every eighth of it. ranked: the page's runs in order, order: their places."""
+    n, own = len(quote), runs(quote)
+    enough, off = needed(n, min(n, size))
+    step = max(1, n // 8)
+    last = (max(1, size - n) - 1) // step
+    begin = np.searchsorted(ranked, own, "left")
+    ends = np.cumsum(np.searchsorted(ranked, own, "right") - begin)
+    # as many runs of the quote at once as have HITS hits
+    turns, change, i = np.zeros(last + 2, np.int64), np.diff(ends, prepend=0), 0
+    while i < len(own):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + HITS, "right")))
+        each = change[i:j]
+        at = np.arange(int(each.sum())) + np.repeat(begin[i:j] - (np.cumsum(each) - each), each)
+        place = order[at] - np.repeat(np.arange(i, j), each)
+        low, high = np.maximum(-((off - place) // step), 0), np.minimum((place + off) // step, last)
+        fits = low <= high
+        turns += np.bincount(low[fits], minlength=last + 2) - np.bincount(high[fits] + 1, minlength=last + 2)
+        i = j
+    return np.flatnonzero(np.cumsum(turns)[:-1] >= max(enough, 1)) * step
+
+
+def best_stretch(page: str, quotes: list[str]) -> list[dict | None]:
+    """For each folded quote the first of the best stretches of the folded page, if that is alike."""
+    of_page = runs(page)
+    order = np.argsort(of_page, kind="stable")
+    ranked, out = of_page[order], []
+    for q in quotes:
+        best, compare = None, difflib.SequenceMatcher(None, "", q, autojunk=False)
+        for at in _enough(order, ranked, len(page), q).tolist():
+            compare.set_seq1(page[at : at + len(q)])
+            # the quick ratios are bounds from above
+            least = FUZZY_MIN if best is None else best["like"]
+            if compare.real_quick_ratio() >= least and compare.quick_ratio() >= least and (like := compare.ratio()) >= least and (best is None or like > best["like"]):
+                best = {"at": at, "like": like}
+        out.append(best)
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("at", IntegerType()), StructField("like", DoubleType())])))
+def stretches(page: pd.Series, quotes: pd.Series) -> pd.Series:
+    return pd.Series([[] if p is None or not len(q) else best_stretch(p, list(q)) for p, q in zip(page, quotes, strict=True)], dtype=object)
+
+
+def _grounds(rows: DataFrame, page: str, quotes: str) -> DataFrame:
+    """Adds `_grounds`, one for each of an array of quotes, with one look at the page of the row. Rungs come in order, and a later one is for what is left."""
+    p = F.col(page)
+    exact = F.transform(quotes, lambda q: F.when(_long(q), let(F.instr(p, q), lambda i: F.when(i > 0, _ground("exact", i - 1, i - 1 + F.length(q), q)))))
+    rows = rows.withColumn("_exact", exact)
+    open_ = F.exists(F.arrays_zip(F.col(quotes).alias("q"), F.col("_exact").alias("g")), lambda x: _long(x["q"]) & x["g"].isNull()) & p.isNotNull()
+    rows = rows.withColumn("_plain", F.when(open_, plainly(p)))
+    folded = F.transform(quotes, lambda q, i: F.coalesce(F.get("_exact", i), F.when(F.col("_plain").isNotNull() & _long(q), folded_rung(p, F.col("_plain"), q))))
+    rows = rows.withColumn("_found", folded)
+    rest = F.transform(quotes, lambda q, i: F.when(F.get("_found", i).isNull() & _long(q), strip(fold(q))))
+    rest = F.transform(rest, lambda q: F.when((F.length(q) >= MIN_QUOTE) & F.col("_plain").isNotNull(), q))
+    rows = rows.withColumn("_rest", F.coalesce(rest, F.array().cast("array<string>")))
+    asked = F.array_compact("_rest")
+    rows = rows.withColumn("_near", stretches(F.when(F.size(asked) > 0, F.col("_plain.text")), asked))
+    # the answers stand in the order of what was asked
+    number = lambda i: F.size(F.array_compact(F.slice("_rest", 1, i + 1))) - 1
+
+    def last(q: Column, i: Column) -> Column:
+        near = F.when(F.get("_rest", i).isNotNull(), F.get("_near", number(i)))
+        text = F.col("_plain.text")
+        span = lambda x: F.when(x.isNotNull(), _span(F.col("_plain.gaps"), p, x["at"], F.least(F.length(F.get("_rest", i)), F.length(text) - x["at"]), "fuzzy", x["like"] * CONFIDENCE["fuzzy"]))
+        return F.coalesce(F.get("_found", i), let(near, span), failed())
+
+    return rows.withColumn("_grounds", F.transform(quotes, last)).drop("_exact", "_plain", "_found", "_rest", "_near")
+
+
+def _small_batches(rows: DataFrame) -> None:
+    """Rows here hold whole pages, and some of them are long."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
 
 
 def locate(rows: DataFrame, page: str = "page_text", quote: str = "quote") -> DataFrame:
     """Adds `ground` to rows that carry their page. A page that is null, or a quote that is null or short, fails.
 
     Rows of one page each: where many quotes share pages, locate_on() moves a page once for many of them."""
-    p, q = F.col(page), F.col(quote)
-    asked = rows.withColumn("_first", let(plainly(p), lambda x: first_rungs(p, x, q)))
-    asked = asked.withColumn("_open", F.col("_first").isNull() & _long(q) & p.isNotNull())
-    # rows that are not looked up have keys too, which spread them
-    asked = asked.withColumns({"_page": F.xxhash64(p, F.when(~F.col("_open"), q)), "_page2": F.when(F.col("_open"), F.xxhash64(F.lit("2"), p)).otherwise(F.lit(0))})
-    open_ = asked.where("_open").select("_page", "_page2", p.alias("page_text"), q.alias("quote"))
-    pages = open_.select("_page", "_page2", "page_text").dropDuplicates(["_page", "_page2"])
-    last = alike(open_.select("_page", "_page2", "quote").distinct(), pages, ["_page", "_page2"]).withColumnsRenamed({"quote": "_quote", "ground": "_last"})
-    out = asked.join(last, (asked["_page"] == last["_page"]) & (asked["_page2"] == last["_page2"]) & (q == F.col("_quote")) & asked["_open"], "left").drop(last["_page"]).drop(last["_page2"])
-    return out.withColumn("ground", F.coalesce("_first", "_last", failed())).drop("_first", "_last", "_quote", "_open", "_page", "_page2")
+    _small_batches(rows)
+    return _grounds(rows.withColumn("_quotes", F.array(quote)), page, "_quotes").withColumn("ground", F.get("_grounds", F.lit(0))).drop("_quotes", "_grounds")
 
 
 def locate_on(claims: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
@@ -169,13 +212,11 @@ def locate_on(claims: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
 
     Quotes are gathered by page, TOGETHER at most, and meet the page once for each such bundle; claims are joined with what was found by page and
     quote, so no page travels with its claims. Claims without a page, with a null in their key, or with a short quote fail."""
+    _small_batches(claims)
     pages = pages.groupBy(*key).agg(F.first("page_text").alias("page_text"))
     asked = claims.select(*key, "quote").where(_long(F.col("quote"))).distinct()
     count = asked.groupBy(*key).agg(F.ceil(F.count("*") / TOGETHER).alias("bundles"))
     bundles = asked.join(count, key).groupBy(*key, F.pmod(F.xxhash64("quote"), F.col("bundles")).alias("bundle")).agg(F.collect_list("quote").alias("quotes"))
-    p = F.col("page_text")
-    first = let(plainly(p), lambda x: F.transform("quotes", lambda q: F.struct(q.alias("quote"), first_rungs(p, x, q).alias("ground"))))
-    first = bundles.join(pages, key).select(*key, F.explode(first).alias("x")).select(*key, "x.quote", "x.ground")
-    rest = alike(first.where("ground is null").select(*key, "quote"), pages, key)
-    found = first.where("ground is not null").unionByName(rest)
-    return claims.join(found.withColumnRenamed("ground", "_found"), [*key, "quote"], "left").withColumn("ground", F.coalesce("_found", failed())).drop("_found")
+    met = _grounds(bundles.join(pages, key), "page_text", "quotes")
+    found = met.select(*key, F.explode(F.arrays_zip("quotes", "_grounds")).alias("x")).select(*key, F.col("x.quotes").alias("quote"), F.col("x._grounds").alias("_found"))
+    return claims.join(found, [*key, "quote"], "left").withColumn("ground", F.coalesce("_found", failed())).drop("_found")

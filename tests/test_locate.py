@@ -164,3 +164,14 @@ def test_stored_tables_follow_their_source(spark, tmp_path):
     assert (ask(), ask(), len(made)) == (5, 5, 2)
     store.clear(spark)
     assert (ask(), len(made)) == (5, 3)
+
+
+def test_postings_of_pages_are_not_shuffled(spark):
+    """What a page's runs meet stays in its row: rows with their pages need no exchange, and hits are taken in bounded numbers."""
+    from claimloom.operators import locate
+
+    rows = spark.createDataFrame([(1, "ab cd " * 2_000, "ab cd " * 20 + "x" + "ab cd " * 20)], "i int, page_text string, quote string")
+    found = locate.locate(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    ground = found.first().ground
+    assert (ground.match_type, ground.char_start) == ("fuzzy", 0) and ground.confidence > 0.7
