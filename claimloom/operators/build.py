@@ -48,13 +48,13 @@ def adjudicate(judged: DataFrame, answer: Callable, budget: int = BUDGET) -> Dat
     return said.select(F.col("ka").alias("key_a"), F.col("kb").alias("key_b"), "same", "rationale", F.lit("llm").alias("decided_by"))
 
 
-def relationships(judged: DataFrame) -> DataFrame:
-    """The pairs worth reporting. Unsettled metrics are dropped, unrelated pairs and time series suppressed."""
+def relationships(judged: DataFrame, *more) -> DataFrame:
+    """The pairs worth reporting. Unsettled metrics are dropped, unrelated pairs and time series suppressed. more: further columns of judged."""
     kept = judged.where(~F.col("needs_adjudication") & ~F.col("label").isin(*SUPPRESSED))
     said = F.concat(explain(), F.when(F.col("alias").isNotNull() & (F.coalesce("rationale", F.lit("")) != ""), F.concat(F.lit(" "), "rationale")).otherwise(""))
     return kept.select(
         stable_id("rel", F.col("fact_a"), F.col("fact_b")).alias("rel_id"), "fact_a", "fact_b", "label", "dimension", "confidence", "value_delta", "checks",
-        F.when(F.col("decided_by") == "llm", "llm").otherwise("rule").alias("decided_by"), said.alias("explanation"),
+        F.when(F.col("decided_by") == "llm", "llm").otherwise("rule").alias("decided_by"), said.alias("explanation"), *more,
     )
 
 

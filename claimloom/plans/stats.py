@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.functions.vocab import INTERESTING
@@ -99,8 +99,9 @@ def metrics(facts: DataFrame) -> DataFrame:
 def best_per_label(full: DataFrame, dimensions: tuple[str, ...] | None = None) -> DataFrame:
     """The best relationship of each label: across documents first, then by confidence."""
     r = full.where(F.col("dimension").isin(*dimensions)) if dimensions else full
-    w = Window.partitionBy("label").orderBy(F.desc("cross_document"), F.desc("confidence"), "rel_id")
-    return r.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+    # an aggregate with partial results: there are few labels, and a window would put all rows of one into one task
+    order = F.struct(-F.coalesce(F.col("cross_document").cast("int"), F.lit(-1)), -F.coalesce("confidence", F.lit(float("-inf"))), "rel_id")
+    return r.groupBy("label").agg(F.min_by(F.struct(*(c for c in r.columns if c != "label")), order).alias("x")).select("label", "x.*").select(r.columns)
 
 
 def highlight(full: DataFrame) -> DataFrame:

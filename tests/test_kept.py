@@ -161,3 +161,25 @@ def test_extractor_as_a_table_function(spark):
     assert spark.sql("SELECT * FROM extract_pages(TABLE({p}) PARTITION BY doc_id)", p=pages.limit(0)).count() == 0
     with pytest.raises(Exception, match="page_text is needed"):
         spark.sql("SELECT * FROM extract_pages(TABLE(SELECT 1 AS x))").collect()
+
+
+def test_queries_without_words_build_none(spark):
+    """Labels, confidences and sources come from the table of verdicts; traces and explanations are not made for them."""
+    import __spark_entry__ as entry
+    from claimloom.sources import store
+
+    store.clear(spark)
+    before = len(store.BUILT)
+    for name in ("relationships_by_label", "relationship_deltas", "best_per_label", "best_of_fact", "facts_of_label", "relationship_ledger", "relationship_sources", "fact_lookup", "highlight"):
+        entry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert [name for name, _ in store.BUILT[before:]] == ["order-facts", "order-verdicts"]
+
+
+def test_best_of_each_label_is_an_aggregate(spark):
+    from claimloom.plans import stats
+
+    rows = [("A", True, 0.5, "r2"), ("A", True, 0.5, "r1"), ("A", False, 0.9, "r0"), ("B", False, 0.1, "r4"), ("B", None, 0.9, "r3"), (None, True, None, "r5")]
+    full = spark.createDataFrame(rows, "label string, cross_document boolean, confidence double, rel_id string")
+    best = stats.best_per_label(full)
+    assert sorted((r.label or "", r.rel_id) for r in best.collect()) == [("", "r5"), ("A", "r1"), ("B", "r4")]
+    assert "Window" not in best._jdf.queryExecution().executedPlan().toString()
