@@ -122,3 +122,35 @@ def test_source(spark, tmp_path):
     assert [whole["5", i + 1].page_text for i in range(120)] == [f"p{i} of the file" for i in range(120)]
     bad = whole["bad.pdf", None]
     assert bad.problem.startswith("Unreadable") and bad.words is None and whole["packed.PDF", 1].page_text == TEXT
+
+
+def test_pages_are_read_without_steps_for_each_glyph(tmp_path):
+    """Glyphs are placed and put together into words string by string, and words go to Spark as columns."""
+    import sys
+
+    import pyarrow as pa
+
+    lines = ["the quick  brown fox 中 " * 20] * 40
+    (tmp_path / "1.pdf").write_bytes(pdf.write_pdf("\n".join(lines)))
+    (tmp_path / "2.pdf").write_bytes(b"%PDF-1.4\nno objects")
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    reader = pdf.PdfReader(f"file://{tmp_path}", pdf.LARGE, pdf.RANGE)
+    read = lambda: [b for p in reader.partitions() for b in reader.read(p)]
+    read()  # what is imported on first use is not counted
+    sys.setprofile(count)
+    try:
+        got = read()
+    finally:
+        sys.setprofile(None)
+    assert all(isinstance(b, pa.RecordBatch) for b in got)
+    assert calls < sum(map(len, lines)) / 4
+    first, second = pa.Table.from_batches(got).to_pylist()
+    expected = [(w, x, y) for y, line in enumerate(lines) for x, w in ((i, line[i:].split(" ")[0]) for i in range(len(line)) if line[i] != " " and line[i - 1 : i] in ("", " "))]
+    assert [(w["text"], w["x0"], w["y0"]) for w in first["words"]] == expected and first["page_text"] == " ".join(w for w, _, _ in expected)
+    assert all(first["page_text"][w["start"] : w["end"]] == w["text"] and w["x1"] == w["x0"] + len(w["text"]) for w in first["words"])
+    assert second["words"] is None and second["page_no"] is None and second["problem"].startswith("Unreadable")
