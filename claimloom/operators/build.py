@@ -11,7 +11,7 @@ from claimloom.functions.base import U, strip
 
 from .blocking import candidate_pairs
 from .compare import SUPPRESSED, compare, sides
-from .explain import explain
+from .explain import explain, told
 from .normalize import stable_id
 
 ALIAS = "key_a string, key_b string, same boolean, rationale string, decided_by string"
@@ -50,7 +50,7 @@ def adjudicate(judged: DataFrame, answer: Callable, budget: int = BUDGET) -> Dat
 
 def relationships(judged: DataFrame, *more) -> DataFrame:
     """The pairs worth reporting. Unsettled metrics are dropped, unrelated pairs and time series suppressed. more: further columns of judged."""
-    kept = judged.where(~F.col("needs_adjudication") & ~F.col("label").isin(*SUPPRESSED))
+    kept = told(judged.where(~F.col("needs_adjudication") & ~F.col("label").isin(*SUPPRESSED)))
     said = F.concat(explain(), F.when(F.col("alias").isNotNull() & (F.coalesce("rationale", F.lit("")) != ""), F.concat(F.lit(" "), "rationale")).otherwise(""))
     return kept.select(
         stable_id("rel", F.col("fact_a"), F.col("fact_b")).alias("rel_id"), "fact_a", "fact_b", "label", "dimension", "confidence", "value_delta", "checks",

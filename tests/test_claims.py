@@ -183,3 +183,24 @@ def test_stream_of_facts(spark, tmp_path):
     q.stop()
     want = {(r.fact_a, r.fact_b, r.label) for r in build.build(facts, none).collect()}
     assert {(r.fact_a, r.fact_b, r.label) for r in spark.read.parquet(rels).collect()} == want
+
+
+def test_rules_and_wording_are_followed_once_for_a_pair(spark):
+    """The filter by label does not hold the rules a second time, and what sentences share does not stand in each of them."""
+    from claimloom.operators import build
+    from claimloom.sources import tables
+
+    facts = spark.createDataFrame([], tables.order_facts_lazy(spark, "/root/testdata/sf0.001").schema)
+    pairs = spark.createDataFrame([], "fact_a string, fact_b string")
+    rules = "org.apache.spark.sql.catalyst.optimizer."
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    spark.conf.set("spark.sql.optimizer.excludedRules", f"{rules}PropagateEmptyRelation,{rules}ConvertToLocalRelation")
+    try:
+        plan = build.relationships(build.judge_pairs(pairs, facts, spark.createDataFrame([], build.ALIAS)))._jdf.queryExecution()
+        text = plan.optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+    filters = [line for line in text.split("\n") if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("_delta" in line for line in filters)
+    assert 0 < text.count("{3})+$") <= 8
