@@ -4,11 +4,12 @@ decode() reads any lossless image: prefix codes (simple and normal, several grou
 the two-dimensional distance codes, the colour cache, and it inverts the predictor, cross-colour, subtract-green and palette transforms.
 It works a symbol at a time. encode() can write each of these features, one at a time, for tests of the decoder.
 
-Payloads are stored as grey pictures of 192 columns, TILE_ROWS rows at most; a longer payload is a sequence of pictures. Most hold one
-prefix-coded literal for each sample and the subtract-green transform. decode_tiles() decodes such pictures of a whole batch in lockstep:
-one table lookup for the next sample of every picture at once. Where a quick trial says that a tile repeats itself, it is also written with
-back-references, and with a palette if it has few different samples; the shorter form stays. These pictures, and any others, go to decode().
-(On grey samples the colour cache, the predictor and cross-colour never give fewer bits than these, so nothing is written with them.)
+Payloads are stored as grey pictures of 192 columns, TILE_ROWS rows at most; a longer payload is a sequence of pictures. All have the
+subtract-green transform, literals and back-references, for lengths and distances two prefix codes; references() finds the repeats of all tiles
+of a batch by one sort. decode_tiles() decodes such pictures of a whole batch in lockstep: one table lookup for the next symbol of every picture
+at once, then all copies. Tiles that repeat themselves with few different samples have a palette, and those of steady steps the predictor; these
+pictures, those of a few long runs, and any others go to decode(). (A sample of a grey picture is its whole colour: the colour cache has nothing to
+name that a literal does not, and red and blue are nothing once green is subtracted, so cross-colour has nothing to take away.)
 
 Edge cases: null or empty text is a payload of 192 spaces; repeated rows give equal bytes; a long text has many pictures, none larger than
 a tile; empty tables give no rows; other columns are not read.
@@ -17,7 +18,6 @@ a tile; empty tables give no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 
@@ -31,10 +31,16 @@ WIDTH = 192
 TILE_ROWS = 32
 #: The longest code that the encoder gives a sample; the lockstep decoder's tables have 2**DEPTH entries.
 DEPTH = 11
-#: A tile repeats itself if a quick trial makes it so many times as short.
+#: A tile repeats itself if back-references make it so many times as short.
 REPEATS_ITSELF = 10
+#: A picture with so many samples for a byte is a few long runs.
+LONG_RUNS = 40
+#: The predictor is tried where steps between neighbours tell less than this part of what samples tell.
+STEADY = 0.8
 #: Pictures decoded at once.
 LANES = 4096
+#: Bytes of pictures, in whole batches of Arrow, that are decoded together.
+GATHERED = 1 << 21
 
 #: Fixed values of the format: the order in which lengths of code lengths are stored; lengths, with their extra bits, of repeat codes.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -55,11 +61,14 @@ class Bits:
         i = self.at >> 3
         return (int.from_bytes(self.data[i : i + 4], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
-    def read(self, n: int) -> int:
-        x = self.peek(n)
+    def skip(self, n: int) -> None:
         self.at += n
         if self.at > 8 * len(self.data):
             raise ValueError("the picture is cut off")
+
+    def read(self, n: int) -> int:
+        x = self.peek(n)
+        self.skip(n)
         return x
 
 
@@ -72,17 +81,28 @@ class Code:
         if len(used) <= 1:
             self.table = [(int(used[0]) if len(used) else 0, 0)]
         else:
-            self.table = [(int(e & 0xFFFF), int(e >> 16)) for e in spread(lengths, self.depth)]
+            e = spread(lengths, self.depth)
+            self.table = list(zip((e & 0xFFFF).tolist(), (e >> 16).tolist(), strict=True))
 
     def read(self, bits: Bits) -> int:
         symbol, n = self.table[bits.peek(self.depth)]
-        bits.read(n)
+        bits.skip(n)
         return symbol
 
 
 _reversed: dict[int, np.ndarray] = {}
 
 
+def turned(depth: int) -> np.ndarray:
+    """The numbers of `depth` bits with these in opposite order."""
+    if depth not in _reversed:
+        i, r = np.arange(1 << depth), np.zeros(1 << depth, np.int64)
+        for b in range(depth):
+            r |= ((i >> b) & 1) << (depth - 1 - b)
+        _reversed[depth] = r
+    return _reversed[depth]
+
+
 def spread(lengths: np.ndarray, depth: int) -> np.ndarray:
     """Symbol | length << 16 for each value of the next `depth` bits."""
     used = np.flatnonzero(lengths)
@@ -91,44 +111,45 @@ def spread(lengths: np.ndarray, depth: int) -> np.ndarray:
     table = np.repeat(used.astype(np.uint32) | (n << np.uint32(16)), 1 << (depth - n.astype(np.int64)))
     if len(table) != 1 << depth:
         raise ValueError("the code's lengths do not fill it")
-    if depth not in _reversed:
-        i, r = np.arange(1 << depth), np.zeros(1 << depth, np.int64)
-        for b in range(depth):
-            r |= ((i >> b) & 1) << (depth - 1 - b)
-        _reversed[depth] = r
-    return table[_reversed[depth]]
+    return table[turned(depth)]
 
 
 def read_lengths(bits: Bits, size: int) -> np.ndarray:
     """Code lengths of an alphabet; a lone symbol has length 1 here and takes no bits."""
-    out = np.zeros(size, np.int64)
+    out = [0] * size
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
         out[bits.read(8 if wide else 1)] = 1
         if two:
             out[bits.read(8)] = 1
-        return out
+        return np.array(out)
     own = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
         own[LENGTH_ORDER[i]] = bits.read(3)
     code = Code(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    i, last = 0, 8
+    i, last, used, mask = 0, 8, 0, (1 << code.depth) - 1
+    ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * size], "little") >> (bits.at & 7)  # 14 bits at most for each
     while i < size and left:
         left -= 1
-        x = code.read(bits)
+        x, n = code.table[ahead & mask]
+        ahead >>= n
+        used += n
         if x < 16:
             out[i] = x
             last = x or last
             i += 1
         else:
             extra, base = REPEATS[x]
-            n = base + bits.read(extra)
+            n = base + (ahead & ((1 << extra) - 1))
+            ahead >>= extra
+            used += extra
             if i + n > size:
                 raise ValueError("code lengths run over")
-            out[i : i + n] = last if x == 16 else 0
+            out[i : i + n] = [last if x == 16 else 0] * n
             i += n
-    return out
+    bits.skip(used)
+    return np.array(out)
 
 
 def _number(bits: Bits, code: int) -> int:
@@ -321,19 +342,25 @@ def code_lengths(counts: list[int], depth: int) -> dict[int, int]:
         return {used[0][1]: 1}
     least = 1
     while True:
-        heap = [(max(n, least), s, (s,)) for n, s in used]
-        heapq.heapify(heap)
-        deep = dict.fromkeys((s for _, s in used), 0)
-        tick = 1 << 20
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            both = a[2] + b[2]
-            for s in both:
-                deep[s] += 1
-            tick += 1
-            heapq.heappush(heap, (a[0] + b[0], tick, both))
-        if max(deep.values()) <= depth:
-            return deep
+        ranked = sorted((max(n, least), s) for n, s in used)
+        # leaves in order, then inner nodes, which come in order too; the lighter of both queues' first is next
+        k = len(ranked)
+        weight, above, leaf, inner = [n for n, _ in ranked], [0] * (2 * k - 1), 0, k
+        for node in range(k, 2 * k - 1):
+            both = 0
+            for _ in (0, 1):
+                if leaf < k and (inner == node or weight[leaf] <= weight[inner]):
+                    one, leaf = leaf, leaf + 1
+                else:
+                    one, inner = inner, inner + 1
+                both += weight[one]
+                above[one] = node
+            weight.append(both)
+        deep = [0] * (2 * k - 1)
+        for node in range(2 * k - 3, -1, -1):
+            deep[node] = deep[above[node]] + 1
+        if max(deep) <= depth:
+            return {s: n for (_, s), n in zip(ranked, deep, strict=False)}
         least = 2 * least if least > 1 else max(2, sum(n for n, _ in used) >> depth)
 
 
@@ -506,76 +533,200 @@ def encode(p: np.ndarray, transforms: tuple = (), cache_bits: int = 0, reference
 
 # ------------------------------------------------------------------------------------------------------- pictures of payloads
 
+def _prefixes(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix() of the numbers below n, as arrays; that of 0 means nothing."""
+    return tuple(np.array(x, np.int64) for x in zip(*(_prefix(max(1, v)) for v in range(n)), strict=True))
+
+
+#: Back-references of tiles: least length of one, bytes by which earlier places are found, greatest length.
+MATCH, GRAM, LONGEST = 5, 4, 4096
+PREFIX, EXTRA, EXTRA_BITS = _prefixes(TILE_ROWS * WIDTH + 121)
+#: Distance code of each distance within a tile, and the distance of each short code.
+NEAR_OF = np.array([max(1, x + y * WIDTH) for x, y in NEIGHBOURS])
+NEAR = np.arange(TILE_ROWS * WIDTH + 1) + 120
+NEAR[NEAR_OF[::-1]] = np.arange(120, 0, -1)
+#: Least value less one, and extra bits, of each prefix.
+LEAST, WIDE = (np.array(x, np.int64) for x in zip(*((c, 0) if c < 4 else ((2 + (c & 1)) << ((c - 2) >> 1), (c - 2) >> 1) for c in range(40)), strict=True))
+
+
+def references(samples: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each sample the distance to the last place in its tile where its next GRAM samples stood, and for how many samples that distance holds."""
+    n, x = len(samples), samples.astype(np.uint64)
+    distance = np.zeros(n, np.int64)
+    if n >= GRAM:
+        key = np.arange(n - GRAM + 1, dtype=np.uint64)
+        for k in range(GRAM):
+            key |= x[k : n - GRAM + 1 + k] << np.uint64(32 + 8 * k)
+        key = key[tile[: n - GRAM + 1] == tile[GRAM - 1 :]]
+        key.sort()
+        at = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        again = ((key[1:] ^ key[:-1]) < np.uint64(1 << 32)) & (tile[at[1:]] == tile[at[:-1]])
+        distance[at[1:][again]] = (at[1:] - at[:-1])[again]
+    ends = np.flatnonzero(np.append(distance[1:] != distance[:-1], True)) + 1
+    run = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+    return distance, np.where(distance > 0, np.minimum(run + GRAM - 1, LONGEST), 0)
+
+
+def _bare() -> tuple[int, int]:
+    """The codes of red, blue and alpha where green is subtracted from grey: no bits for a sample."""
+    out = Out()
+    for lone in (0, 0, 255):
+        put_code(out, {lone: 1}, 256)
+    return out.value, out.n
+
+
+BARE = _bare()
+
+
+def all_canonical(lengths: np.ndarray) -> np.ndarray:
+    """canonical() of many codes, a row each, of at most DEPTH bits; the length of a lone symbol becomes 0."""
+    lengths[np.count_nonzero(lengths, 1) == 1] = 0
+    order = np.argsort(np.where(lengths > 0, lengths, DEPTH + 1), 1, kind="stable")
+    ranked = np.take_along_axis(lengths, order, 1)
+    room = np.where(ranked > 0, 1 << (DEPTH - ranked), 0)
+    out = np.zeros_like(lengths)
+    np.put_along_axis(out, order, np.where(ranked > 0, turned(DEPTH)[(np.cumsum(room, 1) - room) & ((1 << DEPTH) - 1)], 0), 1)
+    return out
+
+
 def encode_tiles(tiles: list[np.ndarray]) -> list[bytes]:
-    """Grey pictures of WIDTH columns; the samples of all of them are packed at once."""
-    heads, codes, lengths, bases, total = [], [], [], [], 0
-    for t in tiles:
-        counts = np.bincount(t, minlength=256)
-        own = code_lengths(counts.tolist(), DEPTH)
-        out = _start(WIDTH, len(t) // WIDTH)
+    """Grey pictures of WIDTH columns, with back-references; those of all tiles are found, and their symbols packed, at once."""
+    sizes = np.array([len(t) for t in tiles])
+    samples, tile = np.concatenate(tiles), np.repeat(np.arange(len(tiles)), sizes)
+    distance, length = references(samples, tile)
+    # from the end of each match to the next one; a match ends within its tile
+    could = np.flatnonzero(length >= MATCH)
+    following, taken, i = np.searchsorted(could, could + length[could]).tolist(), [], 0
+    while i < len(following):
+        taken.append(i)
+        i = following[i]
+    match = could[np.array(taken, np.int64)]
+    inside = np.zeros(len(samples) + 1, np.int8)
+    inside[match + 1] = 1
+    inside[match + length[match]] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) == 0)
+    far = np.searchsorted(at, match)
+    step, of = np.ones(len(at), np.int64), tile[at]
+    step[far] = length[match]
+    symbol, near = samples[at].astype(np.int64), NEAR[distance[match]]
+    symbol[far] = 256 + PREFIX[step[far]]
+    counts = np.bincount(of * 280 + symbol, minlength=280 * len(tiles)).reshape(-1, 280)
+    counts_far = np.bincount(of[far] * 40 + PREFIX[near], minlength=40 * len(tiles)).reshape(-1, 40)
+    heads, bits, bits_far = [], np.zeros(counts.shape, np.int64), np.zeros(counts_far.shape, np.int64)
+    for k, rows in enumerate((sizes // WIDTH).tolist()):
+        own = code_lengths(counts[k].tolist(), DEPTH)
+        own_far = code_lengths(counts_far[k].tolist(), DEPTH) if counts_far[k].any() else {0: 1}
+        out = _start(WIDTH, rows)
         out.put(1 | GREEN << 1, 3)
         out.put(0, 3)  # no further transform, no cache, one group
         put_code(out, own, 280)
-        for symbol in (0, 0, 255, 0):
-            put_code(out, {symbol: 1}, 256)
-        value, n = np.zeros(256, np.int64), np.zeros(256, np.int64)
-        for s, (c, k) in canonical(own).items():
-            value[s], n[s] = c, k
-        codes.append(value[t])
-        lengths.append(n[t])
+        out.put(*BARE)
+        put_code(out, own_far, 40)
+        for codes, b in ((own, bits), (own_far, bits_far)):
+            b[k, list(codes)] = list(codes.values())
         heads.append(out)
-        size = -(-(out.n + int(counts @ n)) // 8)
-        bases.append((total, size))
-        total += size
-    code, length = np.concatenate(codes), np.concatenate(lengths)
-    place = np.cumsum(length) - length
-    first = np.cumsum([0, *map(len, tiles)])[:-1]
-    start = np.array([8 * b + h.n for (b, _), h in zip(bases, heads, strict=True)]) - place[first]
-    place += np.repeat(start, [len(t) for t in tiles])
-    word, shifted = place >> 3, code << (place & 7)
-    buf = np.zeros(total + 3, np.int64)
-    for i in range(3):
-        buf += np.bincount(word + i, (shifted >> (8 * i)) & 255, minlength=total + 3)[: total + 3].astype(np.int64)
-    buf = buf.astype(np.uint8)
+    value, value_far = all_canonical(bits), all_canonical(bits_far)
+    # a symbol with the extra bits of its length is one field, its distance another
+    code, n = value[of, symbol], bits[of, symbol]
+    code[far] |= EXTRA[step[far]] << n[far]
+    n[far] += EXTRA_BITS[step[far]]
+    own, p = of[far], PREFIX[near]
+    code_far, n_far = value_far[own, p] | EXTRA[near] << bits_far[own, p], bits_far[own, p] + EXTRA_BITS[near]
+    whole = n.copy()
+    whole[far] += n_far
+    place = np.cumsum(whole) - whole
+    first = np.searchsorted(of, np.arange(len(tiles)))
+    head = np.array([h.n for h in heads])
+    size = -(-(head + np.add.reduceat(whole, first)) // 8)
+    base = np.cumsum(size) - size
+    place += (8 * base + head - place[first])[of]
+    code, place = np.concatenate([code, code_far]), np.concatenate([place, place[far] + n[far]])
+    word, shifted, total = place >> 5, code << (place & 31), (int(size.sum()) >> 2) + 2
+    over = np.flatnonzero(shifted >> 32)
+    buf = np.bincount(word, shifted & 0xFFFFFFFF, minlength=total) + np.bincount(word[over] + 1, shifted[over] >> 32, minlength=total)
+    buf = buf.astype("<u4").view(np.uint8)
     out = []
-    for (base, size), h in zip(bases, heads, strict=True):
+    for a, n, h in zip(base.tolist(), size.tolist(), heads, strict=True):
         own = np.frombuffer(h.bytes(), np.uint8)
-        buf[base : base + len(own)] |= own
-        out.append(riff(buf[base : base + size].tobytes()))
+        buf[a : a + len(own)] |= own
+        out.append(riff(buf[a : a + n].tobytes()))
     return out
 
 
-def shorter(tile: np.ndarray, plain: bytes) -> bytes:
-    """The picture of a tile, given as it is with literals alone, in the shorter of two forms."""
-    if len(plain) < 128 or len(zlib.compress(tile, 1)) * REPEATS_ITSELF > len(tile):
+def entropy(samples: np.ndarray) -> float:
+    """Bits for each sample."""
+    n = np.bincount(samples, minlength=256)
+    n = n[n > 0] / len(samples)
+    return float(-(n * np.log2(n)).sum())
+
+
+def fitting(tile: np.ndarray, plain: bytes) -> bytes:
+    """The picture of a tile, given with subtract-green and back-references, with the transform that fits it: a palette if it repeats itself and has
+    few different samples, the predictor if steps between neighbours tell much less than samples do and the picture becomes shorter."""
+    repeats = len(plain) * REPEATS_ITSELF < len(tile)
+    if repeats and len(np.flatnonzero(np.bincount(tile))) <= 16:
+        how = (PALETTE,)
+    elif not repeats and len(plain) > 256 and entropy(np.diff(tile)) < STEADY * entropy(tile):
+        how = (PREDICTOR, 9, np.ones((1, 1), np.int64))
+    else:
         return plain
     grey = np.stack([np.full_like(tile, 255), tile, tile, tile], -1).reshape(-1, WIDTH, 4)
-    few = len(np.flatnonzero(np.bincount(tile))) <= 16
-    other = encode(grey, ((PALETTE,),) if few else ((GREEN,),), references=True)
+    if how[0] == PALETTE:
+        return encode(grey, (how,), references=True)
+    other = encode(grey, (how, (GREEN,)), references=True)
     return other if len(other) < len(plain) else plain
 
 
+def _table(lengths: np.ndarray) -> np.ndarray:
+    """Symbol | length << 16 for each value of the next DEPTH bits."""
+    used = np.flatnonzero(lengths)
+    return spread(lengths, DEPTH) if len(used) > 1 else np.full(1 << DEPTH, used[0] if len(used) else 0, np.uint32)
+
+
+def _in_pairs(table: np.ndarray) -> np.ndarray:
+    """Tables of literals and lengths, with a second literal where the same bits hold one: first | second << 9 | is there a second << 17 | bits << 18 | bits of
+    the second << 22."""
+    value = np.arange(1 << DEPTH, dtype=np.uint32)
+    symbol, n = table & 0xFFFF, table >> 16
+    then = table[np.arange(len(table))[:, None], value >> n]
+    two = (symbol < 256) & ((then & 0xFFFF) < 256) & (n + (then >> 16) <= DEPTH) & (n > 0)
+    return np.where(two, symbol | (then & 0xFF) << 9 | 1 << 17 | (n + (then >> 16)) << 18 | (then >> 16) << 22, symbol | n << 18)
+
+
 def _lane(data: bytes):
-    """Start of the samples, their number and the lookup table of a picture that encode_tiles() could have written, or None."""
-    bits = Bits(body(data))
+    """Start of the symbols, number of samples and both lookup tables of a picture as encode_tiles() writes them; None if it is another, or has so
+    many samples for a byte that it is few symbols, which decode() reads as well."""
+    own = body(data)
+    bits = Bits(own)
     width, height = header(bits)
-    if bits.read(3) != (1 | GREEN << 1) or bits.read(3):
+    if width != WIDTH or height > TILE_ROWS or width * height > LONG_RUNS * len(own) or bits.read(3) != (1 | GREEN << 1) or bits.read(3):
         return None
     lengths = read_lengths(bits, 280)
-    rest = [read_lengths(bits, n) for n in (256, 256, 256, 40)]
-    if lengths[256:].any() or any(np.count_nonzero(x) > 1 for x in rest) or rest[0][1:].any() or rest[1][1:].any() or lengths.max() > DEPTH:
+    if bits.peek(BARE[1]) != BARE[0]:
         return None
-    used = np.flatnonzero(lengths)
-    if len(used) == 1:
-        table = np.full(1 << DEPTH, used[0], np.uint16)
-    else:
-        e = spread(lengths, DEPTH)
-        table = (e & 0xFF | (e >> 8) & 0xFF00).astype(np.uint16)
-    return bits.at, width * height, table
+    bits.skip(BARE[1])
+    far = read_lengths(bits, 40)
+    if max(lengths.max(), far.max()) > DEPTH:
+        return None
+    return bits.at, width * height, _table(lengths), _table(far)
+
+
+def _copied(out: np.ndarray, start: np.ndarray, n: np.ndarray, distance: np.ndarray) -> None:
+    """Fills what back-references stand for: a copy of a copy is led to the sample that it comes from, half of the way at each turn."""
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    source = np.arange(len(out))
+    source[at] -= np.repeat(distance, n)
+    left = at
+    while len(left):
+        now = source[source[left]]
+        moved = now != source[left]
+        source[left] = now
+        left = left[moved]
+    out[at] = out[source[at]]
 
 
 def decode_tiles(pictures: list[bytes]) -> list[np.ndarray]:
-    """The samples of grey pictures, LANES at a time in lockstep."""
+    """The samples of grey pictures, LANES at a time in lockstep: the next symbol of every picture at once, then all copies."""
     out: list[np.ndarray | None] = [None] * len(pictures)
     lanes = []
     for i, data in enumerate(pictures):
@@ -583,30 +734,57 @@ def decode_tiles(pictures: list[bytes]) -> list[np.ndarray]:
         if lane is None:
             out[i] = decode(data)[..., 2].ravel()
         else:
-            lanes.append((lane[1], lane[0], lane[2], i))
-    lanes.sort(key=lambda x: -x[0])
+            lanes.append((*lane, i))
+    mask = np.uint32((1 << DEPTH) - 1)
     for at in range(0, len(lanes), LANES):
         some = lanes[at : at + LANES]
-        parts = [body(pictures[x[3]]) for x in some]
-        base = np.cumsum([0, *map(len, parts)])[:-1]
-        buf = np.frombuffer(b"".join(parts) + b"\0\0\0\0", np.uint8).astype(np.uint32)
-        words = buf[:-3] | buf[1:-2] << np.uint32(8) | buf[2:-1] << np.uint32(16)
-        pos = base * 8 + np.array([x[1] for x in some])
-        counts = np.array([x[0] for x in some])
-        table = np.concatenate([x[2] for x in some])
-        row = np.arange(len(some), dtype=np.int64) << DEPTH
-        got = np.zeros((int(counts[0]), len(some)), np.uint16)
-        active = np.searchsorted(-counts, -np.arange(int(counts[0])), "left")
-        mask = np.uint32((1 << DEPTH) - 1)
-        for k in range(int(counts[0])):
-            m = active[k]
-            p = pos[:m]
-            e = table[row[:m] + ((words[p >> 3] >> (p & 7).astype(np.uint32)) & mask)]
-            got[k, :m] = e
-            p += e >> 8
-        samples = np.ascontiguousarray((got & 255).astype(np.uint8).T)
-        for j, x in enumerate(some):
-            out[x[3]] = samples[j, : x[0]]
+        parts = [body(pictures[x[4]]) for x in some]
+        sizes = np.array([len(x) for x in parts])
+        buf = np.frombuffer(b"".join(parts) + bytes(8), np.uint8).astype(np.uint32)
+        words = buf[:-3] | buf[1:-2] << np.uint32(8) | buf[2:-1] << np.uint32(16) | buf[3:] << np.uint32(24)
+        pos = (np.cumsum(sizes) - sizes) * 8 + np.array([x[0] for x in some])
+        last = 8 * np.cumsum(sizes)
+        counts = np.array([x[1] for x in some])
+        end = np.cumsum(counts + 2) - 2  # with room for a second literal after the last
+        firsts = begin = end - counts
+        put, row = begin.copy(), np.arange(len(some), dtype=np.int64) << DEPTH
+        table, table_far = _in_pairs(np.stack([x[2] for x in some])).ravel(), np.concatenate([x[3] for x in some])
+        samples = np.zeros(int(end[-1]) + 2, np.uint8)
+        copies = []
+        while len(pos):
+            w = words[pos >> 3] >> (pos & 7).astype(np.uint32)
+            e = table[row + (w & mask)]
+            symbol, used = e & 511, (e >> 18) & 15
+            # where there is no second one, what stands there now is written over later
+            samples[put + 1] = (e >> 9) & 255
+            samples[put] = symbol
+            pos += used
+            r = np.flatnonzero(symbol > 255)
+            put += 1 + ((e >> 17) & 1)
+            if len(r):
+                c = symbol[r] - 256
+                n = LEAST[c] + ((w[r] >> used[r]) & ((1 << WIDE[c]) - 1)) + 1
+                p = pos[r] + WIDE[c]
+                w = words[p >> 3] >> (p & 7).astype(np.uint32)
+                far = table_far[row[r] + (w & mask)]
+                c, used = far & 0xFFFF, far >> 16
+                d = LEAST[c] + ((w >> used) & ((1 << WIDE[c]) - 1)) + 1
+                d = np.where(d > 120, d - 120, NEAR_OF[np.minimum(d, 120) - 1])
+                start = put[r] - 1
+                if (start - d < begin[r]).any() or (start + n > end[r]).any():
+                    raise ValueError("a back-reference points outside the picture")
+                pos[r] = p + used + WIDE[c]
+                put[r] = start + n
+                copies.append((start, n, d))
+            left = put < end
+            if (pos - np.where(put > end, e >> 22, 0) > last).any():
+                raise ValueError("the picture is cut off")
+            if not left.all():
+                pos, put, row, begin, end, last = (x[left] for x in (pos, put, row, begin, end, last))
+        if copies:
+            _copied(samples, *(np.concatenate(x) for x in zip(*copies, strict=True)))
+        for x, a in zip(some, firsts.tolist(), strict=True):
+            out[x[4]] = samples[a : a + x[1]]
     return out
 
 
@@ -638,7 +816,7 @@ def _store(batches):
             tiles += own
             owner.append(len(own))
         media, at = [], 0
-        made = [shorter(t, x) for j in range(0, len(tiles), LANES) for t, x in zip(tiles[j : j + LANES], encode_tiles(tiles[j : j + LANES]), strict=True)]
+        made = [fitting(t, x) for j in range(0, len(tiles), LANES) for t, x in zip(tiles[j : j + LANES], encode_tiles(tiles[j : j + LANES]), strict=True)]
         for n in owner:
             media.append(b"".join(made[at : at + n]))
             at += n
@@ -650,10 +828,25 @@ def feature(samples: np.ndarray) -> str:
     return ":".join(map(str, (len(samples) // WIDTH, int(samples.sum(dtype=np.int64)), samples.min(), samples.max(), len(np.flatnonzero(np.bincount(samples))), int(np.abs(np.diff(samples.astype(np.int16))).sum(dtype=np.int64)))))
 
 
-def _load(batches):
+def _gathered(batches):
+    """Batches put together until they hold GATHERED bytes of pictures: turns of the lockstep are fewer by that."""
     import pyarrow as pa
 
+    held, size = [], 0
     for b in batches:
+        held.append(b)
+        size += b.column(2).nbytes
+        if size >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _load(batches):
+    import pyarrow as pa
+
+    for b in _gathered(batches):
         media = b.column(2).to_pylist()
         pictures = [split(m) for m in media]
         flat = decode_tiles([x for p in pictures for x in p])

@@ -258,6 +258,34 @@ def test_webp_features():
         webp.decode(webp.encode(picture(9, 9, 200))[:60])
 
 
+def test_webp_tiles_of_prose_have_back_references(spark):
+    """Ordinary texts, not only those of long runs, are stored with back-references; steady steps with the predictor. All come back, and a cut is seen."""
+    rng = np.random.RandomState(5)
+    vocabulary = ["".join(chr(97 + c) for c in rng.randint(0, 26, n)) for n in rng.randint(3, 9, 400)]
+    prose = [" ".join(rng.choice(vocabulary, n)) for n in (40, 300, 900, 5000)]
+    tiles = [p[i : i + 6144] for t in prose for p in [np.frombuffer(webp.payload(t.encode()), np.uint8)] for i in range(0, len(p), 6144)]
+    tiles += [np.full(192, 7, np.uint8), np.arange(6144).astype(np.uint8), rng.randint(0, 256, 6144).astype(np.uint8)]
+    plain = webp.encode_tiles(tiles)
+    for t, data in zip(tiles, plain, strict=True):
+        assert (webp.decode(data)[..., 2].ravel() == t).all()
+
+    def lengths(data):
+        bits = webp.Bits(webp.body(data))
+        webp.header(bits)
+        assert bits.read(6) == 1 | webp.GREEN << 1
+        return webp.read_lengths(bits, 280)[256:]
+
+    assert all(lengths(x).any() for x in plain[1:-1]) and not lengths(plain[-1]).any()
+    assert all((a == b).all() for a, b in zip(tiles, webp.decode_tiles(plain), strict=True))
+    steady = np.cumsum(rng.randint(0, 3, 6144)).astype(np.uint8)
+    stored = webp.fitting(steady, webp.encode_tiles([steady])[0])
+    assert webp.body(stored)[5] & 7 == 1 | webp.PREDICTOR << 1 and (webp.decode_tiles([stored])[0] == steady).all()
+    for data in plain[1:4]:
+        own = webp.body(data)
+        with pytest.raises(ValueError):
+            webp.decode_tiles([webp.riff(own[: len(own) * 3 // 4])])
+
+
 def test_id_files(docs, nothing, spark, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer
