@@ -46,6 +46,12 @@ def steps(value: str, unit: str, magnitude: str, context: str) -> list[tuple[str
     ]
 
 
+def with_number(df: DataFrame, out: str, value: str) -> DataFrame:
+    """df with the number that with_quantity() finds in a text, before its scale: null where it finds none."""
+    own = ("_q_raw", "_q_token", "_q_plain", "_q_sign", "_q_n")
+    return staged(df, [s for s in steps(value, "''", "''", "''") if s[0] in own], out)
+
+
 def with_quantity(df: DataFrame, out: str, value: str, unit: str, magnitude: str, context: str) -> DataFrame:
     """df with struct(value, tolerance, unit, magnitude, raw) as out, null where there is no number."""
     return staged(df, steps(value, unit, magnitude, context), out)

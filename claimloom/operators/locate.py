@@ -152,8 +152,9 @@ def best_stretch(page: str, quotes: list[str]) -> list[dict | None]:
     order = np.argsort(of_page, kind="stable")
     ranked, out = of_page[order], []
     for q in quotes:
-        best, compare = None, difflib.SequenceMatcher(None, "", q, autojunk=False)
-        for at in _enough(order, ranked, len(page), q).tolist():
+        best, begins = None, _enough(order, ranked, len(page), q).tolist()
+        compare = difflib.SequenceMatcher(None, "", q, autojunk=False) if begins else None
+        for at in begins:
             compare.set_seq1(page[at : at + len(q)])
             # the quick ratios are bounds from above
             least = FUZZY_MIN if best is None else best["like"]
