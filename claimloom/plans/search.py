@@ -1,8 +1,9 @@
 """Finding facts without scanning all: a table of trigram postings, and pages of a ledger by the bounds of sorted files.
 
-Postings: every three characters of the small-lettered columns, a row for each fact that has them, in folders by a hash of the three. A search reads the
-folders of its own trigrams, takes the facts that have them all, and checks these with the very condition that a scan would use; so wildcards, columns
-and ties come out the same. A pattern without three letters in a row says nothing about trigrams and is a scan.
+Postings: every three characters of the small-lettered texts of a column, a row for each distinct text that has them, in folders by a hash of the three. A
+search reads the folders of its own trigrams, takes the texts that have them all, checks these with the very condition that a scan would use, and then
+takes the facts of these texts; so wildcards, columns and ties come out the same. A pattern without three letters in a row says nothing about trigrams and
+is a scan. Facts that share a text share its postings, and no fact is dealt for a search unless more than FEW texts match in its column.
 
 Pages: facts are written sorted, in files by ranges of the order; the least key and the number of rows of each file are a small table. A page is read from
 the one or two files that it lies in, whatever its number.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .ledger import like
 
 GRAMS = 64
+#: Matching texts of a column that are sent to all facts instead of dealing facts by their texts.
+FEW = 100_000
 #: The order of a ledger.
 ORDER = ["entity_key", "metric_key", "period_start", "fact_id"]
 
@@ -36,10 +39,11 @@ def _folder(gram: Column) -> Column:
 
 
 def write_postings(facts: DataFrame, columns: list[str], path: str, key: str = "fact_id") -> None:
-    """The table of postings of some columns: gram, key, in folders; sorted by gram within a file, so that readers skip what they don't ask for."""
-    every = F.array_distinct(F.flatten(F.array(*(F.coalesce(grams_of(F.lower(c)), F.expr("cast(array() as array<string>)")) for c in columns))))
-    rows = facts.select(key, F.explode(every).alias("gram")).withColumn("folder", _folder(F.col("gram")))
-    rows.repartition("folder", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("folder", "gram").write.partitionBy("folder").parquet(path)
+    """The table of postings of some columns: gram, of (the column), text, in folders; sorted by gram within a file, so that readers skip what they don't
+    ask for."""
+    texts = facts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("text")) for c in columns))).alias("x")).select("x.*").where("text is not null").distinct()
+    rows = texts.select("of", "text", F.explode(grams_of(F.lower("text"))).alias("gram")).withColumn("folder", _folder(F.col("gram")))
+    rows.repartition("folder", F.pmod(F.xxhash64("text"), F.lit(8))).sortWithinPartitions("folder", "gram").write.partitionBy("folder").parquet(path)
 
 
 def asked_grams(pattern: str) -> list[str]:
@@ -57,8 +61,18 @@ def search(facts: DataFrame, postings: DataFrame, columns: list[str], pattern: s
     if not grams:
         return facts.where(condition)
     folders = [r[0] for r in facts.sparkSession.createDataFrame([(g,) for g in grams], "gram string").select(_folder(F.col("gram"))).distinct().collect()]
-    hits = postings.where(F.col("folder").isin(folders) & F.col("gram").isin(grams)).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
-    return facts.join(hits.select(key), key, "left_semi").where(condition)
+    hits = postings.where(F.col("folder").isin(folders) & F.col("gram").isin(grams)).groupBy("of", "text").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+    hits = hits.where(like("text", pattern))
+    many = {r["of"]: r["count"] for r in hits.groupBy("of").count().collect()}
+    out, left = None, facts
+    for c in columns:
+        own = hits.where(F.col("of") == c).select(F.col("text").alias("_text"))
+        if many.get(c):
+            found = left.join(F.broadcast(own) if many[c] <= FEW else own, F.col(c) == F.col("_text"), "left_semi")
+            out = found if out is None else out.unionByName(found)
+            # what this column matches is not taken again for the next
+            left = left.where(~F.coalesce(like(c, pattern), F.lit(False)))
+    return facts.limit(0) if out is None else out
 
 
 def write_sorted(facts: DataFrame, path: str, files: int, order: list[str] = ORDER) -> None:

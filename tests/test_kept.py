@@ -211,3 +211,21 @@ def test_claims_of_one_row_group_are_read_by_many_tasks(spark, tmp_path):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sum(rows) == 15000 and max(rows) < 15000 / 2
+
+
+def test_postings_are_of_distinct_texts(spark, tmp_path):
+    """Many facts of few texts have few postings, and a text that many share is found in either column, once."""
+    from claimloom.plans import search
+
+    facts = spark.range(3000).selectExpr("cast(id as string) AS fact_id", "concat('name of ', id % 3) AS one", "CASE WHEN id % 2 = 0 THEN 'the name of all' END AS two")
+    search.write_postings(facts, ["one", "two"], f"{tmp_path}/p")
+    postings = spark.read.parquet(f"{tmp_path}/p")
+    assert postings.count() == 3 * len({"name of x"[i : i + 3] for i in range(7)}) + len({"the name of all"[i : i + 3] for i in range(13)})
+    for pattern, n in (("name OF", 3000), ("the name", 1500), ("of 1", 1000), ("name%2", 1000), ("nobody", 0)):
+        found = [r.fact_id for r in search.search(facts, postings, ["one", "two"], pattern).collect()]
+        assert len(found) == len(set(found)) == n, pattern
+    old, search.FEW = search.FEW, 0
+    try:
+        assert search.search(facts, postings, ["one", "two"], "name of").count() == 3000
+    finally:
+        search.FEW = old
