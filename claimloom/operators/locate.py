@@ -1,9 +1,8 @@
 """The place of quotes on their pages: as they stand, folded, or nearly so.
 
-Folding and its offsets. A page is folded in the JVM: fixed replacements, small letters, one space for white space. Its `gaps` are the few places
-where that changes the length (ligatures, soft hyphens, runs of white space), each with the length of what stands before it and both lengths of its
-own; an offset in the folded text is led back to the page by one walk over them. No pattern is made from a quote, and no pattern has a group that
-repeats, so blanks in any number are one step.
+Folding and its offsets. A page meets its quotes in the row of the page, and only if one of them does not stand on it as it is the page is folded: fixed
+replacements, small letters, one space for white space, each character by a table. The running sum of how many characters each of the page's becomes leads
+places in the folded text back. So a page costs its length and a quote one look, whatever the number of quotes; no pattern is made from a quote.
 
 Nearly so. A stretch of a page is as alike as FUZZY_MIN only if it shares many runs of GRAM characters with the quote, at nearly the same places (see
 `needed`). So where a page meets its quotes its runs are sorted by their characters, each quote's runs are looked up among them, hits are counted for each
@@ -15,14 +14,15 @@ from __future__ import annotations
 
 import difflib
 import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, StructType
 
-from claimloom.functions.base import let, strip
+from claimloom.functions.base import strip
 
 FUZZY_MIN, MIN_QUOTE = 0.90, 12
 CONFIDENCE = {"exact": 1.0, "normalized": 0.97, "fuzzy": 0.75, "failed": 0.0}
@@ -30,78 +30,48 @@ CONFIDENCE = {"exact": 1.0, "normalized": 0.97, "fuzzy": 0.75, "failed": 0.0}
 FOLDS = {"\u00ad": "", "ﬁ": "fi", "ﬂ": "fl", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", "\u00a0": " ", "\u2009": " ", "\u202f": " "}
 #: White space, Java's and the separators that only Python counts.
 BLANK = "\\t-\\r\\x1c-\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: What changes its length when folded. The dotted capital I becomes two characters.
-_GAP = f"[{BLANK}\u00ad]{{2,}}+|[\u00adﬁﬂİ]"
+#: What a character becomes when folded, if it becomes one, and how many; no letter beyond has a small one. Of those that become two, the second. The small
+#: letter at the end of a Greek word is as any other, since it depends on what follows, which a quote may not have.
+_FOLDED = np.arange(0x1F000, dtype=np.uint32)
+_WIDTH = np.ones(len(_FOLDED), np.int8)
+_SECOND = {}
+for _i, _c in enumerate(map(chr, _FOLDED.tolist())):
+    _by = " " if re.match(f"[{BLANK}]", _c) else "σ" if _c == "ς" else FOLDS.get(_c, _c if 0xD800 <= _i < 0xE000 else _c.lower())
+    _FOLDED[_i], _WIDTH[_i] = ord(_by[:1] or " "), len(_by)
+    if len(_by) == 2:
+        _SECOND[_i] = ord(_by[1])
 #: Characters of a run.
 GRAM = 3
 #: Quotes of one page that travel with one copy of it.
 TOGETHER = 256
 #: Hits that are held at once.
 HITS = 1 << 20
-GROUND = "struct<match_type:string,char_start:int,char_end:int,confidence:double,located_text:string>"
+GROUND = StructType().add("match_type", "string").add("char_start", "integer").add("char_end", "integer").add("confidence", "double").add("located_text", "string")
 
 
-def fold(text: Column) -> Column:
-    """Fixed replacements, small letters, one space for each run of white space."""
-    gone, one = [c for c, by in FOLDS.items() if not by], {c: by for c, by in FOLDS.items() if len(by) == 1}
-    out = F.translate(text, "".join([*one, *gone]), "".join(one.values()))
-    for c, by in FOLDS.items():
-        if len(by) > 1:
-            out = F.replace(out, F.lit(c), F.lit(by))
-    # the small letter at the end of a Greek word depends on what follows, which a quote may not have
-    # a space that stands alone is as it should be: most are, and each replacement costs
-    return F.regexp_replace(F.translate(F.lower(out), "ς", "σ"), f"[{BLANK}]{{2,}}+|[{BLANK}&&[^ ]]", " ")
-
-
-def gaps(text: Column) -> Column:
-    """array<struct<before, was, now, lead>>: lengths of the text before each gap, of the gap on the page, and folded; and of what stands before the
-    first blank of a run of blanks."""
-    now = lambda g: F.when(g.isin("ﬁ", "ﬂ", "İ"), 2).when(g.rlike(f"[{BLANK}]"), 1).otherwise(0)
-    lead = lambda g: F.when(now(g) == 1, F.length(F.regexp_extract(g, "^[\u00ad]*+", 0))).otherwise(0)
-    pieces, found = F.split(text, _GAP), F.regexp_extract_all(text, F.lit(_GAP), F.lit(0))
-    return let(F.struct(pieces.alias("p"), found.alias("g")), lambda x: F.transform(x["g"], lambda g, i: F.struct(F.length(F.get(x["p"], i)).alias("before"), F.length(g).alias("was"), now(g).alias("now"), lead(g).alias("lead"))))
-
-
-def origin(of: Column, at: Column) -> Column:
-    """Where the character of a folded text stands on the page; both count from 0."""
-    start = F.struct(F.lit(0).alias("folded"), F.lit(0).alias("page"), F.lit(None).cast("int").alias("is"))
-
-    def step(s: Column, g: Column) -> Column:
-        inside = F.when(at < s["folded"] + g["before"], s["page"] + at - s["folded"]).when(at < s["folded"] + g["before"] + g["now"], s["page"] + g["before"] + g["lead"])
-        return F.struct((s["folded"] + g["before"] + g["now"]).alias("folded"), (s["page"] + g["before"] + g["was"]).alias("page"), F.coalesce(s["is"], inside).cast("int").alias("is"))
-
-    return F.aggregate(of, start, step, lambda s: F.coalesce(s["is"], s["page"] + at - s["folded"]))
-
-
-def _ground(kind: str, start: Column, end: Column, text: Column, confidence: Column | None = None) -> Column:
-    conf = F.lit(CONFIDENCE[kind]) if confidence is None else confidence
-    return F.struct(F.lit(kind).alias("match_type"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), conf.alias("confidence"), text.cast("string").alias("located_text"))
-
-
-def _span(of: Column, page: Column, at: Column, n: Column, kind: str, confidence: Column | None = None) -> Column:
-    """The stretch of n folded characters from `at` on, on the page."""
-    place = F.struct(origin(of, at).alias("s"), (origin(of, at + n - 1) + 1).alias("e"))
-    return let(place, lambda x: _ground(kind, x["s"], x["e"], F.substr(page, x["s"] + 1, x["e"] - x["s"]), confidence))
+def folded(text: str) -> tuple[str, np.ndarray]:
+    """Fixed replacements, small letters, one space for each run of white space, whatever soft hyphens lie in it; and how long the folded text is after each
+    character. A run of blanks stands where its first one does."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    known = np.minimum(c, len(_FOLDED) - 1)
+    width, out = _WIDTH[known], np.where(c < len(_FOLDED), _FOLDED[known], c)
+    seen = np.flatnonzero(width)
+    blank = out[seen] == 32
+    width[seen[1:][blank[1:] & blank[:-1]]] = 0
+    ends, two = np.cumsum(width, dtype=np.int64), np.flatnonzero(width == 2)
+    out = np.repeat(out, width)
+    out[ends[two] - 1] = [_SECOND[x] for x in c[two].tolist()]
+    return out.tobytes().decode("utf-32-le"), ends
 
 
 def failed() -> Column:
-    none = F.lit(None)
-    return _ground("failed", none, none, none)
+    return F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(GROUND.fields, ("failed", None, None, CONFIDENCE["failed"], None), strict=True)))
 
 
 def _long(quote: Column) -> Column:
     return F.coalesce(F.length(strip(quote)), F.lit(0)) >= MIN_QUOTE
 
 
-def folded_rung(page: Column, plain: Column, quote: Column) -> Column:
-    """The folded place of a quote, null if it has none. plain: struct(text, gaps) of the page."""
-    return let(strip(fold(quote)), lambda q: F.when(q != "", let(F.instr(plain["text"], q), lambda i: F.when(i > 0, _span(plain["gaps"], page, i - 1, F.length(q), "normalized")))))
-
-
-def plainly(page: Column) -> Column:
-    return F.struct(fold(page).alias("text"), gaps(page).alias("gaps"))
-
-
 def needed(n: int, m: int) -> tuple[int, int]:
     """How many of a quote's runs a stretch of m characters must share to be alike, and how far these may be from their places.
 
@@ -164,35 +134,39 @@ def best_stretch(page: str, quotes: list[str]) -> list[dict | None]:
     return out
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("at", IntegerType()), StructField("like", DoubleType())])))
-def stretches(page: pd.Series, quotes: pd.Series) -> pd.Series:
-    return pd.Series([[] if p is None or not len(q) else best_stretch(p, list(q)) for p, q in zip(page, quotes, strict=True)], dtype=object)
+def ground_all(page: str, quotes: list[str | None]) -> list[tuple | None]:
+    """What is found of each quote on a page, null if nothing. Rungs come in order, and a later one is for what is left."""
+    out: list[tuple | None] = [None] * len(quotes)
+
+    def put(k: int, kind: str, start: int, end: int, confidence: float) -> None:
+        out[k] = kind, start, end, confidence, page[start:end]
+
+    for k, q in enumerate(quotes):
+        if q is not None and (at := page.find(q)) >= 0:
+            put(k, "exact", at, at + len(q), CONFIDENCE["exact"])
+    left = {k: folded(q)[0].strip(" ") for k, q in enumerate(quotes) if q is not None and out[k] is None}
+    if left:
+        plain, ends = folded(page)
+        origin = lambda at: int(np.searchsorted(ends, at, "right"))
+        for k, q in left.items():
+            if q and (at := plain.find(q)) >= 0:
+                put(k, "normalized", origin(at), origin(at + len(q) - 1) + 1, CONFIDENCE["normalized"])
+        left = {k: q for k, q in left.items() if out[k] is None and len(q) >= MIN_QUOTE}
+        for (k, q), x in zip(left.items(), best_stretch(plain, list(left.values())) if left else [], strict=True):
+            if x:
+                put(k, "fuzzy", origin(x["at"]), origin(x["at"] + min(len(q), len(plain) - x["at"]) - 1) + 1, x["like"] * CONFIDENCE["fuzzy"])
+    return out
+
+
+@F.pandas_udf(ArrayType(GROUND))
+def grounds(page: pd.Series, quotes: pd.Series) -> pd.Series:
+    return pd.Series([[None] * len(q) if p is None else [x and dict(zip(GROUND.names, x, strict=True)) for x in ground_all(p, list(q))] for p, q in zip(page, quotes, strict=True)], dtype=object)
 
 
 def _grounds(rows: DataFrame, page: str, quotes: str) -> DataFrame:
-    """Adds `_grounds`, one for each of an array of quotes, with one look at the page of the row. Rungs come in order, and a later one is for what is left."""
-    p = F.col(page)
-    exact = F.transform(quotes, lambda q: F.when(_long(q), let(F.instr(p, q), lambda i: F.when(i > 0, _ground("exact", i - 1, i - 1 + F.length(q), q)))))
-    rows = rows.withColumn("_exact", exact)
-    open_ = F.exists(F.arrays_zip(F.col(quotes).alias("q"), F.col("_exact").alias("g")), lambda x: _long(x["q"]) & x["g"].isNull()) & p.isNotNull()
-    rows = rows.withColumn("_plain", F.when(open_, plainly(p)))
-    folded = F.transform(quotes, lambda q, i: F.coalesce(F.get("_exact", i), F.when(F.col("_plain").isNotNull() & _long(q), folded_rung(p, F.col("_plain"), q))))
-    rows = rows.withColumn("_found", folded)
-    rest = F.transform(quotes, lambda q, i: F.when(F.get("_found", i).isNull() & _long(q), strip(fold(q))))
-    rest = F.transform(rest, lambda q: F.when((F.length(q) >= MIN_QUOTE) & F.col("_plain").isNotNull(), q))
-    rows = rows.withColumn("_rest", F.coalesce(rest, F.array().cast("array<string>")))
-    asked = F.array_compact("_rest")
-    rows = rows.withColumn("_near", stretches(F.when(F.size(asked) > 0, F.col("_plain.text")), asked))
-    # the answers stand in the order of what was asked
-    number = lambda i: F.size(F.array_compact(F.slice("_rest", 1, i + 1))) - 1
-
-    def last(q: Column, i: Column) -> Column:
-        near = F.when(F.get("_rest", i).isNotNull(), F.get("_near", number(i)))
-        text = F.col("_plain.text")
-        span = lambda x: F.when(x.isNotNull(), _span(F.col("_plain.gaps"), p, x["at"], F.least(F.length(F.get("_rest", i)), F.length(text) - x["at"]), "fuzzy", x["like"] * CONFIDENCE["fuzzy"]))
-        return F.coalesce(F.get("_found", i), let(near, span), failed())
-
-    return rows.withColumn("_grounds", F.transform(quotes, last)).drop("_exact", "_plain", "_found", "_rest", "_near")
+    """Adds `_grounds`, one for each of an array of quotes, with one look at the page of the row. Short quotes fail."""
+    found = rows.withColumn("_found", grounds(page, F.transform(quotes, lambda q: F.when(_long(q), q))))
+    return found.withColumn("_grounds", F.transform("_found", lambda g: F.coalesce(g, failed()))).drop("_found")
 
 
 def _small_batches(rows: DataFrame) -> None:

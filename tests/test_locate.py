@@ -175,3 +175,30 @@ def test_postings_of_pages_are_not_shuffled(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     ground = found.first().ground
     assert (ground.match_type, ground.char_start) == ("fuzzy", 0) and ground.confidence > 0.7
+
+
+def test_a_place_costs_no_walk_over_the_page(spark):
+    """Quotes of a long page whose blanks are all doubled: places are led back by a search in a running sum, so 256 of them take seconds and not minutes."""
+    import time
+
+    from claimloom.operators import locate
+
+    words = [f"w{i}" for i in range(120_000)]
+    page, quotes = "  ".join(words), [" ".join(words[i : i + 9]) for i in range(100, 120_000, 470)]
+    claims = spark.createDataFrame([("d", 1, q) for q in quotes], "doc_id string, page_no int, quote string")
+    began = time.time()
+    got = locate.locate_on(claims, spark.createDataFrame([("d", 1, page)], "doc_id string, page_no int, page_text string"), ["doc_id", "page_no"]).collect()
+    assert time.time() - began < 20
+    assert len(got) == len(quotes) and all((r.ground.match_type, r.ground.located_text) == ("normalized", r.quote.replace(" ", "  ")) and page[r.ground.char_start : r.ground.char_end] == r.ground.located_text for r in got)
+
+
+def test_folded_texts_and_their_places():
+    from claimloom.operators import locate
+
+    rng = random.Random(9)
+    for n in [0, 1, 2, *range(3, 300, 7)]:
+        page = "".join(rng.choice("aBé ΣςİﬁﬂŒ\t\n\x1c\u00ad\u00ad\u2028–—’“₹😀𐐀𝒜中") for _ in range(n))
+        text, ends = locate.folded(page)
+        want, at = plain(page.replace("ς", "σ"))
+        assert text == want
+        assert [int(i) for i in __import__("numpy").searchsorted(ends, range(len(text)), "right")] == at
