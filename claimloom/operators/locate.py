@@ -169,7 +169,7 @@ def _grounds(rows: DataFrame, page: str, quotes: str) -> DataFrame:
     return found.withColumn("_grounds", F.transform("_found", lambda g: F.coalesce(g, failed()))).drop("_found")
 
 
-def _small_batches(rows: DataFrame) -> None:
+def small_batches(rows: DataFrame) -> None:
     """Rows here hold whole pages, and some of them are long."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
 
@@ -178,7 +178,7 @@ def locate(rows: DataFrame, page: str = "page_text", quote: str = "quote") -> Da
     """Adds `ground` to rows that carry their page. A page that is null, or a quote that is null or short, fails.
 
     Rows of one page each: where many quotes share pages, locate_on() moves a page once for many of them."""
-    _small_batches(rows)
+    small_batches(rows)
     return _grounds(rows.withColumn("_quotes", F.array(quote)), page, "_quotes").withColumn("ground", F.get("_grounds", F.lit(0))).drop("_quotes", "_grounds")
 
 
@@ -187,7 +187,7 @@ def locate_on(claims: DataFrame, pages: DataFrame, key: list[str]) -> DataFrame:
 
     Quotes are gathered by page, TOGETHER at most, and meet the page once for each such bundle; claims are joined with what was found by page and
     quote, so no page travels with its claims. Claims without a page, with a null in their key, or with a short quote fail."""
-    _small_batches(claims)
+    small_batches(claims)
     pages = pages.groupBy(*key).agg(F.first("page_text").alias("page_text"))
     asked = claims.select(*key, "quote").where(_long(F.col("quote"))).distinct()
     count = asked.groupBy(*key).agg(F.ceil(F.count("*") / TOGETHER).alias("bundles"))

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimloom.functions.arrays import struct_of, together
+from claimloom.operators.locate import small_batches
+
 MAX_BYTES = 50 * 1024 * 1024
 CACHE_VERSION = "v3"
+#: Where a word stands in its page's text, and its box.
+WORD = struct_of(["start", "end"], ["x0", "y0", "x1", "y1"])
 
 
 def files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
@@ -39,20 +46,35 @@ def stale_documents(landed: DataFrame, store: DataFrame) -> DataFrame:
     return store.where("n_facts = 0").join(landed.select("sha256").distinct(), "sha256", "left_semi")
 
 
+@F.arrow_udf(WORD)
+def _words(text: pa.Array) -> pa.Array:
+    return together([placed(x) for x in text.to_pylist()], WORD)
+
+
+def placed(text: str) -> tuple[np.ndarray, ...]:
+    """WORD of each word of a page: words lie between blanks and ends of lines."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    edges = np.flatnonzero(np.diff((c == 32) | (c == 10), prepend=True, append=True))
+    begin, size, ends = edges[::2], edges[1::2] - edges[::2], np.flatnonzero(c == 10)
+    line = np.searchsorted(ends, begin)
+    x0, end = begin - np.concatenate(([0], ends + 1))[line], np.cumsum(size + 1) - 1
+    return end - size, end, *(x.astype(np.float64) for x in (x0, line, x0 + size, line + 1))
+
+
+def placed_pages(documents: DataFrame) -> DataFrame:
+    """doc_id, page_no, raw, words: the pages of documents (doc_id, text), each with the places of its words as a struct of arrays (start, end, x0, y0, x1, y1),
+    in order. Pages end with a form feed. A page's text is its words joined by one space, in which start and end are offsets; boxes are on a grid of
+    characters and lines. Each row is made by itself: nothing is shuffled, and rows of one id are pages of their own."""
+    small_batches(documents)
+    pages = documents.select("doc_id", F.posexplode(F.split("text", "\f")).alias("page", "raw"))
+    return pages.select("doc_id", (F.col("page") + 1).alias("page_no"), "raw", _words("raw").alias("words"))
+
+
 def page_words(documents: DataFrame) -> DataFrame:
-    """doc_id, page_no, seq, text, start, end, x0, y0, x1, y1: the words of documents (doc_id, text), a row each. Pages end with a form feed. A
-    page's text is its words joined by one space, in which start and end are offsets; boxes are on a grid of characters and lines."""
-    lines = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode(F.split("text", "\f")).alias("page", "raw"))
-    lines = lines.select("doc_id", "row", "page", F.posexplode(F.split("raw", "\n")).alias("line", "raw"))
-    words = lines.select("doc_id", "row", "page", "line", F.posexplode(F.split("raw", " ")).alias("place", "text"))
-    page = Window.partitionBy("row", "page").orderBy("line", "place")
-    before = lambda w: F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    words = words.withColumn("x0", before(Window.partitionBy("row", "page", "line").orderBy("place"))).where("text <> ''")
-    words = words.withColumn("start", before(page)).withColumn("seq", F.row_number().over(page) - 1)
-    at = lambda x: F.expr(f"CAST({x} AS DOUBLE)")
-    return words.select(
-        "doc_id", (F.col("page") + 1).alias("page_no"), "seq", "text", "start", (F.col("start") + F.length("text")).alias("end"), at("x0").alias("x0"), at("line").alias("y0"), at("x0 + length(text)").alias("x1"), at("line + 1").alias("y1")
-    )
+    """doc_id, page_no, seq, text, start, end, x0, y0, x1, y1: the words of placed_pages(), a row each."""
+    text = F.filter(F.split("raw", "[ \n]"), lambda w: w != "").alias("text")
+    words = placed_pages(documents).select("doc_id", "page_no", F.posexplode(F.arrays_zip(text, *(F.col(f"words.{c}").alias(c) for c in WORD.names))).alias("seq", "w"))
+    return words.select("doc_id", "page_no", "seq", "w.*")
 
 
 def text_pages(words: DataFrame) -> DataFrame:

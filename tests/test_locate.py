@@ -202,3 +202,43 @@ def test_folded_texts_and_their_places():
         want, at = plain(page.replace("ς", "σ"))
         assert text == want
         assert [int(i) for i in __import__("numpy").searchsorted(ends, range(len(text)), "right")] == at
+
+
+def test_spans_and_words_meet_in_the_row_of_their_page(spark, tmp_path):
+    """Documents are spread over the cores, if at all, and nothing else of the query is shuffled; rows without an id give nothing, as in its SQL."""
+    from claimloom.plans import stored
+
+    texts = [(1, "one two\n\nthree  four " + "x" * 300), (2, ""), (3, None), (4, " \n "), (None, "no id"), (5, "a page\fand another")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, most in (("span_boxes", 1), ("page_words", 1)):
+        assert stored.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Exchange") <= most
+    got = sorted(tuple(r) for r in stored.QUERIES["span_boxes"](spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 0.0, 0.0, 7.0), (1, 0, 8.0, 0.0, 312.0), (1, 1, 8.0, 12.0, 312.0)]
+
+
+def test_boxes_of_words_in_any_order():
+    """Against each span's own words, one by one: also where offsets go up and down, words overlap, and few hits are held at once."""
+    import numpy as np
+
+    from claimloom.operators import pages
+
+    rng, held = random.Random(12), pages.HITS
+    try:
+        for k in range(300):
+            pages.HITS = rng.choice([1, 7, 1 << 20])
+            words = [(s, s + rng.randint(0, 9), *(rng.randrange(40) for _ in range(4))) for s in (rng.randrange(80) for _ in range(rng.randint(0, 25)))]
+            if k % 2:
+                words = [(10 * i, 10 * i + 9, *w[2:]) for i, w in enumerate(words)]
+            spans = [(s, s + rng.randint(-3, 60)) for s in (rng.randrange(-5, 100) for _ in range(rng.randint(0, 9)))]
+            want = []
+            for n, (s, e) in enumerate(spans):
+                lines = []
+                for w in [w for w in words if s < e and w[0] < e and w[1] > s]:
+                    if not lines or abs(lines[-1][-1][3] - w[3]) >= pages.LINE:
+                        lines.append([])
+                    lines[-1].append(w)
+                want += [(n, i, min(w[2] for w in x), min(w[3] for w in x), max(w[4] for w in x), max(w[5] for w in x)) for i, x in enumerate(lines)]
+            found = pages.lines_of(*np.array(spans, float).reshape(-1, 2).T, *np.array(words, float).reshape(-1, 6).T)
+            assert list(zip(*(x.tolist() for x in found), strict=True)) == want
+    finally:
+        pages.HITS = held
