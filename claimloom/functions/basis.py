@@ -83,15 +83,20 @@ def merged(known: Column, inferred: Column) -> Column:
     return F.map_concat(known, F.map_filter(inferred, lambda k, v: ~F.map_contains_key(known, k)))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Dimensions that both state, differently."""
-    return F.filter(F.array(*map(F.lit, DIMENSIONS)), lambda d: F.coalesce(F.element_at(a, d) != F.element_at(b, d), F.lit(False)))
+def differing(a: Column, b: Column) -> dict[str, Column]:
+    """For each dimension: do both state it, differently? Written out, so that it is compiled; a lambda over names would be interpreted for each pair."""
+    return {d: F.element_at(a, d) != F.element_at(b, d) for d in DIMENSIONS}
 
 
-def one_sided(a: Column, b: Column) -> Column:
-    """Dimensions that one side only states, without the optional ones."""
-    return F.filter(F.array(*(F.lit(d) for d in DIMENSIONS if d not in OPTIONAL)), lambda d: F.element_at(a, d).isNull() != F.element_at(b, d).isNull())
+def one_sided(a: Column, b: Column) -> dict[str, Column]:
+    """For each dimension but the optional ones: does one side only state it?"""
+    return {d: F.element_at(a, d).isNull() != F.element_at(b, d).isNull() for d in DIMENSIONS if d not in OPTIONAL}
 
 
-def agreeing(a: Column, b: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, DIMENSIONS)), lambda d: F.coalesce(F.element_at(a, d) == F.element_at(b, d), F.lit(False)))
+def agreeing(a: Column, b: Column) -> dict[str, Column]:
+    return {d: F.element_at(a, d) == F.element_at(b, d) for d in DIMENSIONS}
+
+
+def named(tests: dict[str, Column]) -> Column:
+    """The names of what holds, in order, with commas between; '' for none."""
+    return F.concat_ws(", ", *(F.when(test, d) for d, test in tests.items()))

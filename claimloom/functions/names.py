@@ -33,13 +33,15 @@ def same_entity(a: Column, b: Column) -> Column:
     """struct(same, reason): equal, or one key's words start the other's."""
     missing = F.coalesce(a, F.lit("")).isin("") | F.coalesce(b, F.lit("")).isin("")
     longer = a.startswith(F.concat(b, F.lit(" "))) | b.startswith(F.concat(a, F.lit(" ")))
-    pair = lambda same, *reason: F.struct(F.lit(same).alias("same"), F.concat(*reason).alias("reason"))
-    return (
-        F.when(missing, pair(False, F.lit("no entity")))
-        .when(a == b, pair(True, a, F.lit(" ≡ "), b))
-        .when(longer, pair(True, a, F.lit(" ≡ "), b, F.lit(" (the longer name begins with the shorter)")))
-        .otherwise(pair(False, a, F.lit(" ≠ "), b))
+    # a struct of two choices, not a choice of structs: who asks for the first alone does not word the second
+    same = F.when(missing, False).when(a == b, True).when(longer, True).otherwise(False)
+    reason = (
+        F.when(missing, F.lit("no entity"))
+        .when(a == b, F.concat(a, F.lit(" ≡ "), b))
+        .when(longer, F.concat(a, F.lit(" ≡ "), b, F.lit(" (the longer name begins with the shorter)")))
+        .otherwise(F.concat(a, F.lit(" ≠ "), b))
     )
+    return F.struct(same.alias("same"), reason.alias("reason"))
 
 
 def _fold_acronym(s: Column) -> Column:
@@ -91,17 +93,23 @@ def near_miss(a: Column, b: Column) -> Column:
 
 def same_metric(a: Column, b: Column, alias: Column) -> Column:
     """struct(same, reason); same is null where rules cannot settle it. alias: what is known about the two keys, or null."""
-    pair = lambda same, *reason: F.struct(F.lit(same).cast("boolean").alias("same") if not isinstance(same, Column) else same.alias("same"), F.concat(*reason).alias("reason"))
     missing = F.coalesce(a, F.lit("")).isin("") | F.coalesce(b, F.lit("")).isin("")
     shown = lambda o: F.format_string("%.2f", o)
-    return let(
-        overlap(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))),
-        lambda o: F.when(missing, pair(False, F.lit("no metric")))
-        .when(a == b, pair(True, a))
-        .when(alias.isNotNull(), pair(alias, F.lit("alias: "), a, F.lit(" ~ "), b))
-        .when(o == 0, pair(False, a, F.lit(" ≠ "), b))
-        .when(o >= 0.8, pair(True, a, F.lit(" ≈ "), b, F.lit(" (shared words "), shown(o), F.lit(")")))
-        .otherwise(pair(None, a, F.lit(" ? "), b, F.lit(" (shared words "), shown(o), F.lit("), to be asked"))),
+    # words are compared only where equality and aliases leave it open
+    share = lambda use: let(overlap(a, b), use)
+    same = F.when(missing, False).when(a == b, True).when(alias.isNotNull(), alias).otherwise(share(lambda o: F.when(o == 0, False).when(o >= 0.8, True)))
+    reason = (
+        F.when(missing, F.lit("no metric"))
+        .when(a == b, a)
+        .when(alias.isNotNull(), F.concat(F.lit("alias: "), a, F.lit(" ~ "), b))
+        .otherwise(
+            share(
+                lambda o: F.when(o == 0, F.concat(a, F.lit(" ≠ "), b))
+                .when(o >= 0.8, F.concat(a, F.lit(" ≈ "), b, F.lit(" (shared words "), shown(o), F.lit(")")))
+                .otherwise(F.concat(a, F.lit(" ? "), b, F.lit(" (shared words "), shown(o), F.lit("), to be asked")))
+            )
+        )
     )
+    return F.struct(same.alias("same"), reason.alias("reason"))
 
 

@@ -28,27 +28,39 @@ BLOCK = 2048
 
 
 def block_pairs(facts: DataFrame, on: list[str], block: int = BLOCK) -> DataFrame:
-    """a_*, b_* columns of all pairs of one block with a_fact_id < b_fact_id. A block of more than `block` facts is dealt out: each of its facts is on the left
-    in one of its parts and on the right in all of them, so no task has more than `block` of its facts on the left."""
+    """a_*, b_* columns of all pairs of one block with a_fact_id < b_fact_id. A block of up to `block` facts meets itself where its facts are after one shuffle. A
+    larger one is dealt out: each of its facts is on the left in one of its parts and on the right in all of them, so no task has more than `block` of its
+    facts on the left."""
     parts = facts.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select(*on, F.ceil(F.col("_n") / block).cast("int").alias("_parts"))
-    dealt = facts.join(parts, on, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    known = facts.join(parts, on, "left")
+    plain, dealt = known.where("_parts is null").drop("_parts"), known.where("_parts is not null")
     left = dealt.withColumn("_part", F.pmod(F.xxhash64("fact_id"), F.col("_parts")).cast("int")).drop("_parts")
     right = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return _pairs(left, right, [*on, "_part"]).drop("_part").where("a_fact_id < b_fact_id")
+    return _pairs(plain, plain, on).unionByName(_pairs(left, right, [*on, "_part"]).drop("_part")).where("a_fact_id < b_fact_id")
 
 
-def candidate_pairs(facts: DataFrame, cross_document_only: bool = False) -> DataFrame:
-    """fact_a < fact_b, each unordered pair once if each fact is: the two metric keys of a near pair differ, those of an exact one do not."""
-    f = facts.select(*KEYS)
-    exact = block_pairs(f, ["entity_key", "metric_key"]).select("a_fact_id", "b_fact_id", "a_doc_id", "b_doc_id")
+def met_pairs(facts: DataFrame, cross_document_only: bool = False, block: int = BLOCK) -> DataFrame:
+    """fact_a < fact_b with both facts as structs a and b, each unordered pair once if each fact is: the two metric keys of a near pair differ, those of an exact
+    one do not. Facts bring their columns to where they meet, so what is shuffled grows with facts, never with pairs; columns that nobody asks for stay behind."""
+    on = ["entity_key", "metric_key"]
+    # stated here, so that all uses of the facts are one plan, and one shuffle
+    f = facts.where(" and ".join(f"{k} is not null" for k in on))
+    exact = block_pairs(f, on, block).withColumns({f"{side}_{k}": F.col(k) for side in "ab" for k in on})
     keys = near_keys(f)
-    left = f.join(keys.withColumnRenamed("ka", "metric_key"), ["entity_key", "metric_key"]).select("entity_key", "kb", F.col("fact_id").alias("a_fact_id"), F.col("doc_id").alias("a_doc_id"))
-    right = f.select("entity_key", F.col("metric_key").alias("kb"), F.col("fact_id").alias("b_fact_id"), F.col("doc_id").alias("b_doc_id"))
-    near = left.join(right, ["entity_key", "kb"]).select("a_fact_id", "b_fact_id", "a_doc_id", "b_doc_id")
-    both = exact.unionByName(near)
+    left = f.join(keys.withColumnRenamed("ka", "metric_key"), on).select("entity_key", "kb", *(F.col(c).alias("l_" + c) for c in facts.columns))
+    right = f.select("entity_key", F.col("metric_key").alias("kb"), *(F.col(c).alias("r_" + c) for c in facts.columns))
+    near = left.join(right, ["entity_key", "kb"]).where("l_fact_id <> r_fact_id")
+    first = F.col("l_fact_id") < F.col("r_fact_id")
+    of = lambda x, y, name: [F.when(first, F.col(x + c)).otherwise(F.col(y + c)).alias(name + c) for c in facts.columns]
+    both = exact.select(*(side + c for side in ("a_", "b_") for c in facts.columns)).unionByName(near.select(*of("l_", "r_", "a_"), *of("r_", "l_", "b_")))
     if cross_document_only:
         both = both.where("a_doc_id <> b_doc_id")
-    return both.select(F.least("a_fact_id", "b_fact_id").alias("fact_a"), F.greatest("a_fact_id", "b_fact_id").alias("fact_b")).where("fact_a <> fact_b")
+    return both.select(F.col("a_fact_id").alias("fact_a"), F.col("b_fact_id").alias("fact_b"), *(F.struct(*(F.col(f"{side}_{c}").alias(c) for c in facts.columns)).alias(side) for side in "ab"))
+
+
+def candidate_pairs(facts: DataFrame, cross_document_only: bool = False) -> DataFrame:
+    """The pairs of met_pairs() by their ids alone."""
+    return met_pairs(facts.select(*KEYS), cross_document_only).select("fact_a", "fact_b")
 
 
 def pairs_for_new(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -63,3 +63,40 @@ def test_export_as_one_dated_file(spark, tmp_path):
     assert back.count() == 5000
     empty = write_dated_csv(df.limit(0), f"file://{tmp_path}", "none", ["n"], day)
     assert open(empty.removeprefix("file:")).read() == "n,said\n" if not empty.startswith("file://") else open(empty.removeprefix("file://")).read() == "n,said\n"
+
+
+def test_pairs_bring_both_facts_with_them(spark):
+    """Equal to the pairs of all facts looked up by id, whether blocks meet whole or are dealt out, for near metrics in either order of ids."""
+    from claimloom.operators.blocking import met_pairs
+    from claimloom.operators.compare import sides
+
+    rng = random.Random(4)
+    rows = [(f"f{rng.randrange(10**6):06}{i:03}", f"d{i % 3}", rng.choice("ab"), rng.choice(["revenue", "revenue_from_operations", "profit", None]), {"vintage": str(i)} if i % 5 else None, float(i)) for i in range(90)]
+    facts = spark.createDataFrame(rows, "fact_id string, doc_id string, entity_key string, metric_key string, basis map<string,string>, value_num double")
+    near = {("revenue", "revenue_from_operations"), ("revenue_from_operations", "revenue")}
+    want = {(a[0], b[0]) for a, b in itertools.combinations(sorted(rows), 2) if a[2] == b[2] and a[3] and b[3] and (a[3] == b[3] or (a[3], b[3]) in near)}
+    shown = lambda df: sorted(map(str, df.select("fact_a", "fact_b", "a", "b").collect()))
+    known = shown(sides(spark.createDataFrame(sorted(want), "fact_a string, fact_b string"), facts))
+    for block in (3, 2048):
+        assert shown(met_pairs(facts, block=block)) == known
+    across = {(r.fact_a, r.fact_b) for r in met_pairs(facts, cross_document_only=True).collect()}
+    assert across == {(a[0], b[0]) for a in rows for b in rows if (a[0], b[0]) in want and a[1] != b[1]}
+
+
+def shuffled_pairs(df):
+    """Lines of the plan above the place where pairs are put together: an exchange there moves pairs, one below moves facts."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    (met,) = [i for i, line in enumerate(lines) if line.lstrip(" :+-").startswith("Union")][:1]
+    return [line for line in lines[:met] if "Exchange" in line]
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Verdicts are made where blocks meet, also when no table is small."""
+    from claimloom.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled_pairs(tables.order_verdicts_lazy(spark, sf)) == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
